@@ -41,9 +41,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def fold(doc_id: str | Column, k: int = 5) -> Column:
-    """crc32 of the doc_id as text, modulo k; null for a null doc_id."""
+    """crc32 of the doc_id as text, modulo k; a null doc_id counts as an empty text, so 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(c.cast("string").cast("binary")) % k
+    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % k
 
 
 def strip_spaces(c: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, secrets
+from . import bpe, exact_dedup, langid, licenses, mixing, mpegts, secrets
 from .common import documents
 
 QUERIES = {
+    "op1_bpe": lambda spark, sf_dir: bpe.digests(documents(spark, sf_dir)),
     "op3_secret_scan": lambda spark, sf_dir: secrets.digest(secrets.scan(documents(spark, sf_dir))),
+    "op4_language_id": lambda spark, sf_dir: langid.identify(documents(spark, sf_dir)),
     "op5_license_scan": lambda spark, sf_dir: licenses.scan(documents(spark, sf_dir)),
+    "op6_transport_stream": lambda spark, sf_dir: mpegts.demux(mpegts.mux(documents(spark, sf_dir))),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
     "op9_mix_sources": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
 }
