@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licenses, mixing, mpegts, secrets
+from . import bpe, exact_dedup, langid, licenses, mixing, mpegts, pii, secrets
 from .common import documents
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_transport_stream": lambda spark, sf_dir: mpegts.demux(mpegts.mux(documents(spark, sf_dir))),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
     "op9_mix_sources": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
+    "op10_personal_data": lambda spark, sf_dir: pii.detect(documents(spark, sf_dir)),
 }
 SQL = {
     "op8_exact_dedup": exact_dedup.SQL,
