@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licenses, mixing, mpegts, pii, secrets
+from . import bpe, exact_dedup, langid, licenses, minhash, mixing, mpegts, pii, secrets
 from .common import documents
 
 QUERIES = {
     "op1_bpe": lambda spark, sf_dir: bpe.digests(documents(spark, sf_dir)),
+    "op2_near_duplicates": lambda spark, sf_dir: minhash.near_components(documents(spark, sf_dir)),
     "op3_secret_scan": lambda spark, sf_dir: secrets.digest(secrets.scan(documents(spark, sf_dir))),
     "op4_language_id": lambda spark, sf_dir: langid.identify(documents(spark, sf_dir)),
     "op5_license_scan": lambda spark, sf_dir: licenses.scan(documents(spark, sf_dir)),
