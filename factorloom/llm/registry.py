@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licenses, minhash, mixing, mpegts, pii, secrets
+from . import bpe, brown, exact_dedup, langid, licenses, minhash, mixing, mpegts, pii, secrets
 from .common import documents
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_language_id": lambda spark, sf_dir: langid.identify(documents(spark, sf_dir)),
     "op5_license_scan": lambda spark, sf_dir: licenses.scan(documents(spark, sf_dir)),
     "op6_transport_stream": lambda spark, sf_dir: mpegts.demux(mpegts.mux(documents(spark, sf_dir))),
+    "op7_class_language_model": lambda spark, sf_dir: brown.score(documents(spark, sf_dir)),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
     "op9_mix_sources": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
     "op10_personal_data": lambda spark, sf_dir: pii.detect(documents(spark, sf_dir)),
