@@ -20,6 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint, strip_spaces
 
@@ -34,26 +35,27 @@ def _normal(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return rows.withColumn("digest", digest(F.col("content")))
 
 
+def _ranked(size: str = "size") -> Column:
+    """Greatest for the row that stays: most code points, then the smallest doc_id, null last."""
+    return F.struct(size, F.col("doc_id").isNotNull().alias("has_id"), F.bitwise_not(F.col("doc_id").cast("long")).alias("low_id"))
+
+
 def classes(docs: DataFrame, salts: int = 32, hot_rows: int = 1000, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
-    """One row per distinct content: (digest, keep_id, group_size, variants, content), and the hot digests.
+    """One row per digest: (digest, best, group_size, variants), and the hot digests. ``variants`` counts the contents.
 
-    ``variants`` counts the contents of the digest; ``content`` is null unless there are several.
+    What is moved with its text is moved once; only the winners of salts of hot digests are moved again.
     """
     rows = _normal(docs, digest)
     hot_rows = max(hot_rows, docs.count() // 1000)
     hot = checkpoint(rows.groupBy("digest").count().filter(F.col("count") > hot_rows).select("digest", F.lit(True).alias("hot")))
-    salted = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts))).otherwise(F.lit(0)))
-    rank = F.struct("size", F.col("doc_id").isNotNull().alias("has_id"), F.bitwise_not(F.col("doc_id").cast("long")).alias("low_id"))
-    merged = salted.groupBy("digest", "salt", "content", "hot").agg(F.max(rank).alias("best"), F.count("*").alias("n"))
-    merged = checkpoint(merged)
-    # The winners of the salts: at most `salts` rows for each content of a hot digest.
-    ended = merged.filter("hot is null").select("digest", "content", "best", "n").unionByName(
-        merged.filter("hot").groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("n")))
-    variants = ended.groupBy("digest").agg(F.count("*").alias("variants"))
-    found = ended.join(variants, "digest").select(
-        "digest", F.bitwise_not("best.low_id").alias("keep_id"), F.col("n").alias("group_size"), "variants",
-        F.when(F.col("variants") > 1, F.col("content")).alias("content"))
-    return found, hot
+    flagged = rows.join(F.broadcast(hot), "digest", "left")
+    best = F.max(_ranked()).alias("best")
+    plain = flagged.filter("hot is null").groupBy("digest", "content").agg(best, F.count("*").alias("n"))
+    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts))
+    salted = flagged.filter("hot").withColumn("salt", salt).groupBy("digest", "salt", "content").agg(best, F.count("*").alias("n"))
+    merged = salted.groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    by_digest = [F.max("best").alias("best"), F.sum("n").alias("group_size"), F.count("*").alias("variants")]
+    return plain.groupBy("digest").agg(*by_digest).unionByName(merged.groupBy("digest").agg(*by_digest)), hot
 
 
 def exact_dedup(docs: DataFrame, salts: int = 32, hot_rows: int = 1000, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -64,24 +66,39 @@ def exact_dedup(docs: DataFrame, salts: int = 32, hot_rows: int = 1000, digest:
     found, hot = classes(docs, salts, hot_rows, digest)
     found = checkpoint(found)
     rows = _normal(docs, digest)
-    keys = rows.select("doc_id", "digest", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"))
-    plain = found.filter("variants = 1").select("digest", "keep_id", "group_size")
-    flagged = keys.join(F.broadcast(hot), "digest", "left")
+    sha = F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256")
+    keep = F.bitwise_not("best.low_id").alias("keep_id")
+    plain = found.filter("variants = 1").select("digest", keep, "group_size")
+    flagged = rows.select("doc_id", "digest", sha).join(F.broadcast(hot), "digest", "left")
     few = plain.join(F.broadcast(hot), "digest", "left_semi")  # at most 1000 rows
     parts = [
         flagged.filter("hot is null").drop("hot").join(plain, "digest"),
         flagged.filter("hot").drop("hot").join(F.broadcast(few), "digest"),
     ]
-    collided = found.filter("variants > 1")
-    if not collided.isEmpty():  # never seen with SHA-256
-        whole = rows.withColumn("text_sha256", F.sha2(F.col("content").cast("binary"), 256)).drop("size")
-        parts.append(whole.join(collided.drop("variants"), ["digest", "content"]).drop("content"))
+    collided = found.filter("variants > 1").select("digest")
+    if not collided.isEmpty():  # never seen with SHA-256: their contents are told apart
+        theirs = rows.join(collided, "digest", "left_semi")
+        each = theirs.groupBy("digest", "content").agg(F.max(_ranked()).alias("best"), F.count("*").alias("group_size"))
+        parts.append(theirs.select("doc_id", "digest", "content", sha).join(each.select("digest", "content", keep, "group_size"), ["digest", "content"]).drop("content"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def kept_documents(docs: DataFrame, salts: int = 32, hot_rows: int = 1000) -> DataFrame:
+    """The rows of docs that stay, all columns. Of rows with one doc_id and equal texts the longest original stays, once."""
+    verdict = exact_dedup(docs, salts, hot_rows).filter("kept").groupBy(F.col("doc_id").alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha")).agg(F.count("*").alias("__dedup_n"))
+    verdict = checkpoint(verdict)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sha = F.sha2(strip_spaces(text).cast("binary"), 256)
+    kept = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["__dedup_id"]) & (sha == verdict["__dedup_sha"]))
+    if not verdict.filter("__dedup_n > 1").isEmpty():
+        first = Window.partitionBy("__dedup_id", "__dedup_sha").orderBy(F.length(text).desc())
+        kept = kept.withColumn("__dedup_nth", F.row_number().over(first)).filter("__dedup_nth = 1").drop("__dedup_nth")
+    return kept.drop("__dedup_id", "__dedup_sha", "__dedup_n")
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
