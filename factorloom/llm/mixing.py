@@ -177,7 +177,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int
     k = known.withColumnRenamed("source", "s")
     rows = placed(docs)
     rows = rows.join(F.broadcast(k), rows["source"].eqNullSafe(k["s"])).drop("s")  # at most MAX_SOURCES rows
-    taken = _pieces(rows, block).join(times, ["rank", "block"], "left").withColumn("n", F.coalesce(F.col("times") * F.col("words"), F.lit(0)))
+    # the plan can't know how many blocks the drawing makes: without the hint it would broadcast them
+    taken = _pieces(rows, block).join(times.hint("merge"), ["rank", "block"], "left").withColumn("n", F.coalesce(F.col("times") * F.col("words"), F.lit(0)))
     return taken.groupBy("doc_id", "rank", "at", "key", "size", "source_size", "target").agg(F.sum("n").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -195,11 +196,11 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST,
     bare = placed(docs)
     bare = bare.join(F.broadcast(k), bare["source"].eqNullSafe(k["s"])).filter("size > 0")
     # the same keys twice are the same row twice, at different places: `at` tells them apart
-    parts = _pieces(bare, block).join(drawn.select("rank", "block", "epoch"), ["rank", "block"]).groupBy("rank", "at", "doc_id", "key", "epoch").agg(
+    parts = _pieces(bare, block).join(drawn.select("rank", "block", "epoch").hint("merge"), ["rank", "block"]).groupBy("rank", "at", "doc_id", "key", "epoch").agg(
         F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))  # at most size / block + 2 of them
     p = parts.select(F.col("rank").alias("r"), F.col("at").alias("a"), F.col("doc_id").alias("d"), F.col("key").alias("h"), "words", "parts")
     text = F.col(f"_keep{columns.index('text')}").cast("string")
-    out = rows.join(p, (rows["rank"] == p["r"]) & (rows["at"] == p["a"]) & rows["doc_id"].eqNullSafe(p["d"]) & (rows["key"] == p["h"]))
+    out = rows.join(p.hint("merge"), (rows["rank"] == p["r"]) & (rows["at"] == p["a"]) & rows["doc_id"].eqNullSafe(p["d"]) & (rows["key"] == p["h"]))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("parts", lambda x: F.slice(words, (x["first"] + 1).cast("int"), x["words"].cast("int")))), " ")
     out = out.withColumn("_text", F.when(F.col("words") == F.col("size"), text).otherwise(cut))
