@@ -6,7 +6,8 @@ highest likelihood, as far as first derivatives tell, given all words' classes o
 training tokens and all words take part.
 
 How it runs: documents are packed into chunks of about ``CHUNK`` tokens: the hashes of the chunk's
-distinct words, sorted, and the tokens as numbers of these. Chunks are written once, dealt by their id.
+distinct words, sorted, and the tokens as numbers of these. Chunks are written once, as a table bucketed by
+their id, and never moved again.
 The vocabulary is dealt into buckets by the first bits of the words' hashes (so each chunk's words of a bucket are
 one slice), enough of them that each is small. A chunk asks the buckets for its words' counts and classes, and
 sends them the contexts of its words, all in packed arrays; no table of the vocabulary is ever in one place.
@@ -22,6 +23,7 @@ gives no rows; with no training rows all tokens are unknown, N = V = 0, and base
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fold
+from .common import checkpoint, fold, shared_dir
 
 CHUNK, CLASSES, ROUNDS, BUCKET = 2_000_000, 64, 3, 100_000
 END, END_CLASS, PULL = 1, 0, 4.0
@@ -93,6 +95,13 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, f"chunk string, n_words long, words binary, doc_ids array<{id_type}>, train array<boolean>, lengths binary, tokens binary")
 
 
+def _stored(df: DataFrame, parts: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by chunk: joins by chunk then move the other side only."""
+    name = f"factorloom_chunks_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, "chunk").option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _slices(words: np.ndarray, bits: int) -> np.ndarray:
     """Where each bucket's words begin, and the end."""
     return np.append(np.searchsorted(words, np.arange(1 << bits, dtype=_U64) << _U64(64 - bits)), len(words))
@@ -223,7 +232,7 @@ def _pairs(packed: DataFrame, answers: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["cell", "n"])
 
-    cells = packed.select("chunk", "train", "lengths", "tokens").join(answers, "chunk").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = packed.select("chunk", "train", "lengths", "tokens").join(answers.hint("shuffle_hash"), "chunk").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(k * k, np.float64)
     for r in cells:  # at most (CLASSES + 1) squared
         out[r["cell"]] = r["n"]
@@ -249,7 +258,7 @@ def _contexts(packed: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
                 blobs = [[_pack(each[at[k] : at[k + 1]].astype(_U8)) for k in some], [_pack((key[cut[k] : cut[k + 1]] % width).astype(_U8)) for k in some], [_pack(n[cut[k] : cut[k + 1]].astype(_I32)) for k in some]]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk] * len(some)), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "chunk", "each", "which", "often"])
 
-    rows = packed.select("chunk", "words", "train", "lengths", "tokens").join(answers, "chunk")
+    rows = packed.select("chunk", "words", "train", "lengths", "tokens").join(answers.hint("shuffle_hash"), "chunk")
     return rows.mapInArrow(run, "bucket long, chunk string, each binary, which binary, often binary")
 
 
@@ -310,7 +319,7 @@ def score(docs: DataFrame, size: int = CHUNK, rounds: int = ROUNDS) -> DataFrame
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = checkpoint(chunks(docs, size).repartition(parts, "chunk"))
+    packed = _stored(chunks(docs, size), parts)
     asked = packed.agg(F.sum("n_words")).first()[0] or 0
     bits = max(8, int(asked / BUCKET).bit_length())
     table = checkpoint(_vocabulary(_requests(packed, bits)))
@@ -341,5 +350,5 @@ def score(docs: DataFrame, size: int = CHUNK, rounds: int = ROUNDS) -> DataFrame
                 m = len(lengths)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array([not x for x in train], pa.bool_()), pa.array(lengths, pa.int64()), pa.array(total((counts > 0)[t].astype(_I64)), pa.int64()), pa.array(np.full(m, n, _I64)), pa.array(total(base[t])), pa.array(total(move[before, c] + emit[t]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    rows = packed.select("chunk", "doc_ids", "train", "lengths", "tokens").join(answers, "chunk")
+    rows = packed.select("chunk", "doc_ids", "train", "lengths", "tokens").join(answers.hint("shuffle_hash"), "chunk")
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
