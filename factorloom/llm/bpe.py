@@ -252,13 +252,14 @@ def _each(docs: DataFrame, path: str, leaf: int, spread: int, fields: str, row)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     short = docs.select("doc_id", text.alias("text")).filter(F.length("text") <= spread)
     names = ["doc_id", *(f.split()[0] for f in fields.split(", "))]
+    types = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[f.split()[1]] for f in fields.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 values = [row(c.encode(t)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*values, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*values, strict=True), types, strict=True))], names)
 
     whole = short.mapInArrow(encode, f"doc_id {id_type}, {fields}")
     return whole.unionByName(_long_ids(docs, path, leaf, spread, id_type, fields, row))
