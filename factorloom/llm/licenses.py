@@ -96,3 +96,26 @@ def scan(docs: DataFrame, sentences: tuple = SENTENCES, rules: tuple = RULES) ->
     kinds = F.array(*(F.when(F.col(f"hit{i}"), F.lit(k)) for i, (_, k, _) in enumerate(rules)))
     strict = F.coalesce(*(F.when(F.array_contains(F.array_compact(kinds), k), F.lit(k)) for k in STRICTNESS), F.lit("none"))
     return rows.select("doc_id", "n_sentences", "sentence_ids", F.array_join(names, ",").alias("licenses"), strict.alias("license_class"))
+
+
+def sql() -> str:
+    """The same result in DuckDB's SQL, for the tables of sentences and rules above."""
+    known = ", ".join(f"('{s}', '{k}')" for k, s in SENTENCES)
+    rest = "' ' || string_agg(id, '  ' ORDER BY i) || ' '"
+    steps, at = [], "r0"
+    for i, (_, _, rule) in enumerate(RULES):
+        body = f" {'  '.join(rule)} "
+        steps.append(f"r{i + 1} AS (SELECT * EXCLUDE (rest), contains(rest, '{body}') AS hit{i}, replace(rest, '{body}', ' | ') AS rest FROM {at})")
+        at = f"r{i + 1}"
+    names = list(dict.fromkeys(n for n, _, _ in RULES))
+    either = lambda keep: " OR ".join(f"hit{i}" for i, r in enumerate(RULES) if keep(r))
+    listed = ", ".join(f"CASE WHEN {either(lambda r, n=n: r[0] == n)} THEN '{n}' END" for n in names)
+    strict = " ".join(f"WHEN {either(lambda r, k=k: r[1] == k)} THEN '{k}'" for k in STRICTNESS)
+    return rf"""WITH lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM lines),
+n AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9.]+', ' ', 'g'), '\.\.+', ' ', 'g'), '\.( |$)', ' ', 'g'), '(^| )\.', ' ', 'g'), ' +', ' ', 'g')) AS t FROM s WHERE regexp_matches(t, '{CUE}')),
+ids AS (SELECT doc_id, i, k.id FROM n JOIN (VALUES {known}) AS k(t, id) ON k.t = n.t),
+r0 AS (SELECT doc_id, count(*) AS n_sentences, string_agg(id, ' ' ORDER BY i) AS sentence_ids, {rest} AS rest FROM ids GROUP BY doc_id),
+{", ".join(steps)}
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ','), '') AS licenses, coalesce(CASE {strict} END, 'none') AS license_class
+FROM documents d LEFT JOIN {at} USING (doc_id)"""

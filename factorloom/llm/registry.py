@@ -18,5 +18,7 @@ QUERIES = {
     "op10_personal_data": lambda spark, sf_dir: pii.detect(documents(spark, sf_dir)),
 }
 SQL = {
+    "op3_secret_scan": secrets.sql(),
+    "op5_license_scan": licenses.sql(),
     "op8_exact_dedup": exact_dedup.SQL,
 }

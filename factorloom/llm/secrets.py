@@ -112,3 +112,32 @@ def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of what ``scan`` returns."""
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k) for k, *_ in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.sort_array(F.concat("base", "added"))).alias("spans"))
+
+
+def sql(window: int = 20) -> str:
+    """The same result in DuckDB's SQL; each window's entropy is computed anew from the counts of its characters."""
+    def spans(name: str, kind: str, order: int, pattern: str, group: int, least: int) -> str:
+        p = pattern.replace("'", "''")
+        return f"""{name}0 AS (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS v, string_split_regex(text, '{p}') AS gap FROM d WHERE regexp_matches(text, '{p}')),
+{name}1 AS (SELECT doc_id, unnest(m) AS m, unnest(v) AS v, unnest(gap[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM {name}0),
+{name} AS (SELECT doc_id, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS BIGINT) AS s, {order} AS o, '{kind}' AS kind, length(m) AS len, v FROM {name}1 QUALIFY length(v) >= {least})"""
+
+    parts = [spans(f"b{i}", k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE)]
+    allow = " AND ".join(f"NOT regexp_matches(v, '{a}')" for a in ALLOW if "\\1" not in a)
+    periods = " AND ".join(f"v <> left(repeat(left(v, {k}), length(v)), length(v))" for k in (1, 2, 3, 4))
+    added = []
+    for i, (k, chars, least) in enumerate(CLASSES):
+        cls = chars.replace("-", "") + ("-" if "-" in chars else "")
+        parts.append(spans(f"c{i}", k, len(BASE) + i, "([" + cls + "]{%d,})" % window, 1, window))
+        parts.append(f"""w{i} AS (SELECT doc_id, s, o, kind, v, unnest(range(0, length(v) - {window} + 1)) AS k FROM c{i} WHERE {allow} AND ({periods})),
+e{i} AS (SELECT doc_id, s, o, kind, k, log2({window}.0) - sum(n * log2(n)) / {window}.0 AS h FROM (SELECT doc_id, s, o, kind, k, ch, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, s, o, kind, k, unnest(string_split(substr(v, CAST(k + 1 AS BIGINT), {window}), '')) AS ch FROM w{i}) GROUP BY ALL) GROUP BY doc_id, s, o, kind, k),
+a{i} AS (SELECT doc_id, s + min(k) AS s, o, kind, CAST(max(k) - min(k) + {window} AS BIGINT) AS len FROM e{i} WHERE h >= {least} - 1e-9 GROUP BY doc_id, e{i}.s, o, kind)""")
+        added.append(f"SELECT doc_id, s, o, kind, len FROM a{i}")
+    base = " UNION ALL ".join(f"SELECT doc_id, s, o, kind, len FROM b{i}" for i in range(len(BASE)))
+    said = "string_agg(kind || ':' || s || ':' || (s + len), ',' ORDER BY s, o)"
+    counts = ", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k, *_ in BASE)
+    sums = ", ".join(f"count_if(kind = '{k}') AS n_{k}" for k, *_ in BASE)
+    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\n" + ",\n".join(parts) + f""",
+base AS ({base}), every AS (SELECT * FROM base UNION ALL {" UNION ALL ".join(added)}),
+x AS (SELECT doc_id, {sums}, {said} AS b FROM base GROUP BY doc_id), y AS (SELECT doc_id, {said} AS spans FROM every GROUP BY doc_id)
+SELECT d.doc_id, {counts}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
