@@ -58,16 +58,6 @@ def alerts(quality: DataFrame, floor: float = 70.0) -> DataFrame:
     return named.select("ticker", F.concat(F.col("check"), F.lit(" is low")).alias("message"), F.when(F.col("score") < floor / 2, "critical").otherwise("warning").alias("severity"))
 
 
-def consistency(bars: DataFrame, most: float = 0.01) -> DataFrame:
-    """left, right, difference: neighbouring tickers by mean close whose means are nearer than ``most``... apart from equal data, a sign of a mix-up.
-
-    Means are put in order, so each ticker is held against the next one only: no pairs of all tickers.
-    """
-    means = bars.groupBy("ticker").agg(F.avg("close").alias("m"))
-    bucketed = means.withColumn("g", F.floor(F.col("m")))
-    return bucketed.select("g", "ticker", "m", F.lead("ticker").over(Window.partitionBy("g").orderBy("m", "ticker")).alias("right"), F.lead("m").over(Window.partitionBy("g").orderBy("m", "ticker")).alias("m2")).filter(F.col("m2") - F.col("m") <= most).select(F.col("ticker").alias("left"), "right", (F.col("m2") - F.col("m")).alias("difference"))
-
-
 def mean_differences(a: DataFrame, b: DataFrame, most: float = 0.01) -> DataFrame:
     """ticker, column, difference of two versions of the bars where the columns' means differ by more than ``most``."""
     long_ = lambda d, n: d.groupBy("ticker").agg(*(F.avg(c).alias(c) for c in PRICES)).unpivot(["ticker"], list(PRICES), "column", n)
