@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Fixed value: the splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF, SPREAD = 16384, 32768
@@ -216,7 +218,7 @@ def _long_ids(docs: DataFrame, path: str, leaf: int, spread: int, id_type: str,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = codec(path).special
-        for b in batches:
+        for b in slices(batches, 16):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = leaves(t, special, leaf)
                 key = hashlib.sha256(t.encode()).digest()
@@ -256,8 +258,8 @@ def _each(docs: DataFrame, path: str, leaf: int, spread: int, fields: str, row)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+        for part in slices(batches):
+            if part.num_rows:
                 values = [row(c.encode(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*values, strict=True), types, strict=True))], names)
 

@@ -34,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fold, shared_dir
+from .common import checkpoint, fold, shared_dir, slices
 
-CHUNK, CLASSES, ROUNDS, BUCKET = 2_000_000, 64, 3, 100_000
+CHUNK, CLASSES, ROUNDS, BUCKET = 1_000_000, 64, 3, 100_000
 END, END_CLASS, PULL = 1, 0, 4.0
 _U8, _I32, _I64, _U64 = np.uint8, np.int32, np.int64, np.uint64
 
@@ -76,7 +76,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             return pa.RecordBatch.from_arrays(row, ["chunk", "n_words", "words", "doc_ids", "train", "lengths", "tokens"])
 
         seen, ids, train, tokens, total = _Numbers({None: 0}), [], [], [], 0
-        for b in batches:
+        for b in slices(batches):
             id_arrow = b.schema.field(0).type
             for i, kept, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 w = (t or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only

@@ -56,3 +56,28 @@ def strip_spaces(c: Column) -> Column:
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in small pieces: what is made of a whole batch as Python objects can be many times its size."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+#: Bits of the filter below: at most 2**24 / 64 rows are broadcast, however many keys there are.
+FILTER_BITS = 1 << 24
+
+
+def maybe_among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df with ``maybe``: false only where its ``column`` is surely not in the one column of ``keys`` (null is a key like others).
+
+    A bitmap of fixed size over hashes of the keys is joined by broadcast. With very many keys more rows
+    are "maybe"; none is ever wrongly false. So a shuffle join need only move the rows that are true.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    k = keys.select(place(keys.columns[0]).alias("p"))
+    words = k.groupBy(F.floor(F.col("p") / 64).alias("__filter_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__filter_bits"))
+    out = df.withColumn("__filter_place", place(column)).withColumn("__filter_word", F.floor(F.col("__filter_place") / 64)).join(F.broadcast(words), "__filter_word", "left")
+    hit = F.expr("shiftrightunsigned(__filter_bits, cast(__filter_place % 64 as int)) & 1L") == 1
+    return out.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__filter_word", "__filter_bits", "__filter_place")

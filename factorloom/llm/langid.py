@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, slices
 
 #: Families of languages by code. A code that isn't here is in the family "other".
 FAMILIES = {
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column(2).to_pylist():
                 v = features(t) if model else None
@@ -177,7 +177,7 @@ def keep_known(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [v is not None and model is not None and model.predict(v)[0] != "und" for v in map(features, b.column(at).to_pylist())]
             yield b.filter(pa.array(found, pa.bool_()))
 

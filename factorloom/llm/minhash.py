@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, maybe_among, slices
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 BUCKET_BITS, ZERO_BITS, MANTISSA_BITS, ROWS = 7, 6, 10, 4
@@ -54,7 +54,7 @@ class _Words(dict):
     """Words and their 64-bit hashes, as far as seen; emptied when it grows large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, fp, sig = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingles(t)
@@ -198,8 +198,9 @@ def _verified(tasks: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     """
     member = tasks.select("task", "pairs", F.posexplode("members").alias("nth", "fp"))
     member = member.withColumn("pairs", F.when(F.col("nth") == 0, F.col("pairs")))
-    wanted = member.join(classes.select("fp", "rep"), "fp")
+    wanted = checkpoint(member.join(classes.select("fp", "rep"), "fp"))
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = maybe_among(text, "doc_id", wanted.select("rep").distinct()).filter("maybe").drop("maybe")  # other texts aren't moved
     # a doc_id that is there twice brings a text with another digest too; it is left out below
     rows = wanted.join(text, wanted["rep"].eqNullSafe(text["doc_id"])).select("task", "nth", "fp", "pairs", "text")
     rows = rows.repartition("task").sortWithinPartitions("task", "nth")
@@ -251,17 +252,18 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _stars(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """Tasks of star pairs: each hub with up to CHUNK members of its buckets that may be linked to it."""
-    pairs = buckets.filter("fp != hub").select("hub", "fp", "n").distinct()
-    sig = classes.select("fp", "sig", F.col("n_shingles").alias("size"))
-    near = pairs.join(sig, "fp").join(sig.select(F.col("fp").alias("hub"), F.col("sig").alias("hub_sig"), F.col("size").alias("hub_size")), "hub")
+    pairs = buckets.filter("handle != hub").groupBy("hub", "handle").agg(F.max("n").alias("n"))
+    own = classes.select("handle", "fp", "sig", F.col("n_shingles").alias("size"))
+    other = own.select(F.col("handle").alias("hub"), F.col("fp").alias("hub_fp"), F.col("sig").alias("hub_sig"), F.col("size").alias("hub_size"))
+    near = pairs.join(own, "handle").join(other, "hub")
     near = near.filter(DENOMINATOR * F.least("size", "hub_size") >= NUMERATOR * F.greatest("size", "hub_size")).filter(F.pandas_udf(_jaccard, "double")("sig", "hub_sig") >= LEAST)
     chunk = F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)))
-    grouped = near.groupBy("hub", chunk.alias("chunk")).agg(F.sort_array(F.collect_set("fp")).alias("members"))  # about CHUNK of them
+    grouped = near.groupBy("hub_fp", chunk.alias("chunk")).agg(F.sort_array(F.collect_set("fp")).alias("members"))  # about CHUNK of them
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for hub, chunk, members in zip(*(b.column(c).to_pylist() for c in ("hub", "chunk", "members")), strict=True):
+            for hub, chunk, members in zip(*(b.column(c).to_pylist() for c in ("hub_fp", "chunk", "members")), strict=True):
                 for lo in range(0, len(members), 2 * CHUNK):
                     part = members[lo : lo + 2 * CHUNK]
                     pairs = np.stack([np.zeros(len(part), np.uint16), np.arange(1, len(part) + 1, dtype=np.uint16)], 1)
@@ -277,12 +279,12 @@ def _tasks(rows: list[tuple]) -> pa.RecordBatch:
 
 def _blocks(buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Tasks of the pairs of different components in buckets that reach beyond one component."""
-    root = roots.select(F.col("node").alias("fp"), "root")
-    rows = buckets.join(root, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    root = classes.select("handle", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("handle", F.coalesce("root", "fp").alias("root"))
+    rows = buckets.select("key", "handle").join(root, "handle")
     by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     open_ = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1 and all > 2")
     open_ = open_.select("key", F.col("main.root").alias("main"), F.ceil(F.col("all") / BLOCK).alias("a_blocks"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("b_blocks"))
-    rows = rows.join(open_, "key").join(classes.select("fp", "sig", "n_shingles"), "fp")
+    rows = rows.join(open_, "key").join(classes.select("handle", "fp", "sig", "n_shingles"), "handle")
     place = F.abs(F.xxhash64("fp") % F.lit(1 << 40))
     whole = rows.withColumns({"a": place % F.col("a_blocks"), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("b_blocks") - 1)), "side": F.lit(0)})
     other = rows.filter("root != main").withColumns({"b": place % F.col("b_blocks"), "a": F.explode(F.sequence(F.lit(0).cast("long"), F.col("a_blocks") - 1)), "side": F.lit(1)})
@@ -297,7 +299,7 @@ def _blocks(buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFra
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
-            band = int(g.column("key")[0].as_py().split("-")[0])
+            band = g.column("key")[0].as_py() % BANDS
             outside = g.column("outside").to_numpy(zero_copy_only=False)
             number = {r: i for i, r in enumerate(dict.fromkeys(roots_))}
             kind = np.array([number[r] for r in roots_])
@@ -324,10 +326,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     signed = checkpoint(signatures(docs))
     full = signed.filter("fp is not null")
-    classes = checkpoint(full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    bands = classes.select("fp", F.explode(F.array(*(F.concat(F.lit(f"{b}-"), F.hex(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS))) for b in range(BANDS)))).alias("key"))
-    order = F.struct(F.xxhash64("fp", "key").alias("h"), "fp")  # another hub in each band
-    hubs = bands.groupBy("key").agg(F.min(order).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("hub.fp").alias("hub"), "n")
+    classes = full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    # A handle stands for a class while candidates are sought: two classes with one handle would only be two candidates.
+    classes = checkpoint(classes.withColumn("handle", F.xxhash64("fp")))
+    keys = (F.shiftleft(F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)), BANDS.bit_length() - 1).bitwiseOR(F.lit(b).cast("long")) for b in range(BANDS))
+    bands = classes.select("handle", F.explode(F.array(*keys)).alias("key"))
+    order = F.col("handle").bitwiseXOR(F.col("key"))  # another hub in each bucket
+    hubs = bands.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first").bitwiseXOR(F.col("key")).alias("hub"), "n")
     buckets = checkpoint(bands.join(hubs, "key"))
     links = checkpoint(_verified(_stars(buckets, classes), classes, docs))
     roots = components(links)
@@ -344,5 +349,10 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay: of each component those with its smallest doc_id."""
-    kept = near_components(docs).filter("kept").select(F.col("doc_id").alias("__near_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__near_id"])).drop("__near_id")
+    verdict = checkpoint(near_components(docs).groupBy(F.col("doc_id").alias("__near_id")).agg(F.max("kept").alias("kept")))
+    gone = verdict.filter("not kept").select("__near_id")
+    # only rows that may have to go are moved to be compared
+    marked = maybe_among(docs.withColumnRenamed("maybe", "__near_maybe"), "doc_id", gone)
+    doubtful = marked.filter("maybe")
+    stay = doubtful.join(gone, doubtful["doc_id"].eqNullSafe(gone["__near_id"]), "left_anti")
+    return marked.filter("not maybe").unionByName(stay).drop("maybe").withColumnRenamed("__near_maybe", "maybe")

@@ -335,7 +335,11 @@ def _path_spans(path: np.ndarray) -> list[tuple[int, int, int]]:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the ``sample_rows`` rows with a digit or "@" that come first by a hash of their text."""
     text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text")).filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
+    rows = docs.select(text.alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    n = rows.count()
+    if n > 2 * sample_rows:  # of many rows, first those whose hash is low enough for about twice as many as are needed
+        rows = rows.filter(F.pmod("h", F.lit(1 << 40)) < int(2 * sample_rows / n * (1 << 40)))
+    rows = rows.orderBy(F.pmod("h", F.lit(1 << 40)), "text").limit(sample_rows).collect()
     return Model().fit(*examples([r["text"] for r in rows]))
 
 
