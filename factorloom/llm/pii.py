@@ -13,7 +13,8 @@ A window without any digit and without "@" has no personal data by definition: t
 
 Edge cases: a null text counts as empty: zeros, the digest of "", no spans. Repeated rows are each
 returned. An empty table gives no rows; without any row to train from, the model is trained on the variants
-in an empty context. Extra columns are ignored. Very long texts are run in blocks of windows.
+in an empty context. Extra columns are ignored. Texts are run in portions of about a million bytes;
+a longer text is one portion, whose windows' scores are made 1,024 windows at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # a match can only begin where its digits begin; saying so keeps long runs of digits linear
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -343,6 +346,17 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model().fit(*examples([r["text"] for r in rows]))
 
 
+def _portions(batch: pa.RecordBatch, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``rows`` rows and, beyond one row, ``size`` bytes of text: scores take many times that."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        fits = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, "right"))
+        hi = min(max(fits, lo + 1), lo + rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row of docs (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -359,7 +373,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
+            for part in _portions(b):
                 texts = part.column(1).to_pylist()
                 rows = [row(base_spans(t), kept(t, more)) for t, more in zip(texts, model_spans(model, texts), strict=True)]
                 types = [pa.int64()] * len(KINDS) + [pa.string()] * 2

@@ -255,3 +255,22 @@ def test_secret_windows_and_allow_list(spark):
     rows = [(1, "key zX9k2Lq8Wm4Rt7Yb1NpQ end"), (2, "id 123e4567-e89b-12d3-a456-426614174000"), (3, "x1x1x1x1x1x1x1x1x1x1x1x1"), (4, "EXAMPLEzX9k2Lq8Wm4Rt7Yb1N")]
     got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert got == {1: "entropy_base64:4:24", 2: "", 3: "", 4: ""}
+
+
+def test_addresses_of_numbers_in_linear_time():
+    plain, r = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(8)
+    for _ in range(3000):
+        s = "".join(r.choice("..12 9x٣") for _ in range(r.randint(0, 30)))
+        assert [m.span() for m in pii.PATTERNS["ip"].finditer(s)] == [m.span() for m in plain.finditer(s)]
+    assert pii.base_spans("1" * 300_000 + ". 10.0.0.1")[-1] == (300_002, 1, 300_010)
+
+
+def test_portions_hold_all_rows_once():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    sizes = [r.choice([0, 1, 5, 40]) for _ in range(200)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["x" * n for n in sizes])], ["doc_id", "text"])
+    parts = [p.to_pydict() for p in pii._portions(b, 7, 30)]
+    assert [i for p in parts for i in p["doc_id"]] == list(range(200))
+    assert all(len(p["text"]) == 1 or len(p["text"]) <= 7 and sum(map(len, p["text"])) <= 30 for p in parts)
