@@ -1,18 +1,24 @@
 """Operator 5, licence scan by sentence rules. DataFrame functions only.
 
-Each text is cut into sentences (at line ends, and after . ! ? ; before white space), which are normalised
-(lower case; anything but letters, digits and dots within words becomes one space). A normalised sentence
-that is known has an identifier. The identifiers of a text, in order, are matched against the licence
-rules, which are sequences of identifiers; a rule matches where its identifiers stand next to each other.
+Each text is cut into pieces (at line ends, and after . ! ? ; before white space), which are normalised
+(lower case; anything but letters, digits and dots within words becomes one space). A known sentence is a
+piece or, where lines are wrapped or a stop is within it, neighbouring pieces joined by a space; of those
+that begin at a piece the longest counts, and the next begins after it. None goes over a line without
+letters and digits. A known sentence has an identifier. The identifiers of a text, in order, are matched
+against the licence rules, which are sequences of identifiers; a rule matches where its identifiers stand next to each other.
 Rules are ordered: what an earlier (longer) rule has covered, a later one doesn't see.
 
 Edge cases: a null text counts as empty; a text without known sentences has n_sentences 0, an empty
 ``licenses`` and class "none". A sentence that is known but completes no rule counts in n_sentences only. Repeated rows are each
 returned. An empty table gives no rows. Extra columns are ignored.
+
+The SQL matches single pieces only: it has the same result where no known sentence is wrapped or has a stop.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +75,9 @@ RULES = (
 )
 #: The strictest class of a text's licences is its class.
 STRICTNESS = ("noncommercial", "copyleft", "permissive")
-CUT = r"\n|(?<=[.!?;])[\x20\x09\x0B-\x0D]+"
-#: A sentence must have one of these to be known at all; most sentences are dropped before they are normalised.
+#: A stop at a line's end is one cut, so that an empty piece is always an empty line.
+CUT = r"(?<=[.!?;])[\x20\x09\x0B-\x0D]+\n?|\n"
+#: A sentence must have one of these to be known at all; most texts are passed over before they are cut.
 CUE = "(?i)licen[sc]e|permission|redistribut|warrant|copyright"
 
 
@@ -79,14 +86,22 @@ def _normal(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, " +", " "))
 
 
+def _runs(sentences: tuple) -> str:
+    """A pattern of the known sentences over whole pieces, a piece a line; the longest is tried first."""
+    texts = sorted({s for _, s in sentences}, key=lambda s: (-len(s), s))
+    return "(?<![^\\n])(?:" + "|".join(re.escape(s).replace("\\ ", "[ \\n]") for s in texts) + ")(?![^\\n])"
+
+
 def scan(docs: DataFrame, sentences: tuple = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids, licenses (names by rule order, comma-joined), license_class."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = F.create_map(*(F.lit(x) for k, s in sentences for x in (s, k)))
-    cut = F.transform(F.filter(F.split(F.col("text"), CUT), lambda s: s.rlike(CUE)), _normal)
-    ids = F.filter(F.transform(cut, lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull())
+    cue = CUE if all(re.search(CUE, s) for _, s in sentences) else ""
+    pieces = F.array_join(F.transform(F.split(F.col("text"), CUT), _normal), "\n")
+    found = F.regexp_extract_all(pieces, F.lit(_runs(sentences)), F.lit(0))
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))
     none = F.array().cast("array<string>")
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.when(F.col("text").rlike(CUE), ids).otherwise(none).alias("ids"))
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.when(F.col("text").rlike(cue), ids).otherwise(none).alias("ids"))
     # " a b c " with doubled spaces, so that neighbours can each be matched and cut out
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("rest"))
     for i, (_, _, rule) in enumerate(rules):

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, brown, exact_dedup, langid, minhash, mixing, mpegts, pii, secrets
+from factorloom.llm import bpe, brown, exact_dedup, langid, licenses, minhash, mixing, mpegts, pii, secrets
 from factorloom.llm.common import documents, maybe_among
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -274,3 +274,86 @@ def test_portions_hold_all_rows_once():
     parts = [p.to_pydict() for p in pii._portions(b, 7, 30)]
     assert [i for p in parts for i in p["doc_id"]] == list(range(200))
     assert all(len(p["text"]) == 1 or len(p["text"]) <= 7 and sum(map(len, p["text"])) <= 30 for p in parts)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+BSD = """Copyright (c) 2020, A. Name
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Copyright 2020 A. Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_wrapped_and_unwrapped_licenses(spark):
+    wanted = {
+        MIT: ("mit_title mit_grant mit_condition as_is", "MIT", "permissive"),
+        BSD: ("bsd_grant bsd_source bsd_binary bsd_name", "BSD-3-Clause", "permissive"),
+        APACHE: ("apache2_notice apache2_use apache2_copy apache2_as_is", "Apache-2.0", "permissive"),
+        GPL.format(";", ";", 2): ("gpl2_free gpl_hope", "GPL-2.0-or-later", "copyleft"),
+        GPL.format(":", ",", 3): ("gpl3_free gpl_hope", "GPL-3.0-or-later", "copyleft"),
+    }
+    forms = {
+        "wrapped": lambda t: t,
+        "unwrapped": lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")),
+        "remark": lambda t: "\n".join(" * " + line for line in t.split("\n")),
+        "crlf": lambda t: t.replace("\n", " \r\n"),
+    }
+    cases = [(f"{name} {w[1]}", f(t), w) for t, w in wanted.items() for name, f in forms.items()]
+    cases += [("apart", "The MIT\n\nLicense", ("", "", "none")), ("within", "it is not licensed under the MIT\nlicense", ("", "", "none"))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in cases], "doc_id string, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"], r["license_class"]) for r in licenses.scan(docs).collect()}
+    assert got == {i: w for i, _, w in cases}
+
+
+def test_sentences_without_a_cue(spark):
+    docs = spark.createDataFrame([(1, "Use it\nas you like.")], "doc_id long, text string")
+    out = licenses.scan(docs, (("free", "use it as you like"),), (("Free", "permissive", ("free",)),)).first()
+    assert (out["n_sentences"], out["licenses"]) == (1, "Free")
