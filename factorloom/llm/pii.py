@@ -1,20 +1,21 @@
 """Operator 10, personal data: patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The base kinds are found by pattern. The model is trained in numpy from labelled spans: windows around
-the base spans of a bounded sample of rows (``SAMPLE_ROWS``, chosen by a hash), and written-out variants
-of personal data set into windows of the same rows. It runs over overlapping windows of whole texts. The
-windows' scores are reconciled globally: a character's score for each tag is the mean over its windows,
-weighed by how far it is from the window's edge, and one Viterbi path is taken over each stretch of
-adjoining windows, so a span never depends on where a window begins. A span that the path finds is
-added if its mean tag probability is at least ``SURE`` and it overlaps no base span.
+the base spans and elsewhere in a bounded sample of rows (``SAMPLE_ROWS``, chosen by a hash), and variants
+of personal data, plain and written out ("jane dot doe at example dot com", numbers in words), set into
+windows of the same rows. It runs over all overlapping windows of each whole text. The windows' scores are
+reconciled globally: a character's score for each tag is the mean over its windows, weighed by how far it
+is from the window's edge, and one Viterbi path is taken over each text, which stands between two outside
+characters, so a span never depends on where a window begins. A span that the path finds is added if its
+mean tag probability is at least ``SURE`` and it overlaps no base span.
 
-A window without any digit and without "@" has no personal data by definition: the scores of all tags but
-"outside" are minus infinity there, so such windows need not be run.
+The path is made in pieces: where no run of other tags can outweigh "outside" (``_open``), every best path
+is outside, so what lies between is decoded on its own. A tag's probability is taken within its piece.
 
 Edge cases: a null text counts as empty: zeros, the digest of "", no spans. Repeated rows are each
 returned. An empty table gives no rows; without any row to train from, the model is trained on the variants
 in an empty context. Extra columns are ignored. Texts are run in portions of about a million bytes;
-a longer text is one portion, whose windows' scores are made 1,024 windows at a time.
+a longer text is one portion. Scores are made 1,024 windows at a time and kept up to the text's end.
 """
 
 from __future__ import annotations
@@ -98,7 +99,9 @@ _CLASS = np.full(128, 15, np.uint8)
 for _i, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "@", ".", "-", "+", "(", ")", " ", "\n\t\r", "_%", ",;:", "/=#&")):
     for _c in _chars:
         _CLASS[ord(_c)] = _i
-CLASSES = 17  # 14 is the padding, 15 other ASCII, 16 beyond
+for _i in range(26):  # written-out data is told by its letters
+    _CLASS[97 + _i], _CLASS[65 + _i] = 17 + _i, 43 + _i
+CLASSES = 69  # 14 is the padding, 15 other ASCII, 16 beyond
 
 
 def _classes(text: str) -> np.ndarray:
@@ -141,7 +144,30 @@ class Model:
         return out, memo
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        return self.states(x)[0] @ self.w["out"] + self.w["bias"]
+        """Tag scores (N, T, K) of classes x (N, T): what ``states`` gives, in single precision, both directions at once."""
+        (n, t), h = x.shape, HIDDEN
+        half = np.repeat([0.5, 1.0], [3 * h, h])[:, None]  # a sigmoid is a tanh of half its argument
+        wx = [np.ascontiguousarray(self.w[f"x{d}"].T * half, np.float32) for d in "fb"]
+        u = np.stack([self.w[f"u{d}"].T * half for d in "fb"]).astype(np.float32)
+        out = np.stack([self.w["out"][:h].T, self.w["out"][h:].T]).astype(np.float32)
+        xs, hs, cs, g = np.ascontiguousarray(x.T, np.intp), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32), np.empty((2, 4 * h, n), np.float32)
+        e = np.empty((t, len(TAGS), n), np.float32)
+        e[:] = self.w["bias"][:, None]
+        for i in range(t):
+            np.matmul(u, hs, out=g)
+            g[0] += wx[0].take(xs[i], axis=1)
+            g[1] += wx[1].take(xs[t - 1 - i], axis=1)
+            np.tanh(g, out=g)
+            gates = g[:, : 3 * h]
+            gates *= 0.5
+            gates += 0.5
+            cs *= g[:, h : 2 * h]
+            cs += g[:, :h] * g[:, 3 * h :]
+            np.multiply(np.tanh(cs), g[:, 2 * h : 3 * h], out=hs)
+            said = out @ hs
+            e[i] += said[0]
+            e[t - 1 - i] += said[1]
+        return e.transpose(2, 0, 1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of tags y under the CRF, and its gradients."""
@@ -197,6 +223,23 @@ class Model:
                 self.w[k] -= rate * m[k] / (1 - 0.9**i) / (np.sqrt(v[k] / (1 - 0.999**i)) + 1e-8)
         return self
 
+    def path(self, e: np.ndarray) -> np.ndarray:
+        """The best path alone, of emissions (N, T, K)."""
+        n, t, k = e.shape
+        e, tr = np.ascontiguousarray(e.transpose(1, 2, 0), float), self.w["trans"].T[:, :, None]
+        back, score, out, rows = np.empty((t, k, n), np.int8), self.w["first"][:, None] + e[0], np.empty((n, t), np.int64), np.arange(n)
+        for i in range(1, t):
+            best, which = score[0] + tr[:, 0], np.zeros((k, n), np.int8)
+            for j in range(1, k):
+                each = score[j] + tr[:, j]
+                which[each > best] = j
+                np.maximum(best, each, out=best)
+            back[i], score = which, best + e[i]
+        out[:, -1] = score.argmax(0)
+        for i in range(t - 1, 0, -1):
+            out[:, i - 1] = back[i, out[:, i], rows]
+        return out
+
     def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best path of emissions (N, T, K) under the CRF, and the probability of each of its tags."""
         tr, (n, t, k), rows = self.w["trans"], e.shape, np.arange(len(e))
@@ -251,8 +294,32 @@ def _variant(r: np.random.Generator) -> tuple[int, str]:
     return 3, f"+{r.integers(1, 99)} {r.choice([f'({a}) {b}-{c}', f'{a} {b} {c}', f'{a}-{b}-{c}', f'{a}{b}{c}', f'{a}.{b}.{c}'])}"
 
 
+NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+
+
+def _written(r: np.random.Generator) -> tuple[int, str]:
+    """A kind and a piece of personal data of it, written out or obfuscated."""
+    name = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    kind = int(r.integers(0, 4))
+    if kind == 0:
+        at, dot = [(" at ", " dot "), ("(at)", "."), (" (at) ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", ".")][r.integers(0, 7)]
+        first = r.choice([name(r.integers(2, 9)), name(r.integers(2, 6)) + dot + name(r.integers(2, 7))])
+        out = first + at + r.choice([name(r.integers(2, 9)), "example", "mail"]) + dot + str(r.choice(["com", "org", "de", "net"]))
+    elif kind == 1:
+        out = str(r.choice([" dot ", "[.]", " (dot) ", "[dot]"])).join(map(str, r.integers(0, 256, 4)))
+    else:
+        digits = re.sub("[^0-9]", "", next(v for k, v in iter(lambda: _variant(r), None) if k == kind))
+        out = ("plus " if kind == 3 else "") + " ".join(NUMBERS[int(c)] for c in digits)
+    return kind, out.upper() if r.random() < 0.1 else out
+
+
+def _in_digits(s: str) -> str:
+    """s with digits for the words of NUMBERS."""
+    return re.sub("|".join(NUMBERS), lambda m: str(NUMBERS.index(m.group())), s.lower())
+
+
 def examples(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (classes, tags) around base spans, around other digits, and around variants set into the texts."""
+    """Windows (classes, tags) around base spans, around other digits, around variants, plain and written out, set into the texts, and elsewhere."""
     r, xs, ys = np.random.default_rng(seed), [], []
 
     def add(text: str, spans: list[tuple[int, int, int]], at: int) -> None:
@@ -267,60 +334,99 @@ def examples(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray
             add(t, spans, (s + e) // 2)
         for m in list(_DIGIT.finditer(t))[:: max(1, len(t) // 400)][:3]:
             add(t, spans, m.start())
-        k, v = _variant(r)
-        i = int(r.integers(0, len(t) + 1))
-        if i in (0, len(t)) or not (t[i - 1].isalnum() and t[i].isalnum()):
-            put = t[:i] + " " + v + " " + t[i:]
-            near = sorted([(i + 1, k, i + 1 + len(v)), *((s + (s >= i) * (len(v) + 2), q, e + (s >= i) * (len(v) + 2)) for s, q, e in spans if not s < i < e)])
-            add(put, near, i + 1 + len(v) // 2)
+        for k, v in (_variant(r), _variant(r), *(_written(r) for _ in range(10))):
+            i = int(r.integers(0, len(t) + 1))
+            if i in (0, len(t)) or not (t[i - 1].isalnum() and t[i].isalnum()):
+                put = t[:i] + " " + v + " " + t[i:]
+                near = sorted([(i + 1, k, i + 1 + len(v)), *((s + (s >= i) * (len(v) + 2), q, e + (s >= i) * (len(v) + 2)) for s, q, e in spans if not s < i < e)])
+                add(put, near, i + 1 + int(r.integers(0, len(v))))
+        for i in r.integers(0, len(t) + 1, 3):
+            add(t, spans, int(i))
     return np.stack(xs), np.stack(ys)
 
 
-def _stretches(text: str) -> list[tuple[int, int]]:
-    """(from, to) numbers of adjoining windows (WINDOW characters each STRIDE) that have a digit or an @."""
-    active = sorted({w for m in re.finditer("[0-9@]", text) for w in ((m.start() // STRIDE) - 1, m.start() // STRIDE) if w >= 0})
-    out: list[tuple[int, int]] = []
-    for w in active:
-        if out and w <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], w)
-        else:
-            out.append((w, w))
-    return out
+_NEAR = np.arange(1, STRIDE + 1, dtype=np.float32)[:, None] / (STRIDE + 1)  # a window's weight in its first half; the one before has the rest
+
+
+def _scores(model: Model, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, score) of the characters of all texts, text after text, each followed by at least one place that is outside."""
+    parts = [np.pad(_classes(t), (0, 2 * STRIDE - len(t) % STRIDE), constant_values=14) for t in texts]
+    x = np.concatenate(parts).reshape(-1, STRIDE)
+    rows = np.array([len(p) // STRIDE for p in parts])
+    head, tail = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    head[np.cumsum(rows) - rows], tail[np.cumsum(rows) - 1] = True, True
+    beyond = np.zeros((1, STRIDE, len(TAGS)), np.float32)
+    for lo in range(0, len(x) - 1, 1024):
+        e = model.emissions(np.hstack([x[lo : lo + 1025][:-1], x[lo + 1 : lo + 1025]]))
+        before = np.concatenate([beyond, e[:-1, STRIDE:]])
+        beyond = e[-1:, STRIDE:]
+        now = slice(lo, lo + len(e))
+        score = np.where(head[now, None, None], e[:, :STRIDE], e[:, :STRIDE] * _NEAR + before * (1 - _NEAR))
+        score[(x[now] == 14) | tail[now, None]] = _OUTSIDE
+        yield np.arange(lo * STRIDE, (lo + len(e)) * STRIDE), score.reshape(-1, len(TAGS))
+
+
+_OUTSIDE = np.array([0.0] + [-1e4] * (len(TAGS) - 1), np.float32)
+
+
+def _gain(trans: np.ndarray) -> float:
+    """The greatest mean gain of a cycle of transitions over staying outside, by Karp: with the right potentials no transition gains more."""
+    w, k = trans - trans[0, 0], len(trans)
+    d = [np.zeros(k)]
+    for _ in range(k):
+        d.append((d[-1][:, None] + w).max(0))
+    return float(max(0.0, np.min([(d[k] - d[i]) / (k - i) for i in range(k)], 0).max()))
 
 
-_EDGE = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(float)
+def _open(score: np.ndarray, gain: float) -> np.ndarray:
+    """Where a best path can leave "outside": a run of n other tags gains at most (n + 1) * gain by its transitions, as it
+    begins and ends outside, and loses what outside is ahead by. Other places are in no run whose sum isn't negative."""
+    v = 2 * gain + 1e-3 - (score[:, 0].astype(float) - score[:, 1:].max(1))
+    total = np.concatenate([[0.0], np.cumsum(v)])
+    return np.maximum.accumulate(total[::-1])[::-1][1:] - np.minimum.accumulate(total)[:-1] >= 0
 
 
 def model_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) that the model finds in each text, by start."""
-    jobs, windows = [], []
-    for n, t in enumerate(texts):
-        if stretches := _stretches(t):
-            x = np.pad(_classes(t), (0, WINDOW + STRIDE), constant_values=14)
-            for a, b in stretches:
-                jobs.append((n, a, b, len(windows)))
-                windows += [x[w * STRIDE : w * STRIDE + WINDOW] for w in range(a, b + 1)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not windows:
+    if not texts:
         return out
-    x = np.stack(windows)
-    e = np.concatenate([model.emissions(x[i : i + 1024]) for i in range(0, len(x), 1024)])
-    alike: dict[int, list] = {}  # stretches of as many windows are decoded together
-    for n, a, b, at in jobs:
-        size = (b - a) * STRIDE + WINDOW
-        total, weight = np.zeros((size, len(TAGS))), np.zeros(size)
-        for k in range(b - a + 1):
-            total[k * STRIDE : k * STRIDE + WINDOW] += e[at + k] * _EDGE[:, None]
-            weight[k * STRIDE : k * STRIDE + WINDOW] += _EDGE
-        score = total / weight[:, None]
-        score[len(texts[n]) - a * STRIDE :, 1:] = -1e4  # beyond the text's end
-        alike.setdefault(size, []).append((n, a * STRIDE, score))
+    begin = np.cumsum([0] + [len(t) + 2 * STRIDE - len(t) % STRIDE for t in texts])
+    gain, alike = _gain(model.w["trans"]), {}  # pieces of about the same length are decoded together
+    wait_at, wait = np.zeros(0, np.int64), np.zeros((0, len(TAGS)), np.float32)
+
+    def piece(at: int, score: np.ndarray) -> None:
+        size = -(-(len(score) + 2) // 16) * 16
+        full = np.tile(_OUTSIDE, (size, 1))
+        full[1 : len(score) + 1] = score
+        alike.setdefault(size, []).append((at - 1, full))
+
+    def pieces(at: np.ndarray, score: np.ndarray) -> None:
+        keep = np.flatnonzero(_open(score, gain))
+        for run in np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else ():
+            piece(int(at[run[0]]), score[run])
+
+    for at, score in _scores(model, texts):
+        at, score = np.concatenate([wait_at, at]), np.concatenate([wait, score])
+        sure = np.flatnonzero(score[:, 1] == _OUTSIDE[1])  # between texts: nothing goes over such a place
+        cut = int(sure[-1]) + 1 if len(sure) else 0
+        pieces(at[:cut], score[:cut])
+        wait_at, wait = at[cut:], score[cut:]
+    pieces(wait_at, wait)
     for size, group in alike.items():
         step = max(1, 65536 // size)
         for part in (group[i : i + step] for i in range(0, len(group), step)):
-            paths, sure = model.decode(np.stack([x for _, _, x in part]))
-            for (n, at, _), path, p in zip(part, paths, sure, strict=True):
-                out[n] += [(at + s, k, at + t) for s, k, t in _path_spans(path) if t - s >= 7 and p[s:t].mean() >= SURE]
+            every = np.stack([x for _, x in part])
+            some = np.flatnonzero(model.path(every).any(1))  # probabilities are only needed where there is a span
+            if not len(some):
+                continue
+            part = [part[i] for i in some]
+            paths, sure = model.decode(every[some])
+            for (at, _), path, p in zip(part, paths, sure, strict=True):
+                for s, k, t in _path_spans(path):
+                    if t - s >= 7 and p[s:t].mean() >= SURE:
+                        n = int(np.searchsorted(begin, at + s, "right")) - 1
+                        out[n].append((at + s - int(begin[n]), k, at + t - int(begin[n])))
     return [sorted(x) for x in out]
 
 
@@ -336,7 +442,7 @@ def _path_spans(path: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from the ``sample_rows`` rows with a digit or "@" that come first by a hash of their text."""
+    """A model from the ``sample_rows`` rows with a digit or "@", for their base spans, that come first by a hash of their text."""
     text = F.col("text").cast("string")
     rows = docs.select(text.alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
     n = rows.count()
@@ -369,7 +475,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
         return (*(sum(k == i for _, k, _ in base) for i in range(len(KINDS))), hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(x for _, _, x in every))
 
     def kept(t: str, found: list) -> list:
-        return [x for x in found if KINDS[x[1]] != "card" or _valid("card", t[x[0] : x[2]])]  # a number that fails its check digit is no card
+        return [x for x in found if KINDS[x[1]] != "card" or _valid("card", _in_digits(t[x[0] : x[2]]))]  # a number that fails its check digit is no card
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -357,3 +357,30 @@ def test_sentences_without_a_cue(spark):
     docs = spark.createDataFrame([(1, "Use it\nas you like.")], "doc_id long, text string")
     out = licenses.scan(docs, (("free", "use it as you like"),), (("Free", "permissive", ("free",)),)).first()
     assert (out["n_sentences"], out["licenses"]) == (1, "Free")
+
+
+def test_written_out_personal_data_is_found():
+    import pyarrow.parquet as pq
+
+    some = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t and any(c in t for c in "0123456789@")]
+    model = pii.Model().fit(*pii.examples(some[: pii.SAMPLE_ROWS]))
+    cases = {
+        "we met there and jane dot doe at example dot com was the address to use": ("email", "jane dot doe at example dot com"),
+        "please write to name (at) host.org for more": ("email", "name (at) host.org"),
+        "call plus four nine three zero one two three four five six seven in the morning": ("phone", "plus four nine three zero one two three four five six seven"),
+        "the server 10 dot 0 dot 0 dot 17 is down again": ("ip", "10 dot 0 dot 0 dot 17"),
+    }
+    found = {t: [(pii.KINDS[k], t[s:e]) for s, k, e in x] for t, x in zip(cases, pii.model_spans(model, list(cases)), strict=True)}
+    assert found == {t: [w] for t, w in cases.items()}
+
+
+def test_pieces_are_one_path(texts):
+    some = [t for t in texts.values() if t][:40]
+    for seed, lead in ((1, 1.5), (2, 0.8), (3, 2.5)):
+        m = pii.Model(seed)
+        m.w["bias"][0] = lead
+        score = np.concatenate([s for _, s in pii._scores(m, some)])
+        every = np.concatenate([pii._OUTSIDE[None], score, pii._OUTSIDE[None]])[None]
+        path = m.path(every)[0, 1:-1]
+        is_open = pii._open(score, pii._gain(m.w["trans"]))
+        assert not path[~is_open].any() and (m.decode(every.astype(float))[0][0, 1:-1] == path).mean() > 0.999
