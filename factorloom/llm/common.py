@@ -21,13 +21,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is made and set.
+    Only where the session names none and has a local master (tests, one machine) a temporary folder is made and set.
     """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     own = tempfile.mkdtemp(prefix="factorloom-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)

@@ -3,8 +3,8 @@ one-versus-one linear support vector machines between its languages.
 
 Features are hashed character 1- to 3-grams of the whole text, lower-cased, with one space for whatever
 isn't a letter; counts are square-rooted and scaled to length 1. The machines are fitted (averaged Pegasos
-in numpy) on a bounded sample: at most ``per_lang`` labelled rows of each language, chosen by a hash of
-doc_id, never from the held-out fold. A prediction sees the text alone.
+in numpy, over sparse rows) on a bounded sample: at most ``per_lang`` labelled rows of each language and
+``sample_rows`` in all, chosen by a hash, never from the held-out fold. A prediction sees the text alone.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0. Rows with a null lang are
 predicted but not learned from. A null doc_id counts as the text "" in the fold rule (held out). Repeated
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fold, slices
 
@@ -35,7 +36,8 @@ FAMILIES = {
     "indic": ("hi", "mr", "ne", "bn", "gu", "pa", "ur"),
     "sinitic": ("zh",),
 }
-DIM, PER_LANG, SEED = 8192, 800, 7
+#: LEAST: where the machines are so unsure, a text is in no known language.
+DIM, PER_LANG, SAMPLE_ROWS, SEED, LEAST = 8192, 400, 8000, 7, 0.25
 
 
 def family(lang: str) -> str:
@@ -93,60 +95,76 @@ class Model:
         return names[k], score * float(squash(least[k]))
 
 
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, lam: float = 1e-4, seed: int = SEED) -> np.ndarray:
-    """Weights and bias of the linear machine for y in {-1, 1}: averaged Pegasos over small batches, classes weighed evenly."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def svm(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 12, lam: float = 1e-4, seed: int = SEED) -> np.ndarray:
+    """Weights and, last, the bias of the linear machine that tells the sparse ``rows`` with y = 1 from those with y = -1:
+    averaged Pegasos over small batches, classes weighed evenly. Row r holds val[ptr[r]:ptr[r + 1]] at idx[...]."""
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    w, mean, t, rng = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0, np.random.default_rng(seed)
+    w, mean, t, rng = np.zeros(DIM + 1), np.zeros(DIM + 1), 0, np.random.default_rng(seed)
     for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for b in (order[i : i + 32] for i in range(0, len(x), 32)):
+        order = rng.permutation(len(rows))
+        for b in (order[i : i + 32] for i in range(0, len(rows), 32)):
             t += 1
             rate = 1.0 / (lam * (t + 1000))
-            wrong = y[b] * (x[b] @ w) < 1
-            w = (1 - rate * lam) * w + rate / len(b) * ((y[b] * cost[b] * wrong) @ x[b])
+            r = rows[b]
+            at = np.concatenate([np.arange(ptr[k], ptr[k + 1]) for k in r])
+            of, i, v = np.repeat(np.arange(len(b)), ptr[r + 1] - ptr[r]), idx[at], val[at]
+            margin = np.bincount(of, v * w[i], len(b)) + w[DIM]
+            push = rate / len(b) * y[b] * cost[b] * (y[b] * margin < 1)
+            w *= 1 - rate * lam
+            w[:DIM] += np.bincount(i, v * push[of], DIM)
+            w[DIM] += push.sum()
             if epoch >= epochs // 2:
                 mean += w
     return mean / max(1, t - t // epochs * (epochs // 2))
 
 
-def fit(texts: list[tuple[str, str]]) -> Model | None:
-    """A model from (lang, text) pairs; None without any usable one."""
-    rows = [(lang, v) for lang, t in texts if (v := features(t)) is not None]
+def fit(rows: list[tuple[str, bytes, bytes]]) -> Model | None:
+    """A model from (lang, places as uint16, values as float32) of the vectors; None without any."""
     if not rows:
         return None
-    langs = sorted({lang for lang, _ in rows})
-    x, of = np.stack([v for _, v in rows]), np.array([lang for lang, _ in rows])
+    langs = sorted({lang for lang, _, _ in rows})
+    ptr = np.cumsum([0, *(len(i) // 2 for _, i, _ in rows)])
+    idx, val = np.frombuffer(b"".join(i for _, i, _ in rows), np.uint16).astype(np.int32), np.frombuffer(b"".join(v for _, _, v in rows), np.float32)
+    of = np.array([lang for lang, _, _ in rows])
     members = {f: [n for n in langs if family(n) == f] for f in sorted(set(map(family, langs)))}
-    kinds = np.array([family(n) for n in of])
+    kinds, every = np.array([family(n) for n in of]), np.arange(len(of))
     fams = list(members)
-    family_w = np.stack([svm(x, np.where(kinds == f, 1.0, -1.0)) for f in fams]) if len(fams) > 1 else np.zeros((1, DIM + 1))
+    family_w = np.stack([svm(ptr, idx, val, every, np.where(kinds == f, 1.0, -1.0)) for f in fams]) if len(fams) > 1 else np.zeros((1, DIM + 1))
     pairs = {f: list(combinations(range(len(m)), 2)) for f, m in members.items()}
     pair_w = {}
     for f, m in members.items():
         ws = []
         for a, b in pairs[f]:
-            rows_ab = (of == m[a]) | (of == m[b])
-            ws.append(svm(x[rows_ab], np.where(of[rows_ab] == m[a], 1.0, -1.0)))
+            rows_ab = np.flatnonzero((of == m[a]) | (of == m[b]))
+            ws.append(svm(ptr, idx, val, rows_ab, np.where(of[rows_ab] == m[a], 1.0, -1.0)))
         pair_w[f] = np.stack(ws) if ws else np.zeros((0, DIM + 1))
     return Model(fams, family_w, members, pairs, pair_w)
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """Fitted on at most ``per_lang`` rows a language outside the held-out fold."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """Fitted on at most ``per_lang`` rows a language and about ``sample_rows`` in all, outside the held-out fold.
+
+    The rows with the lowest hashes of doc_id and text are taken, copies once; their vectors, of at most ``DIM`` numbers
+    each, are made by the executors, so no text comes to the driver.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.3 * per_lang / n)))), F.col("lang"))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = known.withColumn("h", h).filter(F.col("h") < share * float(1 << 30)).orderBy("lang", "h", "text").limit(2 * per_lang * len(counts)).collect()
-    taken, seen = [], dict.fromkeys(counts, 0)
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
-        if seen[r["lang"]] < per_lang:
-            seen[r["lang"]] += 1
-            taken.append((r["lang"], r["text"]))
-    return fit(taken)
+    per_lang = max(1, min(per_lang, sample_rows // len(counts)))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.3 * per_lang / n + 20 / n)))), F.col("lang"))
+    hashed = known.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).filter(F.col("h") <= share * float(1 << 40))
+    once = hashed.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # of about 1.3 * per_lang rows a language
+    chosen = once.withColumn("no", least).filter(F.col("no") <= per_lang).select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [(lang, np.flatnonzero(v).astype(np.uint16), v) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (v := features(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.string()), pa.array([i.tobytes() for _, i, _ in found], pa.binary()), pa.array([v[i].tobytes() for _, i, v in found], pa.binary())], ["lang", "idx", "val"])
+
+    rows = chosen.mapInArrow(run, "lang string, idx binary, val binary").collect()
+    return fit(sorted((r["lang"], bytes(r["idx"]), bytes(r["val"])) for r in rows))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -170,15 +188,23 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     return predict(docs, train(docs, per_lang))
 
 
-def keep_known(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language: those predicted ``und`` go."""
+def keep_known(docs: DataFrame, per_lang: int = PER_LANG, least: float = LEAST, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of ``languages`` (None: in any that was learned) with a score of at least ``least``.
+
+    Where nothing could be learned, the rows whose text has a letter.
+    """
     model = train(docs, per_lang)
     schema = docs.schema
     at = docs.columns.index("text")
 
+    def good(v: np.ndarray | None) -> bool:
+        if v is None or model is None:
+            return v is not None
+        lang, score = model.predict(v)
+        return score >= least and (languages is None or lang in languages)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [v is not None and model is not None and model.predict(v)[0] != "und" for v in map(features, b.column(at).to_pylist())]
-            yield b.filter(pa.array(found, pa.bool_()))
+            yield b.filter(pa.array([good(features(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
