@@ -2,20 +2,26 @@
 
 The base kinds are found by pattern. The model is trained in numpy from labelled spans: windows around
 the base spans and elsewhere in a bounded sample of rows (``SAMPLE_ROWS``, chosen by a hash), and variants
-of personal data, plain and written out ("jane dot doe at example dot com", numbers in words), set into
-windows of the same rows. It runs over all overlapping windows of each whole text. The windows' scores are
-reconciled globally: a character's score for each tag is the mean over its windows, weighed by how far it
-is from the window's edge, and one Viterbi path is taken over each text, which stands between two outside
-characters, so a span never depends on where a window begins. A span that the path finds is added if its
-mean tag probability is at least ``SURE`` and it overlaps no base span.
+of personal data set into windows of the same rows: plain, local, written out ("jane dot doe at example dot com", numbers in
+words), and look-alikes that are none (dates, versions, counts). It runs over all overlapping windows of
+each whole text. The windows' scores are reconciled globally: where two windows overlap, a character's score for each
+tag is the mean of both, weighed by how far it is from the windows' edges, and one Viterbi path is taken over each text,
+which stands between two outside characters, so a span never depends on where a window begins. A span that the path
+finds is added if its mean tag probability is at least ``SURE``, it overlaps no base span, and what it
+spells out passes its kind's check (``spelled``): a host with a dot, four parts up to 255, a check digit, 9 to 15 digits.
 
 The path is made in pieces: where no run of other tags can outweigh "outside" (``_open``), every best path
-is outside, so what lies between is decoded on its own. A tag's probability is taken within its piece.
+is outside, so what lies between is decoded on its own. A piece of more than ``PIECE`` characters is decoded in
+stretches of that length that overlap by ``MARGIN``; a span counts in the stretch in whose part it begins. A tag's
+probability is taken within its piece.
+
+The activation of the network is the fraction x(27 + x^2) / (27 + 9x^2) within -3 to 3, and -1 and 1 beyond, in the place of tanh.
 
 Edge cases: a null text counts as empty: zeros, the digest of "", no spans. Repeated rows are each
 returned. An empty table gives no rows; without any row to train from, the model is trained on the variants
-in an empty context. Extra columns are ignored. Texts are run in portions of about a million bytes;
-a longer text is one portion. Scores are made 1,024 windows at a time and kept up to the text's end.
+in an empty context. Extra columns are ignored. Texts are run in portions of about a million bytes; a longer text is
+one portion, of which about 15 bytes a character are held: scores are made a few hundred windows at a time, once for the lead
+of "outside", and once more for the windows that hold a piece.
 """
 
 from __future__ import annotations
@@ -39,8 +45,8 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-WINDOW, STRIDE, HIDDEN, STEPS, BATCH, SAMPLE_ROWS, SEED = 64, 32, 12, 500, 32, 400, 11
-SURE = 0.9
+WINDOW, STRIDE, LEARN, HIDDEN, STEPS, BATCH, SAMPLE_ROWS, SEED = 128, 96, 96, 12, 900, 32, 400, 11
+SURE, PIECE, MARGIN = 0.5, 4096, 256
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
 
@@ -120,67 +126,67 @@ class Model:
             self.w[f"x{d}"] = r.normal(0, 0.4, (CLASSES, 4 * h))
             self.w[f"x{d}"][:, h : 2 * h] += 1.0  # forget gates open
             self.w[f"u{d}"] = r.normal(0, 0.3, (h, 4 * h))
+        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def states(self, x: np.ndarray, keep: bool = False):
-        """Hidden states (N, T, 2H) of classes x (N, T), and what the backward pass needs."""
-        n, t = x.shape
-        h, out, memo = HIDDEN, np.empty((n, t, 2 * HIDDEN)), {}
-        for d, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
-            wx, u = self.w[f"x{d}"], self.w[f"u{d}"]
-            hs, cs, steps = np.zeros((n, h)), np.zeros((n, h)), []
-            at = slice(0, h) if d == "f" else slice(h, 2 * h)
-            for i in order:
-                g = wx[x[:, i]] + hs @ u
-                s = 1.0 / (1.0 + np.exp(-g[:, : 3 * h]))
-                c = np.tanh(g[:, 3 * h :])
-                before, c_before = hs, cs
-                cs = s[:, h : 2 * h] * cs + s[:, :h] * c
-                tc = np.tanh(cs)
-                hs = s[:, 2 * h :] * tc
-                out[:, i, at] = hs
-                if keep:
-                    steps.append((i, before, c_before, s, c, tc))
-            memo[d] = steps
-        return out, memo
+    def states(self, x: np.ndarray) -> tuple[np.ndarray, dict]:
+        """Hidden states (2, T, N, H) of classes x (N, T), each direction in its own order, and what the gradients need."""
+        (n, t), h = x.shape, HIDDEN
+        half = np.repeat([0.5, 1.0], [3 * h, h]).astype(self.w["out"].dtype)  # a sigmoid is the activation of half its argument
+        xs = np.stack([x.T, x.T[::-1]])
+        inputs = np.stack([self.w[f"x{d}"][xs[k]] for k, d in enumerate("fb")])
+        u = np.stack([self.w["uf"], self.w["ub"]])
+        g, a, c, hs = (np.zeros(z, half.dtype) for z in ((t, 2, n, 4 * h), (t, 2, n, 4 * h), (t + 1, 2, n, h), (t + 1, 2, n, h)))
+        for i in range(t):
+            g[i] = (inputs[:, i] + hs[i] @ u) * half
+            a[i] = _act(g[i])
+            a[i, ..., : 3 * h] = 0.5 + 0.5 * a[i, ..., : 3 * h]
+            c[i + 1] = a[i, ..., h : 2 * h] * c[i] + a[i, ..., :h] * a[i, ..., 3 * h :]
+            hs[i + 1] = a[i, ..., 2 * h : 3 * h] * _act(c[i + 1])
+        return hs[1:].transpose(1, 0, 2, 3), {"g": g, "a": a, "c": c, "h": hs, "xs": xs, "u": u, "half": half}
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Tag scores (N, T, K) of classes x (N, T): what ``states`` gives, in single precision, both directions at once."""
+        """Tag scores (T, K, N) of classes x (N, T): from ``states``, in single precision and without keeping them."""
         (n, t), h = x.shape, HIDDEN
-        half = np.repeat([0.5, 1.0], [3 * h, h])[:, None]  # a sigmoid is a tanh of half its argument
+        half = np.repeat([0.5, 1.0], [3 * h, h])[:, None]
         wx = [np.ascontiguousarray(self.w[f"x{d}"].T * half, np.float32) for d in "fb"]
         u = np.stack([self.w[f"u{d}"].T * half for d in "fb"]).astype(np.float32)
         out = np.stack([self.w["out"][:h].T, self.w["out"][h:].T]).astype(np.float32)
-        xs, hs, cs, g = np.ascontiguousarray(x.T, np.intp), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32), np.empty((2, 4 * h, n), np.float32)
+        xs, cs, hs = np.ascontiguousarray(x.T, np.intp), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
+        g, q, r, got, tc, said = (np.empty(z, np.float32) for z in ((2, 4 * h, n), (2, 4 * h, n), (2, 4 * h, n), (4 * h, n), (2, h, n), (2, len(TAGS), n)))
         e = np.empty((t, len(TAGS), n), np.float32)
         e[:] = self.w["bias"][:, None]
         for i in range(t):
             np.matmul(u, hs, out=g)
-            g[0] += wx[0].take(xs[i], axis=1)
-            g[1] += wx[1].take(xs[t - 1 - i], axis=1)
-            np.tanh(g, out=g)
+            g[0] += np.take(wx[0], xs[i], axis=1, out=got, mode="clip")
+            g[1] += np.take(wx[1], xs[t - 1 - i], axis=1, out=got, mode="clip")
+            _act_into(g, q, r)
             gates = g[:, : 3 * h]
             gates *= 0.5
             gates += 0.5
             cs *= g[:, h : 2 * h]
-            cs += g[:, :h] * g[:, 3 * h :]
-            np.multiply(np.tanh(cs), g[:, 2 * h : 3 * h], out=hs)
-            said = out @ hs
+            np.multiply(g[:, :h], g[:, 3 * h :], out=tc)
+            cs += tc
+            np.copyto(tc, cs)
+            _act_into(tc, q[:, :h], r[:, :h])
+            np.multiply(tc, g[:, 2 * h : 3 * h], out=hs)
+            np.matmul(out, hs, out=said)
             e[i] += said[0]
             e[t - 1 - i] += said[1]
-        return e.transpose(2, 0, 1)
+        return e
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of tags y under the CRF, and its gradients."""
-        n, t = x.shape
-        hs, memo = self.states(x, keep=True)
-        e = hs @ self.w["out"] + self.w["bias"]
+        (n, t), h = x.shape, HIDDEN
+        hs, memo = self.states(x)
+        both = np.concatenate([hs[0], hs[1][::-1]], -1).transpose(1, 0, 2)
+        e = both @ self.w["out"] + self.w["bias"]
         tr, first, k = self.w["trans"], self.w["first"], len(TAGS)
-        alpha = np.empty((n, t, k))
+        alpha = np.empty((n, t, k), e.dtype)
         alpha[:, 0] = first + e[:, 0]
         for i in range(1, t):
             alpha[:, i] = _lse(alpha[:, i - 1, :, None] + tr, 1) + e[:, i]
         z = _lse(alpha[:, -1], 1)
-        beta = np.zeros((n, t, k))
+        beta = np.zeros((n, t, k), e.dtype)
         for i in range(t - 2, -1, -1):
             beta[:, i] = _lse(tr + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
         p = np.exp(alpha + beta - z[:, None, None])
@@ -190,23 +196,24 @@ class Model:
         np.subtract.at(pair, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
         de = p.copy()
         de[rows[:, None], np.arange(t), y] -= 1.0
-        g = {"trans": pair / n, "first": de[:, 0].sum(0) / n, "out": np.tensordot(hs, de, ((0, 1), (0, 1))) / n, "bias": de.sum((0, 1)) / n}
-        dh_all = de @ self.w["out"].T / n
-        h = HIDDEN
-        for d in "fb":
-            u, at = self.w[f"u{d}"], slice(0, h) if d == "f" else slice(h, 2 * h)
-            dx, du = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u)
-            dh, dc = np.zeros((n, h)), np.zeros((n, h))
-            for i, before, c_before, s, c, tc in reversed(memo[d]):
-                dh = dh + dh_all[:, i, at]
-                dc = dc + dh * s[:, 2 * h :] * (1 - tc * tc)
-                ds = np.concatenate([dc * c, dc * c_before, dh * tc], 1) * s * (1 - s)
-                dg = np.concatenate([ds, dc * s[:, :h] * (1 - c * c)], 1)
-                np.add.at(dx, x[:, i], dg)
-                du += before.T @ dg
-                dh, dc = dg @ u.T, dc * s[:, h : 2 * h]
-            g[f"x{d}"], g[f"u{d}"] = dx, du
-        return float((z - gold).mean()), g
+        out = {"trans": pair / n, "first": de[:, 0].sum(0) / n, "out": np.tensordot(both, de, ((0, 1), (0, 1))) / n, "bias": de.sum((0, 1)) / n}
+        back = (de @ self.w["out"].T / n).transpose(1, 0, 2)
+        back = np.stack([back[:, :, :h], back[::-1, :, h:]])
+        a, c, ut = memo["a"], memo["c"], memo["u"].transpose(0, 2, 1)
+        dg, dh, dc = np.empty_like(a), np.zeros_like(c[0]), np.zeros_like(c[0])
+        slope, slope_c, act_c = _slope(memo["g"]) * memo["half"] ** 2, _slope(c[1:]), _act(c[1:])
+        for i in range(t - 1, -1, -1):
+            dh = dh + back[:, i]
+            dc = dc + dh * a[i, ..., 2 * h : 3 * h] * slope_c[i]
+            dg[i, ..., :h], dg[i, ..., h : 2 * h], dg[i, ..., 2 * h : 3 * h], dg[i, ..., 3 * h :] = dc * a[i, ..., 3 * h :], dc * c[i], dh * act_c[i], dc * a[i, ..., :h]
+            dg[i] *= slope[i]
+            dh, dc = dg[i] @ ut, dc * a[i, ..., h : 2 * h]
+        eye = np.eye(CLASSES, dtype=dg.dtype)
+        for j, d in enumerate("fb"):
+            each = dg[:, j].reshape(-1, 4 * h)
+            out[f"u{d}"] = memo["h"][:-1, j].reshape(-1, h).T @ each
+            out[f"x{d}"] = eye[memo["xs"][j].ravel()].T @ each
+        return float((z - gold).mean()), out
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = SEED) -> Model:
         """Adam over random batches."""
@@ -217,10 +224,10 @@ class Model:
             _, g = self.gradients(x[b], y[b])
             rate = 0.04 * min(1.0, i / 20) * (1 - 0.9 * i / steps)
             for k in self.w:
-                gk = np.clip(g[k], -5, 5)
+                gk = np.clip(g[k], -5, 5) + (1e-3 * self.w[k] if k == "trans" else 0)  # what transitions gain bounds what must be decoded
                 m[k] = 0.9 * m[k] + 0.1 * gk
-                v[k] = 0.999 * v[k] + 0.001 * gk * gk
-                self.w[k] -= rate * m[k] / (1 - 0.9**i) / (np.sqrt(v[k] / (1 - 0.999**i)) + 1e-8)
+                v[k] = 0.998 * v[k] + 0.002 * gk * gk
+                self.w[k] -= np.float32(rate) * m[k] / (1 - 0.9**i) / (np.sqrt(v[k] / (1 - 0.998**i)) + 1e-8)
         return self
 
     def path(self, e: np.ndarray) -> np.ndarray:
@@ -260,6 +267,27 @@ class Model:
         return path, np.exp(np.take_along_axis(alpha + beta, path[:, :, None], 2)[:, :, 0] - z[:, None])
 
 
+def _act(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, -3, 3)
+    return x * (27 + x * x) / (27 + 9 * x * x)
+
+
+def _act_into(x: np.ndarray, q: np.ndarray, r: np.ndarray) -> None:
+    """``_act`` of x in its place; q and r are for use within."""
+    np.clip(x, -3, 3, out=x)
+    np.multiply(x, x, out=q)
+    np.add(q, 27, out=r)
+    r *= x
+    q *= 9
+    q += 27
+    np.divide(r, q, out=x)
+
+
+def _slope(x: np.ndarray) -> np.ndarray:
+    q = np.minimum(x * x, 9)
+    return np.square((9 - q) / (9 + 3 * q))
+
+
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     m = a.max(axis, keepdims=True)
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis))
@@ -298,24 +326,48 @@ NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight
 
 
 def _written(r: np.random.Generator) -> tuple[int, str]:
-    """A kind and a piece of personal data of it, written out or obfuscated."""
+    """A kind and a piece of personal data of it that no pattern finds: written out, obfuscated or local."""
     name = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    pick = lambda *x: x[int(r.integers(0, len(x)))]
     kind = int(r.integers(0, 4))
     if kind == 0:
-        at, dot = [(" at ", " dot "), ("(at)", "."), (" (at) ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", ".")][r.integers(0, 7)]
-        first = r.choice([name(r.integers(2, 9)), name(r.integers(2, 6)) + dot + name(r.integers(2, 7))])
-        out = first + at + r.choice([name(r.integers(2, 9)), "example", "mail"]) + dot + str(r.choice(["com", "org", "de", "net"]))
+        at, dot = pick((" at ", " dot "), ("(at)", "."), (" (at) ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", "."), (" @ ", "."), ("@", " dot "))
+        first = pick(name(r.integers(2, 9)), name(r.integers(2, 6)) + dot + name(r.integers(2, 7)))
+        out = first + at + pick(name(r.integers(2, 9)), "example", "mail") + dot + pick("com", "org", "de", "net", "info")
     elif kind == 1:
-        out = str(r.choice([" dot ", "[.]", " (dot) ", "[dot]"])).join(map(str, r.integers(0, 256, 4)))
+        out = pick(" dot ", "[.]", " (dot) ", "[dot]", " . ").join(map(str, r.integers(0, 256, 4)))
     else:
-        digits = re.sub("[^0-9]", "", next(v for k, v in iter(lambda: _variant(r), None) if k == kind))
-        out = ("plus " if kind == 3 else "") + " ".join(NUMBERS[int(c)] for c in digits)
+        plain = next(v for k, v in iter(lambda: _variant(r), None) if k == kind)
+        digits, form = re.sub("[^0-9]", "", plain), int(r.integers(0, 3))
+        if form:
+            out = ("plus " if kind == 3 else "") + " ".join(NUMBERS[int(c)] for c in digits)
+        elif kind == 2:
+            out = pick("  ", " - ", ".", "/", ", ").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        else:
+            d = "0" + digits[:10].ljust(9, "7")
+            out = pick(f"({d[:3]}) {d[3:6]}-{d[6:]}", f"({d[:4]}) {d[4:]}", f"{d[:4]}/{d[4:]}", f"{d[:3]} {d[3:6]} {d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}")
     return kind, out.upper() if r.random() < 0.1 else out
 
 
-def _in_digits(s: str) -> str:
-    """s with digits for the words of NUMBERS."""
-    return re.sub("|".join(NUMBERS), lambda m: str(NUMBERS.index(m.group())), s.lower())
+def _alike(r: np.random.Generator) -> str:
+    """What looks like personal data and is none."""
+    n = lambda a, b: int(r.integers(a, b))
+    words = " ".join(NUMBERS[n(0, 10)] for _ in range(n(1, 6)))
+    return [f"{n(1900, 2030)}-{n(10, 13)}-{n(10, 29)} {n(10, 24)}:{n(10, 60)}", f"version {n(0, 20)}.{n(0, 20)}.{n(0, 20)}", f"{n(1, 999)},{n(100, 999)}.00", words, f"at {n(1, 12)} dot {n(1, 60)}", "look at the dot", f"item {n(1000, 99999)}", f"{n(1, 99)} at {n(1, 99)}", f"no {n(1, 999)}-{n(100, 9999)}", f"at {words} of", f"({n(1, 100)}) {n(1, 100)}", f"{n(0, 10**6)}/{n(0, 10**4)}"][n(0, 12)]
+
+
+_DOT, _AT = r"\s*[(\[]\s*(?:dot|\.)\s*[)\]]\s*|\s+dot\s+|\s+\.\s+", r"\s*[(\[]\s*(?:at|@)\s*[)\]]\s*|\s+at\s+|\s*@\s*"
+
+
+def spelled(kind: str, s: str) -> bool:
+    """Whether s, with dots, signs and numbers that are written out read as such, is personal data of the kind."""
+    s = s.lower()
+    if kind in ("email", "ip"):
+        plain = re.sub(_AT, "@", re.sub(_DOT, ".", s))
+        return PATTERNS[kind].fullmatch(plain) is not None and _valid(kind, plain)
+    digits = re.sub("|".join(NUMBERS), lambda m: str(NUMBERS.index(m.group())), s)
+    digits = re.sub(r"plus|[\s()+.,/-]", "", digits)
+    return digits.isascii() and digits.isdigit() and _valid(kind, digits)
 
 
 def examples(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -323,10 +375,10 @@ def examples(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray
     r, xs, ys = np.random.default_rng(seed), [], []
 
     def add(text: str, spans: list[tuple[int, int, int]], at: int) -> None:
-        lo = max(0, at - int(r.integers(0, WINDOW)))
-        x, y = _classes(text[lo : lo + WINDOW]), tags_of(len(text), spans)[lo : lo + WINDOW]
-        xs.append(np.pad(x, (0, WINDOW - len(x)), constant_values=14))
-        ys.append(np.pad(y, (0, WINDOW - len(y))))
+        lo = max(0, at - int(r.integers(0, LEARN)))
+        x, y = _classes(text[lo : lo + LEARN]), tags_of(len(text), spans)[lo : lo + LEARN]
+        xs.append(np.pad(x, (0, LEARN - len(x)), constant_values=14))
+        ys.append(np.pad(y, (0, LEARN - len(y))))
 
     for t in texts or [""]:
         spans = base_spans(t)
@@ -334,100 +386,177 @@ def examples(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray
             add(t, spans, (s + e) // 2)
         for m in list(_DIGIT.finditer(t))[:: max(1, len(t) // 400)][:3]:
             add(t, spans, m.start())
-        for k, v in (_variant(r), _variant(r), *(_written(r) for _ in range(10))):
-            i = int(r.integers(0, len(t) + 1))
-            if i in (0, len(t)) or not (t[i - 1].isalnum() and t[i].isalnum()):
-                put = t[:i] + " " + v + " " + t[i:]
-                near = sorted([(i + 1, k, i + 1 + len(v)), *((s + (s >= i) * (len(v) + 2), q, e + (s >= i) * (len(v) + 2)) for s, q, e in spans if not s < i < e)])
-                add(put, near, i + 1 + int(r.integers(0, len(v))))
-        for i in r.integers(0, len(t) + 1, 3):
+        gaps = [m.start() for m in re.finditer(" ", t)] or [0, len(t)]
+        for k, v in (_variant(r), _variant(r), *(_written(r) for _ in range(10)), *((-1, _alike(r)) for _ in range(6))):
+            i = gaps[int(r.integers(0, len(gaps)))]
+            if any(s < i < e for s, _, e in spans):
+                continue
+            put = t[:i] + " " + v + t[i:]
+            moved = [(s + (s >= i) * (len(v) + 1), q, e + (s >= i) * (len(v) + 1)) for s, q, e in spans]
+            add(put, sorted([(i + 1, k, i + 1 + len(v))] * (k >= 0) + moved), i + 1 + int(r.integers(0, len(v))))
+        for i in r.integers(0, len(t) + 1, 16):
             add(t, spans, int(i))
     return np.stack(xs), np.stack(ys)
 
 
-_NEAR = np.arange(1, STRIDE + 1, dtype=np.float32)[:, None] / (STRIDE + 1)  # a window's weight in its first half; the one before has the rest
-
-
-def _scores(model: Model, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place, score) of the characters of all texts, text after text, each followed by at least one place that is outside."""
-    parts = [np.pad(_classes(t), (0, 2 * STRIDE - len(t) % STRIDE), constant_values=14) for t in texts]
-    x = np.concatenate(parts).reshape(-1, STRIDE)
-    rows = np.array([len(p) // STRIDE for p in parts])
-    head, tail = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    head[np.cumsum(rows) - rows], tail[np.cumsum(rows) - 1] = True, True
-    beyond = np.zeros((1, STRIDE, len(TAGS)), np.float32)
-    for lo in range(0, len(x) - 1, 1024):
-        e = model.emissions(np.hstack([x[lo : lo + 1025][:-1], x[lo + 1 : lo + 1025]]))
-        before = np.concatenate([beyond, e[:-1, STRIDE:]])
-        beyond = e[-1:, STRIDE:]
-        now = slice(lo, lo + len(e))
-        score = np.where(head[now, None, None], e[:, :STRIDE], e[:, :STRIDE] * _NEAR + before * (1 - _NEAR))
-        score[(x[now] == 14) | tail[now, None]] = _OUTSIDE
-        yield np.arange(lo * STRIDE, (lo + len(e)) * STRIDE), score.reshape(-1, len(TAGS))
+_OVER = WINDOW - STRIDE
+_NEAR = (np.arange(1, _OVER + 1, dtype=np.float32) / (_OVER + 1))[:, None, None]  # a window's weight where it begins; the one before has the rest
+
+
+def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping windows (a row each) of all texts, text after text, each followed by at least one place that is outside, and which rows begin a text."""
+    parts = [np.pad(_classes(t), (0, STRIDE - len(t) % STRIDE), constant_values=14) for t in texts]
+    rows = np.cumsum([0, *(len(p) // STRIDE for p in parts)])
+    x = np.full((rows[-1], WINDOW), 14, np.uint8)
+    x[:, :STRIDE] = np.concatenate(parts).reshape(-1, STRIDE)
+    x[:-1, STRIDE:] = x[1:, :_OVER]
+    x[rows[1:] - 1, STRIDE:] = 14
+    head = np.zeros(len(x), bool)
+    head[rows[:-1]] = True
+    return x, head
+
+
+def _scores(model: Model, x: np.ndarray, head: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Scores (STRIDE, K, len(some)) of the places that the windows ``some`` (ascending) begin with, reconciled with the windows before them."""
+    after = some[~head[some]]
+    used = np.union1d(some, after - 1)
+    e = model.emissions(x[used])
+    at = np.searchsorted(used, some)
+    out = e[:STRIDE] if len(at) == len(used) else e[:STRIDE, :, at]
+    joined = np.flatnonzero(~head[some])
+    out[:_OVER, :, joined] = out[:_OVER, :, joined] * _NEAR + e[STRIDE:, :, np.searchsorted(used, after - 1)] * (1 - _NEAR)
+    return out
 
 
 _OUTSIDE = np.array([0.0] + [-1e4] * (len(TAGS) - 1), np.float32)
 
 
-def _gain(trans: np.ndarray) -> float:
-    """The greatest mean gain of a cycle of transitions over staying outside, by Karp: with the right potentials no transition gains more."""
-    w, k = trans - trans[0, 0], len(trans)
+def _gain(trans: np.ndarray) -> tuple[float, float]:
+    """(each, once): a run of n tags between two outside places gains at most n * each + once by its transitions over staying outside.
+
+    ``each`` is the greatest mean of a cycle of the other tags, by Karp; with it taken off no cycle gains, so that the best way
+    in, on and out has no more steps than there are tags.
+    """
+    w, k = trans[1:, 1:].astype(float) - float(trans[0, 0]), len(trans) - 1
     d = [np.zeros(k)]
     for _ in range(k):
         d.append((d[-1][:, None] + w).max(0))
-    return float(max(0.0, np.min([(d[k] - d[i]) / (k - i) for i in range(k)], 0).max()))
+    each = float(np.min([(d[k] - d[i]) / (k - i) for i in range(k)], 0).max())
+    best = trans[0, 1:].astype(float) - float(trans[0, 0])
+    for _ in range(k):
+        best = np.maximum(best, (best[:, None] + w - each).max(0))
+    return each, float((best + trans[1:, 0] - trans[0, 0]).max()) - each
+
+
+def _open(lead: np.ndarray, gain: tuple[float, float], block: int = 1 << 16) -> np.ndarray:
+    """Where a best path can leave "outside", which is ahead of all else by ``lead``: the places of runs whose transitions
+    can gain (``_gain``) what the run loses by the lead. No place in any other run is on a best path with another tag."""
+    parts = [slice(i, i + block) for i in range(0, len(lead), block)]
+    run = lambda p: np.cumsum(gain[0] + 1e-3 - lead[p].astype(float))
+    ends = [(t[-1], t.max(), min(0.0, t.min())) for t in map(run, parts)]
+    base = np.cumsum([0.0, *(e[0] for e in ends)])
+    most = np.maximum.accumulate([*(b + e[1] for b, e in zip(base, ends, strict=False)), -np.inf][::-1])[::-1]
+    least = np.minimum.accumulate([0.0, *(b + e[2] for b, e in zip(base, ends, strict=False))])
+    out = np.empty(len(lead), bool)
+    for k, p in enumerate(parts):
+        t = base[k] + run(p)
+        after = np.maximum(np.maximum.accumulate(t[::-1])[::-1], most[k + 1])
+        out[p] = after - np.minimum(np.minimum.accumulate(np.append(base[k], t[:-1])), least[k]) >= -gain[1] - 1e-3
+    return out
 
 
-def _open(score: np.ndarray, gain: float) -> np.ndarray:
-    """Where a best path can leave "outside": a run of n other tags gains at most (n + 1) * gain by its transitions, as it
-    begins and ends outside, and loses what outside is ahead by. Other places are in no run whose sum isn't negative."""
-    v = 2 * gain + 1e-3 - (score[:, 0].astype(float) - score[:, 1:].max(1))
-    total = np.concatenate([[0.0], np.cumsum(v)])
-    return np.maximum.accumulate(total[::-1])[::-1][1:] - np.minimum.accumulate(total)[:-1] >= 0
+def _stretches(keep: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(from, to, and the places whose spans count: from, to) of the runs of places, long ones in overlapping parts."""
+    for run in np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else ():
+        lo, hi = int(run[0]), int(run[-1]) + 1
+        for a in range(lo, hi, PIECE - MARGIN):
+            yield max(lo, a - MARGIN), min(hi, a + PIECE), a, min(hi, a + PIECE - MARGIN)
 
 
-def model_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+def model_spans(model: Model, texts: list[str], step: int = 512) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) that the model finds in each text, by start."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not texts:
         return out
-    begin = np.cumsum([0] + [len(t) + 2 * STRIDE - len(t) % STRIDE for t in texts])
-    gain, alike = _gain(model.w["trans"]), {}  # pieces of about the same length are decoded together
-    wait_at, wait = np.zeros(0, np.int64), np.zeros((0, len(TAGS)), np.float32)
-
-    def piece(at: int, score: np.ndarray) -> None:
-        size = -(-(len(score) + 2) // 16) * 16
-        full = np.tile(_OUTSIDE, (size, 1))
-        full[1 : len(score) + 1] = score
-        alike.setdefault(size, []).append((at - 1, full))
-
-    def pieces(at: np.ndarray, score: np.ndarray) -> None:
-        keep = np.flatnonzero(_open(score, gain))
-        for run in np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else ():
-            piece(int(at[run[0]]), score[run])
-
-    for at, score in _scores(model, texts):
-        at, score = np.concatenate([wait_at, at]), np.concatenate([wait, score])
-        sure = np.flatnonzero(score[:, 1] == _OUTSIDE[1])  # between texts: nothing goes over such a place
-        cut = int(sure[-1]) + 1 if len(sure) else 0
-        pieces(at[:cut], score[:cut])
-        wait_at, wait = at[cut:], score[cut:]
-    pieces(wait_at, wait)
+    x, head = _windows(texts)
+    begin = np.append(np.flatnonzero(head), len(head)) * STRIDE
+    lead = np.empty((len(x), STRIDE), np.float32)
+    for lo in range(0, len(x), step):
+        s = _scores(model, x, head, np.arange(lo, min(lo + step, len(x))))
+        lead[lo : lo + step] = (s[:, 0] - s[:, 1:].max(1)).T
+    lead[x[:, :STRIDE] == 14] = -_OUTSIDE[1]
+    keep = np.flatnonzero(_open(lead.ravel(), _gain(model.w["trans"])))
+    held: list[tuple[int, int, int, int]] = []
+    size = 0
+    for stretch in (*_stretches(keep), None):
+        if stretch is None or size > step:
+            for at, k, end in _decoded(model, x, head, held):
+                n = int(np.searchsorted(begin, at, "right")) - 1
+                out[n].append((at - int(begin[n]), k, end - int(begin[n])))
+            held, size = [], 0
+        if stretch is not None:
+            held.append(stretch)
+            size += 2 + (stretch[1] - stretch[0]) // STRIDE
+    return [sorted(o) for o in out]
+
+
+def _decoded(model: Model, x: np.ndarray, head: np.ndarray, stretches: list) -> Iterator[tuple[int, int, int]]:
+    """(place, kind, end) of the spans in the stretches, by one path over each."""
+    if not stretches:
+        return
+    some = np.unique(np.concatenate([np.arange(a // STRIDE, (b - 1) // STRIDE + 1) for a, b, _, _ in stretches]))
+    score = _scores(model, x, head, some).transpose(2, 0, 1).reshape(-1, len(TAGS))
+    alike: dict[int, list] = {}  # stretches of about the same length are decoded together
+    for a, b, lo, hi in stretches:
+        i = int(np.searchsorted(some, a // STRIDE)) * STRIDE + a % STRIDE  # windows of a stretch are neighbours
+        full = np.tile(_OUTSIDE, (-(-(b - a + 2) // 16) * 16, 1))
+        full[1 : b - a + 1] = score[i : i + b - a]
+        alike.setdefault(len(full), []).append((a - 1, lo, hi, full))
     for size, group in alike.items():
-        step = max(1, 65536 // size)
-        for part in (group[i : i + step] for i in range(0, len(group), step)):
-            every = np.stack([x for _, x in part])
-            some = np.flatnonzero(model.path(every).any(1))  # probabilities are only needed where there is a span
-            if not len(some):
+        many = max(1, 65536 // size)
+        for part in (group[i : i + many] for i in range(0, len(group), many)):
+            every = np.stack([f for *_, f in part])
+            hits = np.flatnonzero(model.path(every).any(1))  # probabilities are only needed where there is a span
+            if not len(hits):
                 continue
-            part = [part[i] for i in some]
-            paths, sure = model.decode(every[some])
-            for (at, _), path, p in zip(part, paths, sure, strict=True):
-                for s, k, t in _path_spans(path):
-                    if t - s >= 7 and p[s:t].mean() >= SURE:
-                        n = int(np.searchsorted(begin, at + s, "right")) - 1
-                        out[n].append((at + s - int(begin[n]), k, at + t - int(begin[n])))
-    return [sorted(x) for x in out]
+            paths, sure = model.decode(every[hits].astype(float))
+            for j, path, p in zip(hits, paths, sure, strict=True):
+                at, lo, hi, _ = part[j]
+                yield from ((at + s, k, at + t) for s, k, t in _path_spans(path) if lo <= at + s < hi and p[s:t].mean() >= SURE)
+
+
+_EDGE = " \t\n\r.,;:!?"
+
+
+_SAID = re.compile(rf"(?:\bplus )?\b(?:{'|'.join(NUMBERS)})(?: (?:{'|'.join(NUMBERS)}))*\b", re.I)
+
+
+def _snapped(t: str, s: int, k: int, e: int, most: int = 64) -> tuple[int, int, int]:
+    """A span with the rest of the words that it begins and ends in, without white space and stops at its edges; of numbers in words, the whole run."""
+    lo = max(0, s - most)
+    if k >= 2 and (said := [m for m in _SAID.finditer(t, lo, e + most) if m.start() < e and s < m.end()]):
+        m = max(said, key=lambda m: m.end() - m.start())
+        return m.start(), k, m.end()
+    while s > lo and t[s].isalnum() and t[s - 1] in _LOCAL_CHARS:
+        s -= 1
+    hi = min(len(t), e + most)
+    while e < hi and t[e - 1].isalnum() and t[e].isalnum():
+        e += 1
+    w = t[s:e]
+    return s + len(w) - len(w.lstrip(_EDGE)), k, e - len(w) + len(w.rstrip(_EDGE))
+
+
+def added(t: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of the model that count: those that are what they are marked as, and numbers marked as a card that are a
+    phone's: of 9 to 15 digits, of which the first is 0 or after a plus sign."""
+    out = []
+    for x in found:
+        s, k, e = _snapped(t, *x)
+        if s < e and k == 2 and not spelled("card", t[s:e]) and re.match(r"\(?0|\+|(?:plus|zero) ", t[s:e].lower()):
+            k = 3
+        if s < e and spelled(KINDS[k], t[s:e]) and not any(s < b and a < e for a, _, b in out):
+            out.append((s, k, e))
+    return out
 
 
 def _path_spans(path: np.ndarray) -> list[tuple[int, int, int]]:
@@ -470,18 +599,15 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
     def row(base: list, more: list) -> tuple:
         said = [f"{KINDS[k]}:{s}:{e}" for s, k, e in base]
-        added = [(s, len(KINDS) + k, f"model_{KINDS[k]}:{s}:{e}") for s, k, e in more if not any(s < e2 and s2 < e for s2, _, e2 in base)]
-        every = sorted([(s, k, x) for (s, k, _), x in zip(base, said, strict=True)] + added)
+        extra = [(s, len(KINDS) + k, f"model_{KINDS[k]}:{s}:{e}") for s, k, e in more if not any(s < e2 and s2 < e for s2, _, e2 in base)]
+        every = sorted([(s, k, x) for (s, k, _), x in zip(base, said, strict=True)] + extra)
         return (*(sum(k == i for _, k, _ in base) for i in range(len(KINDS))), hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(x for _, _, x in every))
 
-    def kept(t: str, found: list) -> list:
-        return [x for x in found if KINDS[x[1]] != "card" or _valid("card", _in_digits(t[x[0] : x[2]]))]  # a number that fails its check digit is no card
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _portions(b):
                 texts = part.column(1).to_pylist()
-                rows = [row(base_spans(t), kept(t, more)) for t, more in zip(texts, model_spans(model, texts), strict=True)]
+                rows = [row(base_spans(t), added(t, more)) for t, more in zip(texts, model_spans(model, texts), strict=True)]
                 types = [pa.int64()] * len(KINDS) + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
