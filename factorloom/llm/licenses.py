@@ -1,18 +1,20 @@
 """Operator 5, licence scan by sentence rules. DataFrame functions only.
 
 Each text is cut into pieces (at line ends, and after . ! ? ; before white space), which are normalised
-(lower case; anything but letters, digits and dots within words becomes one space). A known sentence is a
+(lower case; anything but letters, digits and dots within words becomes one space, comment marks too). What introduces or ends a
+notice ("this project is", "see LICENSE") is left out. A known sentence is a
 piece or, where lines are wrapped or a stop is within it, neighbouring pieces joined by a space; of those
 that begin at a piece the longest counts, and the next begins after it. None goes over a line without
 letters and digits. A known sentence has an identifier. The identifiers of a text, in order, are matched
 against the licence rules, which are sequences of identifiers; a rule matches where its identifiers stand next to each other.
 Rules are ordered: what an earlier (longer) rule has covered, a later one doesn't see.
 
+Known are the sentences of licences and their headers, titles with their dates, notices ("released under ..."; built from ``VERBS`` and
+``NAMES``) and SPDX lines (from ``SPDX``).
+
 Edge cases: a null text counts as empty; a text without known sentences has n_sentences 0, an empty
 ``licenses`` and class "none". A sentence that is known but completes no rule counts in n_sentences only. Repeated rows are each
 returned. An empty table gives no rows. Extra columns are ignored.
-
-The SQL matches single pieces only: it has the same result where no known sentence is wrapped or has a stop.
 """
 
 from __future__ import annotations
@@ -22,38 +24,69 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_GPL = "under the terms of the gnu {}general public license as published by the free software foundation either version {} of the license or at your option any later version"
+_HOPE = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
 #: Identifiers and the normalised licence sentences that bear them.
 SENTENCES = (
-    ("mit_notice", "released under the mit license"),
-    ("mit_notice", "licensed under the mit license"),
-    ("mit_notice", "this project is licensed under the mit license"),
     ("mit_title", "the mit license"),
     ("mit_title", "mit license"),
     ("mit_title", "the mit license mit"),
     ("mit_grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit_condition", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("apache2_notice", "licensed under the apache license version 2.0"),
+    ("as_is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("isc_title", "isc license"),
+    ("isc_grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache2_title", "apache license version 2.0 january 2004"),
     ("apache2_notice", "licensed under the apache license version 2.0 the license"),
     ("apache2_use", "you may not use this file except in compliance with the license"),
     ("apache2_copy", "you may obtain a copy of the license at"),
     ("apache2_as_is", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl3_notice", "this work is licensed under the gnu general public license version 3"),
-    ("gpl3_notice", "licensed under the gnu general public license version 3"),
-    ("gpl3_free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl2_free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("gpl_hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("ccbync4_notice", "licensed under cc by nc 4.0"),
-    ("ccbync4_notice", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
-    ("ccby4_notice", "licensed under cc by 4.0"),
-    ("ccby4_notice", "this work is licensed under a creative commons attribution 4.0 international license"),
-    ("ccbysa4_notice", "licensed under cc by sa 4.0"),
-    ("ccbysa4_notice", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
+    ("gpl3_title", "gnu general public license version 3 29 june 2007"),
+    ("gpl2_title", "gnu general public license version 2 june 1991"),
+    ("lgpl3_title", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl21_title", "gnu lesser general public license version 2.1 february 1999"),
+    ("agpl3_title", "gnu affero general public license version 3 19 november 2007"),
+    *((f"{k}_free", f"this {what} is free software you can redistribute it and or modify it {_GPL.format(kind, version)}") for k, kind, version in (("gpl3", "", "3"), ("gpl2", "", "2"), ("lgpl3", "lesser ", "3"), ("lgpl21", "lesser ", "2.1"), ("agpl3", "affero ", "3")) for what in ("program", "library")),
+    *(("gpl_hope", f"this {what} {_HOPE}") for what in ("program", "library")),
+    ("mpl2_title", "mozilla public license version 2.0"),
+    ("mpl2_form", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    ("mpl2_copy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0"),
+    ("mpl2_copy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0"),
     ("bsd_grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd_source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("bsd_binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("bsd_name", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("as_is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    *(("bsd_source", f"{n}redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer") for n in ("", "1 ")),
+    *(("bsd_binary", f"{n}redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution") for n in ("", "2 ")),
+    *(("bsd_name", f"{n}neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission") for n in ("", "3 ")),
+    ("unlicense_free", "this is free and unencumbered software released into the public domain"),
+    ("zlib_grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost_title", "boost software license version 1.0 august 17th 2003"),
+    ("cc0_title", "cc0 1.0 universal"),
 )
+#: How notices begin, and how licences are called in them.
+VERBS = ("released", "licensed", "distributed", "available", "published", "provided")
+NAMES = (
+    ("mit", "mit license"), ("mit", "mit licence"), ("mit", "terms of the mit license"),
+    ("apache2", "apache license version 2.0"), ("apache2", "apache license 2.0"), ("apache2", "apache 2.0 license"), ("apache2", "apache 2.0"),
+    ("gpl3", "gnu general public license version 3"), ("gpl3", "gnu general public license v3.0"), ("gpl3", "gnu gpl version 3"), ("gpl3", "gnu gplv3"), ("gpl3", "gplv3"), ("gpl3", "gpl 3.0"),
+    ("gpl2", "gnu general public license version 2"), ("gpl2", "gnu gpl version 2"), ("gpl2", "gplv2"), ("gpl2", "gpl 2.0"),
+    ("lgpl3", "gnu lesser general public license version 3"), ("lgpl3", "lgplv3"), ("lgpl21", "gnu lesser general public license version 2.1"), ("lgpl21", "lgplv2.1"),
+    ("agpl3", "gnu affero general public license version 3"), ("agpl3", "agplv3"), ("agpl3", "agpl 3.0"),
+    ("mpl2", "mozilla public license 2.0"), ("mpl2", "mozilla public license version 2.0"), ("mpl2", "mpl 2.0"),
+    ("bsd3", "bsd 3 clause license"), ("bsd3", "3 clause bsd license"), ("bsd3", "new bsd license"), ("bsd2", "bsd 2 clause license"), ("bsd2", "2 clause bsd license"), ("bsd2", "simplified bsd license"),
+    ("isc", "isc license"), ("unlicense", "unlicense"), ("boost1", "boost software license version 1.0"), ("boost1", "boost software license 1.0"), ("zlib", "zlib license"),
+    ("cc0", "cc0 1.0"), ("cc0", "cc0 1.0 universal"), ("cc0", "cc0 license"),
+    ("ccby4", "cc by 4.0"), ("ccby4", "creative commons attribution 4.0 international license"),
+    ("ccbysa4", "cc by sa 4.0"), ("ccbysa4", "creative commons attribution sharealike 4.0 international license"),
+    ("ccbync4", "cc by nc 4.0"), ("ccbync4", "creative commons attribution noncommercial 4.0 international license"),
+)
+#: Identifiers of SPDX lines, with the licence's key here.
+SPDX = (
+    ("mit", "MIT"), ("apache2", "Apache-2.0"), ("gpl3", "GPL-3.0-only"), ("gpl3_later", "GPL-3.0-or-later"), ("gpl2", "GPL-2.0-only"), ("gpl2_later", "GPL-2.0-or-later"),
+    ("lgpl3", "LGPL-3.0-only"), ("lgpl3_later", "LGPL-3.0-or-later"), ("lgpl21", "LGPL-2.1-only"), ("lgpl21_later", "LGPL-2.1-or-later"), ("agpl3", "AGPL-3.0-only"), ("agpl3_later", "AGPL-3.0-or-later"),
+    ("mpl2", "MPL-2.0"), ("bsd3", "BSD-3-Clause"), ("bsd2", "BSD-2-Clause"), ("isc", "ISC"), ("unlicense", "Unlicense"), ("boost1", "BSL-1.0"), ("zlib", "Zlib"),
+    ("cc0", "CC0-1.0"), ("ccby4", "CC-BY-4.0"), ("ccbysa4", "CC-BY-SA-4.0"), ("ccbync4", "CC-BY-NC-4.0"),
+)
+SENTENCES += tuple((f"{k}_notice", f"{verb} under {a}{name}") for k, name in NAMES for verb in VERBS for a in ("the ", "a ", ""))
+SENTENCES += tuple((f"{k}_spdx", f"spdx license identifier {name.lower().replace('-', ' ')}") for k, name in SPDX)
 #: Licence, its class, and the rule; longer rules first.
 RULES = (
     ("MIT", "permissive", ("mit_title", "mit_grant", "mit_condition", "as_is")),
@@ -62,23 +95,28 @@ RULES = (
     ("BSD-2-Clause", "permissive", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("Apache-2.0", "permissive", ("apache2_notice", "apache2_use", "apache2_copy", "apache2_as_is")),
     ("Apache-2.0", "permissive", ("apache2_notice", "apache2_use")),
-    ("GPL-3.0-or-later", "copyleft", ("gpl3_free", "gpl_hope")),
-    ("GPL-2.0-or-later", "copyleft", ("gpl2_free", "gpl_hope")),
-    ("GPL-3.0-or-later", "copyleft", ("gpl3_free",)),
-    ("GPL-2.0-or-later", "copyleft", ("gpl2_free",)),
-    ("MIT", "permissive", ("mit_notice",)),
-    ("Apache-2.0", "permissive", ("apache2_notice",)),
-    ("GPL-3.0-only", "copyleft", ("gpl3_notice",)),
-    ("CC-BY-NC-4.0", "noncommercial", ("ccbync4_notice",)),
-    ("CC-BY-SA-4.0", "copyleft", ("ccbysa4_notice",)),
-    ("CC-BY-4.0", "permissive", ("ccby4_notice",)),
+    ("MPL-2.0", "weak copyleft", ("mpl2_form", "mpl2_copy")),
+    ("ISC", "permissive", ("isc_title", "isc_grant")),
+    *((name, kind, (f"{k}_free", "gpl_hope")) for k, name, kind in (("gpl3", "GPL-3.0-or-later", "copyleft"), ("gpl2", "GPL-2.0-or-later", "copyleft"), ("lgpl3", "LGPL-3.0-or-later", "weak copyleft"), ("lgpl21", "LGPL-2.1-or-later", "weak copyleft"), ("agpl3", "AGPL-3.0-or-later", "copyleft"))),
+    *((name, kind, (f"{k}_free",)) for k, name, kind in (("gpl3", "GPL-3.0-or-later", "copyleft"), ("gpl2", "GPL-2.0-or-later", "copyleft"), ("lgpl3", "LGPL-3.0-or-later", "weak copyleft"), ("lgpl21", "LGPL-2.1-or-later", "weak copyleft"), ("agpl3", "AGPL-3.0-or-later", "copyleft"))),
+    ("MPL-2.0", "weak copyleft", ("mpl2_form",)),
+    ("ISC", "permissive", ("isc_grant",)),
+    ("Unlicense", "permissive", ("unlicense_free",)),
+    ("Zlib", "permissive", ("zlib_grant",)),
+    *((name, kind, (f"{k}_title",)) for k, name, kind in (("apache2", "Apache-2.0", "permissive"), ("gpl3", "GPL-3.0-only", "copyleft"), ("gpl2", "GPL-2.0-only", "copyleft"), ("lgpl3", "LGPL-3.0-only", "weak copyleft"), ("lgpl21", "LGPL-2.1-only", "weak copyleft"), ("agpl3", "AGPL-3.0-only", "copyleft"), ("mpl2", "MPL-2.0", "weak copyleft"), ("boost", "BSL-1.0", "permissive"), ("cc0", "CC0-1.0", "permissive"))),
 )
+_CLASS = {"gpl": "copyleft", "agp": "copyleft", "lgp": "weak copyleft", "mpl": "weak copyleft", "ccbync4": "noncommercial", "ccbysa4": "copyleft"}
+RULES += tuple((name, _CLASS.get(k, _CLASS.get(k[:3], "permissive")), (f"{k}_{how}",)) for k, name in SPDX for how in ("notice", "spdx") if how == "spdx" or "later" not in k)
 #: The strictest class of a text's licences is its class.
-STRICTNESS = ("noncommercial", "copyleft", "permissive")
+STRICTNESS = ("noncommercial", "copyleft", "weak copyleft", "permissive")
 #: A stop at a line's end is one cut, so that an empty piece is always an empty line.
 CUT = r"(?<=[.!?;])[\x20\x09\x0B-\x0D]+\n?|\n"
 #: A sentence must have one of these to be known at all; most texts are passed over before they are cut.
-CUE = "(?i)licen[sc]e|permission|redistribut|warrant|copyright"
+CUES = ("licens", "licenc", "permission", "redistribut", "warrant", "copyright", "unencumbered", "gpl", "apache", "mpl", "cc0")
+CUE_CC = r"\bcc[^a-z0-9]+by\b"
+#: What is left out at the beginning (up to the verb) and at the end of a notice.
+INTRO = r"(?m)^(?:this|the|our)[ \n](?:project|software|work|program|code|library|package|file|document|repository|source code)[ \n](?:is|are)[ \n](%s)[ \n]under" % "|".join(VERBS)
+OUTRO = r"(?m)[ \n](?:see|read)[ \n](?:the[ \n])?(?:license|licence|copying)(?:[ \n]file)?(?:[ \n]for[ \n](?:more[ \n])?(?:details|information))?$"
 
 
 def _normal(s: Column) -> Column:
@@ -87,21 +125,41 @@ def _normal(s: Column) -> Column:
 
 
 def _runs(sentences: tuple) -> str:
-    """A pattern of the known sentences over whole pieces, a piece a line; the longest is tried first."""
-    texts = sorted({s for _, s in sentences}, key=lambda s: (-len(s), s))
-    return "(?<![^\\n])(?:" + "|".join(re.escape(s).replace("\\ ", "[ \\n]") for s in texts) + ")(?![^\\n])"
+    """A pattern of the known sentences over whole pieces, a piece a line: a tree by words, so each word is tried once; the longest is tried first."""
+    tree: dict = {}
+    for _, s in sentences:
+        at = tree
+        for w in s.split(" "):
+            at = at.setdefault(w, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        each = [re.escape(w) + (("(?:[ \\n]" + pattern(n) + ")?" if "" in n else "[ \\n]" + pattern(n)) if set(n) - {""} else "") for w, n in sorted(node.items()) if w]
+        return each[0] if len(each) == 1 else "(?:" + "|".join(each) + ")"
+
+    return "(?m)^" + pattern(tree) + "$"
+
+
+def _cued(low: Column, sentences: tuple) -> Column:
+    """Whether a text in lower case can have any of the sentences."""
+    if not all(any(c in s for c in CUES) or re.search(CUE_CC, s) for _, s in sentences):
+        return F.lit(True)
+    out = low.contains("cc") & low.rlike(CUE_CC)
+    for c in reversed(CUES):
+        out = low.contains(c) | out
+    return out
 
 
 def scan(docs: DataFrame, sentences: tuple = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids, licenses (names by rule order, comma-joined), license_class."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = F.create_map(*(F.lit(x) for k, s in sentences for x in (s, k)))
-    cue = CUE if all(re.search(CUE, s) for _, s in sentences) else ""
     pieces = F.array_join(F.transform(F.split(F.col("text"), CUT), _normal), "\n")
+    pieces = F.regexp_replace(F.regexp_replace(pieces, INTRO, "$1 under"), OUTRO, "")
     found = F.regexp_extract_all(pieces, F.lit(_runs(sentences)), F.lit(0))
     ids = F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))
     none = F.array().cast("array<string>")
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.when(F.col("text").rlike(cue), ids).otherwise(none).alias("ids"))
+    rows = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low")).select("doc_id", F.when(_cued(F.col("low"), sentences), ids).otherwise(none).alias("ids"))
     # " a b c " with doubled spaces, so that neighbours can each be matched and cut out
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("rest"))
     for i, (_, _, rule) in enumerate(rules):
@@ -126,10 +184,12 @@ def sql() -> str:
     either = lambda keep: " OR ".join(f"hit{i}" for i, r in enumerate(RULES) if keep(r))
     listed = ", ".join(f"CASE WHEN {either(lambda r, n=n: r[0] == n)} THEN '{n}' END" for n in names)
     strict = " ".join(f"WHEN {either(lambda r, k=k: r[1] == k)} THEN '{k}'" for k in STRICTNESS)
-    return rf"""WITH lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents),
+    return rf"""WITH lines AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?;])[\x20\x09\x0B-\x0D]+\n?', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM lines),
-n AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9.]+', ' ', 'g'), '\.\.+', ' ', 'g'), '\.( |$)', ' ', 'g'), '(^| )\.', ' ', 'g'), ' +', ' ', 'g')) AS t FROM s WHERE regexp_matches(t, '{CUE}')),
-ids AS (SELECT doc_id, i, k.id FROM n JOIN (VALUES {known}) AS k(t, id) ON k.t = n.t),
+n AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9.]+', ' ', 'g'), '\.\.+', ' ', 'g'), '\.( |$)', ' ', 'g'), '(^| )\.', ' ', 'g'), ' +', ' ', 'g')) AS t FROM s),
+j AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(string_agg(t, chr(10) ORDER BY i), '{INTRO}', '\1 under', 'g'), '{OUTRO}', '', 'g'), '{_runs(SENTENCES)}') AS f FROM n GROUP BY doc_id),
+f AS (SELECT doc_id, unnest(f) AS t, generate_subscripts(f, 1) AS i FROM j),
+ids AS (SELECT doc_id, i, k.id FROM f JOIN (VALUES {known}) AS k(t, id) ON k.t = replace(f.t, chr(10), ' ')),
 r0 AS (SELECT doc_id, count(*) AS n_sentences, string_agg(id, ' ' ORDER BY i) AS sentence_ids, {rest} AS rest FROM ids GROUP BY doc_id),
 {", ".join(steps)}
 SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ','), '') AS licenses, coalesce(CASE {strict} END, 'none') AS license_class

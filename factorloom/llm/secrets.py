@@ -2,12 +2,12 @@
 
 The base kinds are found by pattern. The method adds spans of high Shannon entropy: candidate strings of
 one character class are scanned with a window of fixed length; the counts of its characters are carried
-from position to position (one comes in, one goes out), and so is the sum of c*log2(c), so that each step
-costs the same whatever the window's length. Entropy is log2(w) - sum/w. A candidate that an allow-list
-pattern matches gives no span.
+from position to position (one comes in, one goes out) in a few packed numbers, and so is the sum of
+c*log2(c), in whole units of 2**-32 and so without drift: each step costs the same whatever the window's or the
+candidate's length. Entropy is log2(w) - sum/w. A candidate that an allow-list pattern matches gives no span.
 
 Positions come from the pieces between the matches (split) and the matches themselves
-(regexp_extract_all), as running sums of their lengths in code points.
+(regexp_extract_all), as running sums of their lengths in code points, which are made by doubling: n log n steps for n matches.
 
 Edge cases: a null text counts as empty and gives zeros, the digest of "" and an empty list. Repeated rows
 are each returned. An empty table gives no rows. Extra columns are ignored.
@@ -15,6 +15,8 @@ are each returned. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,45 +41,65 @@ ALLOW = (
 )
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a name for value: an expression that is mentioned in a lambda is evaluated for each element, a name is not."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x, by)
+
+
+def _sums(sizes: Column) -> Column:
+    """The running sums of an array of integers: in round k each adds the one 2**k before it."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sizes) + 1.0)).cast("int"))
+    return F.aggregate(rounds, sizes, lambda a, k: F.transform(a, lambda x, i: x + F.coalesce(F.get(a, i - _shift(F.lit(1), k)), F.lit(0))))
+
+
 def _spans(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
     """Array of (start, order, end, kind, value) of the leftmost non-overlapping matches whose group is long enough."""
     found, pieces, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     each = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"), values.alias("v"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        new = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
+    def spans(z: Column) -> Column:
+        ends = _sums(F.transform(z, lambda x: F.coalesce(F.length(x["p"]) + F.length(x["m"]), F.lit(0))))
 
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(each, first, step, lambda acc: acc["out"])).otherwise(none)
+        def span(x: Column, end: Column) -> Column:
+            return F.struct((end - F.length(x["m"])).alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
 
+        return _once(ends, lambda e: F.filter(F.transform(z, lambda x, i: span(x, F.get(e, i))), lambda x: F.length(x["value"]) >= least))
 
-def _xlogx(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>")
+    return F.when(text.rlike(pattern), _once(each, spans)).otherwise(none)
 
 
 def _windows(value: Column, alphabet: str, least: float, w: int) -> Column:
     """(first start, last end) within value of the windows of w characters whose entropy is at least ``least``."""
-    chars = F.split(value, "")
-    codes = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c))
-    # each code with the one that leaves the window when it comes in (0: none yet)
-    each = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= w, F.get(codes, i - w)).otherwise(F.lit(0)).alias("old")))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    bits = w.bit_length()
+    per = 62 // bits  # counts in a number
+    table = F.array(*(F.lit(round(c * math.log2(c) * 2**32) if c else 0).cast("long") for c in range(w + 1)))
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    place = lambda c, name: [F.floor(c / per).cast("int").alias(f"{name}_at"), ((c % per) * bits).cast("int").alias(f"{name}_by")]
+    # each code with the one that leaves the window when it comes in (null: none yet)
+    pairs = lambda cs: F.transform(cs, lambda c, i: F.struct(*place(c, "new"), *place(F.get(cs, i - w), "old")))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // per)).alias("counts"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    one, zero_long = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def step(a: Column, x: Column) -> Column:
-        new, old = x["new"], x["old"]
-        moved = new != old
-        c_in, c_out = F.element_at(a["counts"], new), F.when(old > 0, F.element_at(a["counts"], F.greatest(old, F.lit(1)))).otherwise(F.lit(0))
-        s = a["s"] + F.when(moved, _xlogx(c_in + 1) - _xlogx(c_in) + F.when(old > 0, _xlogx(c_out - 1) - _xlogx(c_out)).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
-        counts = F.when(moved, F.transform(a["counts"], lambda c, i: c + (i + 1 == new).cast("int") - (i + 1 == old).cast("int"))).otherwise(a["counts"])
+        full = x["old_at"].isNotNull()
+        moved = ~full | (x["new_at"] != x["old_at"]) | (x["new_by"] != x["old_by"])
+        count = lambda at, by: F.call_function("shiftright", F.get(a["counts"], at), by).bitwiseAND((1 << bits) - 1).cast("int")
+        log = lambda c: F.get(table, c)
+        come, go = count(x["new_at"], x["new_by"]), count(x["old_at"], x["old_by"])
+        s = a["s"] + F.when(moved, log(come + 1) - log(come) + F.when(full, log(go - 1) - log(go)).otherwise(zero_long)).otherwise(zero_long)
+        plus = lambda i: F.when(i == x["new_at"], _shift(one, x["new_by"])).otherwise(zero_long)
+        minus = lambda i: F.when(i == x["old_at"], _shift(one, x["old_by"])).otherwise(zero_long)
+        counts = F.transform(a["counts"], lambda c, i: c + plus(i) - minus(i))
         n = a["n"] + 1
-        good = (n >= w) & (F.log2(F.lit(float(w))) - s / w >= least - 1e-9)
+        good = (n >= w) & (F.lit(math.log2(w)) - s / float(2**32 * w) >= least - 1e-9)
         return F.struct(counts.alias("counts"), s.alias("s"), n.alias("n"), F.when(good & (a["lo"] < 0), n - w).otherwise(a["lo"]).alias("lo"), F.when(good, n).otherwise(a["hi"]).alias("hi"))
 
-    return F.aggregate(each, zero, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+    return _once(codes, lambda cs: F.aggregate(pairs(cs), zero, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))))
 
 
 def scan(docs: DataFrame, window: int = 20, allow: tuple[str, ...] = ALLOW) -> DataFrame:
