@@ -10,9 +10,14 @@ distinct words, sorted, and the tokens as numbers of these. Chunks are written o
 their id, and never moved again.
 The vocabulary is dealt into buckets by the first bits of the words' hashes (so each chunk's words of a bucket are
 one slice), enough of them that each is small. A chunk asks the buckets for its words' counts and classes, and
-sends them the contexts of its words, all in packed arrays; no table of the vocabulary is ever in one place.
+sends them the contexts of its words, all in packed arrays; no table of the vocabulary is ever in one place. Frequent words are asked for by
+every chunk, so each bucket is dealt again by salts of the chunks, at most about ``SALTED`` chunks each: what chunks
+send is combined for each bucket and salt first, then by bucket, and answers go back the same way.
 Only the class-to-class counts (``CLASSES`` squared) are gathered on the driver.
 
+A round is kept only if the likelihood of the training tokens rises (``likelihood``, from the class-to-class counts). All
+words move at once; after a round that didn't help, only every other word may move, in turns.
+
 Words are told apart by 64-bit hashes. The model's events are the known words, the end, and "unknown", like the base's: P(unknown | class)
 is the share of training tokens that are words seen once (Good-Turing); all else is scaled by the rest.
 
@@ -24,7 +29,9 @@ gives no rows; with no training rows all tokens are unknown, N = V = 0, and base
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, fold, shared_dir, slices
 
-CHUNK, CLASSES, ROUNDS, BUCKET = 1_000_000, 64, 3, 100_000
+CHUNK, CLASSES, ROUNDS, BUCKET, SALTED = 1_000_000, 64, 3, 100_000, 20_000
 END, END_CLASS, PULL = 1, 0, 4.0
 _U8, _I32, _I64, _U64 = np.uint8, np.int32, np.int64, np.uint64
 
@@ -95,9 +102,8 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, f"chunk string, n_words long, words binary, doc_ids array<{id_type}>, train array<boolean>, lengths binary, tokens binary")
 
 
-def _stored(df: DataFrame, parts: int) -> DataFrame:
-    """df as a table in the shared folder, bucketed by chunk: joins by chunk then move the other side only."""
-    name = f"factorloom_chunks_{uuid.uuid4().hex}"
+def _stored(df: DataFrame, parts: int, name: str) -> DataFrame:
+    """df as the table ``name`` in the shared folder, bucketed by chunk: joins by chunk then move the other side only."""
     df.write.bucketBy(parts, "chunk").option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
     return df.sparkSession.table(name)
 
@@ -111,8 +117,12 @@ def _training(lengths: np.ndarray, tokens: np.ndarray, train: list) -> np.ndarra
     return tokens[np.repeat(np.array(train, bool), lengths)]
 
 
-def _requests(packed: DataFrame, bits: int) -> DataFrame:
-    """bucket, chunk, words, counts (of training tokens) of each chunk's slice in each bucket."""
+def _salt(chunk: str, salts: int) -> int:
+    return zlib.crc32(chunk.encode()) % salts
+
+
+def _requests(packed: DataFrame, bits: int, salts: int) -> DataFrame:
+    """bucket, salt, chunk, words, counts (of training tokens) of each chunk's slice in each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,17 +131,17 @@ def _requests(packed: DataFrame, bits: int) -> DataFrame:
                 counts = np.bincount(_training(_unpack(lengths, _I32), _unpack(tokens, _I32), train), minlength=len(words)).astype(_I64)
                 at = _slices(words, bits)
                 some = np.flatnonzero(at[1:] > at[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk] * len(some)), pa.array([words[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()), pa.array([_pack(counts[at[k] : at[k + 1]]) for k in some], pa.binary())], ["bucket", "chunk", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_salt(chunk, salts)] * len(some), pa.int64()), pa.array([chunk] * len(some)), pa.array([words[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()), pa.array([_pack(counts[at[k] : at[k + 1]]) for k in some], pa.binary())], ["bucket", "salt", "chunk", "words", "counts"])
 
-    return packed.select("chunk", "words", "train", "lengths", "tokens").mapInArrow(run, "bucket long, chunk string, words binary, counts binary")
+    return packed.select("chunk", "words", "train", "lengths", "tokens").mapInArrow(run, "bucket long, salt long, chunk string, words binary, counts binary")
 
 
-def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+def _by(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[list[dict]]:
     """The rows of each key of a stream that is sorted by it."""
     held: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
-            if held and held[0][key] != r[key]:
+            if held and any(held[0][k] != r[k] for k in key):
                 yield held
                 held = []
             held.append(r)
@@ -139,21 +149,43 @@ def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
         yield held
 
 
-def _vocabulary(requests: DataFrame) -> DataFrame:
-    """For each bucket a row with chunk null: words, counts, size; for each chunk in it a row with the places of its words."""
+def _merged(rows: list[dict], counts: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All words of the rows, their counts, and where each row's words are among them."""
+    every, place = np.unique(np.concatenate([np.frombuffer(r["words"], _U64) for r in rows]), return_inverse=True)
+    total = np.zeros(len(every), _I64)
+    np.add.at(total, place, np.concatenate([_unpack(r[counts], _I64) for r in rows]))
+    return every, total, np.split(place.astype(_I32), np.cumsum([len(r["words"]) // 8 for r in rows])[:-1])
+
+
+_TABLE = "bucket long, salt long, chunk string, words binary, data binary"
+
+
+def _table(out: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "salt", "chunk", "words", "data"])
+
+
+def _partial(requests: DataFrame) -> DataFrame:
+    """For each bucket and salt a row with chunk null: words, counts; for each chunk in it a row with the places of its words among these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by(batches, "bucket", "salt"):
+            every, counts, places = _merged(rows, "counts")
+            key = rows[0]["bucket"], rows[0]["salt"]
+            yield _table([(*key, None, every.tobytes(), _pack(counts))] + [(*key, r["chunk"], None, _pack(x)) for r, x in zip(rows, places, strict=True)])
+
+    return requests.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "chunk").mapInArrow(run, _TABLE)
+
+
+def _vocabulary(parts: DataFrame) -> DataFrame:
+    """For each bucket a row with salt null: words, counts; for each salt in it a row with the places of its words among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by(batches, "bucket"):
-            words = np.concatenate([np.frombuffer(r["words"], _U64) for r in rows])
-            every, place = np.unique(words, return_inverse=True)
-            counts = np.zeros(len(every), _I64)
-            np.add.at(counts, place, np.concatenate([_unpack(r["counts"], _I64) for r in rows]))
-            cuts = np.cumsum([0, *(len(r["words"]) // 8 for r in rows)])
-            out = [(rows[0]["bucket"], None, every.tobytes(), _pack(counts))]
-            out += [(r["bucket"], r["chunk"], None, _pack(place[cuts[i] : cuts[i + 1]].astype(_I32))) for i, r in enumerate(rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "words", "data"])
+            every, counts, places = _merged(rows, "data")
+            yield _table([(rows[0]["bucket"], None, None, every.tobytes(), _pack(counts))] + [(r["bucket"], r["salt"], None, None, _pack(x)) for r, x in zip(rows, places, strict=True)])
 
-    return requests.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, "bucket long, chunk string, words binary, data binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket", "salt").mapInArrow(run, _TABLE)
 
 
 def _statistics(owners: DataFrame) -> dict:
@@ -193,24 +225,31 @@ def _first_classes(owners: DataFrame, top: list[int]) -> DataFrame:
     return owners.select("bucket", "words").mapInArrow(run, "bucket long, classes binary")
 
 
-def _answers(places: DataFrame, owners: DataFrame, classes: DataFrame, with_counts: bool) -> DataFrame:
-    """chunk and parts: (bucket, classes, counts) of its words, as the buckets know them. A count of 0 has class CLASSES."""
-    known = owners.select("bucket", F.col("data").alias("counts")).join(classes, "bucket")
-    rows = places.select("bucket", "chunk", "data").join(known, "bucket")
+def _taken(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, classes and counts of rows (data, classes, counts): those at the places ``data``."""
+    schema = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, counts, cls = None, None, None
         for b in batches:
-            out = []
-            for bucket, chunk, data, n, c in zip(*(b.column(x).to_pylist() for x in ("bucket", "chunk", "data", "counts", "classes")), strict=True):
-                if bucket != last:
-                    last, counts = bucket, _unpack(n, _I64)
-                    cls = np.where(counts > 0, np.frombuffer(c, _U8), CLASSES).astype(_U8)
-                at = _unpack(data, _I32)
-                out.append((chunk, bucket, cls[at].tobytes(), _pack(counts[at]) if with_counts else None))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.binary(), pa.binary())], ["chunk", "bucket", "classes", "counts"])
-
-    found = rows.mapInArrow(run, "chunk string, bucket long, classes binary, counts binary")
+            at = [_unpack(d, _I32) for d in b.column("data").to_pylist()]
+            cls = [np.frombuffer(c, _U8)[i].tobytes() for c, i in zip(b.column("classes").to_pylist(), at, strict=True)]
+            counts = [c and _pack(_unpack(c, _I64)[i]) for c, i in zip(b.column("counts").to_pylist(), at, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(cls, pa.binary()), pa.array(counts, pa.binary())], [*columns, "classes", "counts"])
+
+    return rows.select(*columns, "data", "classes", "counts").mapInArrow(run, ", ".join([*(f"{c} {schema[c]}" for c in columns), "classes binary", "counts binary"]))
+
+
+def _answers(places: DataFrame, ties: DataFrame, owners: DataFrame, classes: DataFrame, with_counts: bool) -> DataFrame:
+    """chunk and parts: (bucket, classes, counts) of its words, as the buckets know them. A count of 0 has class CLASSES."""
+
+    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls = [np.where(_unpack(n, _I64) > 0, np.frombuffer(c, _U8), CLASSES).astype(_U8).tobytes() for n, c in zip(b.column("counts").to_pylist(), b.column("classes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), pa.array(cls, pa.binary()), b.column("counts") if with_counts else pa.array([None] * b.num_rows, pa.binary())], ["bucket", "classes", "counts"])
+
+    known = owners.select("bucket", F.col("data").alias("counts")).join(classes, "bucket").select("bucket", "classes", "counts").mapInArrow(unseen, "bucket long, classes binary, counts binary")
+    salted = _taken(ties.join(known, "bucket"), ["bucket", "salt"])
+    found = _taken(places.join(salted.hint("shuffle_hash"), ["bucket", "salt"]), ["chunk", "bucket"])
     return found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes", "counts"))).alias("parts"))  # one for each bucket at most
 
 
@@ -239,8 +278,8 @@ def _pairs(packed: DataFrame, answers: DataFrame) -> np.ndarray:
     return out.reshape(k, k)
 
 
-def _contexts(packed: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
-    """bucket, chunk, and for the words of the slice: how many contexts, which (class before, or CLASSES + class after), how often."""
+def _contexts(packed: DataFrame, answers: DataFrame, bits: int, salts: int) -> DataFrame:
+    """bucket, salt, chunk, and for the words of the slice: how many contexts, which (class before, or CLASSES + class after), how often."""
     width = 2 * CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,50 +295,83 @@ def _contexts(packed: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
                 some = np.flatnonzero(cut[1:] > cut[:-1])
                 each = np.bincount(of, minlength=len(words))
                 blobs = [[_pack(each[at[k] : at[k + 1]].astype(_U8)) for k in some], [_pack((key[cut[k] : cut[k + 1]] % width).astype(_U8)) for k in some], [_pack(n[cut[k] : cut[k + 1]].astype(_I32)) for k in some]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk] * len(some)), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "chunk", "each", "which", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_salt(chunk, salts)] * len(some), pa.int64()), pa.array([chunk] * len(some)), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "salt", "chunk", "each", "which", "often"])
 
     rows = packed.select("chunk", "words", "train", "lengths", "tokens").join(answers.hint("shuffle_hash"), "chunk")
-    return rows.mapInArrow(run, "bucket long, chunk string, each binary, which binary, often binary")
+    return rows.mapInArrow(run, "bucket long, salt long, chunk string, each binary, which binary, often binary")
 
 
-def _exchange(contexts: DataFrame, places: DataFrame, owners: DataFrame, classes: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """bucket and the classes after one round: each word in the class with the highest gain."""
-    n = pairs[:CLASSES, :CLASSES]
-    totals = np.maximum(n.sum(0), 0.5)
-    log_in, log_out, log_n = np.log(n + 0.1), np.log(n.T + 0.1), np.log(totals)
-    gain = np.concatenate([log_in, log_out]).astype(np.float32)  # rows: contexts before and after; columns: classes to move to
-    blank = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
-    rows = places.select("bucket", "chunk", F.lit(1).alias("kind"), "data", *blank("each", "which", "often", "counts", "classes")).unionByName(
-        contexts.select("bucket", "chunk", F.lit(2).alias("kind"), *blank("data"), "each", "which", "often", *blank("counts", "classes"))).unionByName(
-        owners.join(classes, "bucket").select("bucket", F.lit("").alias("chunk"), F.lit(0).alias("kind"), *blank("data", "each", "which", "often"), F.col("data").alias("counts"), "classes"))
+def _blank(*names: str) -> list:
+    return [F.lit(None).cast("binary").alias(x) for x in names]
+
+
+def _salted_contexts(contexts: DataFrame, places: DataFrame) -> DataFrame:
+    """bucket, salt, keys (word of the salt's * 2 CLASSES + context, ascending), often: the contexts of all chunks of a bucket and salt."""
+    rows = places.select("bucket", "salt", "chunk", F.lit(1).alias("kind"), "data", *_blank("each", "which", "often")).unionByName(
+        contexts.select("bucket", "salt", "chunk", F.lit(2).alias("kind"), *_blank("data"), "each", "which", "often"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by(batches, "bucket"):
-            counts, cls = _unpack(group[0]["counts"], _I64), np.frombuffer(group[0]["classes"], _U8)
+        for group in _by(batches, "bucket", "salt"):
             key, often, place = [], [], None
-            for r in group[1:]:
+            for r in group:
                 if r["kind"] == 1:
                     place = _unpack(r["data"], _I32).astype(_I64)
                 else:
                     key.append(np.repeat(place, _unpack(r["each"], _U8)) * (2 * CLASSES) + _unpack(r["which"], _U8))
                     often.append(_unpack(r["often"], _I32))
-            new = cls.copy()
             if key:
-                k, o = np.concatenate(key), np.concatenate(often)
-                order = np.argsort(k, kind="stable")
-                k, o = k[order], o[order].astype(np.float32)
-                for lo in range(0, len(counts), 8192):
-                    hi = min(lo + 8192, len(counts))
-                    i, j = np.searchsorted(k, [lo * 2 * CLASSES, hi * 2 * CLASSES])
-                    m = np.bincount(k[i:j] - lo * 2 * CLASSES, o[i:j], (hi - lo) * 2 * CLASSES).reshape(hi - lo, 2 * CLASSES).astype(np.float32)
-                    score = m @ gain - 2 * counts[lo:hi, None].astype(np.float32) * log_n.astype(np.float32)
-                    score[:, END_CLASS] = -np.inf
-                    best = score.argmax(1).astype(_U8)
-                    move = (counts[lo:hi] > 0) & (cls[lo:hi] != END_CLASS)
-                    new[lo:hi] = np.where(move, best, cls[lo:hi])
+                k, at = np.unique(np.concatenate(key), return_inverse=True)
+                n = np.bincount(at, np.concatenate(often), len(k)).astype(_I64)
+                yield pa.RecordBatch.from_arrays([pa.array([group[0]["bucket"]], pa.int64()), pa.array([group[0]["salt"]], pa.int64()), pa.array([_pack(np.diff(k, prepend=0))], pa.binary()), pa.array([_pack(n)], pa.binary())], ["bucket", "salt", "keys", "often"])
+
+    return rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "chunk", "kind").mapInArrow(run, "bucket long, salt long, keys binary, often binary")
+
+
+def _exchange(contexts: DataFrame, ties: DataFrame, owners: DataFrame, classes: DataFrame, pairs: np.ndarray, turn: int | None = None) -> DataFrame:
+    """bucket and the classes after one round: each word (with ``turn``, those whose hash is of that parity) in the class with the highest gain."""
+    n = pairs[:CLASSES, :CLASSES]
+    log_n = np.log(np.maximum(n.sum(0), 0.5)).astype(np.float32)
+    gain = np.concatenate([np.log(n + 0.1), np.log(n.T + 0.1)]).astype(np.float32)  # rows: contexts before and after; columns: classes to move to
+    rows = ties.select("bucket", "salt", F.lit(1).alias("kind"), "data", *_blank("words", "keys", "often", "classes")).unionByName(
+        contexts.select("bucket", "salt", F.lit(2).alias("kind"), *_blank("data", "words"), "keys", "often", *_blank("classes"))).unionByName(
+        owners.join(classes, "bucket").select("bucket", F.lit(-1).cast("long").alias("salt"), F.lit(0).alias("kind"), "data", "words", *_blank("keys", "often"), "classes"))
+    width = 2 * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by(batches, "bucket"):
+            counts, words, cls = _unpack(group[0]["data"], _I64), np.frombuffer(group[0]["words"], _U64), np.frombuffer(group[0]["classes"], _U8)
+            key, often, place = [np.zeros(0, _I64)], [np.zeros(0, _I64)], None
+            for r in group[1:]:
+                if r["kind"] == 1:
+                    place = _unpack(r["data"], _I32).astype(_I64)
+                else:
+                    k = np.cumsum(_unpack(r["keys"], _I64))
+                    key.append(place[k // width] * width + k % width)
+                    often.append(_unpack(r["often"], _I64))
+            k, o = np.concatenate(key), np.concatenate(often)
+            order = np.argsort(k, kind="stable")
+            k, o = k[order], o[order].astype(np.float32)
+            may = (counts > 0) & (cls != END_CLASS)
+            if turn is not None:
+                may &= (words >> _U64(5)) % _U64(2) == turn
+            new = cls.copy()
+            for lo in range(0, len(counts), 8192):
+                hi = min(lo + 8192, len(counts))
+                i, j = np.searchsorted(k, [lo * width, hi * width])
+                m = np.bincount(k[i:j] - lo * width, o[i:j], (hi - lo) * width).reshape(hi - lo, width).astype(np.float32)
+                score = m @ gain - 2 * counts[lo:hi, None].astype(np.float32) * log_n
+                score[:, END_CLASS] = -np.inf
+                new[lo:hi] = np.where(may[lo:hi], score.argmax(1).astype(_U8), cls[lo:hi])
             yield pa.RecordBatch.from_arrays([pa.array([group[0]["bucket"]], pa.int64()), pa.array([new.tobytes()], pa.binary())], ["bucket", "classes"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "chunk", "kind").mapInArrow(run, "bucket long, classes binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(run, "bucket long, classes binary")
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """The part of the training tokens' log likelihood that depends on the classes."""
+    n = pairs[:CLASSES, :CLASSES]
+    xlogx = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return xlogx(n) - xlogx(n.sum(0)) - xlogx(n.sum(1))
 
 
 def transitions(pairs: np.ndarray, once: int, n: int) -> np.ndarray:
@@ -314,26 +386,59 @@ def transitions(pairs: np.ndarray, once: int, n: int) -> np.ndarray:
     return np.log10(np.vstack([p, np.append(share * (1 - unknown), unknown)]))  # after an unknown word: the shares
 
 
-def score(docs: DataFrame, size: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
+@dataclass
+class Fitted:
+    """The packed documents with what is known of their words, the class-to-class counts, N, V and words seen once, and the likelihood after each round."""
+
+    packed: DataFrame
+    answers: DataFrame
+    pairs: np.ndarray
+    facts: dict
+    rounds: list[float]
+    table: str
+
+    def close(self) -> None:
+        """Takes the chunks out of the catalog; their files stay in the checkpoint folder like all else there."""
+        self.packed.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def fit(docs: DataFrame, size: int = CHUNK, rounds: int = ROUNDS, salted: int = SALTED) -> Fitted:
+    """The model of docs (doc_id, text), learned from its training rows."""
     spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = _stored(chunks(docs, size), parts)
-    asked = packed.agg(F.sum("n_words")).first()[0] or 0
-    bits = max(8, int(asked / BUCKET).bit_length())
-    table = checkpoint(_vocabulary(_requests(packed, bits)))
-    owners, places = table.filter("chunk is null").select("bucket", "words", "data"), table.filter("chunk is not null").select("bucket", "chunk", "data")
+    name = f"factorloom_chunks_{uuid.uuid4().hex}"
+    packed = _stored(chunks(docs, size), parts, name)
+    asked, n_chunks = packed.agg(F.sum("n_words"), F.count("*")).first()
+    bits, salts = max(8, int((asked or 0) / BUCKET).bit_length()), max(1, -(-n_chunks // salted))
+    partial = checkpoint(_partial(_requests(packed, bits, salts)))
+    places = partial.filter("chunk is not null").select("bucket", "salt", "chunk", "data")
+    table = checkpoint(_vocabulary(partial.filter("chunk is null").select("bucket", "salt", "words", "data")))
+    owners, ties = table.filter("salt is null").select("bucket", "words", "data"), table.filter("salt is not null").select("bucket", "salt", "data")
     facts = _statistics(owners)
     classes = checkpoint(_first_classes(owners, facts["top"]))
-    for _ in range(rounds):
-        answers = checkpoint(_answers(places, owners, classes, False))
-        pairs = _pairs(packed, answers)
-        classes = checkpoint(_exchange(_contexts(packed, answers, bits), places, owners, classes, pairs))
-    answers = checkpoint(_answers(places, owners, classes, True))
-    pairs = _pairs(packed, answers)
-    n, v = facts["n"], facts["v"]
-    move = transitions(pairs, facts["once"], n)
+    answers = checkpoint(_answers(places, ties, owners, classes, rounds == 0))
+    pairs, history, turn = _pairs(packed, answers), [], None
+    history.append(likelihood(pairs))
+    for k in range(rounds):
+        contexts = checkpoint(_salted_contexts(_contexts(packed, answers, bits, salts), places))
+        moved = checkpoint(_exchange(contexts, ties, owners, classes, pairs, turn))
+        asked_again = checkpoint(_answers(places, ties, owners, moved, k == rounds - 1))
+        pairs_then = _pairs(packed, asked_again)
+        history.append(likelihood(pairs_then))
+        if history[-1] > max(history[:-1]):
+            classes, answers, pairs = moved, asked_again, pairs_then
+        turn = None if history[-1] > max(history[:-1]) and turn is None else k % 2
+    if rounds and pairs is not pairs_then:  # the last round was not kept: its answers alone have counts
+        answers = checkpoint(_answers(places, ties, owners, classes, True))
+    return Fitted(packed, answers, pairs, facts, history, name)
+
+
+def score(docs: DataFrame, size: int = CHUNK, rounds: int = ROUNDS, salted: int = SALTED, model: Fitted | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    model = model or fit(docs, size, rounds, salted)
+    pairs, n, v = model.pairs, model.facts["n"], model.facts["v"]
+    move = transitions(pairs, model.facts["once"], n)
     totals = np.append(np.log10(np.maximum(pairs[:CLASSES, :CLASSES].sum(0), 1.0)), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,5 +455,7 @@ def score(docs: DataFrame, size: int = CHUNK, rounds: int = ROUNDS) -> DataFrame
                 m = len(lengths)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array([not x for x in train], pa.bool_()), pa.array(lengths, pa.int64()), pa.array(total((counts > 0)[t].astype(_I64)), pa.int64()), pa.array(np.full(m, n, _I64)), pa.array(total(base[t])), pa.array(total(move[before, c] + emit[t]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    rows = packed.select("chunk", "doc_ids", "train", "lengths", "tokens").join(answers.hint("shuffle_hash"), "chunk")
-    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = model.packed.select("chunk", "doc_ids", "train", "lengths", "tokens").join(model.answers.hint("shuffle_hash"), "chunk")
+    out = checkpoint(rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    model.close()
+    return out
