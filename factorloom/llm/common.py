@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,17 @@ def slices(batches, rows: int = 256):
             yield b.slice(i, rows)
 
 
+def portions(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 1 << 20):
+    """An Arrow batch in pieces of at most ``rows`` rows and, beyond one row, ``size`` bytes in a column of texts or binaries."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        fits = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, "right"))
+        hi = min(max(fits, lo + 1), lo + rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 #: Bits of the filter below: at most 2**24 / 64 rows are broadcast, however many keys there are.
 FILTER_BITS = 1 << 24
 

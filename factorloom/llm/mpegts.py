@@ -2,9 +2,10 @@
 
 ``mux`` stores a payload in a transport stream: program association and program map tables, then one
 packetised elementary packet for each access unit of 576 bytes, with a presentation time stamp, a clock
-reference, and a random-access mark on every 12th unit. ``demux`` reads any stream of 188-byte packets with
-one program: it parses both tables (and checks their CRC), checks the continuity counters of each PID,
-reassembles the elementary packets, and lists time stamps and random-access points.
+reference, and a random-access mark on every 12th unit. ``demux`` reads a stream of 188-byte packets: it
+parses both tables, which may take several packets (and checks their CRC), checks the continuity counters of the first
+elementary stream of the first program (a packet sent twice counts once, and a marked discontinuity is no error), reassembles its
+elementary packets, and lists time stamps and random-access points. Other programs and streams are passed over.
 
 Edge cases: a null text counts as empty, so its payload is 576 bytes of 255. Repeated rows and equal texts
 give equal values. An empty table gives no rows. Extra columns are ignored. A stream that is broken (sync
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 #: Fixed values of the format: packet length, sync byte; PIDs, stream type and id of private data.
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, STREAM_TYPE, STREAM_ID = 0x0000, 0x1000, 0x0100, 0x06, 0xBD
@@ -101,11 +104,21 @@ def _starts(p: np.ndarray) -> np.ndarray:
 
 
 def _read_section(p: np.ndarray, pid: np.ndarray, want: int, table: int) -> bytes | None:
-    """The body of the first section of ``table`` on PID ``want``; None if there is none or its CRC is wrong."""
-    for k in np.flatnonzero((pid == want) & (p[:, 1] & 0x40 > 0)):
-        data = p[k, _starts(p[k : k + 1])[0] :].tobytes()
-        s = data[1 + data[0] :] if data else b""
-        length = int.from_bytes(s[1:3], "big") & 0xFFF
+    """The body of the first whole section of ``table`` on PID ``want``; None if there is none or its CRC is wrong."""
+    rows = np.flatnonzero(pid == want)
+    begins = p[rows, 1] & 0x40 > 0
+    for k in np.flatnonzero(begins):
+        s = b""
+        for i, r in enumerate(rows[k:]):
+            data = p[r, _starts(p[r : r + 1])[0] :].tobytes()
+            if i == 0:
+                data = data[1 + data[0] :] if data else b""
+            elif begins[k + i]:  # the rest of this section is before the pointer
+                data = data[1 : 1 + data[0]] if data else b""
+            s += data
+            length = int.from_bytes(s[1:3], "big") & 0xFFF
+            if len(s) >= 3 and len(s) >= 3 + length or i and begins[k + i]:
+                break
         if len(s) >= 3 + length and length >= 9 and s[0] == table and crc32_mpeg(s[: 3 + length]) == 0:
             return s[8 : 3 + length - 4]
     return None
@@ -124,10 +137,14 @@ def demux_bytes(media: bytes) -> dict:
     at = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
     data_pid = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
     p = p[pid == data_pid]
+    again = np.zeros(len(p), bool)
+    again[1:] = (p[1:] == p[:-1]).all(1)
+    p = p[~again]
     starts = _starts(p)
     has = starts < PACKET
+    marked = (p[:, 3] & 0x20 > 0) & (p[:, 4] > 0) & (p[:, 5] & 0x80 > 0)
     counter = (p[:, 3] & 15).astype(np.int64)[has]
-    out["errors"] += int(((np.diff(counter) - 1) % 16 != 0).sum())
+    out["errors"] += int((((np.diff(counter) - 1) % 16 != 0) & ~marked[has][1:]).sum())
     begins = (p[:, 1] & 0x40 > 0) & has
     if not begins.any():
         return out | {"errors": out["errors"] + 1}
@@ -167,7 +184,7 @@ def mux(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
+            for part in portions(b, 1):
                 texts = [t.encode() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array([mux_bytes(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -180,26 +197,29 @@ def access_points(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [demux_bytes(m or b"") for m in b.column(1).to_pylist()]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([d["pts"] for d in found], [d["access"] for d in found], [d["pts"][d["access"]] for d in found])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "pts", "access_units", "access_pts"])
+            for part in portions(b, 1):
+                found = [demux_bytes(m or b"") for m in part.column(1).to_pylist()]
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in ([d["pts"] for d in found], [d["access"] for d in found], [d["pts"][d["access"]] for d in found])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["doc_id", "pts", "access_units", "access_pts"])
 
     return media.select("doc_id", "media").mapInArrow(run, f"doc_id {id_type}, pts array<long>, access_units array<long>, access_pts array<long>")
 
 
 def demux(media: DataFrame) -> DataFrame:
-    """What ``mux`` stored, read back: the contract's columns."""
+    """What ``mux`` stored, read back: the contract's columns, and access: unit:time stamp of the random-access points, comma-joined."""
     id_type = media.schema["doc_id"].dataType.simpleString()
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for m in b.column(2).to_pylist():
-                d = demux_bytes(m)
-                x = d["payload"]
-                rows.append((len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(d)))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True))] if rows else [b.column(0), b.column(1), *(pa.array([], t) for t in types)], ["doc_id", "n_bytes", *names])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for part in portions(b, 2):
+                rows = []
+                for m in part.column(2).to_pylist():
+                    d = demux_bytes(m)
+                    x = d["payload"]
+                    points = ",".join(f"{u}:{t}" for u, t in zip(d["access"].tolist(), d["pts"][d["access"]].tolist(), strict=True))
+                    rows.append((len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(d), points))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", "n_bytes", *names])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access string")

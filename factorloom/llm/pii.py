@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 #: Fixed values of the contract.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -581,17 +582,6 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model().fit(*examples([r["text"] for r in rows]))
 
 
-def _portions(batch: pa.RecordBatch, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``rows`` rows and, beyond one row, ``size`` bytes of text: scores take many times that."""
-    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < batch.num_rows:
-        fits = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, "right"))
-        hi = min(max(fits, lo + 1), lo + rows)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row of docs (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -605,7 +595,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _portions(b):
+            for part in portions(b, 1):
                 texts = part.column(1).to_pylist()
                 rows = [row(base_spans(t), added(t, more)) for t, more in zip(texts, model_spans(model, texts), strict=True)]
                 types = [pa.int64()] * len(KINDS) + [pa.string()] * 2

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.llm import bpe, brown, exact_dedup, langid, licenses, minhash, mixing, mpegts, pii, secrets
-from factorloom.llm.common import documents, maybe_among
+from factorloom.llm.common import documents, maybe_among, portions
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -271,7 +271,7 @@ def test_portions_hold_all_rows_once():
     r = random.Random(9)
     sizes = [r.choice([0, 1, 5, 40]) for _ in range(200)]
     b = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["x" * n for n in sizes])], ["doc_id", "text"])
-    parts = [p.to_pydict() for p in pii._portions(b, 7, 30)]
+    parts = [p.to_pydict() for p in portions(b, 1, 7, 30)]
     assert [i for p in parts for i in p["doc_id"]] == list(range(200))
     assert all(len(p["text"]) == 1 or len(p["text"]) <= 7 and sum(map(len, p["text"])) <= 30 for p in parts)
 
