@@ -12,15 +12,15 @@ spells out passes its kind's check (``spelled``): a host with a dot, four parts
 
 The path is made in pieces: where no run of other tags can outweigh "outside" (``_open``), every best path
 is outside, so what lies between is decoded on its own. A piece of more than ``PIECE`` characters is decoded in
-stretches of that length that overlap by ``MARGIN``; a span counts in the stretch in whose part it begins. A tag's
-probability is taken within its piece.
+stretches of that length that overlap by ``MARGIN``; a span counts in the stretch in whose part it begins. The
+probability of its tags is taken from the span and ``NEAR`` characters to both sides.
 
-The activation of the network is the fraction x(27 + x^2) / (27 + 9x^2) within -3 to 3, and -1 and 1 beyond, in the place of tanh.
+The activation of the network is x / (1 + |x|) in the place of tanh, which is most of the time otherwise.
 
 Edge cases: a null text counts as empty: zeros, the digest of "", no spans. Repeated rows are each
 returned. An empty table gives no rows; without any row to train from, the model is trained on the variants
 in an empty context. Extra columns are ignored. Texts are run in portions of about a million bytes; a longer text is
-one portion, of which about 15 bytes a character are held: scores are made a few hundred windows at a time, once for the lead
+one portion, of which about 30 bytes a character are held: scores are made a few hundred windows at a time, once for the lead
 of "outside", and once more for the windows that hold a piece.
 """
 
@@ -46,9 +46,10 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-WINDOW, STRIDE, LEARN, HIDDEN, STEPS, BATCH, SAMPLE_ROWS, SEED = 128, 96, 96, 12, 900, 32, 400, 11
-SURE, PIECE, MARGIN = 0.5, 4096, 256
+WINDOW, STRIDE, LEARN, HIDDEN, STEPS, BATCH, SAMPLE_ROWS, SEED = 256, 224, 96, 12, 1000, 32, 400, 11
+SURE, NEAR, PIECE, MARGIN, ROW = 0.5, 24, 768, 128, 256
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
+_OUTSIDE = np.array([0.0] + [-1e4] * (len(TAGS) - 1), np.float32)  # scores of a place that is surely outside
 
 
 def luhn(digits: str) -> bool:
@@ -153,14 +154,14 @@ class Model:
         u = np.stack([self.w[f"u{d}"].T * half for d in "fb"]).astype(np.float32)
         out = np.stack([self.w["out"][:h].T, self.w["out"][h:].T]).astype(np.float32)
         xs, cs, hs = np.ascontiguousarray(x.T, np.intp), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
-        g, q, r, got, tc, said = (np.empty(z, np.float32) for z in ((2, 4 * h, n), (2, 4 * h, n), (2, 4 * h, n), (4 * h, n), (2, h, n), (2, len(TAGS), n)))
+        g, q, got, tc, said = (np.empty(z, np.float32) for z in ((2, 4 * h, n), (2, 4 * h, n), (4 * h, n), (2, h, n), (2, len(TAGS), n)))
         e = np.empty((t, len(TAGS), n), np.float32)
         e[:] = self.w["bias"][:, None]
         for i in range(t):
             np.matmul(u, hs, out=g)
             g[0] += np.take(wx[0], xs[i], axis=1, out=got, mode="clip")
             g[1] += np.take(wx[1], xs[t - 1 - i], axis=1, out=got, mode="clip")
-            _act_into(g, q, r)
+            _act_into(g, q)
             gates = g[:, : 3 * h]
             gates *= 0.5
             gates += 0.5
@@ -168,7 +169,7 @@ class Model:
             np.multiply(g[:, :h], g[:, 3 * h :], out=tc)
             cs += tc
             np.copyto(tc, cs)
-            _act_into(tc, q[:, :h], r[:, :h])
+            _act_into(tc, q[:, :h])
             np.multiply(tc, g[:, 2 * h : 3 * h], out=hs)
             np.matmul(out, hs, out=said)
             e[i] += said[0]
@@ -231,62 +232,55 @@ class Model:
                 self.w[k] -= np.float32(rate) * m[k] / (1 - 0.9**i) / (np.sqrt(v[k] / (1 - 0.998**i)) + 1e-8)
         return self
 
+    def moves(self) -> np.ndarray:
+        """The transitions, of which those that no spans have are ruled out: to inside but from its own begin or inside, and from kind to kind."""
+        own = np.eye(len(TAGS), dtype=bool)
+        own[:, 0] = True
+        for k in range(len(KINDS)):
+            own[0, 1 + 2 * k] = own[1 + 2 * k, 2 + 2 * k] = True
+            own[1 + 2 * k, 1 + 2 * k] = False
+        return np.where(own, self.w["trans"], _OUTSIDE[1])
+
     def path(self, e: np.ndarray) -> np.ndarray:
         """The best path alone, of emissions (N, T, K)."""
         n, t, k = e.shape
-        e, tr = np.ascontiguousarray(e.transpose(1, 2, 0), float), self.w["trans"].T[:, :, None]
-        back, score, out, rows = np.empty((t, k, n), np.int8), self.w["first"][:, None] + e[0], np.empty((n, t), np.int64), np.arange(n)
+        tr, rows = self.moves(), np.arange(n)
+        back, score, out = np.empty((t, n, k), np.int8), self.w["first"] + e[:, 0], np.empty((n, t), np.int8)
         for i in range(1, t):
-            best, which = score[0] + tr[:, 0], np.zeros((k, n), np.int8)
-            for j in range(1, k):
-                each = score[j] + tr[:, j]
-                which[each > best] = j
-                np.maximum(best, each, out=best)
-            back[i], score = which, best + e[i]
-        out[:, -1] = score.argmax(0)
+            each = score[:, :, None] + tr
+            back[i] = each.argmax(1)
+            score = each.max(1) + e[:, i]
+        out[:, -1] = score.argmax(1)
         for i in range(t - 1, 0, -1):
-            out[:, i - 1] = back[i, out[:, i], rows]
+            out[:, i - 1] = back[i, rows, out[:, i]]
         return out
 
-    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best path of emissions (N, T, K) under the CRF, and the probability of each of its tags."""
-        tr, (n, t, k), rows = self.w["trans"], e.shape, np.arange(len(e))
-        alpha, beta, back = np.empty(e.shape), np.zeros(e.shape), np.empty(e.shape, np.int8)
-        score = alpha[:, 0] = self.w["first"] + e[:, 0]
+    def sure(self, e: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """The probability of each of the tags (N, T) of emissions (N, T, K) under the CRF."""
+        tr, t = self.moves(), e.shape[1]
+        alpha, beta = np.empty(e.shape), np.zeros(e.shape)
+        alpha[:, 0] = self.w["first"] + e[:, 0]
         for i in range(1, t):
-            each = score[:, :, None] + tr
-            back[:, i] = each.argmax(1)
-            score = each.max(1) + e[:, i]
             alpha[:, i] = _lse(alpha[:, i - 1, :, None] + tr, 1) + e[:, i]
         for i in range(t - 2, -1, -1):
             beta[:, i] = _lse(tr + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-        path = np.empty((n, t), np.int64)
-        path[:, -1] = score.argmax(1)
-        for i in range(t - 1, 0, -1):
-            path[:, i - 1] = back[rows, i, path[:, i]]
         z = _lse(alpha[:, -1], 1)
-        return path, np.exp(np.take_along_axis(alpha + beta, path[:, :, None], 2)[:, :, 0] - z[:, None])
+        return np.exp(np.take_along_axis(alpha + beta, tags[:, :, None], 2)[:, :, 0] - z[:, None])
 
 
 def _act(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -3, 3)
-    return x * (27 + x * x) / (27 + 9 * x * x)
+    return x / (1 + np.abs(x))
 
 
-def _act_into(x: np.ndarray, q: np.ndarray, r: np.ndarray) -> None:
-    """``_act`` of x in its place; q and r are for use within."""
-    np.clip(x, -3, 3, out=x)
-    np.multiply(x, x, out=q)
-    np.add(q, 27, out=r)
-    r *= x
-    q *= 9
-    q += 27
-    np.divide(r, q, out=x)
+def _act_into(x: np.ndarray, q: np.ndarray) -> None:
+    """``_act`` of x in its place; q is for use within."""
+    np.abs(x, out=q)
+    q += 1
+    x /= q
 
 
 def _slope(x: np.ndarray) -> np.ndarray:
-    q = np.minimum(x * x, 9)
-    return np.square((9 - q) / (9 + 3 * q))
+    return 1 / np.square(1 + np.abs(x))
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -429,29 +423,16 @@ def _scores(model: Model, x: np.ndarray, head: np.ndarray, some: np.ndarray) ->
     return out
 
 
-_OUTSIDE = np.array([0.0] + [-1e4] * (len(TAGS) - 1), np.float32)
-
-
-def _gain(trans: np.ndarray) -> tuple[float, float]:
-    """(each, once): a run of n tags between two outside places gains at most n * each + once by its transitions over staying outside.
-
-    ``each`` is the greatest mean of a cycle of the other tags, by Karp; with it taken off no cycle gains, so that the best way
-    in, on and out has no more steps than there are tags.
-    """
-    w, k = trans[1:, 1:].astype(float) - float(trans[0, 0]), len(trans) - 1
-    d = [np.zeros(k)]
-    for _ in range(k):
-        d.append((d[-1][:, None] + w).max(0))
-    each = float(np.min([(d[k] - d[i]) / (k - i) for i in range(k)], 0).max())
-    best = trans[0, 1:].astype(float) - float(trans[0, 0])
-    for _ in range(k):
-        best = np.maximum(best, (best[:, None] + w - each).max(0))
-    return each, float((best + trans[1:, 0] - trans[0, 0]).max()) - each
+def _gain(trans: np.ndarray, kind: int) -> tuple[float, float]:
+    """(each, once): a run of n tags of a kind between two outside places gains at most n * each + once by its transitions over staying outside."""
+    t, b, i = trans.astype(float) - float(trans[0, 0]), 1 + 2 * kind, 2 + 2 * kind
+    each = float(t[i, i])  # n - 2 times in a run of 2 or more, which is begin, inside, inside, ...
+    return each, float(t[0, b] + max(t[b, 0] - each, t[b, i] + t[i, 0] - 2 * each))
 
 
 def _open(lead: np.ndarray, gain: tuple[float, float], block: int = 1 << 16) -> np.ndarray:
-    """Where a best path can leave "outside", which is ahead of all else by ``lead``: the places of runs whose transitions
-    can gain (``_gain``) what the run loses by the lead. No place in any other run is on a best path with another tag."""
+    """Where a best path can have tags of a kind, over which "outside" is ahead by ``lead``: the places of runs whose transitions
+    can gain (``_gain``) what the run loses by the lead. No other place is on a best path with these tags."""
     parts = [slice(i, i + block) for i in range(0, len(lead), block)]
     run = lambda p: np.cumsum(gain[0] + 1e-3 - lead[p].astype(float))
     ends = [(t[-1], t.max(), min(0.0, t.min())) for t in map(run, parts)]
@@ -474,56 +455,96 @@ def _stretches(keep: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
             yield max(lo, a - MARGIN), min(hi, a + PIECE), a, min(hi, a + PIECE - MARGIN)
 
 
-def model_spans(model: Model, texts: list[str], step: int = 512) -> list[list[tuple[int, int, int]]]:
+def model_spans(model: Model, texts: list[str], step: int = 1024) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) that the model finds in each text, by start."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not texts:
         return out
     x, head = _windows(texts)
     begin = np.append(np.flatnonzero(head), len(head)) * STRIDE
-    lead = np.empty((len(x), STRIDE), np.float32)
+    lead = np.empty((len(KINDS), len(x), STRIDE), np.float32)
     for lo in range(0, len(x), step):
         s = _scores(model, x, head, np.arange(lo, min(lo + step, len(x))))
-        lead[lo : lo + step] = (s[:, 0] - s[:, 1:].max(1)).T
-    lead[x[:, :STRIDE] == 14] = -_OUTSIDE[1]
-    keep = np.flatnonzero(_open(lead.ravel(), _gain(model.w["trans"])))
-    held: list[tuple[int, int, int, int]] = []
-    size = 0
+        for k in range(len(KINDS)):
+            lead[k, lo : lo + step] = (s[:, 0] - np.maximum(s[:, 1 + 2 * k], s[:, 2 + 2 * k])).T
+    lead[:, x[:, :STRIDE] == 14] = -_OUTSIDE[1]
+    keep = np.flatnonzero(np.logical_or.reduce([_open(lead[k].ravel(), _gain(model.w["trans"], k)) for k in range(len(KINDS))]))
+    held, size, found = [], 0, []
     for stretch in (*_stretches(keep), None):
         if stretch is None or size > step:
-            for at, k, end in _decoded(model, x, head, held):
-                n = int(np.searchsorted(begin, at, "right")) - 1
-                out[n].append((at - int(begin[n]), k, end - int(begin[n])))
+            found += _decoded(model, x, head, held)
             held, size = [], 0
         if stretch is not None:
             held.append(stretch)
             size += 2 + (stretch[1] - stretch[0]) // STRIDE
+    for (at, k, end, _, _, _), p in zip(found, _probabilities(model, found), strict=True):
+        if p >= SURE:
+            n = int(np.searchsorted(begin, at, "right")) - 1
+            out[n].append((at - int(begin[n]), k, end - int(begin[n])))
     return [sorted(o) for o in out]
 
 
-def _decoded(model: Model, x: np.ndarray, head: np.ndarray, stretches: list) -> Iterator[tuple[int, int, int]]:
-    """(place, kind, end) of the spans in the stretches, by one path over each."""
+class _Rows:
+    """Pieces of scores in rows of about one length, each piece between outside places, which part their paths."""
+
+    def __init__(self) -> None:
+        self.rows: dict[int, list[np.ndarray]] = {}
+        self.free: dict[int, int] = {}
+
+    def put(self, score: np.ndarray) -> tuple[int, int, int]:
+        """Length of the row, its number among those, and where in it the piece begins."""
+        n = len(score)
+        size = ROW if n + 2 <= ROW else 2 ** int(n + 1).bit_length()
+        if size not in self.rows or self.free[size] + n + 1 > size:
+            self.rows.setdefault(size, []).append(np.tile(_OUTSIDE, (size, 1)))
+            self.free[size] = 1
+        at = self.free[size]
+        self.rows[size][-1][at : at + n] = score
+        self.free[size] = at + n + 1
+        return size, len(self.rows[size]) - 1, at
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Length, number of the first row, and rows (N, T, K), a bounded number at a time."""
+        for size, group in self.rows.items():
+            many = max(1, (1 << 18) // size)
+            for first in range(0, len(group), many):
+                yield size, first, np.stack(group[first : first + many])
+
+
+def _probabilities(model: Model, found: list[tuple]) -> list[float]:
+    """The mean tag probability of each span, from its characters and ``NEAR`` ones to both sides."""
+    rows, tags = _Rows(), {}
+    at = [rows.put(near) for *_, near in found]
+    for (_, _, _, lead, path, _), (size, row, i) in zip(found, at, strict=True):
+        tags.setdefault((size, row), np.zeros(size, np.int64))[i + lead : i + lead + len(path)] = path
+    sure = {}
+    for size, first, every in rows.parts():
+        for j, p in enumerate(model.sure(every.astype(float), np.stack([tags[size, first + j] for j in range(len(every))]))):
+            sure[size, first + j] = p
+    return [float(sure[size, row][i + lead : i + lead + len(path)].mean()) for (_, _, _, lead, path, _), (size, row, i) in zip(found, at, strict=True)]
+
+
+def _decoded(model: Model, x: np.ndarray, head: np.ndarray, stretches: list) -> list[tuple]:
+    """(place, kind, end) of the spans in the stretches, by one path over each, with their tags and the scores around (and where the span begins in these)."""
     if not stretches:
-        return
+        return []
     some = np.unique(np.concatenate([np.arange(a // STRIDE, (b - 1) // STRIDE + 1) for a, b, _, _ in stretches]))
     score = _scores(model, x, head, some).transpose(2, 0, 1).reshape(-1, len(TAGS))
-    alike: dict[int, list] = {}  # stretches of about the same length are decoded together
+    rows, held, out = _Rows(), {}, []
     for a, b, lo, hi in stretches:
         i = int(np.searchsorted(some, a // STRIDE)) * STRIDE + a % STRIDE  # windows of a stretch are neighbours
-        full = np.tile(_OUTSIDE, (-(-(b - a + 2) // 16) * 16, 1))
-        full[1 : b - a + 1] = score[i : i + b - a]
-        alike.setdefault(len(full), []).append((a - 1, lo, hi, full))
-    for size, group in alike.items():
-        many = max(1, 65536 // size)
-        for part in (group[i : i + many] for i in range(0, len(group), many)):
-            every = np.stack([f for *_, f in part])
-            hits = np.flatnonzero(model.path(every).any(1))  # probabilities are only needed where there is a span
-            if not len(hits):
-                continue
-            paths, sure = model.decode(every[hits].astype(float))
-            for j, path, p in zip(hits, paths, sure, strict=True):
-                at, lo, hi, _ = part[j]
-                yield from ((at + s, k, at + t) for s, k, t in _path_spans(path) if lo <= at + s < hi and p[s:t].mean() >= SURE)
+        size, row, at = rows.put(score[i : i + b - a])
+        held.setdefault((size, row), []).append((at, a, b, lo, hi))
+    for size, first, every in rows.parts():
+        paths = model.path(every)
+        for j in np.flatnonzero(paths.any(1)):
+            for at, a, b, lo, hi in held[size, first + j]:
+                path = paths[j, at : at + b - a]
+                for s, k, t in _path_spans(path):
+                    if lo <= a + s < hi:
+                        near = slice(max(at, at + s - NEAR), min(at + b - a, at + t + NEAR))
+                        out.append((a + s, k, a + t, at + s - near.start, path[s:t].astype(np.int64), every[j, near]))
+    return out
 
 
 _EDGE = " \t\n\r.,;:!?"

@@ -162,14 +162,47 @@ def test_targets_by_the_loop(spark):
 
 def test_permutations_are_permutations():
     for n in (1, 2, 3, 17, 256, 1000):
-        assert sorted(mixing.permute(np.arange(n), n, 5).tolist()) == list(range(n))
+        assert sorted(mixing.permute(np.arange(n), np.full(n, n), np.full(n, 5)).tolist()) == list(range(n))
 
 
-def test_shard_counts_add_up():
-    quota = np.array([100, 3, 0, 897])
-    found = [mixing.shard_counts(quota, 7, k, 1) for k in range(7)]
-    assert sum(c for c, _ in found).tolist() == quota.tolist()
-    assert all((found[k][1] + found[k][0] == found[k + 1][1]).all() for k in range(6))
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, " ".join(["w"] * n), f"s{i}") for i, n in enumerate([40, 80, 120, 200, 250, 300])] + [(10, "", None), (10, "", None), (11, None, "s1"), (0, " ".join(["w"] * 40), "s0")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all() and math.isclose(got.groupby("target")["taken"].sum().sum(), 1030, rel_tol=0.02)
+    for target, g in got.groupby("target"):
+        assert abs(g["taken"].sum() - target * g["source_size"].nunique()) <= max(3, 0.02 * target)
+
+
+def test_taken_by_force(spark, docs):
+    """The blocks that the slots name, cut from each source's words in their order."""
+    counted = mixing._counted(docs)
+    known = mixing.packed(mixing.sources(counted.select("source", (F.col("size") * F.col("copies")).alias("size"))))
+    table = {r["source"]: r for r in known.collect()}
+    slots = mixing.slots(known).collect()
+    assert collections.Counter(r["rank"] for r in slots) == {r["rank"]: r["quota"] for r in table.values() if r["quota"]}
+    assert sorted(r["shard"] * mixing.SHARD + r["slot"] for r in slots) == list(range(len(slots)))
+    times, want = collections.Counter((r["rank"], r["block"]) for r in slots), collections.Counter()
+    assert max(times.values()) <= 3 and all(0 <= b < next(r["blocks"] for r in table.values() if r["rank"] == k) for k, b in times)
+    line = collections.defaultdict(dict)
+    for r in mixing.placed(counted).collect():
+        for k in range(r["size"]):
+            assert line[r["source"]].setdefault(r["at"] + k, r["doc_id"]) == r["doc_id"]
+    for s, words in line.items():
+        assert sorted(words) == list(range(table[s]["source_size"]))
+        for at, i in words.items():
+            want[i] += times[table[s]["rank"], at // table[s]["length"]]
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect() if r["taken"]} == {i: n for i, n in want.items() if n}
+
+
+def test_draws_do_not_depend_on_cells(spark):
+    known = mixing.packed(mixing.sources(spark.createDataFrame([(f"s{i}", 997 * (i + 1)) for i in range(40)], "source string, size long"))).cache()
+    few, many = (collections.Counter(r["rank"] for r in mixing.slots(known, cell=c).collect()) for c in (64, 1 << 20))
+    assert few == many == {r["rank"]: r["quota"] for r in known.collect() if r["quota"]}
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x")).repartition(5)
+    assert sorted((r["x"], r["pos"], r["before"]) for r in mixing.running(rows, [F.col("x")], {"before": F.col("x")}).collect()) == [(i, i, i * (i - 1) // 2) for i in range(1000)]
 
 
 def test_mixed_documents_are_what_the_mix_takes(spark, docs):
@@ -192,6 +225,25 @@ def test_streams_hold_their_payload(texts):
     assert mpegts.demux_bytes(bytes(broken))["errors"] and mpegts.demux_bytes(b"x" * 400)["errors"]
 
 
+def test_tables_over_several_packets_and_repeats(spark):
+    payload = mpegts.payload_of(b"some text" * 500)
+    plain = mpegts.mux_bytes(payload)
+    more = b"\x05\x04abcd" * 40  # descriptors that make the map longer than a packet
+    body = (0xE000 | mpegts.DATA_PID).to_bytes(2, "big") + (0xF000 | len(more)).to_bytes(2, "big") + more + bytes([mpegts.STREAM_TYPE]) + (0xE000 | mpegts.DATA_PID).to_bytes(2, "big") + b"\xf0\x00"
+    section = mpegts._section(2, 1, body)
+    first = mpegts._table_packet(mpegts.PMT_PID, section[:183])
+    second = (bytes([mpegts.SYNC, mpegts.PMT_PID >> 8, mpegts.PMT_PID & 255, 0x11]) + section[183:]).ljust(188, b"\xff")
+    wide = plain[:188] + first + second + plain[376:]
+    d = mpegts.demux_bytes(wide)
+    assert len(section) > 183 and d["payload"] == payload and d["errors"] == 0
+    twice = plain[: 188 * 4] + plain[188 * 3 : 188 * 4] + plain[188 * 4 :]
+    assert mpegts.demux_bytes(twice)["payload"] == payload and mpegts.demux_bytes(twice)["errors"] == 0
+    rows = spark.createDataFrame([(1, "some text" * 2000), (2, None)], "doc_id long, text string")
+    points = {r["doc_id"]: r for r in mpegts.access_points(mpegts.mux(rows)).collect()}
+    said = {r["doc_id"]: r["access"] for r in mpegts.demux(mpegts.mux(rows)).collect()}
+    assert points[1]["access_units"] == [0, 12, 24] and points[1]["access_pts"] == [0, 43200, 86400] and said == {1: "0:0,12:43200,24:86400", 2: "0:0"}
+
+
 def test_languages_of_held_out_rows(spark, docs):
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
     got = [r for r in langid.identify(docs).collect() if r["held_out"]]
@@ -214,6 +266,43 @@ def test_language_model(spark, docs, texts):
     assert sum(got[i]["score"] for i in rows) > sum(none[i] for i in rows) > sum(got[i]["base_score"] for i in rows)
 
 
+def test_language_model_by_force(spark, docs):
+    some = docs.filter("doc_id < 120")
+    plain, salted = (brown.fit(some, size=3000, salted=n) for n in (20_000, 3))
+    assert plain.rounds == salted.rounds and len(plain.rounds) == 1 + brown.ROUNDS and max(plain.rounds) > plain.rounds[0]
+    cls, count = {}, {}
+    for r in plain.packed.join(plain.answers, "chunk").collect():
+        every = np.concatenate([brown._unpack(p["counts"], np.int64) for p in r["parts"]])
+        for w, c, n in zip(np.frombuffer(r["words"], np.uint64).tolist(), brown._classes_of(r["parts"]).tolist(), every.tolist(), strict=True):
+            assert cls.setdefault(w, c) == c and count.setdefault(w, n) == n
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    tokens = {i: [*(brown.xxhash.xxh3_64_intdigest(w.encode()) for w in WORD.findall(t.translate(LOWER))), brown.END] for i, t in texts.items()}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
+    seen, n = collections.Counter(w for i in train for w in tokens[i]), sum(len(tokens[i]) for i in train)
+    assert {w: c for w, c in count.items() if c} == dict(seen)
+    pairs = collections.Counter((cls[a], cls[b]) for i in train for a, b in zip([brown.END, *tokens[i]], tokens[i]))
+    size = collections.Counter()
+    for w, c in seen.items():
+        size[cls[w]] += c
+    share = {c: (size[c] + 1e-9) / (n + brown.CLASSES * 1e-9) for c in range(brown.CLASSES)}
+    unknown = min(0.5, max(sum(c == 1 for c in seen.values()), 0.5) / n)
+    want = {}
+    for i, ws in tokens.items():
+        total, before = 0.0, brown.END_CLASS
+        for w in ws:
+            c = cls[w]
+            if c == brown.CLASSES:
+                p = unknown
+            else:
+                of = share[c] if before == brown.CLASSES else (pairs[before, c] + brown.PULL * share[c]) / (size[before] + brown.PULL)
+                p = of * (1 - unknown) * seen[w] / size[c]
+            total, before = total + math.log10(p), c
+        want[i] = total
+    got = {r["doc_id"]: r["score"] for r in brown.score(some, model=plain).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+    assert not [t for t in spark.catalog.listTables() if t.name == plain.table]
+
+
 def test_class_model_is_a_distribution():
     pairs = np.zeros((brown.CLASSES + 1, brown.CLASSES + 1))
     pairs[:5, :5] = np.arange(25).reshape(5, 5)
@@ -231,6 +320,7 @@ def test_personal_data(spark, docs, texts):
 
 def test_gradients():
     m = pii.Model(3)
+    m.w = {k: v.astype(float) for k, v in m.w.items()}
     x, y = pii.examples(["call +49 (30) 1234567 or write a.b@c.de, 10.0.0.1"] * 3)
     x, y = x[:4, :12], y[:4, :12]
     _, g = m.gradients(x, y)
@@ -245,10 +335,12 @@ def test_gradients():
         assert math.isclose(g[k][i], (a - b) / 2e-5, rel_tol=1e-4, abs_tol=1e-7)
 
 
-def test_windows_agree_with_one_long_one():
-    m = pii.Model(1)
-    spans = pii.model_spans(m, ["", "no digits here", "x" * 200 + " 10.0.0.1 " + "y" * 200])
-    assert spans[0] == spans[1] == []
+def test_emissions_are_those_of_the_states():
+    m = pii.Model(4)
+    x, _ = pii.examples(["call +49 (30) 1234567 or write a.b@c.de, 10.0.0.1"] * 3)
+    hs, _ = m.states(x[:5])
+    want = np.concatenate([hs[0], hs[1][::-1]], -1).transpose(1, 0, 2) @ m.w["out"] + m.w["bias"]
+    assert np.allclose(m.emissions(x[:5]).transpose(2, 0, 1), want, atol=1e-4)
 
 
 def test_secret_windows_and_allow_list(spark):
@@ -359,28 +451,101 @@ def test_sentences_without_a_cue(spark):
     assert (out["n_sentences"], out["licenses"]) == (1, "Free")
 
 
-def test_written_out_personal_data_is_found():
-    import pyarrow.parquet as pq
-
-    some = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t and any(c in t for c in "0123456789@")]
-    model = pii.Model().fit(*pii.examples(some[: pii.SAMPLE_ROWS]))
+@pytest.fixture(scope="module")
+def trained(texts):
+    some = [t for t in texts.values() if t and any(c in t for c in "0123456789@")]
+    return pii.Model().fit(*pii.examples(some[: pii.SAMPLE_ROWS]))
+
+
+def test_added_spans_of_held_out_rows(trained, texts):
+    """Personal data that no pattern finds, one in each of 200 texts that were not learned from."""
+    r, some = np.random.default_rng(5), [t for t in texts.values() if t and " " in t][-200:]
+    right = found = 0
+    for t in some:
+        kind, v = pii._written(r)
+        i = int(r.choice([m.start() for m in re.finditer(" ", t)]))
+        put = t[:i] + " " + v + t[i:]
+        base = pii.base_spans(put)
+        got = [x for x in pii.added(put, pii.model_spans(trained, [put])[0]) if not any(x[0] < e and s < x[2] for s, _, e in base)]
+        found += len(got)
+        right += (i + 1, kind, i + 1 + len(v)) in got
+    assert right / len(some) >= 0.75 and right / found >= 0.9
+
+
+def test_pieces_are_one_path(trained, texts):
+    some = [t for t in texts.values() if t][:40] + ["we met there and jane dot doe at example dot com was the address"]
+    x, head = pii._windows(some)
+    score = pii._scores(trained, x, head, np.arange(len(x))).transpose(2, 0, 1).reshape(-1, len(pii.TAGS)).copy()
+    score[x[:, : pii.STRIDE].ravel() == 14] = pii._OUTSIDE
+    every = np.concatenate([pii._OUTSIDE[None], score, pii._OUTSIDE[None]])[None]
+    path = trained.path(every)[0, 1:-1]
+    for k in range(len(pii.KINDS)):
+        lead = score[:, 0] - score[:, 1 + 2 * k : 3 + 2 * k].max(1)
+        for block in (97, 1 << 16):
+            is_open = pii._open(lead, pii._gain(trained.w["trans"], k), block)
+            assert not ((path[~is_open] == 1 + 2 * k) | (path[~is_open] == 2 + 2 * k)).any()
+    begin = np.append(np.flatnonzero(head), len(head)) * pii.STRIDE
+    want = [[] for _ in some]
+    for s, k, e in pii._path_spans(path):
+        n = int(np.searchsorted(begin, s, "right")) - 1
+        want[n].append((s - int(begin[n]), k, e - int(begin[n])))
+    got = pii.model_spans(trained, some)
+    assert all(set(g) <= set(w) for g, w in zip(got, want, strict=True)) and any(got)
+
+
+def test_stretches_cover_all_places():
+    keep = np.concatenate([np.arange(5, 9), np.arange(100, 100 + 3 * pii.PIECE)])
+    parts = list(pii._stretches(keep))
+    assert sorted(i for _, _, lo, hi in parts for i in range(lo, hi)) == keep.tolist() and all(b - a <= pii.PIECE + pii.MARGIN for a, b, _, _ in parts)
+
+
+def test_windows_do_not_depend_on_neighbours(trained):
+    texts = ["", "no digits here", "x " * 300 + "write to name (at) host.org " + "y " * 200]
+    assert [pii.model_spans(trained, [t])[0] for t in texts] == pii.model_spans(trained, texts)
+
+
+def test_written_out_data_is_spelled():
+    assert pii.spelled("email", "jane dot doe at example dot com") and pii.spelled("ip", "10 [.] 0 (dot) 0 dot 17") and pii.spelled("phone", "plus four nine three zero one two three four five")
+    assert not pii.spelled("email", "at home") and not pii.spelled("ip", "300 dot 1 dot 1 dot 1") and not pii.spelled("card", "one two three")
+
+
+def test_unknown_languages_are_rejected(spark, docs):
+    rows = [(10**7, "Привет как дела сегодня хорошо", None, "s", 1), (10**7 + 1, "中文文本没有学过的语言", None, "s", 1), (10**7 + 2, "12 ?", None, "s", 1)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in langid.keep_known(more).collect()}
+    assert 10**7 + 2 not in kept and kept >= {r["doc_id"] for r in docs.collect()}
+    english = {r["doc_id"] for r in langid.keep_known(docs, languages=("en",)).collect()}
+    assert english == {r["doc_id"] for r in langid.predict(docs, langid.train(docs)).filter("lang_pred = 'en'").collect()}
+    unlabelled = spark.createDataFrame([(1, "words", None), (2, "12", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in langid.keep_known(unlabelled).collect()] == [1]
+
+
+def test_long_candidates_and_many_matches(spark):
+    r = random.Random(1)
+    long = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    got = {x["doc_id"]: x for x in secrets.digest(secrets.scan(spark.createDataFrame([(1, f"key {long} end"), (2, "token=abcdef123 " * 100_000)], "doc_id long, text string"))).collect()}
+    assert got[1]["spans"] == "entropy_base64:4:1000004"
+    assert got[2]["n_assign"] == 100_000 and got[2]["spans"].endswith(f"assign:{99_999 * 16}:{99_999 * 16 + 15}")
+
+
+def test_notices_headers_and_lines(spark):
     cases = {
-        "we met there and jane dot doe at example dot com was the address to use": ("email", "jane dot doe at example dot com"),
-        "please write to name (at) host.org for more": ("email", "name (at) host.org"),
-        "call plus four nine three zero one two three four five six seven in the morning": ("phone", "plus four nine three zero one two three four five six seven"),
-        "the server 10 dot 0 dot 0 dot 17 is down again": ("ip", "10 dot 0 dot 0 dot 17"),
+        "This project is released under the MIT License, see LICENSE.": "MIT",
+        "// SPDX-License-Identifier: LGPL-2.1-or-later\nint main;": "LGPL-2.1-or-later",
+        "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        GPL.format(";", ";", 3).replace("GNU General Public License as", "GNU Affero General Public License as"): "AGPL-3.0-or-later",
+        GPL.format(";", ";", "2.1").replace("This program", "This library").replace("GNU General Public License as", "GNU Lesser General Public License as"): "LGPL-2.1-or-later",
+        "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        "                                 Apache License\n                           Version 2.0, January 2004": "Apache-2.0",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "Available under CC0 1.0.": "CC0-1.0",
     }
-    found = {t: [(pii.KINDS[k], t[s:e]) for s, k, e in x] for t, x in zip(cases, pii.model_spans(model, list(cases)), strict=True)}
-    assert found == {t: [w] for t, w in cases.items()}
-
-
-def test_pieces_are_one_path(texts):
-    some = [t for t in texts.values() if t][:40]
-    for seed, lead in ((1, 1.5), (2, 0.8), (3, 2.5)):
-        m = pii.Model(seed)
-        m.w["bias"][0] = lead
-        score = np.concatenate([s for _, s in pii._scores(m, some)])
-        every = np.concatenate([pii._OUTSIDE[None], score, pii._OUTSIDE[None]])[None]
-        path = m.path(every)[0, 1:-1]
-        is_open = pii._open(score, pii._gain(m.w["trans"]))
-        assert not path[~is_open].any() and (m.decode(every.astype(float))[0][0, 1:-1] == path).mean() > 0.999
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    assert [r["licenses"] for r in licenses.scan(docs).orderBy("doc_id").collect()] == list(cases.values())
+    fired = spark.createDataFrame([(i, " ".join(rule)) for i, (_, _, rule) in enumerate(licenses.RULES)], "doc_id long, ids string").collect()
+    texts = {k: s for k, s in reversed(licenses.SENTENCES)}
+    each = spark.createDataFrame([(r["doc_id"], "\n".join(texts[k] for k in r["ids"].split())) for r in fired if all(k in texts for k in r["ids"].split())], "doc_id long, text string")
+    assert each.count() == len(licenses.RULES)
+    for r in licenses.scan(each).collect():
+        assert licenses.RULES[r["doc_id"]][0] in r["licenses"].split(",")
