@@ -113,12 +113,12 @@ class Liquidity:
 
 
 def participation(moves: DataFrame, adv: DataFrame, aum: tuple[float, ...]) -> DataFrame:
-    """moves for each AUM with the share of the name's ADV that is traded; ``illiquid`` (ADV missing) trades have none."""
+    """moves for each AUM with the share of the name's ADV that is traded; that of ``illiquid`` trades (ADV missing) is infinite."""
     if not aum or min(aum) <= 0:
         raise ValueError("aum is positive")
     rows = moves.join(adv.select("date", "ticker", F.when(F.col("adv20") > 0, F.col("adv20")).alias("adv")), ["date", "ticker"], "left").withColumn("aum", F.explode(F.array(*(F.lit(float(a)) for a in aum))))
     traded = F.abs("dw") > 0
-    return rows.withColumns({"illiquid": traded & F.col("adv").isNull(), "participation": F.when(~traded, 0.0).otherwise(F.try_divide(F.abs("dw") * F.col("aum"), "adv"))})
+    return rows.withColumns({"illiquid": traded & F.col("adv").isNull(), "participation": F.when(~traded, 0.0).when(traded & F.col("adv").isNull(), float("inf")).otherwise(F.try_divide(F.abs("dw") * F.col("aum"), "adv"))})
 
 
 def liquidity_costs(parts: DataFrame, model: Liquidity = Liquidity()) -> DataFrame:

@@ -60,7 +60,8 @@ def alerts(quality: DataFrame, floor: float = 70.0) -> DataFrame:
 
 def mean_differences(a: DataFrame, b: DataFrame, most: float = 0.01) -> DataFrame:
     """ticker, column, difference of two versions of the bars where the columns' means differ by more than ``most``."""
-    long_ = lambda d, n: d.groupBy("ticker").agg(*(F.avg(c).alias(c) for c in PRICES)).unpivot(["ticker"], list(PRICES), "column", n)
+    columns = [c for c in (*PRICES, "volume") if c in a.columns and c in b.columns]
+    long_ = lambda d, n: d.groupBy("ticker").agg(*(F.avg(c).alias(c) for c in columns)).unpivot(["ticker"], columns, "column", n)
     rows = long_(a, "x").join(long_(b, "y"), ["ticker", "column"])
     return rows.withColumn("difference", F.abs(F.col("x") - F.col("y"))).filter(F.col("difference") > most).drop("x", "y")
 

@@ -38,7 +38,7 @@ def ic_correlation(ics: DataFrame, keep: float = 0.5) -> DataFrame:
 def clusters(names: DataFrame, corr: DataFrame, threshold: float = 0.75) -> DataFrame:
     """factor, cluster, cluster_size, members: components of pairs that are unverified or correlate at the threshold.
 
-    A recursive query reaches from each factor to all it is connected with; there are as many factors as
+    The edges between factors come to the driver, where labels are passed on: there are as many factors as
     somebody has written, so this is small.
     """
     if not 0 <= threshold <= 1:
@@ -167,8 +167,20 @@ def representatives(quality: DataFrame) -> DataFrame:
     return quality.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
 
-def t_test_selection(tests: DataFrame, n: int = 10) -> DataFrame:
-    """The n factors with the best 0.45 * share of |mean| + 0.45 * share of |t| + 0.10 if significant."""
-    share = lambda c: mean_rank(F.abs(c), ()) / F.count(c).over(Window.partitionBy())
-    rows = tests.withColumn("score", 0.45 * share("mean") + 0.45 * share("t") + 0.10 * F.col("significant").cast("double"))
-    return rows.orderBy(F.col("score").desc(), F.abs("t").desc(), "factor").limit(n)
+def t_test_selection(tests: DataFrame, n: int = 10, positive: bool = True, significant: bool = False) -> DataFrame:
+    """The n factors with the best 0.45 * rank share of the mean + 0.45 * rank share of |t| + 0.10 if significant.
+
+    Only factors with a positive mean take part (unless ``positive`` is off), ranked by their mean; where there are fewer than n of these,
+    all take part, ranked by |mean|. With ``significant`` the others are left out after the ranking. Ties go by |mean|, |t|, name.
+    """
+    if n <= 0:
+        raise ValueError("n is positive")
+    every = Window.partitionBy()  # a row a factor
+    fits = (F.col("mean") > 0) if positive else F.lit(True)
+    rows = tests.withColumn("_enough", F.count_if(fits).over(every) >= n).filter(~F.col("_enough") | fits)
+    rows = rows.withColumns({"_by": F.when(F.col("_enough"), F.col("mean")).otherwise(F.abs("mean")), "_t": F.abs("t")})
+    share = lambda c: mean_rank(F.col(c), ()) / F.count(c).over(every)
+    rows = rows.withColumn("score", 0.45 * share("_by") + 0.45 * share("_t") + 0.10 * F.col("significant").cast("double"))
+    if significant:
+        rows = rows.filter("significant")
+    return rows.orderBy(F.col("score").desc(), F.abs("mean").desc(), F.abs("t").desc(), "factor").limit(n).drop("_enough", "_by", "_t")

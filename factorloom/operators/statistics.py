@@ -57,13 +57,13 @@ def evidence(ics: DataFrame, null: DataFrame, horizon: int) -> DataFrame:
     """For each factor: n, mean, se (of the null), z, n_eff, naive_t, p (own null), p_family (largest |z| of each draw)."""
     se = null.groupBy("factor").agg(F.stddev_samp("mean").alias("se"))
     real = ics.groupBy("factor").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"))
-    rows = real.join(se, "factor").withColumns({"z": F.try_divide("mean", "se"), "n_eff": F.col("n") / horizon, "naive_t": F.try_divide("mean", F.col("sd") / F.sqrt("n"))})
+    rows = real.join(se, "factor").withColumns({"z": F.when((F.col("se") == 0) & (F.col("mean") != 0), F.signum("mean") * float("inf")).otherwise(F.try_divide("mean", "se")), "n_eff": F.col("n") / horizon, "naive_t": F.try_divide("mean", F.col("sd") / F.sqrt("n"))})
     zs = null.join(se, "factor").withColumn("z0", F.abs(F.try_divide("mean", "se")))
     most = zs.groupBy("draw").agg(F.max("z0").alias("z0"))
     own = zs.select("factor", "z0").join(rows.select("factor", "z"), "factor").groupBy("factor").agg(((1 + F.count_if(F.col("z0") >= F.abs("z"))) / (1 + F.count("*"))).alias("p"))
     # the draws are few, as their number is a parameter
     family = most.join(F.broadcast(rows.select("factor", "z")), F.lit(True)).groupBy("factor").agg(((1 + F.count_if(F.col("z0") >= F.abs("z"))) / (1 + F.count("*"))).alias("p_family"))
-    return rows.join(own, "factor").join(family, "factor").withColumn("verdict", F.when(F.col("p_family") <= 0.05, "PASS").otherwise("REJECT")).drop("sd")
+    return rows.join(own, "factor").join(family, "factor").withColumn("verdict", F.when(F.col("p_family") <= 0.05, "PASS").otherwise("REJECT")).withColumn("within_10_percent", F.col("p_family") <= 0.10).drop("sd")
 
 
 def z_outliers(df: DataFrame, x: str, by: str, k: float = 3.0) -> DataFrame:

@@ -335,7 +335,7 @@ moves AS (SELECT *, w - coalesce(lag(w) OVER (PARTITION BY ticker ORDER BY pos),
 daily AS (SELECT date, pos, sum(w * ret) AS gross, sum(abs(dw)) AS turnover FROM moves GROUP BY ALL)"""
 NET = "net AS (SELECT date, pos, c AS cost_bps, gross, turnover, gross - turnover * c / 10000 AS net FROM daily, (SELECT unnest([{costs}]) AS c))"
 WEALTH = "wealth AS (SELECT *, product(1 + net) OVER (PARTITION BY cost_bps ORDER BY pos) AS wealth FROM net), dd AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY cost_bps ORDER BY pos) - 1 AS drawdown FROM wealth)"
-PART = """parts AS (SELECT m.*, a.aum, abs(dw) > 0 AND NOT coalesce(adv20 > 0, false) AS illiquid, CASE WHEN abs(dw) = 0 THEN 0.0 WHEN adv20 > 0 THEN abs(dw) * aum / adv20 END AS participation FROM moves m, (SELECT unnest([{aum}]) AS aum) a),
+PART = """parts AS (SELECT m.*, a.aum, abs(dw) > 0 AND NOT coalesce(adv20 > 0, false) AS illiquid, CASE WHEN abs(dw) = 0 THEN 0.0 WHEN adv20 > 0 THEN abs(dw) * aum / adv20 WHEN abs(dw) > 0 THEN CAST('Infinity' AS DOUBLE) END AS participation FROM moves m, (SELECT unnest([{aum}]) AS aum) a),
 costs AS (SELECT *, abs(dw) * (0.0005 + 0.01 * sqrt(CASE WHEN illiquid THEN 0.2 ELSE least(participation, 0.2) END)) AS cost FROM parts)"""
 
 
@@ -384,9 +384,9 @@ def _portfolio() -> dict[str, str]:
         "pf_cost_stress": f"{w}, {b}, {MOVES}, {stress}, {WEALTH} SELECT cost_bps, round(avg(net) * 252, 5) AS annualized_return, round(stddev_samp(net) * sqrt(252), 5) AS annualized_volatility, round({perf}, 5) AS sharpe, round(min(drawdown), 5) AS max_drawdown FROM dd GROUP BY cost_bps",
         "pf_sortino_calmar_winrate": f"{w}, {b}, {MOVES}, {net}, {WEALTH} SELECT cost_bps, round(avg(net) * 252 / nullif(stddev_samp(least(net, 0)) * sqrt(252), 0), 5) AS sortino, round(avg(net) * 252 / nullif(abs(min(drawdown)), 0), 5) AS calmar, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 5) AS win_rate, count(net) AS n FROM dd GROUP BY cost_bps",
         "subperiod_perf": f"{w}, {b}, {MOVES}, {net} SELECT CAST(year(date) AS VARCHAR) AS label, round(avg(net) * 252, 5) AS annualized_return, round(stddev_samp(net) * sqrt(252), 5) AS annualized_volatility, round({perf}, 5) AS sharpe FROM net GROUP BY year(date)",
-        "pf_participation": f"{w}, {b}, {MOVES}, {PART.format(aum='1e7')} SELECT date, ticker, illiquid, round(participation, 5) AS participation FROM parts",
+        "pf_participation": f"{w}, {b}, {MOVES}, {PART.format(aum='1e7')} SELECT date, ticker, illiquid, round(CASE WHEN NOT illiquid THEN participation END, 5) AS participation FROM parts",
         "pf_liquidity_cost": f"{w}, {b}, {MOVES}, {grid} SELECT aum, date, round(sum(cost), 6) AS cost FROM costs GROUP BY ALL",
-        "pf_capacity": f"{w}, {b}, {MOVES}, {grid}, dn AS (SELECT aum, date, sum(w * ret) - sum(cost) AS net, sum(cost) AS cost, max(participation) FILTER (abs(dw) > 0) AS p, count_if(illiquid OR coalesce(abs(dw) > 0 AND participation > 0.2, false)) AS br FROM costs GROUP BY ALL) SELECT aum, round(avg(net) * 252, 5) AS annualized_return, round(avg(cost), 5) AS average_daily_cost, round(max(p), 5) AS max_participation, CAST(sum(br) AS BIGINT) AS capacity_breach_trades, round({perf}, 5) AS net_sharpe FROM dn GROUP BY aum",
+        "pf_capacity": f"{w}, {b}, {MOVES}, {grid}, dn AS (SELECT aum, date, sum(w * ret) - sum(cost) AS net, sum(cost) AS cost, max(participation) FILTER (abs(dw) > 0) AS p, count_if(illiquid OR coalesce(abs(dw) > 0 AND participation > 0.2, false)) AS br FROM costs GROUP BY ALL) SELECT aum, round(avg(net) * 252, 5) AS annualized_return, round(avg(cost), 5) AS average_daily_cost, round(CASE WHEN max(p) < 1e300 THEN max(p) END, 5) AS max_participation, coalesce(max(p) >= 1e300, false) AS unbounded, CAST(sum(br) AS BIGINT) AS capacity_breach_trades, round({perf}, 5) AS net_sharpe FROM dn GROUP BY aum",
         "pf_exposure": f"{w}, {b} SELECT date, industry, round(sum(w), 6) AS exposure FROM targets JOIN ind USING (ticker) GROUP BY ALL",
         "pf_max_exposure": f"{w}, {b} SELECT date, round(max(abs(e)), 6) AS max_abs_exposure FROM (SELECT date, industry, sum(w) AS e FROM targets JOIN ind USING (ticker) GROUP BY ALL) GROUP BY date",
         "pf_rebalance_tradeoff": tradeoff,
@@ -412,9 +412,9 @@ o AS (SELECT *, 0.3 * completeness + 0.3 * validity + 0.2 * timeliness + 0.2 * c
         "stat_outlier_z": f"{bars}, q AS (SELECT ticker, avg(close) AS m, stddev_samp(close) AS s FROM bars GROUP BY ticker) SELECT date, ticker, coalesce(abs(close - m) / nullif(s, 0) > 2, false) AS outlier FROM bars JOIN q USING (ticker)",
         "stat_outlier_dbscan": f"{bars}, q AS (SELECT ticker, avg(close) AS m, nullif(stddev_pop(close), 0) AS s FROM bars GROUP BY ticker), z AS (SELECT date, ticker, (close - m) / s AS z FROM bars JOIN q USING (ticker)), core AS (SELECT a.ticker, a.date, a.z FROM z a JOIN z b ON b.ticker = a.ticker AND b.z BETWEEN a.z - 0.05 AND a.z + 0.05 GROUP BY ALL HAVING count(*) >= 5) SELECT date, ticker, z IS NOT NULL AND NOT EXISTS (SELECT 1 FROM core c WHERE c.ticker = z.ticker AND c.z BETWEEN z.z - 0.05 AND z.z + 0.05) AS outlier FROM z",
         "dq_scores": score + " SELECT ticker, rows, round(completeness, 5) AS completeness, round(validity, 5) AS validity, round(timeliness, 5) AS timeliness, consistency, round(overall, 5) AS overall, CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 80 THEN 'Good' WHEN overall >= 70 THEN 'Fair' WHEN overall >= 60 THEN 'Poor' ELSE 'Critical' END AS label FROM o",
-        "dq_alerts": score + " SELECT ticker, c || ' is low' AS message, CASE WHEN v < 40 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT ticker, unnest(['completeness', 'validity', 'timeliness', 'overall']) AS c, unnest([completeness, validity, timeliness, overall]) AS v FROM o) WHERE v < 80",
+        "dq_alerts": score + " SELECT ticker, c || ' is low' AS message, CASE WHEN v < 50 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT ticker, unnest(['completeness', 'validity', 'timeliness', 'overall']) AS c, unnest([completeness, validity, timeliness, overall]) AS v FROM o) WHERE v < 100",
         "dq_gaps": f"{bars} SELECT ticker, date, CAST(gap AS INTEGER) AS gap_days FROM (SELECT a.ticker, a.date, date_diff('day', max(b.date), a.date) AS gap FROM bars a JOIN bars b ON b.ticker = a.ticker AND b.date < a.date GROUP BY a.ticker, a.date) WHERE gap > 14",
-        "dq_consistency": f"{bars}, {quart(*prices)}, m AS (SELECT ticker, " + ", ".join(f"abs(avg({c}) - avg({clip(c)})) AS d_{c}" for c in prices) + " FROM bars JOIN q USING (ticker) GROUP BY ticker) SELECT ticker, c AS \"column\", round(d, 4) AS difference FROM (SELECT ticker, unnest(['open', 'high', 'low', 'close']) AS c, unnest([d_open, d_high, d_low, d_close]) AS d FROM m) WHERE d > 0.01",
+        "dq_consistency": f"{bars}, {quart(*prices, 'volume')}, m AS (SELECT ticker, " + ", ".join(f"abs(avg({c}) - avg({clip(c)})) AS d_{c}" for c in (*prices, "volume")) + " FROM bars JOIN q USING (ticker) GROUP BY ticker) SELECT ticker, c AS \"column\", round(d, 4) AS difference FROM (SELECT ticker, unnest(['open', 'high', 'low', 'close', 'volume']) AS c, unnest([d_open, d_high, d_low, d_close, d_volume]) AS d FROM m) WHERE d > 0.01",
         "clean_ohlc": f"{bars} SELECT ticker, date, round(open, 6) AS open, round(greatest(open, close), 6) AS high, round(least(open, close, low), 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM (SELECT ticker, date, open, open AS high, close AS low, close, volume FROM bars)",
         "clean_volume": f"{bars}, m AS (SELECT ticker, median(volume) AS m FROM bars WHERE volume >= 20 GROUP BY ticker) SELECT date, ticker, round(CASE WHEN volume >= 20 THEN volume ELSE m END, 6) AS volume FROM bars LEFT JOIN m USING (ticker)",
         "clean_fill": f"{bars} SELECT a.date, a.ticker, round(coalesce({prev('close')}, {nxt('close')}), 6) AS close, round(coalesce({prev('volume')}, {nxt('volume')}), 6) AS volume FROM dense a",

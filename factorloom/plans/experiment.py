@@ -88,7 +88,7 @@ def validate_formula(panel: DataFrame, text: str, horizons: tuple[int, ...] = (1
 def walk_forward(panel: DataFrame, factors: DataFrame, industry: DataFrame, spec: WalkForward) -> Result:
     """Out-of-sample scores and portfolios: each fold selects and weighs factors by its training dates only.
 
-    ICs don't depend on the fold, so they are made once and joined to the folds; one job selects for all folds.
+    ICs don't depend on the fold, so they are made once and joined to the folds; each fold's selection is one small job over the ICs.
     """
     folds = sel.purged_folds(panel, spec.min_train, spec.test_size, spec.step, spec.horizon, embargo=spec.embargo)
     ics = ev.ic(factors, ev.forward_returns(panel, (spec.horizon,)), min_names=spec.min_names)

@@ -37,7 +37,15 @@ OPERATORS = {
     "abs": (1, 0, "absolute value"),
 }
 MAX_LENGTH = 2000
-#: The benchmark formulas of a validation run.
+#: The benchmark formulas and horizons of a validation run.
+BENCHMARKS = {
+    "alpha101_012": "sign(delta(volume,1)) * (-delta(close,1))",
+    "alpha101_101": "(close - open) / ((high - low) + 0.001)",
+    "reversal_5d": "-(close / delay(close,5) - 1)",
+    "momentum_126d": "delay(close,5) / delay(close,126) - 1",
+}
+HORIZONS = (1, 5, 10, 21, 42)
+#: Formulas that the queries evaluate.
 DEFAULTS = {
     "reversal_5": "-delta(close, 5) / delay(close, 5)",
     "volatility_20": "-stddev(returns, 20)",

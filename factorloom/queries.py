@@ -465,7 +465,8 @@ AUM = (1e6, 1e7, 1e8)
 @query
 def pf_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, m = _moves(spark, sf_dir)
-    return _rounded(pf.participation(m, s, (1e7,)).select("date", "ticker", "illiquid", "participation"), 5)
+    parts = pf.participation(m, s, (1e7,))  # of illiquid trades infinite: here null, as the flag says it
+    return _rounded(parts.select("date", "ticker", "illiquid", F.when(~F.col("illiquid"), F.col("participation")).alias("participation")), 5)
 
 
 @query
@@ -478,7 +479,9 @@ def pf_liquidity_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pf_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, m = _moves(spark, sf_dir)
-    return _rounded(pf.capacity(pf.participation(m, s, AUM)), 5)
+    rows = pf.capacity(pf.participation(m, s, AUM))
+    unbounded = F.coalesce(F.col("max_participation") == float("inf"), F.lit(False))
+    return _rounded(rows.withColumns({"unbounded": unbounded, "max_participation": F.when(~unbounded, F.col("max_participation"))}), 5)
 
 
 @query
@@ -569,7 +572,7 @@ def dq_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.alerts(quality.scores(_bars(spark, sf_dir), 357, "1998-12-15", 14.0), 80.0)
+    return quality.alerts(quality.scores(_bars(spark, sf_dir), 357, "1998-12-15", 14.0), 100.0)
 
 
 @query

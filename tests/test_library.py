@@ -156,3 +156,24 @@ def test_quantile_buckets_are_even(spark):
     df = spark.createDataFrame([(day(0), f"T{i:03}", float(i)) for i in range(83)], "date date, ticker string, value double")
     counts = [r["count"] for r in crosssection.buckets(df).groupBy("bucket").count().collect()]
     assert sorted(counts) == [16, 16, 17, 17, 17]
+
+
+def test_t_test_selection(spark):
+    from factorloom.operators import selection
+
+    rows = [("a", 0.03, 1.0, False), ("b", 0.02, 3.0, True), ("c", -0.05, -4.0, True), ("d", 0.01, 2.0, False)]
+    tests = spark.createDataFrame(rows, "factor string, mean double, t double, significant boolean")
+    pick = lambda **k: [r["factor"] for r in selection.t_test_selection(tests, **k).collect()]
+    # among a, b, d: a has 0.45 * 3/3 + 0.45 * 1/3, b 0.45 * 2/3 + 0.45 + 0.1, d 0.45 * 1/3 + 0.45 * 2/3
+    assert pick(n=2) == ["b", "a"] and pick(n=3) == ["b", "a", "d"]
+    assert pick(n=4) == ["c", "b", "a", "d"]  # too few positive ones: all, by |mean|
+    assert pick(n=1, positive=False) == ["b"] and pick(n=2, significant=True) == ["b"]
+
+
+def test_illiquid_trades_are_infinite_shares(spark):
+    from factorloom.operators import portfolio
+
+    moves = spark.createDataFrame([("2020-01-01", "a", 0.5), ("2020-01-01", "b", 0.5), ("2020-01-01", "c", 0.0)], "date string, ticker string, dw double")
+    adv = spark.createDataFrame([("2020-01-01", "a", 100.0)], "date string, ticker string, adv20 double")
+    got = {r["ticker"]: (r["illiquid"], r["participation"]) for r in portfolio.participation(moves, adv, (10.0,)).collect()}
+    assert got == {"a": (False, 0.05), "b": (True, float("inf")), "c": (False, 0.0)}
