@@ -40,9 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder, with its lineage cut: lost executors don't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written once to the shared folder, with its lineage cut: lost executors don't lose it.
+
+    Shuffle files and older checkpoints that only the cut lineage referred to are deleted when the driver's JVM collects
+    garbage. It may go without for many rounds of a loop, and their files would pile up; so it is asked to.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def fold(doc_id: str | Column, k: int = 5) -> Column:
