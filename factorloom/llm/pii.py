@@ -455,8 +455,10 @@ def _stretches(keep: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
             yield max(lo, a - MARGIN), min(hi, a + PIECE), a, min(hi, a + PIECE - MARGIN)
 
 
-def model_spans(model: Model, texts: list[str], step: int = 1024) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) that the model finds in each text, by start."""
+def model_spans(model: Model, texts: list[str], step: int = 512) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) that the model finds in each text, by start. Windows are run ``step`` at a time: with many more,
+    numpy deals each small product to several threads, which then wait for each other at every character.
+    """
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not texts:
         return out
