@@ -456,8 +456,8 @@ def _stretches(keep: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def model_spans(model: Model, texts: list[str], step: int = 512) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) that the model finds in each text, by start. Windows are run ``step`` at a time: with many more,
-    numpy deals each small product to several threads, which then wait for each other at every character.
+    """(start, kind, end) that the model finds in each text, by start. Windows are run ``step`` at a time: arrays stay small, and
+    where numpy may use several threads, its products stay too small to be dealt to them.
     """
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not texts:
