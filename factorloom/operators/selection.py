@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factorloom.operators import redundancy
 from factorloom.operators.crosssection import mean_rank
 from factorloom.operators.evaluation import pearson
 
@@ -15,14 +16,7 @@ def value_correlation(factors: DataFrame, min_names: int = 30, min_dates: int =
 
     A date counts if ``min_names`` names have both; ranks are taken among these names. One row per pair, left < right.
     """
-    x = factors.filter("value is not null")
-    a = x.select("date", "ticker", F.col("factor").alias("left"), F.col("value").alias("u"))
-    b = x.select("date", "ticker", F.col("factor").alias("right"), F.col("value").alias("v"))
-    key = ("date", "left", "right")
-    pairs = a.join(b, ["date", "ticker"]).filter("left < right")
-    pairs = pairs.withColumns({"x": mean_rank(F.col("u"), key), "y": mean_rank(F.col("v"), key)})
-    daily = pairs.groupBy(*key).agg(F.count("*").alias("names"), pearson("x", "y").alias("c"))
-    daily = daily.filter((F.col("names") >= min_names) & F.col("c").isNotNull())
+    daily = redundancy.daily_correlation(factors, min_names)
     out = daily.groupBy("left", "right").agg(F.percentile("c", F.lit(0.5)).alias("value"), F.count("*").alias("n"))
     return out.withColumn("verified", F.col("n") >= min_dates)
 
@@ -36,31 +30,9 @@ def ic_correlation(ics: DataFrame, keep: float = 0.5) -> DataFrame:
 
 
 def clusters(names: DataFrame, corr: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """factor, cluster, cluster_size, members: components of pairs that are unverified or correlate at the threshold.
-
-    The edges between factors come to the driver, where labels are passed on: there are as many factors as
-    somebody has written, so this is small.
-    """
-    if not 0 <= threshold <= 1:
-        raise ValueError("threshold is within [0, 1]")
-    spark = names.sparkSession
+    """factor, cluster, cluster_size, members: components of pairs that are unverified or correlate at the threshold."""
     both = names.select(F.col("factor").alias("left")).join(names.select(F.col("factor").alias("right")), F.col("left") < F.col("right"))
-    edge = ~F.coalesce("verified", F.lit(False)) | F.coalesce(F.abs("value") >= threshold, F.lit(False))
-    edges = both.join(corr, ["left", "right"], "left").filter(edge).select("left", "right")
-    every = edges.unionByName(edges.select(F.col("right").alias("left"), F.col("left").alias("right")))
-    # least label over neighbours until nothing changes; a label travels at least one step a round
-    label = {r["factor"]: r["factor"] for r in names.select("factor").distinct().collect()}
-    links = [(r["left"], r["right"]) for r in every.collect()]
-    changed = True
-    while changed:
-        changed = False
-        for a, b in links:
-            if label[b] < label[a]:
-                label[a], changed = label[b], True
-    roots = sorted(set(label.values()))
-    rows = spark.createDataFrame([(f, roots.index(r)) for f, r in label.items()], "factor string, cluster int")
-    groups = rows.groupBy("cluster").agg(F.count("*").alias("cluster_size"), F.array_join(F.sort_array(F.collect_list("factor")), "|").alias("members"))
-    return rows.join(groups, "cluster").select("factor", "cluster", "cluster_size", "members")
+    return redundancy.clusters(names, both.join(corr, ["left", "right"], "left"), threshold, ()).select("factor", "cluster", "cluster_size", "members")
 
 
 def purged_folds(calendar: DataFrame, min_train: int, test_size: int, step: int, horizon: int, purge: int | None = None, embargo: int = 0, max_train: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ dense AS (SELECT c.date, c.pos, t.ticker, b.open, b.high, b.low, b.close, b.volu
 PANEL = BARS.format(grain="week") + """,
 p0 AS (SELECT date, pos, ticker, open, high, low, close, (open + high + low + close) / 4 AS vwap, volume AS reported_volume FROM dense),
 p1 AS (SELECT *, vwap * reported_volume AS volume FROM p0),
-panel AS (SELECT *, CASE WHEN count(volume) OVER w = 20 THEN sum(volume) OVER w / 20 END AS adv20,
+panel AS MATERIALIZED (SELECT *, CASE WHEN count(volume) OVER w = 20 THEN sum(volume) OVER w / 20 END AS adv20,
   close / lag(close) OVER (PARTITION BY ticker ORDER BY pos) - 1 AS returns FROM p1
   WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS 19 PRECEDING)),
 ind AS (SELECT CAST(s_suppkey AS BIGINT) AS ticker, r_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -30,7 +30,7 @@ class Q:
 
     def _next(self, body: str) -> str:
         name = f"c{self.k}"
-        self.ctes.append(f"t{self.k} AS ({body.format(c=name, at=self.at)})")
+        self.ctes.append(f"t{self.k} AS MATERIALIZED ({body.format(c=name, at=self.at)})")
         self.at, self.k = f"t{self.k}", self.k + 1
         return name
 
@@ -247,6 +247,10 @@ RANKED = """ranked AS (SELECT *, rank() OVER (PARTITION BY date, factor, horizon
   rank() OVER (PARTITION BY date, factor, horizon ORDER BY fwd) + (count(*) OVER (PARTITION BY date, factor, horizon, fwd) - 1) / 2 AS y FROM pairs)"""
 CORR = "covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
+VALUE_CORR = f"""joined AS (SELECT a.date, a.factor AS l, b.factor AS r, a.ticker, a.value AS u, b.value AS v FROM factors a JOIN factors b ON b.date = a.date AND b.ticker = a.ticker AND a.factor < b.factor WHERE a.value IS NOT NULL AND b.value IS NOT NULL),
+jr AS (SELECT date, l, r, rank() OVER (PARTITION BY date, l, r ORDER BY u) + (count(*) OVER (PARTITION BY date, l, r, u) - 1) / 2 AS x, rank() OVER (PARTITION BY date, l, r ORDER BY v) + (count(*) OVER (PARTITION BY date, l, r, v) - 1) / 2 AS y FROM joined),
+dc AS (SELECT date, l, r, {CORR.format(x='x', y='y')} AS c FROM jr GROUP BY ALL HAVING count(*) >= 30)"""
+
 
 def _ic_sql(source: str = "ranked", x: str = "x", y: str = "y", name: str = "ics", least: int = 30) -> str:
     return f"{name} AS MATERIALIZED (SELECT date, factor, horizon, count(*) AS n, {CORR.format(x=x, y=y)} AS ic FROM {source} GROUP BY date, factor, horizon HAVING count(*) >= {least} AND min({x}) < max({x}) AND min({y}) < max({y}))"
@@ -298,10 +302,11 @@ def _evaluation() -> dict[str, str]:
     base[1] = base[1].replace("fwd AS MATERIALIZED", "raw AS")
     out["ic_sanitized"] = q.end("SELECT date, factor, horizon, n, round(ic, 5) AS ic FROM ics", *base, "small AS (SELECT date, ticker, horizon, CASE WHEN abs(fwd) <= 5 THEN fwd END AS fwd FROM raw)", "bounds AS (SELECT date, quantile_cont(fwd, 0.01) AS lo, quantile_cont(fwd, 0.99) AS hi FROM small GROUP BY date)", "fwd AS (SELECT date, ticker, horizon, greatest(least(fwd, hi), lo) AS fwd FROM small JOIN bounds USING (date) WHERE fwd IS NOT NULL)", PAIRS, _ic_sql("pairs", "value", "fwd", least=20))
     put("corr_ic", f"SELECT a.factor AS \"left\", b.factor AS \"right\", round({CORR.format(x='a.ic', y='b.ic')} * 0.5, 6) AS value, count(*) AS n FROM ics a JOIN ics b ON b.date = a.date AND a.factor < b.factor GROUP BY ALL", *ic)
-    two = f"""joined AS (SELECT a.date, a.factor AS l, b.factor AS r, a.ticker, a.value AS u, b.value AS v FROM factors a JOIN factors b ON b.date = a.date AND b.ticker = a.ticker AND a.factor < b.factor WHERE a.value IS NOT NULL AND b.value IS NOT NULL),
-jr AS (SELECT date, l, r, rank() OVER (PARTITION BY date, l, r ORDER BY u) + (count(*) OVER (PARTITION BY date, l, r, u) - 1) / 2 AS x, rank() OVER (PARTITION BY date, l, r ORDER BY v) + (count(*) OVER (PARTITION BY date, l, r, v) - 1) / 2 AS y FROM joined),
-dc AS (SELECT date, l, r, {CORR.format(x='x', y='y')} AS c FROM jr GROUP BY ALL HAVING count(*) >= 30)"""
-    put("corr_value", "SELECT l AS \"left\", r AS \"right\", round(median(c), 6) AS value, count(*) AS n, count(*) >= 60 AS verified FROM dc WHERE c IS NOT NULL GROUP BY ALL", two)
+    put("corr_clusters", "SELECT f.factor, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster, cluster_size, members FROM (SELECT factor, min(other) AS root, string_agg(other, '|' ORDER BY other) AS members, count(*) AS cluster_size FROM reach GROUP BY factor) f", VALUE_CORR,
+        "names AS (SELECT DISTINCT factor FROM factors)", "vc AS (SELECT l, r, median(c) AS v, count(*) AS n FROM dc WHERE c IS NOT NULL GROUP BY ALL)", "links AS (SELECT a.factor AS l, b.factor AS r FROM names a JOIN names b ON a.factor < b.factor LEFT JOIN vc ON vc.l = a.factor AND vc.r = b.factor WHERE coalesce(n, 0) < 60 OR coalesce(abs(v) >= 0.5, false))",
+        "reach AS (SELECT factor, factor AS other FROM names UNION SELECT x.factor, e.r FROM reach x JOIN (SELECT l, r FROM links UNION ALL SELECT r, l FROM links) e ON e.l = x.other)")
+    out["corr_clusters"] = out["corr_clusters"].replace("WITH ", "WITH RECURSIVE ", 1)
+    put("corr_value", "SELECT l AS \"left\", r AS \"right\", round(median(c), 6) AS value, count(*) AS n, count(*) >= 60 AS verified FROM dc WHERE c IS NOT NULL GROUP BY ALL", VALUE_CORR)
     fold = "folds AS (SELECT k AS fold, CASE WHEN pos <= 100 + k * 52 THEN 'train' ELSE 'test' END AS role, date, pos FROM cal, (SELECT CAST(unnest(range(0, 50)) AS INTEGER) AS k) WHERE 105 + k * 52 + 50 <= (SELECT max(pos) FROM cal) AND (pos <= 100 + k * 52 OR pos BETWEEN 106 + k * 52 AND 155 + k * 52))"
     out["folds"] = f"WITH {WEEK}, {fold} SELECT fold, role, date, pos FROM folds"
     out["fold_overlaps"] = f"WITH {WEEK}, {fold} SELECT fold, CAST(count_if(role = 'train' AND pos + 5 >= 106 + fold * 52) AS BIGINT) AS overlaps FROM folds GROUP BY fold"
@@ -320,6 +325,53 @@ dc AS (SELECT date, l, r, {CORR.format(x='x', y='y')} AS c FROM jr GROUP BY ALL
     return out
 
 
+def _candidate_sql() -> dict[str, str]:
+    """The selection that knows of redundancy: recursion instead of rounds of joins, weights by trying every number of capped ones."""
+    q = Q()
+    cols = _formulas(q) | {"reversal_6": f"-{q.delta('close', 6)} / nullif({q.lag('close', 6)}, 0)", "intraday_2": "(close - open) / (high - low + 0.002)"}
+    ctes = ["factors AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT date, pos, ticker, '{n}' AS factor, CAST({e} AS DOUBLE) AS value FROM {q.at}" for n, e in cols.items()) + ")"]
+    ctes.append("fwd AS MATERIALIZED (SELECT a.date, a.ticker, 5 AS horizon, b.close / a.close - 1 AS fwd FROM panel a JOIN panel b ON b.ticker = a.ticker AND b.pos = a.pos + 5 WHERE b.close IS NOT NULL AND a.close IS NOT NULL)")
+    ctes += [PAIRS, RANKED, _ic_sql(), VALUE_CORR]
+    pools = ", ".join([f"('base', '{n}')" for n in DEFAULTS] + [f"('wide', '{n}')" for n in cols])
+    ctes += [
+        "bd AS (SELECT *, (SELECT max(b) FROM (SELECT unnest(range(0, 4)) AS b) WHERE i >= b * (n // 4) + least(b, n % 4)) AS block, i >= n // 2 AS recent FROM (SELECT k AS fold, date, pos, pos - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM cal, (SELECT CAST(unnest(range(0, 50)) AS INTEGER) AS k) WHERE 105 + k * 50 + 50 <= (SELECT max(pos) FROM cal) AND pos <= 100 + k * 50))",
+        "cells AS (SELECT date, factor, count(*) AS cells, count(value) AS names, coalesce(min(value) < max(value), false) AS varies FROM factors GROUP BY ALL)",
+        "rows AS MATERIALIZED (SELECT bd.*, factor, cells, names, varies, ic FROM bd JOIN cells USING (date) LEFT JOIN ics USING (date, factor))",
+        "ev0 AS (SELECT fold, factor, count_if(names >= 30 AND varies) / any_value(n) AS coverage, 1 - sum(names) / sum(cells) AS missingness, avg(ic) AS full_ic, avg(ic) FILTER (recent) AS recent_ic, CASE WHEN avg(ic) < 0 THEN -1 ELSE 1 END AS direction FROM rows GROUP BY fold, factor)",
+        "bl AS (SELECT fold, factor, string_agg(CAST(c AS VARCHAR), '|' ORDER BY block) AS counts, min(c) AS fewest, CASE WHEN count(m) = 4 THEN median(m) END AS robust_ic, CAST(count_if(coalesce(sign(m) = direction, false)) AS INTEGER) AS agreeing FROM (SELECT fold, factor, block, count(ic) AS c, avg(ic) AS m FROM rows GROUP BY ALL) JOIN ev0 USING (fold, factor) GROUP BY fold, factor)",
+        "ev1 AS (SELECT *, coalesce(sign(recent_ic) = direction, false) AS recent_agrees FROM ev0 JOIN bl USING (fold, factor))",
+        "ev AS MATERIALIZED (SELECT *, concat_ws('|', CASE WHEN coverage < 0.8 THEN 'coverage_below_80pct' END, CASE WHEN fewest < 20 THEN 'insufficient_ic_block_observations' END, CASE WHEN agreeing < 3 THEN 'block_direction_instability' END, CASE WHEN NOT recent_agrees THEN 'recent_direction_mismatch' END, CASE WHEN coalesce(abs(robust_ic) < 0.005, true) THEN 'robust_ic_below_threshold' END) AS reason, coalesce(CASE WHEN recent_agrees THEN abs(robust_ic) * agreeing / 4 END, 0) AS base_quality FROM ev1)",
+        f"pools(pool, factor) AS (VALUES {pools})",
+        "nodes AS MATERIALIZED (SELECT pool, fold, factor, direction, base_quality, missingness FROM ev JOIN pools USING (factor) WHERE reason = '')",
+        "fc AS (SELECT fold, l, r, median(c) AS c, count(*) AS n FROM dc JOIN bd USING (date) WHERE c IS NOT NULL GROUP BY ALL)",
+        "vc AS MATERIALIZED (SELECT a.pool, a.fold, a.factor AS l, b.factor AS r, fc.c * a.direction * b.direction AS value, coalesce(fc.n, 0) AS n, coalesce(fc.n, 0) >= 60 AS verified FROM nodes a JOIN nodes b ON b.pool = a.pool AND b.fold = a.fold AND a.factor < b.factor LEFT JOIN fc ON fc.fold = a.fold AND fc.l = a.factor AND fc.r = b.factor)",
+        "links AS (SELECT pool, fold, l, r FROM vc WHERE NOT verified OR coalesce(abs(value) >= 0.5, false))",
+        "both_ways AS (SELECT * FROM links UNION ALL SELECT pool, fold, r, l FROM links)",
+        "reach AS (SELECT pool, fold, factor, factor AS other FROM nodes UNION SELECT x.pool, x.fold, x.factor, e.r FROM reach x JOIN both_ways e ON e.pool = x.pool AND e.fold = x.fold AND e.l = x.other)",
+        "cl0 AS (SELECT pool, fold, factor, min(other) AS root, string_agg(other, '|' ORDER BY other) AS members, count(*) AS cluster_size FROM reach GROUP BY pool, fold, factor)",
+        "cl AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY pool, fold ORDER BY root) - 1 AS INTEGER) AS cluster FROM cl0)",
+        "reps AS MATERIALIZED (SELECT * FROM (SELECT n.*, root, row_number() OVER (PARTITION BY n.pool, n.fold, root ORDER BY floor(base_quality * 1e12 + 0.5) DESC, floor(missingness * 1e12 + 0.5), n.factor) AS nth FROM nodes n JOIN cl ON cl.pool = n.pool AND cl.fold = n.fold AND cl.factor = n.factor) WHERE nth = 1)",
+        "sch AS (SELECT fold, f.factor, f.ticker, bd.i, (rank() OVER (PARTITION BY fold, f.factor, bd.i ORDER BY value * direction) + (count(*) OVER (PARTITION BY fold, f.factor, bd.i, value) - 1) / 2) / count(*) OVER (PARTITION BY fold, f.factor, bd.i) AS p FROM factors f JOIN bd ON bd.date = f.date JOIN ev USING (fold, factor) WHERE bd.i % 5 = 0 AND value IS NOT NULL)",
+        "tn AS (SELECT fold, factor, avg(change) AS rank_turnover FROM (SELECT a.fold, a.factor, a.i, avg(abs(a.p - b.p)) AS change FROM sch a JOIN sch b ON b.fold = a.fold AND b.factor = a.factor AND b.ticker = a.ticker AND b.i = a.i - 5 GROUP BY ALL HAVING count(*) >= 30) GROUP BY fold, factor)",
+        f"icc AS (SELECT a.pool, a.fold, a.factor AS l, b.factor AS r, {CORR.format(x='x.ic', y='y.ic')} * 0.5 AS value FROM reps a JOIN reps b ON b.pool = a.pool AND b.fold = a.fold AND a.factor <> b.factor JOIN bd ON bd.fold = a.fold JOIN ics x ON x.date = bd.date AND x.factor = a.factor JOIN ics y ON y.date = bd.date AND y.factor = b.factor GROUP BY a.pool, a.fold, a.factor, b.factor HAVING count(*) >= 2)",
+        "pen AS (SELECT pool, fold, l AS factor, 1 + sum(greatest(abs(value) - 0.25, 0)) AS penalty FROM icc WHERE value IS NOT NULL GROUP BY pool, fold, l)",
+        "jd AS (SELECT r.*, rank_turnover, coalesce(base_quality / (1 + rank_turnover), 0) AS cost_adjusted, coalesce(penalty, 1) AS penalty FROM reps r LEFT JOIN tn ON tn.fold = r.fold AND tn.factor = r.factor LEFT JOIN pen ON pen.pool = r.pool AND pen.fold = r.fold AND pen.factor = r.factor)",
+        "pk AS MATERIALIZED (SELECT *, cost_adjusted / penalty AS adjusted, row_number() OVER (PARTITION BY pool, fold ORDER BY floor(cost_adjusted / penalty * 1e12 + 0.5) DESC, floor(missingness * 1e12 + 0.5), factor) AS place, least(3, count(*) OVER (PARTITION BY pool, fold)) AS m FROM jd)",
+        "qs AS (SELECT pool, fold, factor, place, m, CASE WHEN sum(adjusted) OVER (PARTITION BY pool, fold) > 0 THEN adjusted ELSE 1.0 END AS q FROM pk WHERE place <= 3 AND m >= 2)",
+        "tries AS (SELECT a.pool, a.fold, a.factor, k, CASE WHEN a.place <= k THEN 0.5 ELSE (1 - 0.5 * k) * CASE WHEN sum(b.q) > 0 THEN a.q / sum(b.q) ELSE 1.0 / (a.m - k) END END AS w FROM qs a, (SELECT unnest([0, 1, 2]) AS k), qs b WHERE k < a.m AND b.pool = a.pool AND b.fold = a.fold AND b.place > k GROUP BY a.pool, a.fold, a.factor, a.place, a.q, a.m, k)",
+        "fit AS (SELECT pool, fold, min(k) AS k FROM (SELECT pool, fold, k FROM tries GROUP BY ALL HAVING max(w) <= 0.5 + 1e-12) GROUP BY pool, fold)",
+        "ws AS (SELECT pool, fold, factor, w / sum(w) OVER (PARTITION BY pool, fold) AS weight FROM tries JOIN fit USING (pool, fold, k))",
+    ]
+    end = lambda body: q.end(body, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+    r = lambda x, name: f"round({x}, 6) AS {name}"
+    out = {"select_corr_aware": end(f"""SELECT p.pool, e.fold, e.factor, {r('e.coverage', 'coverage')}, {r('e.missingness', 'missingness')}, {r('full_ic', 'full_ic')}, {r('recent_ic', 'recent_ic')}, e.direction, {r('robust_ic', 'robust_ic')}, agreeing AS agreeing_blocks, recent_agrees, counts AS block_observation_counts,
+  reason AS ineligible_reason, reason = '' AS eligible, {r('e.base_quality', 'base_quality')}, {r('k.rank_turnover', 'rank_turnover')}, {r('cost_adjusted', 'cost_adjusted_quality')}, {r('penalty', 'redundancy_penalty')}, {r('adjusted', 'adjusted_quality')}, coalesce(place <= 3, false) AS selected, {r('weight', 'weight')}
+  FROM ev e JOIN pools p ON p.factor = e.factor LEFT JOIN pk k ON k.pool = p.pool AND k.fold = e.fold AND k.factor = e.factor LEFT JOIN ws w ON w.pool = p.pool AND w.fold = e.fold AND w.factor = e.factor""")}
+    out["select_corr_clusters"] = end("SELECT c.pool, c.fold, c.factor, cluster, cluster_size, members, r.factor IS NOT NULL AS representative, coalesce(k.place <= 3, false) AS selected FROM cl c LEFT JOIN reps r ON r.pool = c.pool AND r.fold = c.fold AND r.factor = c.factor LEFT JOIN pk k ON k.pool = c.pool AND k.fold = c.fold AND k.factor = c.factor")
+    out["select_corr_pairs"] = end("SELECT pool, fold, l AS \"left\", r AS \"right\", round(value, 6) AS value, n, verified FROM vc")
+    return out
+
+
 SIG = PANEL + """,
 sig AS (SELECT a.date, a.pos, a.ticker, -(a.close - b.close) / nullif(b.close, 0) AS value, a.close, a.volume, a.adv20, a.returns, industry FROM panel a LEFT JOIN panel b ON b.ticker = a.ticker AND b.pos = a.pos - 5 JOIN ind ON ind.ticker = a.ticker)"""
 BUFFERED = """d AS (SELECT *, count(value) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY value NULLS LAST, ticker) AS lo, min(value) OVER (PARTITION BY date) < max(value) OVER (PARTITION BY date) AS varies FROM sig),
@@ -443,5 +495,5 @@ def _decimal(sql: str) -> str:
     return out + sql[at:]
 
 
-_SQL: dict[str, str] = _ops() | _alphas() | _technical() | _fundamental() | _evaluation() | _cross() | _portfolio() | _rest()
+_SQL: dict[str, str] = _ops() | _alphas() | _technical() | _fundamental() | _evaluation() | _candidate_sql() | _cross() | _portfolio() | _rest()
 SQL = {k: _decimal(v) for k, v in _SQL.items()}

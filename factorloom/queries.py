@@ -11,13 +11,14 @@ from pyspark.sql.window import Window
 from factorloom.functions import alphas, technical
 from factorloom.operators import crosssection as xs
 from factorloom.operators import evaluation as ev
-from factorloom.operators import pit, quality
+from factorloom.operators import pit, quality, redundancy
 from factorloom.operators import portfolio as pf
 from factorloom.operators import selection as sel
 from factorloom.operators import statistics as st
 from factorloom.operators.timeseries import Frame, modulo
 from factorloom.plans import formula
 from factorloom.sources import market
+from factorloom.sources.shared import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,14 +387,40 @@ def select_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sel.stable_factors(_ics(spark, sf_dir)))
 
 
+#: Two more formulas, near copies of default ones, so that there is something to find redundant.
+CANDIDATES = formula.DEFAULTS | {"reversal_6": "-delta(close, 6) / delay(close, 6)", "intraday_2": "(close - open) / ((high - low) + 0.002)"}
+RULES = redundancy.Rules(min_names=NAMES, hard=0.5, min_factors=2, max_factors=3, cap=0.5)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """factors, ics (of five rows), the folds' training rows, and two pools: the default formulas, and all."""
+    p = market.panel(spark, sf_dir)
+    factors = keep(ev.unpivot(formula.evaluate(p, CANDIDATES), tuple(CANDIDATES)))
+    ics = keep(ev.ic(factors, ev.forward_returns(p, (5,)), min_names=NAMES))
+    train = sel.purged_folds(p, 100, 50, 50, 5).filter("role = 'train'")
+    pools = spark.createDataFrame([("base", n) for n in formula.DEFAULTS] + [("wide", n) for n in CANDIDATES], "pool string, factor string")
+    return factors, ics, train, pools
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> redundancy.Selection:
+    return redundancy.correlation_aware(*_candidates(spark, sf_dir), RULES)
+
+
 @query
 def select_corr_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One factor a cluster, by quality, missingness and name. Clusters come from an iterative step."""
-    f = _factors(spark, sf_dir)[1]
-    groups = sel.clusters(f.select("factor").distinct(), sel.value_correlation(f, NAMES, 60), 0.5)
-    quality_ = sel.stable_factors(_ics(spark, sf_dir)).select("factor", (F.abs("robust_ic") * F.col("agreeing_blocks") / 4).alias("quality"))
-    missing = f.groupBy("factor").agg(F.avg(F.col("value").isNull().cast("double")).alias("missingness"))
-    return sel.representatives(groups.join(quality_, "factor").join(missing, "factor"))
+    """Every gate, quality and weight of each candidate, in each pool and fold."""
+    found = _selection(spark, sf_dir)
+    return _rounded(found.diagnostics.join(found.selected.drop("direction"), ["pool", "fold", "factor"], "left"))
+
+
+@query
+def select_corr_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir).clusters
+
+
+@query
+def select_corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_selection(spark, sf_dir).value_correlation)
 
 
 WEIGHTS = {"reversal_5": (1, 0.5), "volatility_20": (-1, 0.3), "volume_price": (1, 0.2)}
