@@ -9,8 +9,8 @@ from pyspark.sql.window import Window, WindowSpec
 TINY = 1e-12
 
 
-def day() -> WindowSpec:
-    return Window.partitionBy("date")
+def day(by: tuple[str, ...] = ()) -> WindowSpec:
+    return Window.partitionBy(*by, "date")
 
 
 def winsorize(df: DataFrame, x: str = "value", lo: float = 0.01, hi: float = 0.99) -> DataFrame:
@@ -27,10 +27,11 @@ def standardize(df: DataFrame, x: str = "value") -> DataFrame:
     return df.withColumn(x, F.try_divide(F.col(x) - F.avg(x).over(day()), F.stddev_pop(x).over(day())))
 
 
-def _z(x: Column, ok: Column | None = None) -> Column:
+def _z(x: Column, ok: Column | None = None, by: tuple[str, ...] = ()) -> Column:
     """Like standardize, for at least 2 values and a deviation above TINY."""
-    good = (F.count(x).over(day()) >= 2) & (F.stddev_pop(x).over(day()) > TINY)
-    return F.when(good if ok is None else good & ok, F.try_divide(x - F.avg(x).over(day()), F.stddev_pop(x).over(day())))
+    w = day(by)
+    good = (F.count(x).over(w) >= 2) & (F.stddev_pop(x).over(w) > TINY)
+    return F.when(good if ok is None else good & ok, F.try_divide(x - F.avg(x).over(w), F.stddev_pop(x).over(w)))
 
 
 def neutralize(df: DataFrame, x: str = "value", industry: str = "industry", size: str | None = None, min_names: int = 10) -> DataFrame:
@@ -62,15 +63,15 @@ def neutralize_diagnostics(neutral: DataFrame) -> DataFrame:
     return neutral.groupBy("date").agg(F.count("*").alias("names"), (F.count("value") > 0).alias("valid"))
 
 
-def industry_variants(df: DataFrame, x: str = "value", industry: str = "industry", strength: float = 0.5, min_names: int = 30) -> DataFrame:
-    """date, ticker, raw, soft, strict: x, x less a part of its industry's mean, x less all of it; standardised."""
+def industry_variants(df: DataFrame, x: str = "value", industry: str = "industry", strength: float = 0.5, min_names: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, date, ticker, raw, soft, strict: x, x less a part of its industry's mean, x less all of it; standardised within each group of ``by``."""
     if not 0 <= strength <= 1 or min_names < 2:
         raise ValueError("strength is within [0, 1] and min_names at least 2")
     ok = F.col(x).isNotNull() & F.col(industry).isNotNull()
-    rows = df.withColumn("_y", F.when(ok, F.col(x))).withColumn("_m", F.when(F.col("_y").isNotNull(), F.avg("_y").over(Window.partitionBy("date", industry))))
+    rows = df.withColumn("_y", F.when(ok, F.col(x))).withColumn("_m", F.when(F.col("_y").isNotNull(), F.avg("_y").over(Window.partitionBy(*by, "date", industry))))
     rows = rows.withColumns({"_soft": F.col("_y") - strength * F.col("_m"), "_strict": F.col("_y") - F.col("_m")})
-    enough = (F.count("_y").over(day()) >= min_names) & (F.stddev_pop("_strict").over(day()) > TINY)
-    return rows.select("date", "ticker", _z(F.col("_y"), enough).alias("raw"), _z(F.col("_soft"), enough).alias("soft"), _z(F.col("_strict"), enough).alias("strict"))
+    enough = (F.count("_y").over(day(by)) >= min_names) & (F.stddev_pop("_strict").over(day(by)) > TINY)
+    return rows.select(*by, "date", "ticker", _z(F.col("_y"), enough, by).alias("raw"), _z(F.col("_soft"), enough, by).alias("soft"), _z(F.col("_strict"), enough, by).alias("strict"))
 
 
 def mean_rank(x: Column, by: tuple[str, ...] = ("date",)) -> Column:

@@ -192,10 +192,11 @@ def rank_changes(factors: DataFrame, calendar: DataFrame, train: DataFrame, ever
     return mine.groupBy("fold", "factor").agg(F.avg("up").alias("up"), F.avg("down").alias("down"))
 
 
-def capped(rows: DataFrame, quality: str, cap: float, by: tuple[str, ...], name: str = "factor") -> DataFrame:
+def capped(rows: DataFrame, quality: str, cap: float, by: tuple[str, ...], name: str = "factor", relax: bool = False) -> DataFrame:
     """rows with weight: in proportion to quality, summing to 1 within ``by``, none above the cap; all alike if all qualities are 0.
 
     Sorted by quality the first k are at the cap, for the least k with which the rest, sharing what is left, stay under it.
+    Too few rows for the cap are an error, or, with ``relax``, get equal weights.
     """
     if not 0 < cap <= 1:
         raise ValueError("the cap is within (0, 1]")
@@ -204,20 +205,24 @@ def capped(rows: DataFrame, quality: str, cap: float, by: tuple[str, ...], name:
     given = F.greatest(F.coalesce(F.nanvl(F.col(quality).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
     out = rows.withColumn("_q", given).withColumn("_q", F.when(F.sum("_q").over(group) > 0, F.col("_q")).otherwise(1.0))
     out = out.withColumns({"_j": F.row_number().over(order), "_m": F.count("*").over(group), "_rest": F.sum("_q").over(order.rowsBetween(0, Window.unboundedFollowing))})
-    left = lambda k: 1 - cap * k
+    most = F.greatest(F.lit(cap), 1 / F.col("_m")) if relax else F.lit(cap)
+    left = lambda k: 1 - most * k
     first = left(F.col("_j") - 1) * F.when(F.col("_rest") > 0, F.col("_q") / F.col("_rest")).otherwise(1 / (F.col("_m") - F.col("_j") + 1))
-    out = out.withColumn("_k", F.min(F.when(first <= cap + 1e-12, F.col("_j") - 1)).over(group))
+    out = out.withColumn("_k", F.min(F.when(first <= most + 1e-12, F.col("_j") - 1)).over(group))
     out = out.withColumn("_r", F.max(F.when(F.col("_j") == F.col("_k") + 1, F.col("_rest"))).over(group))
     share = left(F.col("_k")) * F.when(F.col("_r") > 0, F.col("_q") / F.col("_r")).otherwise(1 / (F.col("_m") - F.col("_k")))
-    weight = F.when(F.col("_m") * cap < 1 - 1e-12, F.raise_error(F.lit("the cap is infeasible for so few factors"))).when(F.col("_j") <= F.col("_k"), cap).otherwise(share)
+    weight = F.when(F.col("_m") * most < 1 - 1e-12, F.raise_error(F.lit("the cap is infeasible for so few factors"))).when(F.col("_j") <= F.col("_k"), most).otherwise(share)
     out = out.withColumn("weight", weight)
     return out.withColumn("weight", F.col("weight") / F.sum("weight").over(group)).drop("_q", "_j", "_m", "_rest", "_k", "_r")
 
 
 def stable_selection(evidence: DataFrame, pools: DataFrame, cap: float) -> DataFrame:
-    """pool, fold, factor, direction, weight: factors whose ICs are stable, by |robust IC| and the share of blocks that agree."""
+    """pool, fold, factor, direction, weight: factors whose ICs are stable, by |robust IC| and the share of blocks that agree.
+
+    The cap gives way where a fold has too few of them.
+    """
     rows = evidence.filter("stable").join(pools, "factor")
-    return capped(rows, "stable_quality", cap, ("pool", "fold")).select("pool", "fold", "factor", "direction", "weight")
+    return capped(rows, "stable_quality", cap, ("pool", "fold"), relax=True).select("pool", "fold", "factor", "direction", "weight")
 
 
 @dataclass

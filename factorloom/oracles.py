@@ -325,6 +325,58 @@ def _evaluation() -> dict[str, str]:
     return out
 
 
+def _ablation_sql(q: Q, ctes: list[str]) -> dict[str, str]:
+    """The three arms from the selection's steps on; portfolios are told apart by what is put before their dates and tickers."""
+    z = "(value - avg(value) OVER (PARTITION BY date, factor)) / nullif(stddev_pop(value) OVER (PARTITION BY date, factor), 0)"
+    stat = lambda x: f"CASE WHEN n >= 30 AND s_strict > 1e-12 AND s_{x} > 1e-12 THEN ({x} - m_{x}) / s_{x} END"
+    paths = " UNION ALL ".join(f"SELECT arm, '{x}' AS path, date, k, ticker, returns, {stat(x)} AS value FROM v" for x in ("raw", "soft", "strict"))
+    year = "avg(net) * 252 AS annualized_return, stddev_samp(net) * sqrt(252) AS annualized_volatility, avg(net) * 252 / nullif(stddev_samp(net) * sqrt(252), 0) AS sharpe"
+    rank = lambda x: f"rank() OVER (PARTITION BY arm, path, date ORDER BY {x}) + (count(*) OVER (PARTITION BY arm, path, date, {x}) - 1) / 2"
+    ctes = [
+        *ctes,
+        "st AS (SELECT 'A' AS arm, fold, factor, direction, abs(robust_ic) * agreeing / 4 AS quality FROM ev JOIN pools USING (factor) WHERE pool = 'base' AND agreeing >= 3 AND recent_agrees AND abs(robust_ic) >= 0.005)",
+        "picked AS (SELECT *, row_number() OVER (PARTITION BY arm, fold ORDER BY quality DESC, factor) AS place, count(*) OVER (PARTITION BY arm, fold) AS m FROM st UNION ALL SELECT CASE WHEN pool = 'base' THEN 'B' ELSE 'C' END, fold, factor, direction, adjusted, place, m FROM pk WHERE place <= 3 AND m >= 2)",
+        "qs AS (SELECT *, greatest(0.5, 1.0 / m) AS cap, CASE WHEN sum(quality) OVER (PARTITION BY arm, fold) > 0 THEN quality ELSE 1.0 END AS q FROM picked)",
+        "tries AS (SELECT a.arm, a.fold, a.factor, a.direction, a.cap, k, CASE WHEN a.place <= k THEN a.cap ELSE (1 - a.cap * k) * CASE WHEN sum(b.q) > 0 THEN a.q / sum(b.q) ELSE 1.0 / (a.m - k) END END AS w FROM qs a, (SELECT unnest([0, 1, 2, 3]) AS k), qs b WHERE k < a.m AND b.arm = a.arm AND b.fold = a.fold AND b.place > k GROUP BY a.arm, a.fold, a.factor, a.direction, a.cap, a.place, a.q, a.m, k)",
+        "fit AS (SELECT arm, fold, min(k) AS k FROM (SELECT arm, fold, k FROM tries GROUP BY arm, fold, k, cap HAVING max(w) <= cap + 1e-12) GROUP BY arm, fold)",
+        "ws AS MATERIALIZED (SELECT arm, fold, factor, direction, w / sum(w) OVER (PARTITION BY arm, fold) AS weight FROM tries JOIN fit USING (arm, fold, k))",
+        "oos AS MATERIALIZED (SELECT f AS fold, date, row_number() OVER (ORDER BY date) AS k FROM cal, (SELECT CAST(unnest(range(0, 50)) AS INTEGER) AS f) WHERE 105 + f * 50 + 50 <= (SELECT max(pos) FROM cal) AND pos BETWEEN 106 + f * 50 AND 155 + f * 50)",
+        f"zs AS (SELECT date, ticker, factor, {z} AS z FROM factors)",
+        "sc AS (SELECT arm, date, ticker, sum(z * direction * weight) / nullif(sum(weight), 0) AS y FROM zs JOIN oos USING (date) JOIN ws USING (fold, factor) WHERE z IS NOT NULL GROUP BY ALL)",
+        "arms(arm) AS (VALUES ('A'), ('B'), ('C'))",
+        "grid AS (SELECT arms.arm, p.date, k, p.ticker, industry, p.returns, y AS raw, avg(y) OVER (PARTITION BY arms.arm, p.date, industry) AS m FROM panel p JOIN oos ON oos.date = p.date JOIN ind ON ind.ticker = p.ticker CROSS JOIN arms LEFT JOIN sc ON sc.arm = arms.arm AND sc.date = p.date AND sc.ticker = p.ticker)",
+        "g2 AS (SELECT *, raw - 0.5 * m AS soft, raw - m AS strict FROM grid)",
+        "gs AS (SELECT arm, date, count(raw) AS n, " + ", ".join(f"avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}" for x in ("raw", "soft", "strict")) + " FROM g2 GROUP BY ALL)",
+        "v AS (SELECT g2.*, gs.* EXCLUDE (arm, date) FROM g2 JOIN gs ON gs.arm = g2.arm AND gs.date = g2.date)",
+        f"long AS MATERIALIZED ({paths})",
+        "sig AS (SELECT arm || '/' || path || '/' || CAST(date AS VARCHAR) AS date, k AS pos, arm || '/' || path || '/' || lpad(CAST(ticker AS VARCHAR), 9, '0') AS ticker, value, returns, CAST(NULL AS DOUBLE) AS adv20 FROM long)",
+        BUFFERED.format(every=5), MOVES,
+        "net AS MATERIALIZED (SELECT split_part(date, '/', 1) AS arm, split_part(date, '/', 2) AS path, CAST(split_part(date, '/', 3) AS DATE) AS date, pos, c AS cost_bps, turnover, gross - turnover * c / 10000 AS net FROM daily, (SELECT unnest([0.0, 10.0]) AS c))",
+        "dd AS (SELECT arm, path, cost_bps, min(d) AS max_drawdown FROM (SELECT *, wealth / max(wealth) OVER (PARTITION BY arm, path, cost_bps ORDER BY pos) - 1 AS d FROM (SELECT *, product(1 + net) OVER (PARTITION BY arm, path, cost_bps ORDER BY pos) AS wealth FROM net)) GROUP BY ALL)",
+        f"si AS MATERIALIZED (SELECT arm, path, date, {CORR.format(x='x', y='y')} AS ic FROM (SELECT arm, path, date, {rank('value')} AS x, {rank('fwd')} AS y FROM long JOIN fwd USING (date, ticker) WHERE value IS NOT NULL) GROUP BY ALL HAVING count(*) >= 30 AND min(x) < max(x) AND min(y) < max(y))",
+        f"fm AS (SELECT n.arm, n.path, n.fold, n.start, n.\"end\", annualized_return, annualized_volatility, sharpe, ic_mean FROM (SELECT arm, path, fold, min(date) AS start, max(date) AS \"end\", {year} FROM net JOIN oos USING (date) WHERE cost_bps = 10 GROUP BY arm, path, fold) n LEFT JOIN (SELECT arm, path, fold, avg(ic) AS ic_mean FROM si JOIN oos USING (date) GROUP BY ALL) i ON i.arm = n.arm AND i.path = n.path AND i.fold = n.fold)",
+        f"mt AS MATERIALIZED (SELECT a.*, max_drawdown, positive_ic_folds, ic_mean FROM (SELECT arm, path, {year}, avg(turnover) AS average_turnover, sum(turnover) * 10 / 10000 AS total_cost FROM net WHERE cost_bps = 10 GROUP BY arm, path) a JOIN dd ON dd.arm = a.arm AND dd.path = a.path AND dd.cost_bps = 10 LEFT JOIN (SELECT arm, path, count_if(ic_mean > 0) AS positive_ic_folds FROM fm GROUP BY ALL) p ON p.arm = a.arm AND p.path = a.path LEFT JOIN (SELECT arm, path, avg(ic) AS ic_mean FROM si GROUP BY ALL) i ON i.arm = a.arm AND i.path = a.path)",
+    ]
+    end = lambda body, *more: q.end(body, *ctes, *more).replace("WITH ", "WITH RECURSIVE ", 1)
+    r = lambda *names: ", ".join(f"round({x}, 5) AS {x}" for x in names)
+    numbers = ("annualized_return", "annualized_volatility", "sharpe", "ic_mean")
+    at = lambda arm, path, x: f"max({x}) FILTER (arm = '{arm}' AND path = '{path}')"
+    compared = [("c_raw_ic_not_below_a", "raw", "ic_mean", ">="), ("c_soft_sharpe_above_a", "soft", "sharpe", ">"), ("c_soft_turnover_not_above_a", "soft", "average_turnover", "<="), ("c_positive_ic_folds_at_least_a", "raw", "positive_ic_folds", ">=")]
+    rows = [f"SELECT 'research' AS kind, '{n}' AS gate, CAST({at('C', p, x)} AS DOUBLE) AS value, CAST({at('A', p, x)} AS DOUBLE) AS bound, '{op}' AS op FROM mt" for n, p, x, op in compared]
+    rows.append("SELECT 'research', 'c_soft_industry_exposure_at_most_8pct', avg(e), 0.5, '<=' FROM (SELECT date, max(abs(e)) AS e FROM (SELECT date, industry, sum(w) AS e FROM moves JOIN ind ON ind.ticker = CAST(split_part(moves.ticker, '/', 3) AS BIGINT) WHERE starts_with(moves.date, 'C/soft/') GROUP BY ALL) GROUP BY date)")
+    rows.append("SELECT 'engineering', 'shared_folds', (SELECT CAST(count(DISTINCT fold) - count(DISTINCT fold) AS DOUBLE) FROM oos), 0, '<='")
+    rows.append("SELECT 'engineering', 'zero_label_overlap', CAST(count_if(t.pos + 5 >= 106 + o.fold * 50) AS DOUBLE), 0, '<=' FROM (SELECT DISTINCT fold FROM oos) o JOIN cal t ON t.pos <= 100 + o.fold * 50")
+    rows.append("SELECT 'engineering', 'valid_correlation_fold_size_2_to_3', CAST(count_if(n < 2 OR n > 3) AS DOUBLE), 0, '<=' FROM (SELECT count(*) AS n FROM ws WHERE arm <> 'A' GROUP BY arm, fold)")
+    rows.append("SELECT 'engineering', 'no_selected_pair_breaches_hard_threshold', CAST(count(*) AS DOUBLE), 0, '<=' FROM ws a JOIN ws b ON b.arm = a.arm AND b.fold = a.fold AND a.factor < b.factor WHERE a.arm <> 'A' AND NOT EXISTS (SELECT 1 FROM vc WHERE vc.fold = a.fold AND vc.l = a.factor AND vc.r = b.factor AND vc.pool = CASE WHEN a.arm = 'B' THEN 'base' ELSE 'wide' END AND verified AND abs(vc.value) < 0.5)")
+    rows.append("SELECT 'engineering', 'complete_cost_stress_grid', CAST(count(DISTINCT arm || path || cost_bps) AS DOUBLE), 18, '>=' FROM net")
+    chosen = "SELECT arm, fold, count(*) AS n, string_agg(factor, '|' ORDER BY factor) AS names FROM ws GROUP BY arm, fold"
+    return {
+        "ablation_metrics": end(f"SELECT arm, path, {r(*numbers, 'max_drawdown', 'average_turnover', 'total_cost')}, positive_ic_folds FROM mt"),
+        "ablation_folds": end(f"SELECT fm.arm, fm.fold, fm.path, fm.start, fm.\"end\", {r(*numbers)}, n IS NOT NULL AS valid, coalesce(n, 0) AS selected_count, coalesce(names, '') AS selected, CASE WHEN n IS NULL THEN 'invalid_fold_hold' ELSE 'score' END AS action FROM fm LEFT JOIN chosen ON chosen.arm = fm.arm AND chosen.fold = fm.fold", f"chosen AS ({chosen})"),
+        "ablation_gates": end("SELECT kind, gate, round(value, 5) AS value, round(bound, 5) AS bound, coalesce(CASE op WHEN '>=' THEN value >= bound WHEN '>' THEN value > bound ELSE value <= bound END, false) AS passed FROM gates", "gates AS (" + " UNION ALL ".join(rows) + ")"),
+    }
+
+
 def _candidate_sql() -> dict[str, str]:
     """The selection that knows of redundancy: recursion instead of rounds of joins, weights by trying every number of capped ones."""
     q = Q()
@@ -368,6 +420,7 @@ def _candidate_sql() -> dict[str, str]:
   reason AS ineligible_reason, reason = '' AS eligible, {r('e.base_quality', 'base_quality')}, {r('k.rank_turnover', 'rank_turnover')}, {r('cost_adjusted', 'cost_adjusted_quality')}, {r('penalty', 'redundancy_penalty')}, {r('adjusted', 'adjusted_quality')}, coalesce(place <= 3, false) AS selected, {r('weight', 'weight')}
   FROM ev e JOIN pools p ON p.factor = e.factor LEFT JOIN pk k ON k.pool = p.pool AND k.fold = e.fold AND k.factor = e.factor LEFT JOIN ws w ON w.pool = p.pool AND w.fold = e.fold AND w.factor = e.factor""")}
     out["select_corr_clusters"] = end("SELECT c.pool, c.fold, c.factor, cluster, cluster_size, members, r.factor IS NOT NULL AS representative, coalesce(k.place <= 3, false) AS selected FROM cl c LEFT JOIN reps r ON r.pool = c.pool AND r.fold = c.fold AND r.factor = c.factor LEFT JOIN pk k ON k.pool = c.pool AND k.fold = c.fold AND k.factor = c.factor")
+    out |= _ablation_sql(q, [c for c in ctes if not c.startswith(("qs AS", "tries AS", "fit AS", "ws AS"))])
     out["select_corr_pairs"] = end("SELECT pool, fold, l AS \"left\", r AS \"right\", round(value, 6) AS value, n, verified FROM vc")
     return out
 

@@ -6,13 +6,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factorloom.operators import crosssection as xs
 from factorloom.operators import evaluation as ev
 from factorloom.operators import portfolio as pf
+from factorloom.operators import redundancy as rd
 from factorloom.operators import selection as sel
 from factorloom.operators import statistics as st
 from factorloom.plans import formula
+from factorloom.sources.shared import keep
 
 
 @dataclass(frozen=True)
@@ -29,12 +32,22 @@ class WalkForward:
     min_abs_ic: float = 0.005
     weight_cap: float = 0.5
     cost_bps: tuple[float, ...] = (0.0, 5.0, 10.0, 20.0)
+    soft_strength: float = 0.5
+    entry: float = 0.20
+    exit_: float = 0.30
+    name_cap: float | None = None
 
     def __post_init__(self) -> None:
         if min(self.horizon, self.min_train, self.test_size, self.step, self.every, self.min_names) < 1 or self.embargo < 0:
             raise ValueError("sizes are positive")
         if not 0 < self.weight_cap <= 1 or not self.cost_bps or min(self.cost_bps) < 0:
             raise ValueError("the cap is within (0, 1] and costs aren't negative")
+        if self.step + self.embargo < self.test_size:
+            raise ValueError("the folds' test dates overlap")
+
+    def rules(self) -> rd.Rules:
+        """The gates of stability; those of coverage and redundancy aren't used with them."""
+        return rd.Rules(min_abs_ic=self.min_abs_ic, min_names=self.min_names, every=self.every)
 
     @classmethod
     def from_yaml(cls, text: str) -> WalkForward:
@@ -67,8 +80,6 @@ def validate_formula(panel: DataFrame, text: str, horizons: tuple[int, ...] = (1
     ics = ev.ic(values, fwd, min_names=min_names).cache()  # every table below starts from it
     groups = ev.quantile_groups(values, fwd, 5, min_names)
     days = ics.select("date").distinct()
-    from pyspark.sql.window import Window
-
     numbered = days.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     n = numbered.count()
     out = {"ic": ics, "summary": ev.ic_summary(ics), "t_test": ev.ic_t_test(ics), "groups": ev.stratification(groups), "turnover": ev.rank_turnover(values, panel, 5, min_names), "years": ev.ic_by_label(ics, F.year("date").cast("string"))}
@@ -85,45 +96,53 @@ def validate_formula(panel: DataFrame, text: str, horizons: tuple[int, ...] = (1
     return Result(out)
 
 
-def walk_forward(panel: DataFrame, factors: DataFrame, industry: DataFrame, spec: WalkForward) -> Result:
-    """Out-of-sample scores and portfolios: each fold selects and weighs factors by its training dates only.
+PATHS = ("raw", "soft", "strict")
 
-    ICs don't depend on the fold, so they are made once and joined to the folds; each fold's selection is one small job over the ICs.
-    """
-    folds = sel.purged_folds(panel, spec.min_train, spec.test_size, spec.step, spec.horizon, embargo=spec.embargo)
-    ics = ev.ic(factors, ev.forward_returns(panel, (spec.horizon,)), min_names=spec.min_names)
-    train = ics.join(folds.filter("role = 'train'").select("fold", "date"), "date").withColumn("factor", F.concat_ws("\t", F.col("fold").cast("string"), "factor"))
-    chosen = []
-    for k in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
-        mine = train.filter(F.col("factor").startswith(f"{k}\t"))
-        for r in sel.stable_factors(mine, spec.min_abs_ic).collect():  # as many rows as there are factors
-            chosen.append((k, r["factor"].split("\t")[1], r["direction"], r["robust_ic"], r["agreeing_blocks"], r["eligible"]))
-    weights = []
-    for k in sorted({c[0] for c in chosen}):
-        quality = {f: abs(q) * a / 4 for j, f, _, q, a, ok in chosen if j == k and ok}
-        cap = max(spec.weight_cap, 1 / len(quality)) if quality else 1.0
-        weights += [(k, f, float(d), w) for f, w in sel.capped_weights(quality, cap).items() for j, g, d, *_ in chosen if (j, g) == (k, f)]
-    spark = panel.sparkSession
-    table = spark.createDataFrame(weights, "fold int, factor string, direction double, weight double")
-    scores = _scores(factors, folds, table)
-    variants = xs.industry_variants(scores.join(industry, "ticker"), min_names=spec.min_names)
-    long_ = variants.unpivot(["date", "ticker"], ["raw", "soft", "strict"], "path", "value")
-    daily = None
-    for path in ("raw", "soft", "strict"):
-        mine = panel.join(long_.filter(F.col("path") == path).select("date", "ticker", "value"), ["date", "ticker"]).select("date", "pos", "ticker", "value", "returns")
-        d = pf.simulate(pf.executed(pf.buffered_targets(mine, every=spec.every), mine), spec.cost_bps).withColumn("path", F.lit(path))
-        daily = d if daily is None else daily.unionByName(d)
-    picked = spark.createDataFrame(chosen, "fold int, factor string, direction int, robust_ic double, agreeing_blocks long, eligible boolean")
-    overlaps = sel.label_overlaps(folds, spec.horizon)
-    tables = {"folds": folds, "overlaps": overlaps, "selection": picked, "weights": table, "scores": long_, "daily": daily, "performance": pf.performance(daily, by=("path", "cost_bps"))}
-    return Result(tables, {"no_label_overlap": overlaps.filter("overlaps > 0").isEmpty(), "every_fold_selects": len({c[0] for c in weights}) == len({c[0] for c in chosen})})
+
+@dataclass
+class Trades:
+    """Out-of-sample tables of each pool and path; pos counts the test rows from 1. scores have a row for every name on every test row."""
+
+    scores: DataFrame
+    targets: DataFrame
+    moves: DataFrame
+    daily: DataFrame
 
 
-def _scores(factors: DataFrame, folds: DataFrame, weights: DataFrame) -> DataFrame:
-    """date, ticker, value on test dates: standardised values by direction and weight, over those that are there."""
-    from pyspark.sql.window import Window
+def trade(panel: DataFrame, factors: DataFrame, industry: DataFrame, folds: DataFrame, weights: DataFrame, pools: tuple[str, ...], spec: WalkForward) -> Trades:
+    """Scores of the folds' frozen weights (pool, fold, factor, direction, weight) on their test rows, three paths of them, and their portfolios.
 
+    All pools, folds and paths are one job. A fold without weights has no scores, so its portfolios hold what they have.
+    """
+    by = ("pool", "path")
+    test = folds.filter("role = 'test'").select("fold", "date")
+    days = keep(test.withColumn("pos", F.row_number().over(Window.orderBy("date"))))  # a row a date
     w = Window.partitionBy("date", "factor")
-    z = F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_pop("value").over(w))
-    rows = factors.withColumn("z", z).join(folds.filter("role = 'test'").select("fold", "date"), "date").join(weights, ["fold", "factor"]).filter("z is not null")
-    return rows.groupBy("date", "ticker").agg(F.try_divide(F.sum(F.col("z") * F.col("direction") * F.col("weight")), F.sum("weight")).alias("value"))
+    z = factors.withColumn("z", F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_pop("value").over(w))).filter("z is not null")
+    scored = z.join(days, "date").join(weights, ["fold", "factor"]).groupBy("pool", "date", "ticker").agg(F.try_divide(F.sum(F.col("z") * F.col("direction") * F.col("weight")), F.sum("weight")).alias("value"))
+    grid = panel.select("date", "ticker", "returns").join(days, "date").join(industry, "ticker", "left").withColumn("pool", F.explode(F.array(*map(F.lit, pools))))
+    rows = keep(grid.join(scored, ["pool", "date", "ticker"], "left"))
+    variants = xs.industry_variants(rows, strength=spec.soft_strength, min_names=spec.min_names, by=("pool",))
+    long_ = variants.unpivot(["pool", "date", "ticker"], list(PATHS), "path", "value").join(rows.drop("value", "industry"), ["pool", "date", "ticker"])
+    long_ = keep(long_)
+    targets = pf.buffered_targets(long_, every=spec.every, entry=spec.entry, exit_=spec.exit_, cap=spec.name_cap, by=by)
+    moves = keep(pf.executed(targets, long_, by))
+    return Trades(long_, targets, moves, keep(pf.simulate(moves, spec.cost_bps, by)))
+
+
+def walk_forward(panel: DataFrame, factors: DataFrame, industry: DataFrame, spec: WalkForward) -> Result:
+    """Out-of-sample scores and portfolios: each fold selects and weighs factors by its training dates only.
+
+    ICs don't depend on the fold: they are made once. All folds select in one job over them, and trade in one more.
+    """
+    folds = keep(sel.purged_folds(panel, spec.min_train, spec.test_size, spec.step, spec.horizon, embargo=spec.embargo))
+    ics = keep(ev.ic(factors, ev.forward_returns(panel, (spec.horizon,)), min_names=spec.min_names))
+    pools = factors.select(F.lit("all").alias("pool"), "factor").distinct()
+    evidence = keep(rd.fold_evidence(factors, ics, folds.filter("role = 'train'"), spec.rules()))
+    weights = keep(rd.stable_selection(evidence, pools, spec.weight_cap))
+    t = trade(panel, factors, industry, folds, weights, ("all",), spec)
+    overlaps = sel.label_overlaps(folds, spec.horizon)
+    picked = evidence.select("fold", "factor", "direction", "full_ic", "recent_ic", "robust_ic", "agreeing_blocks", F.col("stable").alias("eligible"))
+    tables = {"folds": folds, "overlaps": overlaps, "selection": picked, "weights": weights.drop("pool"), "scores": t.scores.select("date", "ticker", "path", "value"), "daily": t.daily.drop("pool"), "performance": pf.performance(t.daily, by=("path", "cost_bps"))}
+    selects = folds.select("fold").distinct().join(weights, "fold", "left_anti").isEmpty()
+    return Result(tables, {"no_label_overlap": overlaps.filter("overlaps > 0").isEmpty(), "every_fold_selects": selects})

@@ -16,7 +16,7 @@ from factorloom.operators import portfolio as pf
 from factorloom.operators import selection as sel
 from factorloom.operators import statistics as st
 from factorloom.operators.timeseries import Frame, modulo
-from factorloom.plans import formula
+from factorloom.plans import ablation, experiment, formula
 from factorloom.sources import market
 from factorloom.sources.shared import keep
 
@@ -423,6 +423,35 @@ def select_corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_selection(spark, sf_dir).value_correlation)
 
 
+ABLATION = ablation.Ablation(experiment.WalkForward(5, 100, 50, 50, min_names=NAMES, cost_bps=(0.0, 10.0)), RULES, max_exposure=0.5)
+
+
+def _ablation(spark: SparkSession, sf_dir: str) -> tuple[ablation.Arms, dict[str, DataFrame]]:
+    """The default formulas against these with two near copies; returns are scaled down, as the unit prices are random."""
+    p = keep(market.panel(spark, sf_dir).withColumn("returns", F.col("returns") / 1000))
+    factors = ev.unpivot(formula.evaluate(p, CANDIDATES), tuple(CANDIDATES))
+    known, industry = F.col("factor").isin(*formula.DEFAULTS), market.supplier_industry(spark, sf_dir)
+    arms = ablation.run_arms(p, factors.filter(known), factors.filter(~known), industry, ABLATION)
+    return arms, ablation.report(arms, p, industry, ABLATION)
+
+
+@query
+def ablation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_ablation(spark, sf_dir)[1]["ablation_metrics"], 5)
+
+
+@query
+def ablation_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each arm does in each fold; in an invalid one the last valid targets are held."""
+    _, tables = _ablation(spark, sf_dir)
+    return _rounded(tables["fold_metrics"].join(tables["fold_diagnostics"], ["arm", "fold"]), 5)
+
+
+@query
+def ablation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ablation.gates(*_ablation(spark, sf_dir), ABLATION), 5)
+
+
 WEIGHTS = {"reversal_5": (1, 0.5), "volatility_20": (-1, 0.3), "volume_price": (1, 0.2)}
 
 
