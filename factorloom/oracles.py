@@ -317,6 +317,18 @@ def _evaluation() -> dict[str, str]:
         "pieces AS (SELECT factor, ic, k, i >= dates.n // 2 AS recent FROM ics JOIN dates USING (date) JOIN parts ON i >= a AND i < b)",
         "whole AS (SELECT factor, avg(ic) AS full_ic, avg(ic) FILTER (recent) AS recent_ic, CASE WHEN avg(ic) >= 0 THEN 1 ELSE -1 END AS direction FROM pieces GROUP BY factor)",
         "seen AS (SELECT factor, count(*) AS nb, median(m) AS robust_ic, count_if(sign(m) = direction) AS agreeing_blocks FROM (SELECT factor, k, avg(ic) AS m FROM pieces GROUP BY ALL) JOIN whole USING (factor) GROUP BY factor)")
+    drawn = (
+        "ii AS MATERIALIZED (SELECT CAST(i AS INTEGER) AS i, factor, horizon, ic, ic - avg(ic) OVER (PARTITION BY factor, horizon) AS x FROM ics JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ics)) USING (date))",
+        "size AS (SELECT max(i) + 1 AS n FROM ii)",
+        "starts AS (SELECT h AS horizon, d AS draw, k, CAST(CAST('0x' || substr(md5('42/' || d || '/' || k), 1, 13) AS BIGINT) % n AS INTEGER) AS s, CASE WHEN k = (n + b - 1) // b - 1 THEN n - k * b ELSE b END AS len FROM size, (VALUES (1, 10), (5, 10), (10, 20)) AS hb(h, b), (SELECT unnest(range(0, 200)) AS d), (SELECT unnest(range(0, 2000)) AS k) WHERE k < (n + b - 1) // b)",
+        "hit AS MATERIALIZED (SELECT horizon, draw, (s + o) % n AS i, count(*) AS times FROM size, starts, (SELECT unnest(range(0, 20)) AS o) WHERE o < len GROUP BY ALL)",
+        "nul AS MATERIALIZED (SELECT hit.horizon, draw, factor, sum(x * times) / sum(times) AS mean FROM hit JOIN ii ON ii.i = hit.i AND ii.horizon = hit.horizon GROUP BY ALL)",
+    )
+    put("stat_bootstrap", "SELECT horizon, CAST(draw AS INTEGER) AS draw, factor, round(mean, 6) AS mean FROM nul", *ic, *drawn, horizons=(1, 5, 10))
+    put("stat_evidence", "SELECT a.factor, a.horizon, n, round(mean, 6) AS mean, round(se, 6) AS se, round(z, 6) AS z, round(n / CAST(a.horizon AS DOUBLE), 6) AS n_eff, round(mean / sd * sqrt(n / CAST(a.horizon AS DOUBLE)), 6) AS naive_t, round(p, 6) AS p, round(p_family, 6) AS p_family, round(critical_z, 6) AS critical_z, round(least(1, 3 * p_family), 6) AS p_global, CASE a.horizon WHEN 10 THEN 20 ELSE 10 END AS block, CASE WHEN p_family < 0.05 THEN 'PASS' ELSE 'REJECT' END AS verdict_horizon, CASE WHEN 3 * p_family < 0.05 THEN 'PASS' ELSE 'REJECT' END AS verdict, 3 * p_family < 0.1 AS within_10_percent FROM a JOIN pp USING (factor, horizon) JOIN pf USING (factor, horizon) JOIN cr USING (horizon)",
+        *ic, *drawn, "se AS (SELECT factor, horizon, stddev_samp(mean) AS se FROM nul GROUP BY ALL)", "a AS (SELECT factor, horizon, count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS sd, any_value(se) AS se, avg(ic) / any_value(se) AS z FROM ii JOIN se USING (factor, horizon) GROUP BY ALL)",
+        "zs AS (SELECT factor, horizon, draw, abs(mean) / se AS z0 FROM nul JOIN se USING (factor, horizon))", "most AS (SELECT horizon, draw, max(z0) AS z0 FROM zs GROUP BY ALL)", "cr AS (SELECT horizon, quantile_cont(z0, 0.95) AS critical_z FROM most GROUP BY horizon)",
+        "pp AS (SELECT a.factor, a.horizon, (1 + count_if(z0 >= abs(z))) / (1.0 + count(*)) AS p FROM a JOIN zs ON zs.factor = a.factor AND zs.horizon = a.horizon GROUP BY ALL)", "pf AS (SELECT a.factor, a.horizon, (1 + count_if(z0 >= abs(z))) / (1.0 + count(*)) AS p_family FROM a JOIN most ON most.horizon = a.horizon GROUP BY ALL)", horizons=(1, 5, 10))
     put("compose_score", "SELECT date, ticker, round(sum(z * w * d) / nullif(sum(w), 0), 5) AS value FROM zs JOIN (VALUES ('reversal_5', 1, 0.5), ('volatility_20', -1, 0.3), ('volume_price', 1, 0.2)) AS v(factor, d, w) USING (factor) WHERE z IS NOT NULL GROUP BY date, ticker",
         "zs AS (SELECT date, ticker, factor, (value - avg(value) OVER (PARTITION BY date, factor)) / nullif(stddev_pop(value) OVER (PARTITION BY date, factor), 0) AS z FROM factors)")
     q = Q()

@@ -65,8 +65,11 @@ class Result:
     gates: dict[str, bool] = field(default_factory=dict)
 
 
-def validate_formula(panel: DataFrame, text: str, horizons: tuple[int, ...] = (1, 5, 10), min_names: int = 30, boot: int = 200, industry: DataFrame | None = None, membership: DataFrame | None = None) -> Result:
-    """Everything about one formula: ICs, evidence, groups, turnover, portfolio, costs and periods; neutral too if industries are given."""
+def validate_formula(panel: DataFrame, text: str, horizons: tuple[int, ...] = formula.HORIZONS, min_names: int = 30, boot: int = 200, industry: DataFrame | None = None, membership: DataFrame | None = None, benchmarks: dict[str, str] = formula.BENCHMARKS) -> Result:
+    """Everything about one formula: ICs, evidence, groups, turnover, portfolio, costs and periods; neutral too if industries are given.
+
+    The benchmark formulas take part in the evidence only, where a verdict is by the largest statistic of all.
+    """
     from factorloom.operators import pit
 
     values = formula.evaluate(panel, {"value": text})
@@ -77,19 +80,17 @@ def validate_formula(panel: DataFrame, text: str, horizons: tuple[int, ...] = (1
         neutral = xs.neutralize(values.join(industry, "ticker"), min_names=min_names)
         values = values.unionByName(neutral.select("date", "ticker", F.lit("neutral").alias("factor"), "value"))
     fwd = ev.forward_returns(panel, horizons)
-    ics = ev.ic(values, fwd, min_names=min_names).cache()  # every table below starts from it
+    ics = keep(ev.ic(values, fwd, min_names=min_names))  # every table below starts from it
     groups = ev.quantile_groups(values, fwd, 5, min_names)
     days = ics.select("date").distinct()
     numbered = days.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     n = numbered.count()
     out = {"ic": ics, "summary": ev.ic_summary(ics), "t_test": ev.ic_t_test(ics), "groups": ev.stratification(groups), "turnover": ev.rank_turnover(values, panel, 5, min_names), "years": ev.ic_by_label(ics, F.year("date").cast("string"))}
     if n:
-        rows = None
-        for h in horizons:  # a family of tests for each horizon, of which there are a few
-            one = ics.filter(F.col("horizon") == h).join(numbered, "date").select("i", "factor", "ic")
-            e = st.evidence(one, st.bootstrap_null(one, n, min(n, st.block_length(h)), boot), h).withColumn("horizon", F.lit(h))
-            rows = e if rows is None else rows.unionByName(e)
-        out["evidence"] = rows.withColumn("p_global", F.least(F.lit(1.0), F.col("p_family") * len(horizons)))
+        others = ev.ic(ev.unpivot(formula.evaluate(panel, benchmarks), tuple(benchmarks)), fwd, min_names=min_names) if benchmarks else ics.limit(0)
+        grid = keep(ics.unionByName(others).join(numbered, "date").select("i", "factor", "horizon", "ic"))
+        blocks = {h: st.block_length(h) for h in horizons}
+        out["evidence"] = st.evidence(grid, keep(st.grid_null(grid, n, blocks, boot)), blocks).orderBy("p_global", F.col("z").desc())
     scored = values.filter("factor = 'formula'").join(panel.select("date", "pos", "ticker", "returns", "adv20"), ["date", "ticker"])
     moves = pf.executed(pf.buffered_targets(scored), scored)
     out |= {"performance": pf.performance(pf.simulate(moves, (0.0, 10.0))), "capacity": pf.capacity(pf.participation(moves, scored, (1e6, 1e7, 1e8)))}

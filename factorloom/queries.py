@@ -579,25 +579,25 @@ def stat_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(st.benjamini_hochberg(_tests(spark, sf_dir)))
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ics = _ics(spark, sf_dir)
+def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """i (0-based row of the dates that any IC has), factor, horizon, ic; and how many rows there are."""
+    ics = keep(_ics(spark, sf_dir, horizons=HORIZONS))
     days = ics.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
-    return ics.join(days, "date").select("i", "factor", "ic")
+    return keep(ics.join(days, "date").select("i", "factor", "horizon", "ic")), max(1, days.count())
+
+
+BLOCKS = {h: st.block_length(h) for h in HORIZONS}
 
 
 @query
 def stat_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws of numpy's generator; compared with a loop in the tests."""
-    ics = _numbered(spark, sf_dir)
-    n = ics.agg(F.max("i")).first()[0]
-    return st.bootstrap_null(ics, (n or 0) + 1, st.block_length(1), 200)
+    return _rounded(st.grid_null(*_numbered(spark, sf_dir), BLOCKS, 200, draws="hash"))
 
 
 @query
 def stat_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ics = _numbered(spark, sf_dir)
-    n = ics.agg(F.max("i")).first()[0]
-    return st.evidence(ics, st.bootstrap_null(ics, (n or 0) + 1, st.block_length(1), 200), 1)
+    ics, n = _numbered(spark, sf_dir)
+    return _rounded(st.evidence(ics, keep(st.grid_null(ics, n, BLOCKS, 200, draws="hash")), BLOCKS))
 
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
