@@ -5,9 +5,12 @@ smallest of a bucket is stored as a 16-bit register: the leading zeros of the ot
 10 bits after the first one (the mantissa). An empty bucket borrows the register of the filled bucket that
 comes first in its own fixed permutation, so short texts have full signatures too. Registers are banded by
 4; documents with an equal band are candidates. A pair's registers give its Jaccard index, corrected for
-chance collisions; pairs that are estimated more than six standard deviations under the threshold go, and
-the rest are compared on their full sets. Two documents at the threshold share no band with probability
-(1 - 0.75**4)**32 = 5e-6, less above it.
+chance collisions; pairs that are estimated more than six standard deviations under the threshold go (none with a
+set of fewer than ``TINY`` shingles, whose estimates scatter more), and the rest are compared on their full sets.
+
+Two large sets at the threshold share no band with probability (1 - 0.75**4)**32 = 5e-6, less above it. Sets of fewer shingles
+than buckets fill some of these only, so their registers depend on each other and the bands lose more: 1e-4 of the pairs of
+4 and 3 shingles. These sets get a second signature of the hashes mixed anew, whose bands are 32 more chances.
 
 No group is compared pair by pair as a whole:
 1. Documents with one and the same set are one class (known by a 128-bit digest of the sorted set).
@@ -41,6 +44,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 BUCKET_BITS, ZERO_BITS, MANTISSA_BITS, ROWS = 7, 6, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
+#: Bands of both signatures, of which the second is for sets smaller than BUCKETS; sets under TINY aren't estimated.
+ALL_BANDS, TINY = 2 * BANDS, 16
 BLOCK, CHUNK = 512, 256
 #: Two different smallest hashes have equal leading zeros with probability about 0.4 and then an equal mantissa by chance.
 COLLISION = 0.4 / (1 << MANTISSA_BITS)
@@ -98,26 +103,35 @@ def registers(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def second(h: np.ndarray) -> np.ndarray:
+    """The registers of a set's hashes mixed anew."""
+    with np.errstate(over="ignore"):
+        x = (h ^ (h >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xE7037ED1A0B428DB)
+    return registers(np.sort(x ^ (x >> np.uint64(32))))
+
+
 def estimate(equal: np.ndarray) -> np.ndarray:
     """The Jaccard index from the number of equal registers, corrected for collisions."""
     return (equal / BUCKETS - COLLISION) / (1 - COLLISION)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit digest of the set, null if empty) and sig (registers) of each row of docs."""
+    """doc_id, n_shingles, fp (128-bit digest of the set, null if empty), sig (registers) and more (those of a small set mixed anew) of each row of docs."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            n, fp, sig = [], [], []
+            n, fp, sig, more = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = shingles(t)
                 n.append(len(h))
                 fp.append(_digest(h) if len(h) else None)
                 sig.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
+                more.append(second(h).tobytes() if 0 < len(h) < BUCKETS else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (fp, sig, more))], ["doc_id", "n_shingles", "fp", "sig", "more"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type}, n_shingles long, fp binary, sig binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type}, n_shingles long, fp binary, sig binary, more binary")
 
 
 def _digest(h: np.ndarray) -> bytes:
@@ -256,7 +270,7 @@ def _stars(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     own = classes.select("handle", "fp", "sig", F.col("n_shingles").alias("size"))
     other = own.select(F.col("handle").alias("hub"), F.col("fp").alias("hub_fp"), F.col("sig").alias("hub_sig"), F.col("size").alias("hub_size"))
     near = pairs.join(own, "handle").join(other, "hub")
-    near = near.filter(DENOMINATOR * F.least("size", "hub_size") >= NUMERATOR * F.greatest("size", "hub_size")).filter(F.pandas_udf(_jaccard, "double")("sig", "hub_sig") >= LEAST)
+    near = near.filter(DENOMINATOR * F.least("size", "hub_size") >= NUMERATOR * F.greatest("size", "hub_size")).filter((F.least("size", "hub_size") < TINY) | (F.pandas_udf(_jaccard, "double")("sig", "hub_sig") >= LEAST))
     chunk = F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)))
     grouped = near.groupBy("hub_fp", chunk.alias("chunk")).agg(F.sort_array(F.collect_set("fp")).alias("members"))  # about CHUNK of them
 
@@ -299,7 +313,7 @@ def _blocks(buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFra
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
-            band = g.column("key")[0].as_py() % BANDS
+            band = g.column("key")[0].as_py() % ALL_BANDS
             outside = g.column("outside").to_numpy(zero_copy_only=False)
             number = {r: i for i, r in enumerate(dict.fromkeys(roots_))}
             kind = np.array([number[r] for r in roots_])
@@ -310,8 +324,10 @@ def _blocks(buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFra
                     continue
                 same = sig[x] == sig[y]
                 bands = same.reshape(len(x), BANDS, ROWS).all(2)
-                # in the first band that both share; two outsiders meet twice, on either side, and are taken once
-                ok = (bands.argmax(1) == band) & bands.any(1) & (estimate(same.sum(1)) >= LEAST)
+                # in the first band that both share, or in those of the second signature if there is none; two outsiders
+                # meet twice, on either side, and are taken once
+                first = (bands.argmax(1) == band) & bands.any(1) if band < BANDS else ~bands.any(1)
+                ok = first & ((estimate(same.sum(1)) >= LEAST) | (np.minimum(size[x], size[y]) < TINY))
                 ok &= ~outside[x] | (fps[x] < fps[y]).astype(bool)
                 pairs += [(i, y) for i in x[ok]]
             if pairs:
@@ -326,11 +342,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     signed = checkpoint(signatures(docs))
     full = signed.filter("fp is not null")
-    classes = full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("more").alias("more"))
     # A handle stands for a class while candidates are sought: two classes with one handle would only be two candidates.
     classes = checkpoint(classes.withColumn("handle", F.xxhash64("fp")))
-    keys = (F.shiftleft(F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)), BANDS.bit_length() - 1).bitwiseOR(F.lit(b).cast("long")) for b in range(BANDS))
-    bands = classes.select("handle", F.explode(F.array(*keys)).alias("key"))
+    part = lambda b: F.substring("sig" if b < BANDS else "more", 2 * ROWS * (b % BANDS) + 1, 2 * ROWS)
+    key = lambda b: F.shiftleft(F.xxhash64(F.lit(b), part(b)), ALL_BANDS.bit_length() - 1).bitwiseOR(F.lit(b).cast("long"))
+    small = F.when(F.col("more").isNotNull(), F.array(*map(key, range(BANDS, ALL_BANDS)))).otherwise(F.array().cast("array<bigint>"))
+    bands = classes.select("handle", F.explode(F.concat(F.array(*map(key, range(BANDS))), small)).alias("key"))
     order = F.col("handle").bitwiseXOR(F.col("key"))  # another hub in each bucket
     hubs = bands.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first").bitwiseXOR(F.col("key")).alias("hub"), "n")
     buckets = checkpoint(bands.join(hubs, "key"))

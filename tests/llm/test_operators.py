@@ -549,3 +549,18 @@ def test_notices_headers_and_lines(spark):
     assert each.count() == len(licenses.RULES)
     for r in licenses.scan(each).collect():
         assert licenses.RULES[r["doc_id"]][0] in r["licenses"].split(",")
+
+
+def test_small_sets_at_the_threshold_are_candidates():
+    """100,000 pairs of 3 to 40 shingles with a Jaccard index of exactly 0.75: each shares a band, and none is dropped by its estimate."""
+    r = np.random.default_rng(11)
+    shapes = [(3 * k, a, k - a) for k in range(1, 11) for a in (k, k - k // 2)]  # shared, only here, only there
+    lost = 0
+    for n in range(100_000):
+        c, a, b = shapes[n % len(shapes)]
+        h = r.integers(0, 2**64, size=c + a + b, dtype=np.uint64)
+        x, y = np.sort(h[: c + a]), np.sort(np.concatenate([h[:c], h[c + a :]]))
+        same = minhash.registers(x) == minhash.registers(y)
+        met = same.reshape(-1, minhash.ROWS).all(1).any() or (minhash.second(x) == minhash.second(y)).reshape(-1, minhash.ROWS).all(1).any()
+        lost += not met or (min(len(x), len(y)) >= minhash.TINY and minhash.estimate(same.sum()) < minhash.LEAST)
+    assert lost == 0
