@@ -27,6 +27,42 @@ def gaps(bars: DataFrame, days: int = 7) -> DataFrame:
     return rows.filter(F.col("gap_days") > days)
 
 
+def business_days(start: str, end: str) -> Column:
+    """An array of the Mondays to Fridays from start to end."""
+    return F.filter(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date")), lambda d: F.weekday(d) < 5)
+
+
+def missing_days(bars: DataFrame, start: str, end: str) -> DataFrame:
+    """ticker, date: business days from start to end without a bar of the ticker, of tickers that have any bar (an anti-join)."""
+    expected = bars.select("ticker").distinct().select("ticker", F.explode(business_days(start, end)).alias("date"))
+    return expected.join(bars.select("ticker", "date"), ["ticker", "date"], "left_anti")
+
+
+def completeness(bars: DataFrame, start: str, end: str, gap: int = 7) -> DataFrame:
+    """ticker, bars, missing_values, missing_days, large_gaps, message: what is missing of each ticker; message is null if nothing is."""
+    empty = sum((F.col(c).isNull().cast("int") for c in (*PRICES, "volume")), F.lit(0))
+    rows = bars.groupBy("ticker").agg(F.count("*").alias("bars"), F.sum(empty).alias("missing_values"))
+    days = missing_days(bars, start, end).groupBy("ticker").agg(F.count("*").alias("missing_days"))
+    wide = gaps(bars, gap).groupBy("ticker").agg(F.count("*").alias("large_gaps"))
+    rows = rows.join(days, "ticker", "left").join(wide, "ticker", "left").fillna(0, ["missing_days", "large_gaps"])
+    said = (F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(" " + c.replace("_", " ")))) for c in ("missing_values", "missing_days", "large_gaps"))
+    return rows.withColumn("message", F.nullif(F.concat_ws(", ", *said), F.lit("")))
+
+
+#: The scores that a comparison has.
+DIMENSIONS = ("overall", "completeness", "validity", "timeliness", "consistency")
+
+
+def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+    """A row for each ticker of either version of the scores: each score before, after and its delta, the labels, and what became of it."""
+    a = before.select("ticker", *(F.col(c).alias(f"{c}_before") for c in DIMENSIONS), F.col("label").alias("label_before"))
+    b = after.select("ticker", *(F.col(c).alias(f"{c}_after") for c in DIMENSIONS), F.col("label").alias("label_after"))
+    rows = a.join(b, "ticker", "full_outer").withColumns({f"{c}_delta": F.col(f"{c}_after") - F.col(f"{c}_before") for c in DIMENSIONS})
+    moved = F.round("overall_delta", 9)
+    status = F.when(F.col("overall_before").isNull(), "added").when(F.col("overall_after").isNull(), "removed").when(moved > 0, "improved").when(moved < 0, "worsened").otherwise("unchanged")
+    return rows.withColumn("status", status)
+
+
 def invalid(high_low_only: bool = True) -> Column:
     """A bar that can't be: open above high or close below low, or a volume that isn't positive."""
     bad = F.coalesce(F.col("open") > F.col("high"), F.lit(False)) | F.coalesce(F.col("close") < F.col("low"), F.lit(False))

@@ -480,9 +480,36 @@ def _cross() -> dict[str, str]:
         "pit_industry": f"{days}, {member} SELECT date, ticker, round(CASE WHEN is_member THEN close END, 6) AS value FROM mem",
         "pit_coverage": f"{days} SELECT date, count(*) AS names, round(count(close) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM days GROUP BY date",
     }
+    cons = f"{days}, cons AS (SELECT i.ticker, CASE WHEN i.ticker % 7 <> 0 THEN industry END AS sector, CASE WHEN i.ticker % 5 <> 0 THEN (SELECT min(date) FROM bars WHERE bars.ticker = i.ticker) + CAST(i.ticker % 11 * 40 AS INTEGER) END AS since FROM (SELECT CAST(s_suppkey AS BIGINT) AS ticker, r_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) i WHERE i.ticker % 3 = 0)"
+    ev = "ev AS (SELECT ticker, date AS t, volume < 2 AS left_it FROM bars WHERE volume > 95 OR volume < 2), nm AS (SELECT ticker FROM cons UNION SELECT ticker FROM ev)"
+    rev = "rv AS MATERIALIZED (SELECT c.date, n.ticker, coalesce((SELECT left_it FROM ev WHERE ev.ticker = n.ticker AND ev.t > c.date ORDER BY t LIMIT 1), n.ticker IN (SELECT ticker FROM cons)) AS is_member FROM cal c CROSS JOIN nm n), mr AS (SELECT * FROM rv WHERE ticker IN (SELECT ticker FROM cons) OR ticker IN (SELECT ticker FROM rv WHERE is_member))"
+    add = "ma AS (SELECT c.date, n.ticker, n.since IS NULL OR c.date >= n.since AS is_member FROM cal c CROSS JOIN cons n)"
+    seen = lambda m: f"(SELECT d.date, d.ticker, coalesce(m.is_member, false) AS is_member, CASE WHEN m.is_member THEN sector END AS industry FROM days d LEFT JOIN {m} m ON m.date = d.date AND m.ticker = d.ticker LEFT JOIN cons ON cons.ticker = d.ticker)"
+    meta = lambda m, basis, yes: f"SELECT '{basis}' AS universe_membership_basis, {yes} AS membership_point_in_time, false AS classification_point_in_time, (SELECT count_if(is_member) FROM {m} WHERE date = (SELECT min(date) FROM cal)) AS universe_size_start, (SELECT count_if(is_member) FROM {m} WHERE date = (SELECT max(date) FROM cal)) AS universe_size_end, round(coalesce((SELECT count_if(is_member AND industry IS NOT NULL) / nullif(count_if(is_member), 0) FROM {seen(m)}), 0), 6) AS classification_coverage"
+    out |= {
+        "pit_universe_changes": f"{cons}, {ev}, {rev} SELECT date, ticker, is_member FROM mr",
+        "pit_universe_additions": f"{cons}, {add} SELECT date, ticker, is_member FROM ma",
+        "pit_universe_metadata": f"{cons}, {ev}, {rev}, {add} {meta('mr', 'changes_reversed', 'true')} UNION ALL {meta('ma', 'date_added_additions_only', 'false')}",
+        "pit_universe_industry": f"{cons}, {ev}, {rev} SELECT date, ticker, is_member, industry FROM {seen('mr')}",
+    }
     return out
 
 
+def _contracts() -> dict[str, str]:
+    raw = """raw AS (SELECT CASE WHEN l_partkey % 50 <> 0 THEN CAST(l_suppkey AS BIGINT) END AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, CASE WHEN l_quantity = 7 THEN CAST('inf' AS DOUBLE) WHEN l_quantity = 9 THEN CAST('nan' AS DOUBLE) ELSE l_extendedprice END AS price, l_orderkey * 8 + l_linenumber AS seq FROM lineitem WHERE l_linenumber <= 2),
+f AS (SELECT date, ticker, ticker IS NULL AS required, row_number() OVER (PARTITION BY date, ticker) > 1 AS once, isnan(price) OR isinf(price) AS finite, date < lag(date) OVER (PARTITION BY ticker ORDER BY seq, date) AS back FROM raw),
+al AS (SELECT coalesce(f.date, b.date) AS date, coalesce(f.ticker, b.ticker) AS ticker, f.* EXCLUDE (date, ticker), f.date IS NULL OR b.date IS NULL AS apart FROM f FULL JOIN bars b ON b.date = f.date AND b.ticker = f.ticker)"""
+    rules = {"required": "required", "unique": "once", "finite": "finite", "sorted": "back", "aligned": "apart"}
+    each = " UNION ALL ".join(f"SELECT '{r}' AS rule, count_if(coalesce({c}, false)) AS violations, (SELECT date FROM al WHERE {c} ORDER BY date, ticker NULLS FIRST LIMIT 1) AS first_date, (SELECT ticker FROM al WHERE {c} ORDER BY date, ticker NULLS FIRST LIMIT 1) AS first_ticker FROM al" for r, c in rules.items())
+    own = "own AS (SELECT 'close' AS factor, date, ticker, count(*) AS n FROM (SELECT date, ticker FROM bars UNION ALL SELECT date, ticker FROM bars WHERE volume > 50) GROUP BY ALL UNION ALL SELECT 'late', date + 1, ticker, 1 FROM bars WHERE ticker % 2 = 0)"
+    q, base = _long()
+    return {
+        "contract_violations": f"WITH {WEEK}, {raw} {each}",
+        "contract_alignment": f"WITH {WEEK}, {own} SELECT factor, (SELECT count(*) FROM dense) - count(d.date) AS missing, count_if(d.date IS NULL) AS surplus, count_if(n > 1) AS repeated FROM own LEFT JOIN dense d ON d.date = own.date AND d.ticker = own.ticker GROUP BY factor",
+        "contract_feasibility": q.end("SELECT factor, CAST(floor(median(n)) AS BIGINT) AS names, 50 AS required, floor(median(n)) >= 50 AS feasible FROM (SELECT factor, date, count(value) AS n FROM factors GROUP BY ALL) GROUP BY factor", *base),
+    }
+
+
 def _portfolio() -> dict[str, str]:
     w = f"WITH {SIG}"
     b = BUFFERED.format(every=5)
@@ -516,6 +543,17 @@ def _rest() -> dict[str, str]:
 s AS (SELECT ticker, n AS rows, 0.7 * least(100, 100.0 * n / 357) + 30 AS completeness, (n - bad) / CAST(n AS DOUBLE) * 100 AS validity, CASE WHEN r <= 1 THEN 100.0 WHEN r <= 1.5 THEN 100 - 100 * (r - 1) ELSE greatest(0, 50 - 25 * (r - 1.5)) END AS timeliness, 100.0 AS consistency FROM g),
 o AS (SELECT *, 0.3 * completeness + 0.3 * validity + 0.2 * timeliness + 0.2 * consistency AS overall FROM s)"""
     bars = f"WITH {WEEK}"
+    daily = f"WITH {BARS.format(grain='day')}, need AS (SELECT t.ticker, CAST(d AS DATE) AS date FROM (SELECT DISTINCT ticker FROM bars) t, (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1997-12-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6 AND NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = t.ticker AND b.date = CAST(d AS DATE)))"
+
+    def scored(name: str, volume: str, keep: str) -> str:
+        label = "CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 80 THEN 'Good' WHEN overall >= 70 THEN 'Fair' WHEN overall >= 60 THEN 'Poor' ELSE 'Critical' END AS label"
+        parts = score.removeprefix(f"WITH {WEEK}, ").replace("coalesce(volume <= 0, false)", f"coalesce({volume} <= 0, false)").replace("FROM bars GROUP BY ticker)", f"FROM bars LEFT JOIN med USING (ticker) WHERE {keep} GROUP BY ticker)")
+        for t in ("g", "s", "o"):
+            parts = parts.replace(f"{t} AS (SELECT", f"{name}{t} AS (SELECT", 1).replace(f"FROM {t})", f"FROM {name}{t})")
+        return f"{parts}, {name} AS (SELECT *, {label} FROM {name}o)"
+
+    sides = ("overall", "completeness", "validity", "timeliness", "consistency")
+    compared = f"WITH {WEEK}, med AS (SELECT ticker, median(volume) AS m FROM bars WHERE volume >= 20 GROUP BY ticker), {scored('x', 'CASE WHEN volume >= 20 THEN volume ELSE 0 END', 'ticker % 10 <> 3')}, {scored('y', 'CASE WHEN volume >= 20 THEN volume ELSE m END', 'ticker % 10 <> 4')} SELECT coalesce(x.ticker, y.ticker) AS ticker, " + ", ".join(f"round(x.{c}, 5) AS {c}_before, round(y.{c}, 5) AS {c}_after, round(y.{c} - x.{c}, 5) AS {c}_delta" for c in sides) + ", x.label AS label_before, y.label AS label_after, CASE WHEN x.overall IS NULL THEN 'added' WHEN y.overall IS NULL THEN 'removed' WHEN y.overall - x.overall > 5e-10 THEN 'improved' WHEN y.overall - x.overall < -5e-10 THEN 'worsened' ELSE 'unchanged' END AS status FROM x FULL JOIN y ON x.ticker = y.ticker"
     clip = lambda c: f"greatest(least({c}, q3_{c} + 0.5 * (q3_{c} - q1_{c})), q1_{c} - 0.5 * (q3_{c} - q1_{c}))"
     quart = lambda *cs: "q AS (SELECT ticker, " + ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in cs) + " FROM bars GROUP BY ticker)"
     prices = ("open", "high", "low", "close")
@@ -530,6 +568,9 @@ o AS (SELECT *, 0.3 * completeness + 0.3 * validity + 0.2 * timeliness + 0.2 * c
         "stat_outlier_dbscan": f"{bars}, q AS (SELECT ticker, avg(close) AS m, nullif(stddev_pop(close), 0) AS s FROM bars GROUP BY ticker), z AS (SELECT date, ticker, (close - m) / s AS z FROM bars JOIN q USING (ticker)), core AS (SELECT a.ticker, a.date, a.z FROM z a JOIN z b ON b.ticker = a.ticker AND b.z BETWEEN a.z - 0.05 AND a.z + 0.05 GROUP BY ALL HAVING count(*) >= 5) SELECT date, ticker, z IS NOT NULL AND NOT EXISTS (SELECT 1 FROM core c WHERE c.ticker = z.ticker AND c.z BETWEEN z.z - 0.05 AND z.z + 0.05) AS outlier FROM z",
         "dq_scores": score + " SELECT ticker, rows, round(completeness, 5) AS completeness, round(validity, 5) AS validity, round(timeliness, 5) AS timeliness, consistency, round(overall, 5) AS overall, CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 80 THEN 'Good' WHEN overall >= 70 THEN 'Fair' WHEN overall >= 60 THEN 'Poor' ELSE 'Critical' END AS label FROM o",
         "dq_alerts": score + " SELECT ticker, c || ' is low' AS message, CASE WHEN v < 50 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT ticker, unnest(['completeness', 'validity', 'timeliness', 'overall']) AS c, unnest([completeness, validity, timeliness, overall]) AS v FROM o) WHERE v < 100",
+        "dq_missing_days": f"{daily} SELECT ticker, date FROM need",
+        "dq_completeness": f"{daily}, w AS (SELECT ticker, count_if(gap > 20) AS large_gaps FROM (SELECT ticker, date_diff('day', lag(date) OVER (PARTITION BY ticker ORDER BY date), date) AS gap FROM bars) GROUP BY ticker), c AS (SELECT b.ticker, b.bars, missing_values, coalesce(missing_days, 0) AS missing_days, large_gaps FROM (SELECT ticker, count(*) AS bars, count_if(volume >= 45) AS missing_values FROM bars GROUP BY ticker) b JOIN w ON w.ticker = b.ticker LEFT JOIN (SELECT ticker, count(*) AS missing_days FROM need GROUP BY ticker) m ON m.ticker = b.ticker) SELECT *, nullif(concat_ws(', ', CASE WHEN missing_values > 0 THEN missing_values || ' missing values' END, CASE WHEN missing_days > 0 THEN missing_days || ' missing days' END, CASE WHEN large_gaps > 0 THEN large_gaps || ' large gaps' END), '') AS message FROM c",
+        "dq_comparison": compared,
         "dq_gaps": f"{bars} SELECT ticker, date, CAST(gap AS INTEGER) AS gap_days FROM (SELECT a.ticker, a.date, date_diff('day', max(b.date), a.date) AS gap FROM bars a JOIN bars b ON b.ticker = a.ticker AND b.date < a.date GROUP BY a.ticker, a.date) WHERE gap > 14",
         "dq_consistency": f"{bars}, {quart(*prices, 'volume')}, m AS (SELECT ticker, " + ", ".join(f"abs(avg({c}) - avg({clip(c)})) AS d_{c}" for c in (*prices, "volume")) + " FROM bars JOIN q USING (ticker) GROUP BY ticker) SELECT ticker, c AS \"column\", round(d, 4) AS difference FROM (SELECT ticker, unnest(['open', 'high', 'low', 'close', 'volume']) AS c, unnest([d_open, d_high, d_low, d_close, d_volume]) AS d FROM m) WHERE d > 0.01",
         "clean_ohlc": f"{bars} SELECT ticker, date, round(open, 6) AS open, round(greatest(open, close), 6) AS high, round(least(open, close, low), 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM (SELECT ticker, date, open, open AS high, close AS low, close, volume FROM bars)",
@@ -560,5 +601,5 @@ def _decimal(sql: str) -> str:
     return out + sql[at:]
 
 
-_SQL: dict[str, str] = _ops() | _alphas() | _technical() | _fundamental() | _evaluation() | _candidate_sql() | _cross() | _portfolio() | _rest()
+_SQL: dict[str, str] = _ops() | _alphas() | _technical() | _fundamental() | _evaluation() | _candidate_sql() | _cross() | _contracts() | _portfolio() | _rest()
 SQL = {k: _decimal(v) for k, v in _SQL.items()}

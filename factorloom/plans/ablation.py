@@ -46,7 +46,8 @@ class Ablation:
         """Sections oos (fields of WalkForward) and correlation (fields of Rules); names, interval and least IC are taken from oos."""
         import yaml
 
-        given = yaml.safe_load(text) or {}
+        given = yaml.safe_load(text)
+        given = {} if given is None else given
         if not isinstance(given, dict):
             raise TypeError("the configuration is a mapping")
         oos, correlation = given.get("oos") or {}, given.get("correlation") or {}

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from factorloom.functions import alphas, technical
 from factorloom.operators import crosssection as xs
 from factorloom.operators import evaluation as ev
-from factorloom.operators import pit, quality, redundancy
+from factorloom.operators import contracts, pit, quality, redundancy
 from factorloom.operators import portfolio as pf
 from factorloom.operators import selection as sel
 from factorloom.operators import statistics as st
@@ -245,6 +245,66 @@ def pit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pit.coverage(_days(spark, sf_dir), "close"))
 
 
+def _constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Today's members: suppliers by a rule, with a sector for most and the date of their first order line as date_added for most."""
+    first = market.lineitem_bars(spark, sf_dir).groupBy("ticker").agg(F.min("date").alias("first"))
+    s = market.supplier_industry(spark, sf_dir).filter("ticker % 3 = 0").join(first, "ticker", "left")
+    return s.select("ticker", F.when(F.col("ticker") % 7 != 0, F.col("industry")).alias("sector"), F.when(F.col("ticker") % 5 != 0, F.date_add("first", (F.col("ticker") % 11 * 40).cast("int"))).alias("date_added"))
+
+
+def _universe(spark: SparkSession, sf_dir: str, log: bool) -> pit.Universe:
+    changes = _changes(spark, sf_dir)
+    return pit.universe(market.lineitem_bars(spark, sf_dir).select("date").distinct(), _constituents(spark, sf_dir), changes if log else changes.limit(0))
+
+
+@query
+def pit_universe_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _universe(spark, sf_dir, True).membership
+
+
+@query
+def pit_universe_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _universe(spark, sf_dir, False).membership
+
+
+@query
+def pit_universe_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each basis, with the coverage of member cells."""
+    out, changes = None, _changes(spark, sf_dir)
+    for log in (changes, None):
+        row = pit.context(_days(spark, sf_dir), _constituents(spark, sf_dir), log)[2]
+        out = row if out is None else out.unionByName(row)
+    return _rounded(out)
+
+
+@query
+def pit_universe_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pit.context(_days(spark, sf_dir), _constituents(spark, sf_dir), _changes(spark, sf_dir))[0]
+
+
+# ---- contracts of inputs
+
+@query
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as raw rows: repeats, missing keys, infinite unit prices, an order of arrival, and the weekly bars' keys as reference."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber <= 2")
+    raw = lines.select(F.when(F.col("l_partkey") % 50 != 0, F.col("l_suppkey").cast("long")).alias("ticker"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.when(F.col("l_quantity") == 7, float("inf")).when(F.col("l_quantity") == 9, float("nan")).otherwise(F.col("l_extendedprice")).alias("price"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
+    return contracts.violations(raw, ("price",), _bars(spark, sf_dir), "seq")
+
+
+@query
+def contract_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors over the bars' own dates against the dense panel."""
+    b = _bars(spark, sf_dir)
+    f = b.select("date", "ticker", F.lit("close").alias("factor")).unionByName(b.filter("ticker % 2 = 0").select(F.date_add("date", 1).alias("date"), "ticker", F.lit("late").alias("factor"))).unionByName(b.filter("volume > 50").select("date", "ticker", F.lit("close").alias("factor")))
+    return contracts.factor_alignment(f, market.densify(b))
+
+
+@query
+def contract_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.feasibility(_factors(spark, sf_dir)[1], 0.2, 0.1)
+
+
 # ---- evaluation
 
 def _factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -626,6 +686,25 @@ def dq_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quality.scores(_bars(spark, sf_dir), 357, "1998-12-15", 14.0), 5)
 
 
+@query
+def dq_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.missing_days(market.lineitem_bars(spark, sf_dir, "day"), "1996-01-01", "1997-12-31")
+
+
+@query
+def dq_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = market.lineitem_bars(spark, sf_dir, "day")
+    return quality.completeness(b.withColumn("volume", F.when(F.col("volume") < 45, F.col("volume"))), "1996-01-01", "1997-12-31", 20)
+
+
+@query
+def dq_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with holes in the volume against their repair, which lacks some tickers and has some that were held back before."""
+    holes = _bars(spark, sf_dir).withColumn("volume", F.when(F.col("volume") >= 20, F.col("volume")).otherwise(0.0))
+    score = lambda df: quality.scores(df, 357, "1998-12-15", 14.0)
+    return _rounded(quality.compare(score(holes.filter("ticker % 10 <> 3")), score(quality.repair_volume(holes).filter("ticker % 10 <> 4"))), 5)
+
+
 @query
 def dq_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.alerts(quality.scores(_bars(spark, sf_dir), 357, "1998-12-15", 14.0), 100.0)
