@@ -29,10 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_lengths, self.b_lengths = self.a.lengths.tolist(), [len(x) for x in self.b_bytes]
+        self.sizes_b = np.array(self.b_lengths, np.int64)
+        self.decimals = [str(i) for i in range(max(len(self.a.bytes), len(self.b_bytes)))]
         self.cuts = not any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in self.b_bytes)
         self.begin()
 
@@ -91,14 +94,45 @@ class Aligner:
         self.held = 0
 
     def learn(self, missing: list[str]) -> None:
-        encode, a_bytes, b_bytes, said, cut = self.a.core.encode_ordinary, self.a.bytes.__getitem__, self.b_bytes.__getitem__, self.said, self.cut
-        for c, b in zip(missing, self.b.encode(missing, num_threads=1), strict=True):
-            a = encode(" " + c)
-            whole = (" " + c).encode()
-            fits = b"".join(map(a_bytes, a)) == whole and b"".join(map(b_bytes, b)) == whole
-            said[c] = found = cut(a, b) if fits else None
+        """Chunks that neither begin nor end with white space are encoded together, as a text of their own, and the others alone."""
+        apart = [c for c in missing if not c or c[0].isspace() or c[-1].isspace()] if self.cuts else missing
+        alone = set(apart)
+        if together := [c for c in missing if c not in alone]:
+            found = self.groups_of(together)
+            if found is None:  # some bytes differ
+                apart = missing
+            else:
+                self.said.update(zip(together, found, strict=True))
+                self.held += sum(map(len, together)) + sum(map(len, found))
+        for c in apart:
+            a, b = self.a.core.encode_ordinary(" " + c), self.b.encode(c, num_threads=1)
+            self.said[c] = found = self.cut(a, b) if self.same(a, b, (" " + c).encode()) else None
             self.held += len(c) + len(found or "")
 
+    def same(self, a: list[int], b: list[int], whole: bytes) -> bool:
+        return b"".join(map(self.a.bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+
+    def groups_of(self, many: list[str]) -> list[str] | None:
+        """The groups of each of many chunks, from one encoding of all; None if bytes differ or a chunk's end is no end of tokens of both."""
+        text = " ".join(many)
+        a, b = self.a.core.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
+        if not self.same(a, b, (" " + text).encode()):
+            return None
+        ends_a, ends_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.sizes_b[b])
+        at = np.zeros(ends_a[-1] + 1, bool)
+        at[ends_a] = True
+        cuts = ends_b[at[ends_b]]
+        cuts = cuts[np.append(np.diff(cuts) > 0, True)]  # pieces without bytes end where the one before does
+        last = np.cumsum([len(c.encode()) + 1 for c in many])
+        upto = np.searchsorted(cuts, last)
+        if not np.array_equal(cuts[upto], last):
+            return None
+        i, j = np.searchsorted(ends_a, cuts, "right").tolist(), np.searchsorted(ends_b, cuts, "right").tolist()
+        x, y = list(map(self.decimals.__getitem__, a)), list(map(self.decimals.__getitem__, b))
+        groups = [x[p] + "|" + y[q] if r - p == 1 == t - q else ",".join(x[p:r]) + "|" + ",".join(y[q:t]) for p, r, q, t in zip([0, *i], i, [0, *j], j, strict=False)]
+        upto = (upto + 1).tolist()
+        return [";".join(groups[p:r]) for p, r in zip([0, *upto], upto, strict=False)]
+
     def cut(self, a: list[int], b: list[int]) -> str:
         """The groups of two encodings of the same bytes."""
         if len(a) == 1 == len(b):
@@ -141,21 +175,26 @@ def aligner(a_file: str, b_file: str) -> Aligner:
     return _ALIGNERS[a_file, b_file]
 
 
-def _document(x: Aligner, text: str | None) -> tuple:
+def _parts(x: Aligner, texts: list[str | None]) -> list[list[str]]:
+    """The chunks of each text, all of which x then knows."""
+    if len(x.said) > CHUNKS or x.held > CHARACTERS:
+        x.begin()
+    out = [(chunks(t) if x.cuts else [t]) if t else [] for t in texts]
+    if missing := list(dict.fromkeys(c for c in chain.from_iterable(out) if c not in x.said)):
+        x.learn(missing)
+    return out
+
+
+def _document(x: Aligner, parts: list[str]) -> tuple:
     """n_a, n_b, n_groups, n_links, groups_sha256, distinct groups, how often each, pairs of several groups, in how many more."""
     none = (0, 0, 0, 0, "", [], [], [], [])
-    if not text:
+    if not parts:
         return none
-    if len(x.said) > CHUNKS or x.held > CHARACTERS:
-        x.begin()
-    parts = chunks(text) if x.cuts else [text]
     count = Counter(parts)
-    if missing := [c for c in count if c not in x.said]:
-        x.learn(missing)
     said = list(map(x.said.__getitem__, parts))
     if None in said:
         return none
-    often: Counter[str] = Counter()
+    often: dict[str, int] = defaultdict(int)
     for c, k in count.items():
         for g in x.said[c].split(";"):
             often[g] += k
@@ -183,7 +222,7 @@ def document_groups(docs: DataFrame, a_file: str | None = None, b_file: str | No
         x = aligner(*files)
         for batch in batches:
             for b in portions(batch, 1):
-                values = list(zip(*(_document(x, t) for t in b.column(1).to_pylist()), strict=True))
+                values = list(zip(*(_document(x, parts) for parts in _parts(x, b.column(1).to_pylist())), strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(v), f[2]) for v, f in zip(values, FIELDS, strict=True))], ["doc_id", *(f[0] for f in FIELDS)])
 
     texts = docs.select("doc_id", docs["text"].cast("string").alias("text"))
