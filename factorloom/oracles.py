@@ -3,6 +3,7 @@ these count or join instead."""
 
 from __future__ import annotations
 
+from factorloom.functions.technical import families
 from factorloom.plans.formula import DEFAULTS
 
 #: The panel: bars of suppliers, the calendar, all tickers on all dates, and the inputs of formulas.
@@ -331,6 +332,8 @@ def _evaluation() -> dict[str, str]:
         "pp AS (SELECT a.factor, a.horizon, (1 + count_if(z0 >= abs(z))) / (1.0 + count(*)) AS p FROM a JOIN zs ON zs.factor = a.factor AND zs.horizon = a.horizon GROUP BY ALL)", "pf AS (SELECT a.factor, a.horizon, (1 + count_if(z0 >= abs(z))) / (1.0 + count(*)) AS p_family FROM a JOIN most ON most.horizon = a.horizon GROUP BY ALL)", horizons=(1, 5, 10))
     put("compose_score", "SELECT date, ticker, round(sum(z * w * d) / nullif(sum(w), 0), 5) AS value FROM zs JOIN (VALUES ('reversal_5', 1, 0.5), ('volatility_20', -1, 0.3), ('volume_price', 1, 0.2)) AS v(factor, d, w) USING (factor) WHERE z IS NOT NULL GROUP BY date, ticker",
         "zs AS (SELECT date, ticker, factor, (value - avg(value) OVER (PARTITION BY date, factor)) / nullif(stddev_pop(value) OVER (PARTITION BY date, factor), 0) AS z FROM factors)")
+    cal_sql = "research AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT date, count(close) AS n FROM bars GROUP BY date) WHERE date >= DATE '1998-01-01' AND n >= greatest(3, floor((SELECT max(n) FROM (SELECT count(close) AS n FROM bars GROUP BY date)) * 0.5)))"
+    put("inputs_extended", "SELECT f.date, CAST(r.pos AS INTEGER) AS pos, f.ticker, f.factor, round(f.value, 4) AS value FROM factors f JOIN research r ON r.date = f.date", cal_sql)
     q = Q()
     cols = _formulas(q)
     out["formula_defaults"] = q.end("SELECT date, ticker, " + ", ".join(f"round({e}, 4) AS {n}" for n, e in cols.items()) + " FROM {at}")
@@ -367,7 +370,7 @@ def _ablation_sql(q: Q, ctes: list[str]) -> dict[str, str]:
         "dd AS (SELECT arm, path, cost_bps, min(d) AS max_drawdown FROM (SELECT *, wealth / max(wealth) OVER (PARTITION BY arm, path, cost_bps ORDER BY pos) - 1 AS d FROM (SELECT *, product(1 + net) OVER (PARTITION BY arm, path, cost_bps ORDER BY pos) AS wealth FROM net)) GROUP BY ALL)",
         f"si AS MATERIALIZED (SELECT arm, path, date, {CORR.format(x='x', y='y')} AS ic FROM (SELECT arm, path, date, {rank('value')} AS x, {rank('fwd')} AS y FROM long JOIN fwd USING (date, ticker) WHERE value IS NOT NULL) GROUP BY ALL HAVING count(*) >= 30 AND min(x) < max(x) AND min(y) < max(y))",
         f"fm AS (SELECT n.arm, n.path, n.fold, n.start, n.\"end\", annualized_return, annualized_volatility, sharpe, ic_mean FROM (SELECT arm, path, fold, min(date) AS start, max(date) AS \"end\", {year} FROM net JOIN oos USING (date) WHERE cost_bps = 10 GROUP BY arm, path, fold) n LEFT JOIN (SELECT arm, path, fold, avg(ic) AS ic_mean FROM si JOIN oos USING (date) GROUP BY ALL) i ON i.arm = n.arm AND i.path = n.path AND i.fold = n.fold)",
-        f"mt AS MATERIALIZED (SELECT a.*, max_drawdown, positive_ic_folds, ic_mean FROM (SELECT arm, path, {year}, avg(turnover) AS average_turnover, sum(turnover) * 10 / 10000 AS total_cost FROM net WHERE cost_bps = 10 GROUP BY arm, path) a JOIN dd ON dd.arm = a.arm AND dd.path = a.path AND dd.cost_bps = 10 LEFT JOIN (SELECT arm, path, count_if(ic_mean > 0) AS positive_ic_folds FROM fm GROUP BY ALL) p ON p.arm = a.arm AND p.path = a.path LEFT JOIN (SELECT arm, path, avg(ic) AS ic_mean FROM si GROUP BY ALL) i ON i.arm = a.arm AND i.path = a.path)",
+        f"mt AS MATERIALIZED (SELECT a.*, max_drawdown, positive_ic_folds, ic_mean FROM (SELECT arm, path, {year}, avg(turnover) AS average_turnover, sum(turnover) * 10 / 10000 AS total_cost FROM net WHERE cost_bps = 10 GROUP BY arm, path) a JOIN dd ON dd.arm = a.arm AND dd.path = a.path AND dd.cost_bps = 10 LEFT JOIN (SELECT arm, path, count(*) FILTER (ic_mean > 0) AS positive_ic_folds FROM fm GROUP BY ALL) p ON p.arm = a.arm AND p.path = a.path LEFT JOIN (SELECT arm, path, avg(ic) AS ic_mean FROM si GROUP BY ALL) i ON i.arm = a.arm AND i.path = a.path)",
     ]
     end = lambda body, *more: q.end(body, *ctes, *more).replace("WITH ", "WITH RECURSIVE ", 1)
     r = lambda *names: ", ".join(f"round({x}, 5) AS {x}" for x in names)
@@ -378,7 +381,7 @@ def _ablation_sql(q: Q, ctes: list[str]) -> dict[str, str]:
     rows.append("SELECT 'research', 'c_soft_industry_exposure_at_most_8pct', avg(e), 0.5, '<=' FROM (SELECT date, max(abs(e)) AS e FROM (SELECT date, industry, sum(w) AS e FROM moves JOIN ind ON ind.ticker = CAST(split_part(moves.ticker, '/', 3) AS BIGINT) WHERE starts_with(moves.date, 'C/soft/') GROUP BY ALL) GROUP BY date)")
     rows.append("SELECT 'engineering', 'shared_folds', (SELECT CAST(count(DISTINCT fold) - count(DISTINCT fold) AS DOUBLE) FROM oos), 0, '<='")
     rows.append("SELECT 'engineering', 'zero_label_overlap', CAST(count_if(t.pos + 5 >= 106 + o.fold * 50) AS DOUBLE), 0, '<=' FROM (SELECT DISTINCT fold FROM oos) o JOIN cal t ON t.pos <= 100 + o.fold * 50")
-    rows.append("SELECT 'engineering', 'valid_correlation_fold_size_2_to_3', CAST(count_if(n < 2 OR n > 3) AS DOUBLE), 0, '<=' FROM (SELECT count(*) AS n FROM ws WHERE arm <> 'A' GROUP BY arm, fold)")
+    rows.append("SELECT 'engineering', 'valid_correlation_fold_size_2_to_3', CAST(count(*) FILTER (n < 2 OR n > 3) AS DOUBLE), 0, '<=' FROM (SELECT count(*) AS n FROM ws WHERE arm <> 'A' GROUP BY arm, fold)")
     rows.append("SELECT 'engineering', 'no_selected_pair_breaches_hard_threshold', CAST(count(*) AS DOUBLE), 0, '<=' FROM ws a JOIN ws b ON b.arm = a.arm AND b.fold = a.fold AND a.factor < b.factor WHERE a.arm <> 'A' AND NOT EXISTS (SELECT 1 FROM vc WHERE vc.fold = a.fold AND vc.l = a.factor AND vc.r = b.factor AND vc.pool = CASE WHEN a.arm = 'B' THEN 'base' ELSE 'wide' END AND verified AND abs(vc.value) < 0.5)")
     rows.append("SELECT 'engineering', 'complete_cost_stress_grid', CAST(count(DISTINCT arm || path || cost_bps) AS DOUBLE), 18, '>=' FROM net")
     chosen = "SELECT arm, fold, count(*) AS n, string_agg(factor, '|' ORDER BY factor) AS names FROM ws GROUP BY arm, fold"
@@ -560,7 +563,6 @@ o AS (SELECT *, 0.3 * completeness + 0.3 * validity + 0.2 * timeliness + 0.2 * c
     known = "(SELECT {c} FROM dense b WHERE b.ticker = a.ticker AND b.{c} IS NOT NULL AND b.date {op} a.date ORDER BY b.date {dir} LIMIT 1)"
     prev, nxt = (lambda c: known.format(c=c, op="<=", dir="DESC")), (lambda c: known.format(c=c, op=">=", dir="ASC"))
     return {
-        "factor_families": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{f}')" for f, names in (("reversal", ("reversal_5d", "short_reversal_1d", "min_ret_reversal", "vwap_reversion", "median_reversion", "ts_rank_close", "stoch_reversal", "weekly_range_reversal", "amihud_illiq", "intraday_position")), ("momentum", ("momentum_126d", "momentum_63d", "price_volume_corr")), ("value", ("earnings_yield", "book_to_market", "roe_ttm", "gross_profitability", "asset_growth_penalty", "eps_momentum"))) for n in names) + ") AS v(factor, family)",
         "stat_bonferroni": f"WITH {tests} SELECT name, round(p, 6) AS p, round(least(1, p * (SELECT count(*) FROM t)), 6) AS p_bonferroni FROM t",
         "stat_bh": f"WITH {tests}, k AS (SELECT *, row_number() OVER (ORDER BY p, name) AS k FROM t) SELECT a.name, round(a.p, 6) AS p, round(least(1, (SELECT min(b.p * (SELECT count(*) FROM t) / b.k) FROM k b WHERE b.k >= a.k)), 6) AS p_bh FROM k a",
         "stat_outlier_iqr": f"{bars}, q AS (SELECT ticker, quantile_cont(close, 0.25) AS a, quantile_cont(close, 0.75) AS b FROM bars GROUP BY ticker) SELECT date, ticker, close < a - 1.5 * (b - a) OR close > b + 1.5 * (b - a) AS outlier FROM bars JOIN q USING (ticker)",
@@ -602,4 +604,5 @@ def _decimal(sql: str) -> str:
 
 
 _SQL: dict[str, str] = _ops() | _alphas() | _technical() | _fundamental() | _evaluation() | _candidate_sql() | _cross() | _contracts() | _portfolio() | _rest()
+_SQL["factor_families"] = " UNION ALL ".join(f"SELECT '{n}' AS factor, '{f}' AS family, count(value) AS values FROM ({_SQL[f'fac_{n}']})" for n, f in families() if f"fac_{n}" in _SQL)
 SQL = {k: _decimal(v) for k, v in _SQL.items()}

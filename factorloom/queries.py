@@ -16,7 +16,7 @@ from factorloom.operators import portfolio as pf
 from factorloom.operators import selection as sel
 from factorloom.operators import statistics as st
 from factorloom.operators.timeseries import Frame, modulo
-from factorloom.plans import ablation, experiment, formula
+from factorloom.plans import ablation, experiment, formula, inputs
 from factorloom.sources import market
 from factorloom.sources.shared import keep
 
@@ -130,7 +130,16 @@ def formula_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def factor_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(technical.families(), "factor string, family string")
+    """Each technical factor's family, and how many values the bars give."""
+    names = spark.createDataFrame([(n, f) for n, f in technical.families() if n in FACTORS], "factor string, family string")
+    values = technical.technical(market.lineitem_bars(spark, sf_dir)).unpivot(["date", "ticker"], list(FACTORS), "factor", "value").groupBy("factor").agg(F.count("value").alias("values"))
+    return names.join(values, "factor", "left").fillna(0, ["values"])
+
+
+@query
+def inputs_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas over a calendar that begins in 1998, from a panel that begins just early enough."""
+    return _rounded(inputs.extended(market.lineitem_bars(spark, sf_dir), "1998-01-01", formula.DEFAULTS, least=3).factors, 4)
 
 
 # ---- cross-section

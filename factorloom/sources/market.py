@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from factorloom.sources.shared import keep
+
 OHLCV = ("Open", "High", "Low", "Close", "Volume")
 RAW_BARS = T.StructType([T.StructField("Date", T.StringType()), *(T.StructField(c, T.StringType()) for c in OHLCV)])
 
@@ -68,7 +70,11 @@ def supplier_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def densify(bars: DataFrame) -> DataFrame:
-    """Every ticker on every date of the calendar, with ``pos`` from 1. The calendar is one array, as long as the period has dates."""
+    """Every ticker on every date of the calendar, with ``pos`` from 1. The calendar is one array, as long as the period has dates.
+
+    Calendar, tickers and values come from bars that are made once and kept, so their source is scanned once.
+    """
+    bars = keep(bars)
     calendar = bars.agg(F.sort_array(F.collect_set("date")).alias("c")).scalar()
     grid = bars.select("ticker").distinct().select("ticker", F.posexplode(calendar).alias("pos", "date")).withColumn("pos", F.col("pos") + 1)
     return grid.join(bars, ["ticker", "date"], "left")

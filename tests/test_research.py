@@ -330,3 +330,33 @@ def test_groups_of_portfolios_are_apart(spark):
         mine = both.filter(F.col("g") == g)
         alone = pf.simulate(pf.executed(pf.buffered_targets(mine, every=3), mine), (10.0,))
         assert sorted(map(tuple, daily.filter(F.col("g") == g).drop("g").collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_lookback_of_formulas():
+    from factorloom.plans import inputs
+
+    assert [inputs.lookback(t) for t in ("close", "returns", "delay(close, 5)", "stddev(returns, 20)", "ts_rank(delta(close, 3), 10) + adv20", "correlation(rank(close), rank(volume), 10)", "adv(close, volume, 5) * 2")] == [0, 1, 5, 20, 19, 9, 4]
+
+
+def test_padded_factors_are_those_of_the_whole_history(spark):
+    from factorloom.functions import alphas
+    from factorloom.operators import evaluation as ev
+    from factorloom.plans import formula, inputs
+    from factorloom.sources import market
+
+    bars = market.lineitem_bars(spark, "/root/testdata/sf0.001")
+    numbers = tuple(a.number for a in alphas.ALPHAS)
+    got = inputs.extended(bars, "1998-01-01", {"m": "delay(close, 5) / delay(close, 60) - 1"}, numbers, least=1)
+    assert got.metadata["lookback"] == max(a.lookback + a.delay + (19 if "adv20" in a.inputs else "returns" in a.inputs) for a in alphas.ALPHAS)
+    whole = market.measures(market.densify(bars))
+    built = alphas.build(whole, numbers)
+    want = ev.unpivot(built, tuple(c for c in built.columns if c.startswith("alpha_"))).unionByName(ev.unpivot(formula.evaluate(whole, {"m": "delay(close, 5) / delay(close, 60) - 1"}), ("m",)))
+    first = got.calendar.filter("pos = 1").first()["date"]
+    assert got.panel.agg(F.min("date")).first()[0] > bars.agg(F.min("date")).first()[0]  # the history is longer than the padding
+    rows = lambda df: {(x["ticker"], x["factor"]): x["value"] for x in df.filter(F.col("date") == F.lit(first)).collect()}
+    a, b = rows(got.factors), rows(want)
+    assert a.keys() <= b.keys() and sum(v is not None for v in a.values()) > 0
+    for k, v in a.items():
+        assert (v is None) == (b[k] is None) and (v is None or math.isclose(v, b[k], rel_tol=1e-9, abs_tol=1e-9)), k
+    with pytest.raises(ValueError):
+        inputs.extended(bars, "2050-01-01", formula.DEFAULTS)
