@@ -7,6 +7,8 @@ from compare import same
 
 from factorloom.llm.registry import QUERIES, SQL
 
+#: Operator 12 takes pages; its odd rows are with its other tests.
+OF_DOCUMENTS = sorted(set(QUERIES) - {"op12_url_rules"})
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, handle string, maybe boolean, block long"
 ODD = [
     (1, None, None, None, None, "x", True, 1),
@@ -44,7 +46,7 @@ def test_against_sql(spark, name):
     same(QUERIES[name](spark, "/root/testdata/sf0.01"), SQL[name], "/root/testdata/sf0.01")
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - {"op8_exact_dedup"}))
+@pytest.mark.parametrize("name", sorted(set(SQL) - {"op8_exact_dedup", "op12_url_rules"}))
 def test_odd_rows_against_sql(spark, odd, name):
     from pathlib import Path
 
@@ -59,12 +61,12 @@ def test_odd_rows_against_sql(spark, odd, name):
     assert want == sorted(str(dict(sorted(r.asDict().items()))) for r in df.filter("doc_id is not null and doc_id <> 4").collect())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", OF_DOCUMENTS)
 def test_odd_rows(spark, odd, name):
     out = QUERIES[name](spark, odd)
     assert sorted(r["doc_id"] or 0 for r in out.collect()) == sorted(r[0] or 0 for r in ODD)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", OF_DOCUMENTS)
 def test_empty_table(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
