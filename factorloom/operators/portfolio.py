@@ -127,10 +127,10 @@ def liquidity_costs(parts: DataFrame, model: Liquidity = Liquidity()) -> DataFra
     return parts.withColumn("cost", F.abs("dw") * (model.spread_bps / 10_000 + model.impact_bps / 10_000 * F.pow(used, model.exponent)))
 
 
-def capacity(parts: DataFrame, model: Liquidity = Liquidity()) -> DataFrame:
-    """A row for each AUM: Sharpe ratio net of costs, yearly return, mean daily cost, greatest participation, breaches of the cap."""
-    daily = liquidity_costs(parts, model).groupBy("aum", "date", "pos").agg((F.sum(F.col("w") * F.col("ret")) - F.sum("cost")).alias("net"), F.sum("cost").alias("cost"), F.max(F.when(F.abs("dw") > 0, F.col("participation"))).alias("p"), F.count_if(F.col("illiquid") | ((F.abs("dw") > 0) & F.coalesce(F.col("participation") > model.cap, F.lit(False)))).alias("breaches"))
-    rows = daily.groupBy("aum").agg((F.avg("net") * YEAR).alias("annualized_return"), (F.stddev_samp("net") * math.sqrt(YEAR)).alias("_v"), F.avg("cost").alias("average_daily_cost"), F.max("p").alias("max_participation"), F.sum("breaches").alias("capacity_breach_trades"))
+def capacity(parts: DataFrame, model: Liquidity = Liquidity(), by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each AUM (and group of ``by``): Sharpe ratio net of costs, yearly return, mean daily cost, greatest participation, breaches of the cap."""
+    daily = liquidity_costs(parts, model).groupBy(*by, "aum", "date", "pos").agg((F.sum(F.col("w") * F.col("ret")) - F.sum("cost")).alias("net"), F.sum("cost").alias("cost"), F.max(F.when(F.abs("dw") > 0, F.col("participation"))).alias("p"), F.count_if(F.col("illiquid") | ((F.abs("dw") > 0) & F.coalesce(F.col("participation") > model.cap, F.lit(False)))).alias("breaches"))
+    rows = daily.groupBy(*by, "aum").agg((F.avg("net") * YEAR).alias("annualized_return"), (F.stddev_samp("net") * math.sqrt(YEAR)).alias("_v"), F.avg("cost").alias("average_daily_cost"), F.max("p").alias("max_participation"), F.sum("breaches").alias("capacity_breach_trades"))
     return rows.withColumn("net_sharpe", F.try_divide("annualized_return", "_v")).drop("_v")
 
 

@@ -385,7 +385,26 @@ def _ablation_sql(q: Q, ctes: list[str]) -> dict[str, str]:
     rows.append("SELECT 'engineering', 'no_selected_pair_breaches_hard_threshold', CAST(count(*) AS DOUBLE), 0, '<=' FROM ws a JOIN ws b ON b.arm = a.arm AND b.fold = a.fold AND a.factor < b.factor WHERE a.arm <> 'A' AND NOT EXISTS (SELECT 1 FROM vc WHERE vc.fold = a.fold AND vc.l = a.factor AND vc.r = b.factor AND vc.pool = CASE WHEN a.arm = 'B' THEN 'base' ELSE 'wide' END AND verified AND abs(vc.value) < 0.5)")
     rows.append("SELECT 'engineering', 'complete_cost_stress_grid', CAST(count(DISTINCT arm || path || cost_bps) AS DOUBLE), 18, '>=' FROM net")
     chosen = "SELECT arm, fold, count(*) AS n, string_agg(factor, '|' ORDER BY factor) AS names FROM ws GROUP BY arm, fold"
+    # arm A alone is the walk-forward run
+    mine = "SELECT * FROM mt WHERE arm = 'A'"
+    xp = "xp AS MATERIALIZED (SELECT split_part(date, '/', 2) AS path, CAST(split_part(date, '/', 3) AS DATE) AS date, industry, sum(w) AS exposure FROM moves JOIN ind ON ind.ticker = CAST(split_part(moves.ticker, '/', 3) AS BIGINT) WHERE starts_with(moves.date, 'A/') GROUP BY ALL)"
+    largest = "big AS (SELECT path, avg(e) AS industry_exposure FROM (SELECT path, date, max(abs(exposure)) AS e FROM xp GROUP BY ALL) GROUP BY path)"
+    steady = (
+        "dn AS (SELECT path, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, stddev_samp(least(net, 0)) * sqrt(252) AS down FROM net WHERE arm = 'A' AND cost_bps = 10 GROUP BY path)",
+        "yr AS (SELECT path, year(date) AS y, avg(ic) AS m FROM si WHERE arm = 'A' GROUP BY ALL)",
+        "rg AS (SELECT path, avg(CASE WHEN sign(m) = CASE WHEN mm >= 0 THEN 1 ELSE -1 END THEN 1.0 ELSE 0.0 END) AS regime_consistency, count(*) AS n_subperiods FROM yr JOIN (SELECT path, avg(m) AS mm FROM yr GROUP BY path) USING (path) GROUP BY path)",
+    )
+    side = lambda p, x: f"max({x}) FILTER (path = '{p}')"
+    judged = [
+        ("soft_sharpe_beats_raw", side("soft", "sharpe"), side("raw", "sharpe"), ">"), ("annual_cost_reduction_at_least_40pct", f"1 - {side('soft', 'average_turnover')} * 252 * 10 / 10000 / 0.3", "0.40", ">="),
+        ("industry_exposure_at_most_8pct", side("soft", "industry_exposure"), "0.08", "<="), ("soft_ic_retention_at_least_80pct", f"CASE WHEN {side('raw', 'ic_mean')} > 0 THEN {side('soft', 'ic_mean')} / {side('raw', 'ic_mean')} END", "0.80", ">="), ("zero_label_overlap", "count_if(1 = 0)", "0", "="),
+    ]
+    ruled = " UNION ALL ".join(f"SELECT '{n}' AS gate, round(CAST({v} AS DOUBLE), 5) AS value, round(CAST({b} AS DOUBLE), 5) AS bound, coalesce({v} {op} {b}, false) AS passed FROM ma" for n, v, b, op in judged)
     return {
+        "oos_scorecard": end(f"SELECT m.path, {r('annualized_return', 'annualized_volatility', 'sharpe', 'max_drawdown', 'average_turnover', 'total_cost', 'win_rate', 'regime_consistency', 'industry_exposure')}, round(annualized_return / nullif(down, 0), 5) AS sortino, round(annualized_return / nullif(abs(max_drawdown), 0), 5) AS calmar, coalesce(n_subperiods, 0) AS n_subperiods FROM ({mine}) m JOIN dn USING (path) LEFT JOIN rg USING (path) LEFT JOIN big USING (path)", xp, largest, *steady),
+        "oos_years": end(f"SELECT n.year, n.path, {r(*numbers)} FROM (SELECT year(date) AS year, path, {year} FROM net WHERE arm = 'A' AND cost_bps = 10 GROUP BY ALL) n LEFT JOIN (SELECT y AS year, path, m AS ic_mean FROM yr) i ON i.year = n.year AND i.path = n.path", steady[1]),
+        "oos_exposure": end("SELECT path, date, industry, round(exposure, 5) AS exposure, round(max(abs(exposure)) OVER (PARTITION BY path, date), 5) AS max_abs_industry FROM xp", xp),
+        "oos_gates": end(ruled, xp, largest, f"ma AS MATERIALIZED (SELECT m.*, industry_exposure FROM ({mine}) m LEFT JOIN big USING (path))"),
         "ablation_metrics": end(f"SELECT arm, path, {r(*numbers, 'max_drawdown', 'average_turnover', 'total_cost')}, positive_ic_folds FROM mt"),
         "ablation_folds": end(f"SELECT fm.arm, fm.fold, fm.path, fm.start, fm.\"end\", {r(*numbers)}, n IS NOT NULL AS valid, coalesce(n, 0) AS selected_count, coalesce(names, '') AS selected, CASE WHEN n IS NULL THEN 'invalid_fold_hold' ELSE 'score' END AS action FROM fm LEFT JOIN chosen ON chosen.arm = fm.arm AND chosen.fold = fm.fold", f"chosen AS ({chosen})"),
         "ablation_gates": end("SELECT kind, gate, round(value, 5) AS value, round(bound, 5) AS bound, coalesce(CASE op WHEN '>=' THEN value >= bound WHEN '>' THEN value > bound ELSE value <= bound END, false) AS passed FROM gates", "gates AS (" + " UNION ALL ".join(rows) + ")"),
@@ -498,6 +517,42 @@ def _cross() -> dict[str, str]:
     return out
 
 
+def _variants() -> dict[str, str]:
+    """A factor as it is and neutral, each with its portfolio; a neutral side is scaled to 1 over all industries."""
+    z = lambda x: f"rank() OVER (PARTITION BY variant, date ORDER BY {x}) + (count(*) OVER (PARTITION BY variant, date, {x}) - 1) / 2"
+    w = f"""WITH {SIG},
+wv AS (SELECT date, pos, ticker, industry, returns, CASE WHEN value IS NOT NULL THEN greatest(least(value, hi), lo) END AS v FROM sig JOIN (SELECT date, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM sig GROUP BY date) USING (date)),
+r0 AS MATERIALIZED (SELECT date, pos, ticker, industry, returns, (v - m) / s AS raw FROM wv JOIN (SELECT date, avg(v) AS m, nullif(stddev_pop(v), 0) AS s FROM wv GROUP BY date) USING (date)),
+gm AS (SELECT *, raw - avg(raw) OVER (PARTITION BY date, industry) AS r FROM r0),
+vs AS MATERIALIZED (SELECT 'raw' AS variant, date, pos, ticker, industry, returns, raw AS value FROM r0 UNION ALL SELECT 'neutralized', date, pos, ticker, industry, returns, CASE WHEN n >= 30 AND s > 1e-12 THEN (r - m) / s END FROM gm JOIN (SELECT date, count(r) AS n, avg(r) AS m, stddev_pop(r) AS s FROM gm GROUP BY date) USING (date)),
+pr AS MATERIALIZED (SELECT v.variant, v.date, v.ticker, v.value, b.close / a.close - 1 AS fwd FROM vs v JOIN panel a ON a.date = v.date AND a.ticker = v.ticker JOIN panel b ON b.ticker = a.ticker AND b.pos = a.pos + 5 WHERE v.value IS NOT NULL AND b.close / a.close IS NOT NULL),
+ic AS MATERIALIZED (SELECT variant, date, {CORR.format(x='x', y='y')} AS ic FROM (SELECT variant, date, {z('value')} AS x, {z('fwd')} AS y FROM pr) GROUP BY ALL HAVING count(*) >= 30 AND min(x) < max(x) AND min(y) < max(y)),
+qb AS (SELECT variant, date, greatest(1, ceil((nth - 1) * 5 / (n - 1))) AS b, fwd FROM (SELECT *, count(*) OVER (PARTITION BY variant, date) AS n, row_number() OVER (PARTITION BY variant, date ORDER BY value, ticker) AS nth, min(value) OVER (PARTITION BY variant, date) < max(value) OVER (PARTITION BY variant, date) AS varies FROM pr) WHERE n >= 30 AND varies),
+sp AS (SELECT variant, avg(d) AS top_bottom_mean FROM (SELECT variant, date, avg(fwd) FILTER (b = 5) - avg(fwd) FILTER (b = 1) AS d FROM qb GROUP BY ALL) GROUP BY variant),
+nd AS (SELECT *, CASE variant WHEN 'raw' THEN '' ELSE industry END AS grp FROM vs),
+pl AS (SELECT *, count(value) OVER (PARTITION BY variant, date, grp) AS n, row_number() OVER (PARTITION BY variant, date, grp ORDER BY value NULLS LAST, ticker) AS i FROM nd),
+sd AS (SELECT *, CASE WHEN value IS NULL OR n < 2 * k THEN 0.0 WHEN i <= k THEN -1 / k WHEN i > n - k THEN 1 / k ELSE 0.0 END AS w0 FROM (SELECT *, CAST(greatest(1, floor(n * 0.2)) AS DOUBLE) AS k FROM pl)),
+sc AS (SELECT *, CASE WHEN variant = 'raw' OR w0 = 0 THEN w0 ELSE w0 / sum(abs(w0)) OVER (PARTITION BY variant, date, sign(w0)) END AS w1 FROM sd),
+tg AS MATERIALIZED (SELECT variant, date, pos, ticker, returns, max(abs(w1)) OVER (PARTITION BY variant, date) > 0.1 + 1e-12 AS over, w1 FROM sc),
+ex AS (SELECT variant, date, pos, ticker, coalesce(returns / 1000, 0) AS ret, coalesce(lag(CASE WHEN over THEN 0 ELSE w1 END) OVER (PARTITION BY variant, ticker ORDER BY pos), 0) AS w FROM tg),
+dy AS MATERIALIZED (SELECT variant, pos, sum(w * ret) - sum(abs(dw)) * 10 / 10000 AS net, sum(abs(dw)) AS turnover FROM (SELECT *, w - coalesce(lag(w) OVER (PARTITION BY variant, ticker ORDER BY pos), 0) AS dw FROM ex) GROUP BY ALL),
+dd AS (SELECT variant, min(wealth / top - 1) AS max_drawdown FROM (SELECT *, max(wealth) OVER (PARTITION BY variant ORDER BY pos) AS top FROM (SELECT *, product(1 + net) OVER (PARTITION BY variant ORDER BY pos) AS wealth FROM dy)) GROUP BY variant),
+pm AS (SELECT variant, avg(net) * 252 AS annualized_return, stddev_samp(net) * sqrt(252) AS annualized_volatility, avg(turnover) AS average_turnover, sum(turnover) * 10 / 10000 AS total_cost FROM dy GROUP BY variant),
+bad AS (SELECT variant, count(DISTINCT date) FILTER (over) AS invalid_weight_dates FROM tg GROUP BY variant),
+im AS (SELECT variant, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, count(*) AS ic_observations FROM ic GROUP BY variant)"""
+    r = lambda *names: ", ".join(f"round({x}, 5) AS {x}" for x in names)
+    gates = [
+        ("classification_coverage", "(SELECT count(industry) / count(*) FROM sig)", "0.95", ">="), ("variants_present", "(SELECT count(DISTINCT variant) FROM ic)", "2", ">="),
+        ("industry_exposure", "(SELECT max(abs(m)) FROM (SELECT avg(value) AS m FROM vs WHERE variant = 'neutralized' AND value IS NOT NULL GROUP BY date, industry))", "1e-8", "<="), ("label_overlap", "0", "0", "<="),
+        ("neutralization_dates", "(SELECT coalesce(avg(CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END), 0) FROM (SELECT date, count(value) AS n FROM vs WHERE variant = 'raw' GROUP BY date) a JOIN (SELECT date, count(value) AS n FROM vs WHERE variant = 'neutralized' GROUP BY date) b USING (date) WHERE a.n > 0)", "0.95", ">="),
+    ]
+    return {
+        "experiment_variants": f"{w} SELECT pm.variant, {r('ic_mean', 'ic_std', 'top_bottom_mean', 'annualized_return', 'annualized_volatility', 'max_drawdown', 'average_turnover', 'total_cost')}, coalesce(ic_observations, 0) AS ic_observations, round(annualized_return / nullif(annualized_volatility, 0), 5) AS sharpe, CASE pm.variant WHEN 'raw' THEN 'global' ELSE 'industry_neutral' END AS portfolio_mode, invalid_weight_dates FROM pm JOIN dd USING (variant) JOIN bad USING (variant) LEFT JOIN im USING (variant) LEFT JOIN sp USING (variant)",
+        "experiment_gates": f"{w} SELECT gate, round(value, 5) AS value, round(bound, 5) AS bound, passed FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS gate, CAST({v} AS DOUBLE) AS value, CAST({b} AS DOUBLE) AS bound, coalesce({v} {op} {b}, false) AS passed" for n, v, b, op in gates) + ")",
+        "xs_group_mean": f"WITH {SIG}, b AS (SELECT date, avg(value) AS m, nullif(stddev_pop(value), 0) AS s FROM sig GROUP BY date) SELECT date, round(max(abs(g)), 6) AS max_abs_mean FROM (SELECT date, industry, avg((value - m) / s) AS g FROM sig JOIN b USING (date) WHERE value IS NOT NULL AND s IS NOT NULL GROUP BY ALL) GROUP BY date",
+    }
+
+
 def _contracts() -> dict[str, str]:
     raw = """raw AS (SELECT CASE WHEN l_partkey % 50 <> 0 THEN CAST(l_suppkey AS BIGINT) END AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, CASE WHEN l_quantity = 7 THEN CAST('inf' AS DOUBLE) WHEN l_quantity = 9 THEN CAST('nan' AS DOUBLE) ELSE l_extendedprice END AS price, l_orderkey * 8 + l_linenumber AS seq FROM lineitem WHERE l_linenumber <= 2),
 f AS (SELECT date, ticker, ticker IS NULL AS required, row_number() OVER (PARTITION BY date, ticker) > 1 AS once, isnan(price) OR isinf(price) AS finite, date < lag(date) OVER (PARTITION BY ticker ORDER BY seq, date) AS back FROM raw),
@@ -603,6 +658,6 @@ def _decimal(sql: str) -> str:
     return out + sql[at:]
 
 
-_SQL: dict[str, str] = _ops() | _alphas() | _technical() | _fundamental() | _evaluation() | _candidate_sql() | _cross() | _contracts() | _portfolio() | _rest()
+_SQL: dict[str, str] = _ops() | _alphas() | _technical() | _fundamental() | _evaluation() | _candidate_sql() | _cross() | _contracts() | _variants() | _portfolio() | _rest()
 _SQL["factor_families"] = " UNION ALL ".join(f"SELECT '{n}' AS factor, '{f}' AS family, count(value) AS values FROM ({_SQL[f'fac_{n}']})" for n, f in families() if f"fac_{n}" in _SQL)
 SQL = {k: _decimal(v) for k, v in _SQL.items()}

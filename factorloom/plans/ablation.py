@@ -97,7 +97,7 @@ def run_arms(panel: DataFrame, base: DataFrame, new: DataFrame, industry: DataFr
     return Arms(folds, sel.label_overlaps(folds, walk.horizon), evidence, aware, weights, keep(every.withColumnRenamed("pool", "arm")), trade(panel, factors, industry, folds, weights, ARMS, walk))
 
 
-def _returns(x: str = "net") -> list[Column]:
+def returns_of(x: str = "net") -> list[Column]:
     year, risk = F.avg(x) * pf.YEAR, F.stddev_samp(x) * math.sqrt(pf.YEAR)
     return [year.alias("annualized_return"), risk.alias("annualized_volatility"), F.try_divide(year, risk).alias("sharpe")]
 
@@ -115,7 +115,7 @@ def report(arms: Arms, panel: DataFrame, industry: DataFrame, spec: Ablation) ->
 
     def over(label: Column, name: str, days: DataFrame) -> DataFrame:
         """Mean IC and returns of each label (a fold or a year) of the test rows."""
-        net = judged.join(days, "date").groupBy("arm", "path", label.alias(name)).agg(F.min("date").alias("start"), F.max("date").alias("end"), *_returns())
+        net = judged.join(days, "date").groupBy("arm", "path", label.alias(name)).agg(F.min("date").alias("start"), F.max("date").alias("end"), *returns_of())
         mean = ics.join(days, "date").groupBy("arm", "path", label.alias(name)).agg(F.avg("ic").alias("ic_mean"))
         return net.join(mean, ["arm", "path", name], "left")
 
@@ -188,8 +188,8 @@ def oos_gates(raw: dict[str, float], soft: dict[str, float], baseline_cost: floa
     Fixed values: costs fall by 40 %, exposure to an industry is at most 8 %, 80 % of the IC is kept, no label overlaps.
     """
     nan = lambda x: x is None or x != x
-    saved = 1 - soft["annual_cost"] / baseline_cost if baseline_cost > 0 else None
-    kept = soft["ic"] / raw["ic"] if not nan(raw["ic"]) and raw["ic"] > 0 else None
+    saved = 1 - soft["annual_cost"] / baseline_cost if baseline_cost > 0 and not nan(soft["annual_cost"]) else None
+    kept = soft["ic"] / raw["ic"] if not nan(raw["ic"]) and not nan(soft["ic"]) and raw["ic"] > 0 else None
     rows = {
         "soft_sharpe_beats_raw": (soft["sharpe"], raw["sharpe"], lambda v, b: v > b), "annual_cost_reduction_at_least_40pct": (saved, 0.40, lambda v, b: v >= b),
         "industry_exposure_at_most_8pct": (soft["exposure"], 0.08, lambda v, b: v <= b), "soft_ic_retention_at_least_80pct": (kept, 0.80, lambda v, b: v >= b), "zero_label_overlap": (overlaps, 0, lambda v, b: v == b),

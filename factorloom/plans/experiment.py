@@ -61,8 +61,11 @@ class WalkForward:
 
 @dataclass
 class Result:
+    """Tables and gates; a walk-forward run has its trades too."""
+
     tables: dict[str, DataFrame]
     gates: dict[str, bool] = field(default_factory=dict)
+    trades: Trades | None = None
 
 
 def validate_formula(panel: DataFrame, text: str, horizons: tuple[int, ...] = formula.HORIZONS, min_names: int = 30, boot: int = 200, industry: DataFrame | None = None, membership: DataFrame | None = None, benchmarks: dict[str, str] = formula.BENCHMARKS) -> Result:
@@ -146,4 +149,4 @@ def walk_forward(panel: DataFrame, factors: DataFrame, industry: DataFrame, spec
     picked = evidence.select("fold", "factor", "direction", "full_ic", "recent_ic", "robust_ic", "agreeing_blocks", F.col("stable").alias("eligible"))
     tables = {"folds": folds, "overlaps": overlaps, "selection": picked, "weights": weights.drop("pool"), "scores": t.scores.select("date", "ticker", "path", "value"), "daily": t.daily.drop("pool"), "performance": pf.performance(t.daily, by=("path", "cost_bps"))}
     selects = folds.select("fold").distinct().join(weights, "fold", "left_anti").isEmpty()
-    return Result(tables, {"no_label_overlap": overlaps.filter("overlaps > 0").isEmpty(), "every_fold_selects": selects})
+    return Result(tables, {"no_label_overlap": overlaps.filter("overlaps > 0").isEmpty(), "every_fold_selects": selects}, t)

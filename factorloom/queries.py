@@ -16,7 +16,7 @@ from factorloom.operators import portfolio as pf
 from factorloom.operators import selection as sel
 from factorloom.operators import statistics as st
 from factorloom.operators.timeseries import Frame, modulo
-from factorloom.plans import ablation, experiment, formula, inputs
+from factorloom.plans import ablation, experiment, formula, inputs, oos
 from factorloom.sources import market
 from factorloom.sources.shared import keep
 
@@ -521,6 +521,56 @@ def ablation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ablation.gates(*_ablation(spark, sf_dir), ABLATION), 5)
 
 
+def _oos(spark: SparkSession, sf_dir: str) -> oos.Report:
+    """The report of the walk-forward run over the default formulas; what it may save is measured against a yearly cost of 30 %."""
+    p = keep(market.panel(spark, sf_dir).withColumn("returns", F.col("returns") / 1000))
+    factors, industry = ev.unpivot(formula.evaluate(p, formula.DEFAULTS), tuple(formula.DEFAULTS)), market.supplier_industry(spark, sf_dir)
+    return oos.report(experiment.walk_forward(p, factors, industry, ABLATION.walk), p, industry, ABLATION.walk, baseline_annual_cost=0.3)
+
+
+@query
+def oos_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_oos(spark, sf_dir).tables["portfolio_scorecard"], 5)
+
+
+@query
+def oos_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_oos(spark, sf_dir).tables["year_metrics"], 5)
+
+
+@query
+def oos_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_oos(spark, sf_dir).tables["industry_exposure"], 5)
+
+
+@query
+def oos_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_oos(spark, sf_dir).gates, 5)
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> oos.Report:
+    """The reversal against its neutral form; a name may have a tenth of a side, which thin dates break."""
+    p = keep(market.panel(spark, sf_dir).withColumn("returns", F.col("returns") / 1000))
+    return oos.variants(p, _signal(spark, sf_dir), market.supplier_industry(spark, sf_dir), oos.Experiment(max_weight=0.1))
+
+
+@query
+def experiment_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _variants(spark, sf_dir).tables
+    return _rounded(tables["factor_diagnostics"].join(tables["portfolio_metrics"], "variant"), 5)
+
+
+@query
+def experiment_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_variants(spark, sf_dir).gates, 5)
+
+
+@query
+def xs_group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest absolute mean of an industry on each date, before it is neutralised away."""
+    return _rounded(oos.max_group_mean(xs.standardize(_signal(spark, sf_dir)).drop("industry"), market.supplier_industry(spark, sf_dir)))
+
+
 WEIGHTS = {"reversal_5": (1, 0.5), "volatility_20": (-1, 0.3), "volume_price": (1, 0.2)}
 
 
