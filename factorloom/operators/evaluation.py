@@ -90,12 +90,31 @@ def t_tail(t: float | None, df: float) -> float | None:
     return None if t is None or df <= 0 else _incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+def t_critical(df: float | None, level: float) -> float | None:
+    """The t whose two-sided p-value is ``level``, by halving."""
+    if df is None or df <= 0:
+        return None
+    lo, hi = 0.0, 1.0
+    while t_tail(hi, df) > level:
+        lo, hi = hi, 2 * hi
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
+        lo, hi = (mid, hi) if t_tail(mid, df) > level else (lo, mid)
+    return hi
+
+
 def ic_t_test(ics: DataFrame, level: float = 0.05) -> DataFrame:
-    """mean, standard error, t, p, and whether p is under ``level``, for each factor and horizon."""
+    """mean, standard error, t, p, whether p is under ``level``, and the interval of the mean at 1 - level, for each factor and horizon; fewer than two ICs have neither p nor interval."""
+    if not 0 < level < 1:
+        raise ValueError("level is within (0, 1)")
     rows = ics.groupBy("factor", "horizon").agg(F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"), F.count("ic").alias("n"))
     rows = rows.withColumns({"se": F.col("sd") / F.sqrt("n"), "t": F.try_divide("mean", F.col("sd") / F.sqrt("n"))})
-    tail = F.udf(t_tail, "double")  # one call for each factor and horizon
-    return rows.withColumn("p", tail("t", F.col("n") - 1.0)).withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False))).drop("sd")
+    tail, critical = F.udf(t_tail, "double"), F.udf(t_critical, "double")  # one call for each factor and horizon
+    rows = rows.withColumn("p", tail("t", F.col("n") - 1.0)).withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+    half = critical(F.col("n") - 1.0, F.lit(level)) * F.col("se")
+    return rows.withColumns({"ci_lower": F.col("mean") - half, "ci_upper": F.col("mean") + half}).drop("sd")
 
 
 def quantile_groups(factors: DataFrame, fwd: DataFrame, q: int = 5, min_names: int = 30) -> DataFrame:

@@ -283,6 +283,14 @@ def _evaluation() -> dict[str, str]:
     put("ic_horizon_grid", "SELECT factor, horizon, round(avg(ic), 6) AS mean_ic, count(*) AS n FROM ics GROUP BY ALL", *ic, horizons=(1, 5, 10))
     put("ic_summary", "SELECT factor, horizon, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_ratio, count(ic) AS observations, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, round(avg(ic) / stddev_samp(ic) * sqrt(52), 6) AS ic_ir_annualized FROM ics GROUP BY ALL", *ic)
     put("ic_tstat", "SELECT factor, horizon, round(avg(ic), 6) AS mean, count(ic) AS n, round(stddev_samp(ic) / sqrt(count(ic)), 6) AS se, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t FROM ics GROUP BY ALL", *ic)
+    # Student's tail as a finite sum over the powers of cos(atan(t / sqrt(df))), and its 97.5 % point as a series in 1 / df
+    power = lambda e, last: f"coalesce(list_sum(list_transform(range(0, {last}), lambda j: exp({e} + 2 * j * ln(c)))), 0)"
+    even, odd = power("lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4)", "df // 2"), power("j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)", "(df - 1) // 2")
+    x = 1.959963984540054
+    point = " + ".join([repr(x), *(f"{v!r} / pow(df, {k})" for k, v in enumerate(((x**3 + x) / 4, (5 * x**5 + 16 * x**3 + 3 * x) / 96, (3 * x**7 + 19 * x**5 + 17 * x**3 - 15 * x) / 384, (79 * x**9 + 776 * x**7 + 1482 * x**5 - 1920 * x**3 - 945 * x) / 92160), 1))])
+    put("ic_t_pvalue", "SELECT factor, horizon, round(mean, 6) AS mean, n, round(se, 6) AS se, round(t, 6) AS t, round(p, 6) AS p, p < 0.05 AS significant, round(mean - q * se, 6) AS ci_lower, round(mean + q * se, 6) AS ci_upper FROM pv", *ic,
+        "tt AS (SELECT *, mean / se AS t, n - 1 AS df, sqrt((n - 1) / ((n - 1) + pow(mean / se, 2))) AS c FROM (SELECT factor, horizon, avg(ic) AS mean, count(ic) AS n, stddev_samp(ic) / sqrt(count(ic)) AS se FROM ics GROUP BY ALL))",
+        f"pv AS (SELECT *, greatest(0, 1 - CASE WHEN df % 2 = 0 THEN sqrt(1 - c * c) * {even} ELSE 2 / pi() * (acos(c) + sqrt(1 - c * c) * c * {odd}) END) AS p, {point} AS q FROM tt)")
     put("regime_ic", "SELECT factor, horizon, CAST(year(date) AS VARCHAR) AS label, round(avg(ic), 6) AS mean_ic, min(date) AS since, count(*) AS n FROM ics GROUP BY factor, horizon, year(date)", *ic)
     put("regime_spans", "SELECT factor, horizon, CASE WHEN date >= DATE '1996-07-01' THEN 'late' WHEN date >= DATE '1994-01-01' THEN 'middle' ELSE 'early' END AS label, round(avg(ic), 6) AS mean_ic, min(date) AS since, count(*) AS n FROM ics GROUP BY ALL", *ic)
     put("regime_stability", "SELECT factor, horizon, direction, round(any_value(m), 6) AS mean_over_labels, round(avg(CASE WHEN sign(mean_ic) = direction THEN 1.0 ELSE 0.0 END), 6) AS consistency, round(min(abs(mean_ic)), 6) AS min_abs_ic, first(label ORDER BY mean_ic * direction, label) AS worst_label FROM d GROUP BY factor, horizon, direction",

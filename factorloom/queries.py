@@ -355,13 +355,12 @@ def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ic_tstat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ev.ic_t_test(_ics(spark, sf_dir)).drop("p", "significant"))
+    return _rounded(ev.ic_t_test(_ics(spark, sf_dir)).drop("p", "significant", "ci_lower", "ci_upper"))
 
 
 @query
 def ic_t_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Student's tail has no SQL form."""
-    return ev.ic_t_test(_ics(spark, sf_dir))
+    return _rounded(ev.ic_t_test(_ics(spark, sf_dir)))
 
 
 def _groups(spark: SparkSession, sf_dir: str, horizons: tuple[int, ...] = (1,)) -> DataFrame:

@@ -68,6 +68,67 @@ def bars(pdf, width: int = 300) -> str:
     return f"<p>{html.escape(numbers[0])}</p><svg width='{2 * width}' height='{14 * len(x)}'>{rows}</svg>"
 
 
+def shade(v: float) -> str:
+    """White at 0, blue towards 1, red towards -1."""
+    v = max(-1.0, min(1.0, v))
+    strong, weak = round(255 - 60 * abs(v)), round(255 - 170 * abs(v))
+    return f"rgb({weak},{weak},{strong})" if v >= 0 else f"rgb({strong},{weak},{weak})"
+
+
+def heatmap(pairs, side: int = 46, margin: int = 110) -> str:
+    """An inline chart of a symmetric table given as pairs (left, right, value): the diagonal is 1, a pair that is missing has no colour."""
+    names = sorted({*pairs["left"], *pairs["right"]})
+    known = {frozenset((a, b)): v for a, b, v in zip(pairs["left"], pairs["right"], pairs["value"], strict=True)}
+    out = []
+    for i, a in enumerate(names):
+        y = margin + i * side
+        label = html.escape(str(a))
+        out.append(f"<text x='{margin - 4}' y='{y + side / 2:.1f}' text-anchor='end'>{label}</text><text x='{y + side / 2:.1f}' y='{margin - 4}' text-anchor='start' transform='rotate(-60 {y + side / 2:.1f} {margin - 4})'>{label}</text>")
+        for j, b in enumerate(names):
+            v = 1.0 if a == b else known.get(frozenset((a, b)))
+            none = v is None or v != v
+            out.append(f"<rect x='{margin + j * side}' y='{y}' width='{side - 1}' height='{side - 1}' fill='{'#eee' if none else shade(v)}'/>" + ("" if none else f"<text x='{margin + j * side + side / 2:.1f}' y='{y + side / 2 + 4:.1f}' text-anchor='middle'>{v:.2f}</text>"))
+    size = margin + len(names) * side
+    return f"<svg width='{size}' height='{size}' font-size='10'>{''.join(out)}</svg>"
+
+
+#: Colours of lines, in order; they repeat.
+COLOURS = ("#1b6ca8", "#d1495b", "#3c7a3f", "#8d5fa3", "#b7791f", "#444")
+
+
+def lines(pdf, x: str, width: int = 640, height: int = 240, margin: int = 40) -> str:
+    """An inline chart: a line for each other column over the (evenly spaced) values of x in order, broken where a value is missing, and a rule at 0."""
+    rows = pdf.sort_values(x)
+    series = [c for c in rows.columns if c != x]
+    seen = [v for c in series for v in rows[c] if v is not None and v == v]
+    if not seen:
+        return "<p>no numbers</p>"
+    lo, hi = min(0.0, *seen), max(0.0, *seen)
+    at = lambda i: margin + i * (width - 2 * margin) / max(1, len(rows) - 1)
+    up = lambda v: height - margin - (v - lo) / ((hi - lo) or 1.0) * (height - 2 * margin)
+    out = [f"<line x1='{margin}' x2='{width - margin}' y1='{up(0):.1f}' y2='{up(0):.1f}' stroke='#aaa'/>"]
+    out += [f"<text x='{at(i):.1f}' y='{height - 8}' text-anchor='middle'>{html.escape(f'{v:g}' if isinstance(v, float) else str(v))}</text>" for i, v in enumerate(rows[x])]
+    for k, c in enumerate(series):
+        colour, parts = COLOURS[k % len(COLOURS)], [[]]
+        for i, v in enumerate(rows[c]):
+            if v is None or v != v:
+                parts.append([])
+            else:
+                parts[-1].append(f"{at(i):.1f},{up(v):.1f}")
+        out += [f"<polyline fill='none' stroke='{colour}' points='{' '.join(p)}'/>" if len(p) > 1 else f"<circle r='2' fill='{colour}' cx='{p[0].split(',')[0]}' cy='{p[0].split(',')[1]}'/>" for p in parts if p]
+        out.append(f"<text x='{margin + 4}' y='{14 + 12 * k}' fill='{colour}'>{html.escape(str(c))}</text>")
+    return f"<svg width='{width}' height='{height}' font-size='10'>{''.join(out)}</svg>"
+
+
+def scorecard_html(summary: str, factors: DataFrame, pairs: DataFrame, by_horizon: DataFrame, tradeoff: DataFrame | None = None, title: str = "Factor scorecard") -> str:
+    """One page without scripts: metrics of the factors, their correlations (left, right, value), IC by horizon (factor, horizon, ic_mean), and what the interval of rebalancing (every, gross_sharpe, net_sharpe) costs."""
+    table, wide = small(factors), small(by_horizon.groupBy("horizon").pivot("factor").agg(F.first("ic_mean")), "horizon")
+    body = [f"<p>{html.escape(summary)}</p><p>Metrics only, no verdict.</p>", "<h2>Factors</h2>", table.to_html(index=False, na_rep="", float_format="%.4g"), bars(table), "<h2>Correlations</h2>", heatmap(small(pairs.select("left", "right", "value"))), "<h2>IC by horizon</h2>", lines(wide, "horizon")]
+    if tradeoff is not None:
+        body += ["<h2>Rebalancing</h2>", lines(small(tradeoff.select("every", "gross_sharpe", "net_sharpe"), "every"), "every")]
+    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{''.join(body)}\n"
+
+
 def write_table(df: DataFrame, path: str, two_decimals: bool = False) -> None:
     """A table of any size, as CSV files that Spark writes."""
     if two_decimals:

@@ -139,6 +139,20 @@ def test_t_tail():
     assert math.isclose(evaluation.t_tail(0.0, 5), 1.0) and evaluation.t_tail(None, 5) is None
 
 
+def test_t_critical():
+    for df, want in ((1, 12.706204736432095), (10, 2.2281388519649385), (30, 2.042272456301238)):
+        assert math.isclose(evaluation.t_critical(df, 0.05), want, rel_tol=1e-7)
+    assert evaluation.t_critical(0, 0.05) is None
+    assert math.isclose(evaluation.t_tail(evaluation.t_critical(7, 0.2), 7), 0.2, rel_tol=1e-9)
+
+
+def test_interval_of_the_mean(spark):
+    ics = spark.createDataFrame([("a", 1, x) for x in (0.1, 0.2, 0.3)] + [("b", 1, 0.5)], "factor string, horizon int, ic double")
+    got = {r["factor"]: r for r in evaluation.ic_t_test(ics).collect()}
+    assert math.isclose(got["a"]["ci_upper"] - 0.2, 4.302652729911275 * 0.1 / math.sqrt(3), rel_tol=1e-9) and math.isclose(got["a"]["ci_lower"] + got["a"]["ci_upper"], 0.4)
+    assert got["b"]["p"] is None and got["b"]["ci_lower"] is None and not got["b"]["significant"]
+
+
 def test_weights():
     w = selection.capped_weights({"a": 10.0, "b": 1.0, "c": 1.0, "d": 1.0, "e": 1.0, "f": 1.0}, 0.2)
     assert math.isclose(sum(w.values()), 1) and max(w.values()) <= 0.2 + 1e-9 and math.isclose(w["b"], w["f"])
