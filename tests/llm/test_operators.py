@@ -424,6 +424,56 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
 
 
+BSD_FORM = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. {} may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+
+
+def test_names_expressions_and_choices_of_licenses(spark, tmp_path):
+    """Whoever the third clause names; SPDX expressions, deprecated identifiers and exceptions; short notices. The SQL agrees."""
+    import duckdb
+
+    cases = {
+        BSD_FORM.format("Neither the name of Google Inc. nor the names of its contributors"): "BSD-3-Clause",
+        BSD_FORM.format("Neither the name of the University of\n   California, Berkeley nor the names of\n   its contributors"): "BSD-3-Clause",
+        BSD_FORM.format("Neither the name of the copyright holder nor the names of its contributors"): "BSD-3-Clause",
+        BSD_FORM.split("3. ")[0]: "BSD-2-Clause",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT,Apache-2.0",
+        "/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) */": "GPL-2.0-only,BSD-3-Clause",
+        "// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception AND MIT": "MIT,Apache-2.0",
+        "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-or-later OR MPL-2.0": "LGPL-2.1-or-later,MPL-2.0",
+        "SPDX-License-Identifier: MIT OR Nothing-1.0": "MIT",
+        "License: MIT": "MIT",
+        "Licensed under EPL-2.0": "EPL-2.0",
+        "This project is licensed under the Eclipse Public License v 2.0.": "EPL-2.0",
+        "licence: Artistic License 2.0": "Artistic-2.0",
+        "released under the Common Development and Distribution License 1.0": "CDDL-1.0",
+        "License: WTFPL": "WTFPL",
+        "Code is MIT licensed.": "MIT",
+        "The library is Apache 2.0 licensed": "Apache-2.0",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "MIT,Apache-2.0",
+        "Dual-licensed under the MIT license or the Apache License 2.0": "MIT,Apache-2.0",
+        "We are licensed to fly.": "", "the license mit or not": "", "This is licensed": "", "Neither the name of the game nor the names of its contributors matter.": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    found = {t: set(got[i]["licenses"].split(",")) for i, t in enumerate(cases)}
+    assert found == {t: set(v.split(",")) for t, v in cases.items()}
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(licenses.sql())
+    names = [c[0] for c in want.description]
+    for r in want.fetchall():
+        row = dict(zip(names, r, strict=True))
+        assert got[row["doc_id"]].asDict() == row
+
+
 def test_wrapped_and_unwrapped_licenses(spark):
     wanted = {
         MIT: ("mit_title mit_grant mit_condition as_is", "MIT", "permissive"),
