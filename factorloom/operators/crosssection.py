@@ -63,6 +63,23 @@ def neutralize_diagnostics(neutral: DataFrame) -> DataFrame:
     return neutral.groupBy("date").agg(F.count("*").alias("names"), (F.count("value") > 0).alias("valid"))
 
 
+def neutralize_reasons(df: DataFrame, neutral: DataFrame, x: str = "value", industry: str = "industry", size: str | None = None, min_names: int = 10) -> DataFrame:
+    """A row for each date of df: valid, reason (insufficient_names or constant_residual, else null), coverage, n_names, rank.
+
+    coverage is the share of the names with a value that take part; rank is that of the design: an intercept for each industry,
+    and log size if it varies within one. Names and rank are null where there is no result.
+    """
+    ok = F.col(x).isNotNull() & F.col(industry).isNotNull()
+    s = F.lit(None).cast("double")
+    if size:
+        ok, s = ok & F.coalesce(F.col(size) > 0, F.lit(False)), F.log(F.when(F.col(size) > 0, F.col(size)))
+    parts = df.groupBy("date", industry).agg(F.count(x).alias("_v"), F.count_if(ok).alias("_n"), F.coalesce(F.min(F.when(ok, s)) < F.max(F.when(ok, s)), F.lit(False)).alias("_varies"))
+    days = parts.groupBy("date").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"), (F.count_if(F.col("_n") > 0) + F.max(F.col("_varies").cast("long"))).alias("_rank"))
+    rows = days.join(neutralize_diagnostics(neutral).select("date", "valid"), "date", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    reason = F.when(F.col("_n") < min_names, "insufficient_names").when(~F.col("valid"), "constant_residual")
+    return rows.select("date", "valid", reason.alias("reason"), F.coalesce(F.try_divide("_n", "_v"), F.lit(0.0)).alias("coverage"), F.when(F.col("valid"), F.col("_n")).alias("n_names"), F.when(F.col("valid"), F.col("_rank")).alias("rank"))
+
+
 def industry_variants(df: DataFrame, x: str = "value", industry: str = "industry", strength: float = 0.5, min_names: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
     """by, date, ticker, raw, soft, strict: x, x less a part of its industry's mean, x less all of it; standardised within each group of ``by``."""
     if not 0 <= strength <= 1 or min_names < 2:

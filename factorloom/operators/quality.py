@@ -94,6 +94,11 @@ def alerts(quality: DataFrame, floor: float = 70.0) -> DataFrame:
     return named.select("ticker", F.concat(F.col("check"), F.lit(" is low")).alias("message"), F.when(F.col("score") < floor / 2, "critical").otherwise("warning").alias("severity"))
 
 
+def alert_counts(found: DataFrame) -> DataFrame:
+    """severity, alerts, tickers."""
+    return found.groupBy("severity").agg(F.count("*").alias("alerts"), F.countDistinct("ticker").alias("tickers"))
+
+
 def mean_differences(a: DataFrame, b: DataFrame, most: float = 0.01) -> DataFrame:
     """ticker, column, difference of two versions of the bars where the columns' means differ by more than ``most``."""
     columns = [c for c in (*PRICES, "volume") if c in a.columns and c in b.columns]
@@ -151,6 +156,12 @@ def fill_calendar(bars: DataFrame) -> DataFrame:
     return fill(days.join(bars, ["ticker", "date"], "left"))
 
 
+def shift_dates(bars: DataFrame, today: str) -> DataFrame:
+    """Each ticker's dates moved on by so many days that its last is ``today``; a ticker whose last date is not before it stays as it is."""
+    late = F.datediff(F.lit(today).cast("date"), F.max("date").over(Window.partitionBy("ticker")))
+    return bars.withColumn("date", F.date_add("date", F.greatest(late, F.lit(0))))
+
+
 def clean(bars: DataFrame) -> DataFrame:
     """The whole cleaning, in its order: fill, repair prices and volumes, clip, weekdays."""
     return fill_calendar(clip_outliers(repair_volume(repair_ohlc(fill(bars)))))

@@ -82,6 +82,14 @@ def stable_factors(ics: DataFrame, min_abs_ic: float = 0.005, blocks: int = 4, a
     return out.withColumns({"recent_agrees": recent, "eligible": F.coalesce(ok, F.lit(False))}).drop("n_blocks")
 
 
+def mix(table: DataFrame, weights: dict[str, float], name: str = "mix") -> DataFrame:
+    """table with one more column: the weighted sum of its factor columns, of which a missing value counts as 0."""
+    missing = sorted(set(weights) - set(table.columns))
+    if missing:
+        raise ValueError(f"no such columns: {missing}")
+    return table.withColumn(name, sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0)))
+
+
 def capped_weights(quality: dict[str, float], cap: float = 0.20) -> dict[str, float]:
     """Weights in proportion to quality that sum to 1, none above the cap; a handful of factors, on the driver."""
     clean = {k: max(0.0, v if v == v and v is not None else 0.0) for k, v in quality.items()}

@@ -344,6 +344,7 @@ def _evaluation() -> dict[str, str]:
     put("inputs_extended", "SELECT f.date, CAST(r.pos AS INTEGER) AS pos, f.ticker, f.factor, round(f.value, 4) AS value FROM factors f JOIN research r ON r.date = f.date", cal_sql)
     q = Q()
     cols = _formulas(q)
+    out["compose_mix"] = q.end(f"SELECT date, ticker, round(0.5 * coalesce({cols['reversal_5']}, 0) - 0.3 * coalesce({cols['volatility_20']}, 0) + 0.2 * coalesce({cols['volume_price']}, 0), 4) AS mix FROM {{at}}")
     out["formula_defaults"] = q.end("SELECT date, ticker, " + ", ".join(f"round({e}, 4) AS {n}" for n, e in cols.items()) + " FROM {at}")
     return out
 
@@ -494,6 +495,7 @@ def _cross() -> dict[str, str]:
         "xs_standardize": f"{w}, b AS (SELECT date, avg(value) AS m, nullif(stddev_pop(value), 0) AS s FROM sig GROUP BY date) SELECT date, ticker, round((value - m) / s, 6) AS value FROM sig JOIN b USING (date)",
         "xs_neutralize": f"{w}, g AS (SELECT date, industry, avg(value) AS m FROM sig GROUP BY ALL), r AS (SELECT date, ticker, value - m AS r FROM sig JOIN g USING (date, industry)), b AS (SELECT date, count(r) AS n, avg(r) AS m, stddev_pop(r) AS s FROM r GROUP BY date) SELECT date, ticker, round(CASE WHEN n >= 10 AND s > 1e-12 THEN (r - m) / s END, 6) AS value FROM r JOIN b USING (date)",
         "xs_neutralize_size": f"{w}, v AS (SELECT date, ticker, industry, value AS y, ln(volume) AS x FROM sig WHERE value IS NOT NULL AND volume > 0), g AS (SELECT date, industry, avg(y) AS my, avg(x) AS mx FROM v GROUP BY ALL), c AS (SELECT date, ticker, y - my AS y, x - mx AS x FROM v JOIN g USING (date, industry)), k AS (SELECT date, sum(x * y) / nullif(sum(x * x), 0) AS slope FROM c GROUP BY date), r AS (SELECT date, ticker, y - coalesce(slope * x, 0) AS r FROM c JOIN k USING (date)), b AS (SELECT date, count(r) AS n, avg(r) AS m, stddev_pop(r) AS s FROM r GROUP BY date) SELECT s.date, s.ticker, round(CASE WHEN n >= 10 AND b.s > 1e-12 THEN (r - m) / b.s END, 6) AS value FROM sig s LEFT JOIN r ON r.date = s.date AND r.ticker = s.ticker LEFT JOIN b ON b.date = s.date",
+        "xs_neutralize_reasons": f"{w}, v AS (SELECT date, industry, value AS y, ln(volume) AS x FROM sig WHERE value IS NOT NULL AND volume > 0), g AS (SELECT date, industry, count(*) AS n, avg(y) AS my, avg(x) AS mx, min(x) < max(x) AS varies FROM v GROUP BY ALL), c AS (SELECT v.date, y - my AS y, x - mx AS x FROM v JOIN g ON g.date = v.date AND g.industry = v.industry), k AS (SELECT date, sum(x * y) / nullif(sum(x * x), 0) AS slope FROM c GROUP BY date), b AS (SELECT date, stddev_pop(y - coalesce(slope * x, 0)) AS s FROM c JOIN k USING (date) GROUP BY date), h AS (SELECT date, sum(n) AS n, count(*) + max(CAST(varies AS INTEGER)) AS rank FROM g GROUP BY date), a AS (SELECT date, count(value) AS m FROM sig GROUP BY date), f AS (SELECT a.date, m, coalesce(n, 0) AS n, rank, coalesce(n >= 40 AND s > 1e-12, false) AS valid FROM a LEFT JOIN h USING (date) LEFT JOIN b USING (date)) SELECT date, valid, CASE WHEN n < 40 THEN 'insufficient_names' WHEN NOT valid THEN 'constant_residual' END AS reason, round(coalesce(n / nullif(m, 0), 0), 6) AS coverage, CASE WHEN valid THEN n END AS n_names, CASE WHEN valid THEN rank END AS rank FROM f",
         "xs_variants": f"{w}, g AS (SELECT date, industry, avg(value) AS m FROM sig GROUP BY ALL), r AS (SELECT date, ticker, value AS a, value - 0.5 * m AS b, value - m AS c FROM sig JOIN g USING (date, industry)), z AS (SELECT date, count(c) AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM r GROUP BY date) SELECT date, ticker, round(CASE WHEN n >= 30 AND sc > 1e-12 AND sa > 1e-12 THEN (a - ma) / sa END, 6) AS raw, round(CASE WHEN n >= 30 AND sc > 1e-12 AND sb > 1e-12 THEN (b - mb) / sb END, 6) AS soft, round(CASE WHEN n >= 30 AND sc > 1e-12 THEN (c - mc) / sc END, 6) AS strict FROM r JOIN z USING (date)",
         "xs_centered_rank": f"{w}, p AS (SELECT x.date, x.ticker, (count_if(y.value < x.value) + (count_if(y.value = x.value) + 1) / 2) / count(y.value) AS p FROM sig x JOIN sig y ON y.date = x.date WHERE x.value IS NOT NULL GROUP BY ALL), c AS (SELECT date, ticker, p - avg(p) {day} AS c FROM p) SELECT s.date, s.ticker, round(CASE WHEN abs(c) < 1e-12 THEN 0.0 ELSE c END, 6) AS value FROM sig s LEFT JOIN c ON c.date = s.date AND c.ticker = s.ticker",
         "xs_zscore_clip": f"{w}, b AS (SELECT date, avg(value) AS m, stddev_samp(value) AS s FROM sig GROUP BY date), c AS (SELECT date, ticker, s, CASE WHEN value IS NOT NULL THEN greatest(least(value, m + 3 * s), m - 3 * s) END AS c FROM sig JOIN b USING (date)), k AS (SELECT date, avg(c) AS cm, stddev_samp(c) AS cs FROM c GROUP BY date) SELECT date, ticker, round(CASE WHEN coalesce(s, 0) <= 0 OR coalesce(cs, 0) <= 0 THEN 0.0 ELSE (c - cm) / cs END, 6) AS value FROM c JOIN k USING (date)",
@@ -632,6 +634,7 @@ o AS (SELECT *, 0.3 * completeness + 0.3 * validity + 0.2 * timeliness + 0.2 * c
         "stat_outlier_z": f"{bars}, q AS (SELECT ticker, avg(close) AS m, stddev_samp(close) AS s FROM bars GROUP BY ticker) SELECT date, ticker, coalesce(abs(close - m) / nullif(s, 0) > 2, false) AS outlier FROM bars JOIN q USING (ticker)",
         "stat_outlier_dbscan": f"{bars}, q AS (SELECT ticker, avg(close) AS m, nullif(stddev_pop(close), 0) AS s FROM bars GROUP BY ticker), z AS (SELECT date, ticker, (close - m) / s AS z FROM bars JOIN q USING (ticker)), core AS (SELECT a.ticker, a.date, a.z FROM z a JOIN z b ON b.ticker = a.ticker AND b.z BETWEEN a.z - 0.05 AND a.z + 0.05 GROUP BY ALL HAVING count(*) >= 5) SELECT date, ticker, z IS NOT NULL AND NOT EXISTS (SELECT 1 FROM core c WHERE c.ticker = z.ticker AND c.z BETWEEN z.z - 0.05 AND z.z + 0.05) AS outlier FROM z",
         "dq_scores": score + " SELECT ticker, rows, round(completeness, 5) AS completeness, round(validity, 5) AS validity, round(timeliness, 5) AS timeliness, consistency, round(overall, 5) AS overall, CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 80 THEN 'Good' WHEN overall >= 70 THEN 'Fair' WHEN overall >= 60 THEN 'Poor' ELSE 'Critical' END AS label FROM o",
+        "dq_alert_counts": score + " SELECT CASE WHEN v < 50 THEN 'critical' ELSE 'warning' END AS severity, count(*) AS alerts, count(DISTINCT ticker) AS tickers FROM (SELECT ticker, unnest([completeness, validity, timeliness, overall]) AS v FROM o) WHERE v < 100 GROUP BY 1",
         "dq_alerts": score + " SELECT ticker, c || ' is low' AS message, CASE WHEN v < 50 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT ticker, unnest(['completeness', 'validity', 'timeliness', 'overall']) AS c, unnest([completeness, validity, timeliness, overall]) AS v FROM o) WHERE v < 100",
         "dq_missing_days": f"{daily} SELECT ticker, date FROM need",
         "dq_completeness": f"{daily}, w AS (SELECT ticker, count_if(gap > 20) AS large_gaps FROM (SELECT ticker, date_diff('day', lag(date) OVER (PARTITION BY ticker ORDER BY date), date) AS gap FROM bars) GROUP BY ticker), c AS (SELECT b.ticker, b.bars, missing_values, coalesce(missing_days, 0) AS missing_days, large_gaps FROM (SELECT ticker, count(*) AS bars, count_if(volume >= 45) AS missing_values FROM bars GROUP BY ticker) b JOIN w ON w.ticker = b.ticker LEFT JOIN (SELECT ticker, count(*) AS missing_days FROM need GROUP BY ticker) m ON m.ticker = b.ticker) SELECT *, nullif(concat_ws(', ', CASE WHEN missing_values > 0 THEN missing_values || ' missing values' END, CASE WHEN missing_days > 0 THEN missing_days || ' missing days' END, CASE WHEN large_gaps > 0 THEN large_gaps || ' large gaps' END), '') AS message FROM c",
@@ -643,6 +646,7 @@ o AS (SELECT *, 0.3 * completeness + 0.3 * validity + 0.2 * timeliness + 0.2 * c
         "clean_fill": f"{bars} SELECT a.date, a.ticker, round(coalesce({prev('close')}, {nxt('close')}), 6) AS close, round(coalesce({prev('volume')}, {nxt('volume')}), 6) AS volume FROM dense a",
         "clean_interpolate": f"{bars}, k AS (SELECT *, (SELECT max(pos) FROM dense b WHERE b.ticker = a.ticker AND b.pos <= a.pos AND b.close IS NOT NULL) AS lo, (SELECT min(pos) FROM dense b WHERE b.ticker = a.ticker AND b.pos >= a.pos AND b.close IS NOT NULL) AS hi FROM dense a) SELECT k.date, k.ticker, round(CASE WHEN k.hi > k.lo THEN x.close + (y.close - x.close) * (k.pos - k.lo) / (k.hi - k.lo) ELSE x.close END, 4) AS close FROM k LEFT JOIN dense x ON x.ticker = k.ticker AND x.pos = k.lo LEFT JOIN dense y ON y.ticker = k.ticker AND y.pos = k.hi",
         "clean_winsor": f"{bars}, {quart('close', 'volume')} SELECT date, ticker, round({clip('close')}, 5) AS close, round({clip('volume')}, 5) AS volume FROM bars JOIN q USING (ticker)",
+        "clean_shift": f"{bars}, s AS (SELECT ticker, greatest(0, date_diff('day', max(date), DATE '1998-11-25')) AS late FROM bars GROUP BY ticker) SELECT CAST(date + CAST(late AS INTEGER) AS DATE) AS date, ticker, round(close, 6) AS close FROM bars JOIN s USING (ticker)",
         "clean_calendar": f"{bars}, s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM bars GROUP BY ticker), dd AS (SELECT ticker, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s), wd AS (SELECT * FROM dd WHERE isodow(date) < 6) SELECT w.date, w.ticker, round(b.close, 6) AS close FROM wd w ASOF JOIN bars b ON b.ticker = w.ticker AND w.date >= b.date",
         "sanitize": """WITH r AS (SELECT CAST(l_suppkey AS BIGINT) AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice * (1 - l_discount) AS open, l_extendedprice AS high, l_extendedprice * (1 - l_tax) AS low, l_extendedprice * 0.97 AS close, CAST(l_quantity - 10 AS DOUBLE) AS volume, row_number() OVER (PARTITION BY l_suppkey, date_trunc('week', l_shipdate) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS nth FROM lineitem WHERE l_quantity > 0),
 x AS (SELECT *, NOT (open > 0 AND high > 0 AND low > 0 AND close > 0 AND high >= greatest(open, close, low) AND low <= least(open, close, high)) AS bad FROM r WHERE nth = 1)

@@ -172,6 +172,12 @@ def xs_neutralize_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(xs.neutralize(_signal(spark, sf_dir), size="volume"))
 
 
+@query
+def xs_neutralize_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _signal(spark, sf_dir)
+    return _rounded(xs.neutralize_reasons(s, xs.neutralize(s, size="volume", min_names=40), size="volume", min_names=40))
+
+
 @query
 def xs_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(xs.industry_variants(_signal(spark, sf_dir)))
@@ -573,6 +579,12 @@ def xs_group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHTS = {"reversal_5": (1, 0.5), "volatility_20": (-1, 0.3), "volume_price": (1, 0.2)}
 
 
+@query
+def compose_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = formula.evaluate(market.panel(spark, sf_dir), formula.DEFAULTS)
+    return wide.select("date", "ticker", *WEIGHTS).transform(lambda t: sel.mix(t, {n: d * w for n, (d, w) in WEIGHTS.items()})).select("date", "ticker", _r("mix", 4).alias("mix"))
+
+
 @query
 def compose_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sel.composite(_factors(spark, sf_dir)[1], WEIGHTS), 5)
@@ -768,6 +780,11 @@ def dq_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.alerts(quality.scores(_bars(spark, sf_dir), 357, "1998-12-15", 14.0), 100.0)
 
 
+@query
+def dq_alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.alert_counts(dq_alerts(spark, sf_dir))
+
+
 @query
 def dq_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.gaps(_bars(spark, sf_dir), 14)
@@ -815,6 +832,12 @@ def clean_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quality.fill_calendar(_bars(spark, sf_dir)).select("date", "ticker", "close"))
 
 
+@query
+def clean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers whose last bar is older than the given day are moved up to it; others stay."""
+    return _rounded(quality.shift_dates(_bars(spark, sf_dir), "1998-11-25").select("date", "ticker", "close"))
+
+
 @query
 def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines taken as raw bars with repeats: the last of a supplier's week, by a total order."""

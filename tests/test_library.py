@@ -166,6 +166,30 @@ def test_cleaning_leaves_no_gaps(spark):
     assert out.filter("close is null or volume is null or weekday(date) > 4 or high < low").count() == 0
 
 
+def test_reasons_of_dates_without_neutral_values(spark):
+    """Too few classified names; values that industries explain whole; a good date with one unclassified name and one without size."""
+    d = [datetime.date(2020, 1, i) for i in (1, 2, 3)]
+    rows = [(d[0], t, 1.0 * k, "a", 1.0) for k, t in enumerate("ABC")] + [(d[1], t, float(k % 2), "ab"[k % 2], 2.0) for k, t in enumerate("ABCDEF")]
+    rows += [(d[2], t, float(k * k), "ab"[k % 2] if k else None, float(k + 1) if k != 1 else None) for k, t in enumerate("ABCDEFGH")]
+    df = spark.createDataFrame(rows, "date date, ticker string, value double, industry string, size double")
+    got = {r["date"]: r for r in crosssection.neutralize_reasons(df, crosssection.neutralize(df, size="size", min_names=4), size="size", min_names=4).collect()}
+    assert [(got[x]["valid"], got[x]["reason"]) for x in d] == [(False, "insufficient_names"), (False, "constant_residual"), (True, None)]
+    assert (got[d[2]]["n_names"], got[d[2]]["rank"], got[d[2]]["coverage"]) == (6, 3, 0.75) and got[d[1]]["n_names"] is None and got[d[0]]["coverage"] == 1.0
+
+
+def test_mix_and_dates_and_counts(spark):
+    t = spark.createDataFrame([("A", 1.0, None), ("B", None, None), ("C", 2.0, 3.0)], "ticker string, x double, y double")
+    assert [r["mix"] for r in selection.mix(t, {"x": 2.0, "y": -1.0}).orderBy("ticker").collect()] == [2.0, 0.0, 1.0]
+    with pytest.raises(ValueError, match="nope"):
+        selection.mix(t, {"x": 1.0, "nope": 1.0})
+    day = lambda i: datetime.date(2020, 1, i)
+    b = spark.createDataFrame([("A", day(1)), ("A", day(5)), ("B", day(9))], "ticker string, date date")
+    assert {(r["ticker"], r["date"]) for r in quality.shift_dates(b, "2020-01-08").collect()} == {("A", day(4)), ("A", day(8)), ("B", day(9))}
+    a = spark.createDataFrame([("A", "m", "warning"), ("A", "n", "warning"), ("B", "m", "critical")], "ticker string, message string, severity string")
+    assert {tuple(r) for r in quality.alert_counts(a).collect()} == {("warning", 2, 1), ("critical", 1, 1)}
+    assert quality.alert_counts(a.limit(0)).count() == 0 and quality.shift_dates(b.limit(0), "2020-01-08").count() == 0
+
+
 def test_quantile_buckets_are_even(spark):
     df = spark.createDataFrame([(day(0), f"T{i:03}", float(i)) for i in range(83)], "date date, ticker string, value double")
     counts = [r["count"] for r in crosssection.buckets(df).groupBy("bucket").count().collect()]

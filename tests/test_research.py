@@ -25,7 +25,7 @@ def day(i: int) -> datetime.date:
     return datetime.date(2020, 1, 1) + datetime.timedelta(days=i)
 
 
-@pytest.mark.parametrize("name", ["select_corr_aware", "select_corr_clusters", "oos_scorecard", "oos_gates", "experiment_variants", "experiment_gates", "ic_t_pvalue", "ablation_folds", "ablation_gates", "stat_evidence", "corr_clusters", "pit_universe_metadata", "contract_violations", "dq_comparison"])
+@pytest.mark.parametrize("name", ["select_corr_aware", "select_corr_clusters", "xs_neutralize_reasons", "compose_mix", "oos_scorecard", "oos_gates", "experiment_variants", "experiment_gates", "ic_t_pvalue", "ablation_folds", "ablation_gates", "stat_evidence", "corr_clusters", "pit_universe_metadata", "contract_violations", "dq_comparison"])
 def test_against_sql_at_a_larger_scale(spark, name):
     """At the smallest scale dates have too few names for any of this."""
     same(QUERIES[name](spark, "/root/testdata/sf0.01"), SQL[name], "/root/testdata/sf0.01")
