@@ -4,7 +4,8 @@ one-versus-one linear support vector machines between its languages.
 Features are hashed character 1- to 3-grams of the whole text, lower-cased, with one space for whatever
 isn't a letter; counts are square-rooted and scaled to length 1. The machines are fitted (averaged Pegasos
 in numpy, over sparse rows) on a bounded sample: at most ``per_lang`` labelled rows of each language and
-``sample_rows`` in all, chosen by a hash, never from the held-out fold. A prediction sees the text alone.
+``sample_rows`` in all, chosen by a hash, never from the held-out fold. Of more than ``max_langs`` languages those with the most labelled
+rows are learned (ties: by code), so there are at most max_langs * (max_langs - 1) / 2 machines. A prediction sees the text alone.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0. Rows with a null lang are
 predicted but not learned from. A null doc_id counts as the text "" in the fold rule (held out). Repeated
@@ -38,6 +39,8 @@ FAMILIES = {
 }
 #: LEAST: where the machines are so unsure, a text is in no known language.
 DIM, PER_LANG, SAMPLE_ROWS, SEED, LEAST = 8192, 400, 8000, 7, 0.25
+#: Most languages that are learned.
+MAX_LANGS = 64
 
 
 def family(lang: str) -> str:
@@ -141,14 +144,14 @@ def fit(rows: list[tuple[str, bytes, bytes]]) -> Model | None:
     return Model(fams, family_w, members, pairs, pair_w)
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fitted on at most ``per_lang`` rows a language and about ``sample_rows`` in all, outside the held-out fold.
+def train(docs: DataFrame, per_lang: int = PER_LANG, sample_rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> Model | None:
+    """Fitted on at most ``per_lang`` rows of each of at most ``max_langs`` languages and about ``sample_rows`` in all, outside the held-out fold.
 
     The rows with the lowest hashes of doc_id and text are taken, copies once; their vectors, of at most ``DIM`` numbers
     each, are made by the executors, so no text comes to the driver.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not counts:
         return None
     per_lang = max(1, min(per_lang, sample_rows // len(counts)))

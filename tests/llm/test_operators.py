@@ -424,6 +424,21 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
 
 
+def test_languages_learned_are_bounded(spark):
+    """300 junk labels of a row each: the languages with the most rows are learned, ties by code, and every row is predicted."""
+    words = {"en": "the cat sat on the mat and the dog", "de": "der hund und die katze sind nicht hier", "fr": "le chat est sur la table avec nous"}
+    rows = [(i, f"{t} {i}", lang) for i, (lang, t) in enumerate([*words.items()] * 40)]
+    rows += [(1000 + i, f"qx{i} zz{i} jj", f"x{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(docs, max_langs=5)
+    learned = sorted(n for m in model.members.values() for n in m)
+    free = sorted({lang for i, _, lang in rows if i >= 1000 and zlib.crc32(str(i).encode()) % 5})
+    assert learned == sorted([*words, *free[:2]])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert len(got) == len(rows) and set(got.values()) <= set(learned)
+    assert all(got[i] == lang for i, _, lang in rows if i < 1000)
+
+
 BSD_FORM = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
