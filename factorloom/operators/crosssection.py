@@ -80,21 +80,21 @@ def neutralize_reasons(df: DataFrame, neutral: DataFrame, x: str = "value", indu
     return rows.select("date", "valid", reason.alias("reason"), F.coalesce(F.try_divide("_n", "_v"), F.lit(0.0)).alias("coverage"), F.when(F.col("valid"), F.col("_n")).alias("n_names"), F.when(F.col("valid"), F.col("_rank")).alias("rank"))
 
 
-def industry_variants(df: DataFrame, x: str = "value", industry: str = "industry", strength: float = 0.5, min_names: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, date, ticker, raw, soft, strict: x, x less a part of its industry's mean, x less all of it; standardised within each group of ``by``."""
+def industry_variants(df: DataFrame, x: str = "value", industry: str = "industry", strength: float = 0.5, min_names: int = 30, by: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """by, date, ticker, also (columns of df), raw, soft, strict: x, x less a part of its industry's mean, x less all of it; standardised within each group of ``by``."""
     if not 0 <= strength <= 1 or min_names < 2:
         raise ValueError("strength is within [0, 1] and min_names at least 2")
     ok = F.col(x).isNotNull() & F.col(industry).isNotNull()
     rows = df.withColumn("_y", F.when(ok, F.col(x))).withColumn("_m", F.when(F.col("_y").isNotNull(), F.avg("_y").over(Window.partitionBy(*by, "date", industry))))
     rows = rows.withColumns({"_soft": F.col("_y") - strength * F.col("_m"), "_strict": F.col("_y") - F.col("_m")})
     enough = (F.count("_y").over(day(by)) >= min_names) & (F.stddev_pop("_strict").over(day(by)) > TINY)
-    return rows.select(*by, "date", "ticker", _z(F.col("_y"), enough, by).alias("raw"), _z(F.col("_soft"), enough, by).alias("soft"), _z(F.col("_strict"), enough, by).alias("strict"))
+    return rows.select(*by, "date", "ticker", *also, _z(F.col("_y"), enough, by).alias("raw"), _z(F.col("_soft"), enough, by).alias("soft"), _z(F.col("_strict"), enough, by).alias("strict"))
 
 
 def mean_rank(x: Column, by: tuple[str, ...] = ("date",)) -> Column:
-    """Ranks from 1 with ties at their mean; null for null."""
-    ties = (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
-    return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(x.asc_nulls_last())) + ties)
+    """Ranks from 1 with ties at their mean; null for null. One sort: a rank is midway between the first and the last of its equals."""
+    w = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    return F.when(x.isNotNull(), (F.rank().over(w) + F.count("*").over(w)) / 2)
 
 
 def centered_rank(df: DataFrame, x: str = "value") -> DataFrame:

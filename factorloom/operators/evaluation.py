@@ -7,7 +7,10 @@ and everything else about ICs is an aggregation of it.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -20,9 +23,14 @@ def rows_of() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("pos")
 
 
+def forward(h: int) -> Column:
+    """The relative change of close over the next h rows."""
+    return finite(F.try_divide(F.lead("close", h).over(rows_of()), "close") - 1)
+
+
 def forward_returns(panel: DataFrame, horizons: tuple[int, ...] = (1,)) -> DataFrame:
     """date, pos, ticker, horizon, fwd: the relative change of close over the next rows."""
-    ahead = panel.select("date", "pos", "ticker", *(finite(F.try_divide(F.lead("close", h).over(rows_of()), "close") - 1).alias(f"_{h}") for h in horizons))
+    ahead = panel.select("date", "pos", "ticker", *(forward(h).alias(f"_{h}") for h in horizons))
     if len(horizons) == 1:
         return ahead.select("date", "pos", "ticker", F.lit(horizons[0]).alias("horizon"), F.col(f"_{horizons[0]}").alias("fwd"))
     each = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"_{h}").alias("fwd")) for h in horizons))
@@ -41,6 +49,82 @@ def unpivot(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return wide.unpivot(["date", "ticker"], list(names), "factor", "value")
 
 
+@dataclass(frozen=True)
+class Wide:
+    """Factors as columns of a panel's rows: ``names`` gives each factor's column. ``df`` has date, pos, ticker, close and returns too."""
+
+    df: DataFrame
+    names: dict[str, str]
+
+    @classmethod
+    def of(cls, panel: DataFrame, factors: DataFrame) -> Wide:
+        """From long factors of the panel's rows; their names are collected, as somebody wrote each one."""
+        names = {n: f"_x{i}" for i, n in enumerate(sorted(r["factor"] for r in factors.select("factor").distinct().collect()))}
+        cells = factors.groupBy("date", "ticker").agg(*(F.max(F.when(F.col("factor") == n, F.col("value"))).alias(c) for n, c in names.items())) if names else factors.select("date", "ticker").distinct()
+        return cls(panel.join(cells, ["date", "ticker"], "left"), names)
+
+    def long(self) -> DataFrame:
+        """date, ticker, factor, value."""
+        if not self.names:
+            return self.df.select("date", "ticker", F.lit("").alias("factor"), F.lit(None).cast("double").alias("value")).limit(0)
+        return self.df.select("date", "ticker", *(F.col(c).alias(n) for n, c in self.names.items())).unpivot(["date", "ticker"], list(self.names), "factor", "value")
+
+    def ic(self, horizons: tuple[int, ...] = (1,), method: str = "spearman", min_names: int = 30) -> DataFrame:
+        """As ``ic`` of the long factors with the panel's forward returns, but nothing is joined: a date's rows are shuffled once."""
+        ahead = self.df.select("date", *self.names.values(), *(forward(h).alias(f"_fwd{h}") for h in horizons))
+        return ic_by_date(ahead, ("date",), self.names, {h: f"_fwd{h}" for h in horizons}, method, min_names)
+
+
+def mean_ranks(a: np.ndarray) -> np.ndarray:
+    """Ranks from 1 with ties at their mean, of values of which none is missing."""
+    order = np.argsort(a, kind="stable")
+    s = a[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, int)
+    count = np.diff(np.concatenate((first, [len(s)])))
+    out = np.empty(len(s))
+    out[order] = np.repeat(first + (count + 1) / 2, count)
+    return out
+
+
+def correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Pearson's; None where a side is constant."""
+    x, y = x - x.mean(), y - y.mean()
+    size = math.sqrt(x @ x) * math.sqrt(y @ y)
+    return float(x @ y / size) if size > 0 else None
+
+
+def column(t: pa.Table, name: str) -> np.ndarray:
+    """A column of doubles; what is missing is NaN."""
+    return t.column(name).to_numpy().astype(float, copy=False)
+
+
+def ic_by_date(df: DataFrame, keys: tuple[str, ...], names: dict[str, str], horizons: dict[int, str], method: str, min_names: int) -> DataFrame:
+    """keys, factor, horizon, n, ic of the columns of ``names`` with those of ``horizons``; a task holds the names of one date."""
+    if method not in ("spearman", "pearson"):
+        raise ValueError("method is spearman or pearson")
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "factor string, horizon int, n long, ic double"])
+    columns = [*names.values(), *horizons.values()]
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        v = {c: column(t, c) for c in columns}
+        has = {c: ~np.isnan(a) for c, a in v.items()}
+        rows = []
+        for name, c in names.items():
+            for h, f in horizons.items():
+                both = has[c] & has[f]
+                n = int(both.sum())
+                if n < max(min_names, 1):
+                    continue
+                x, y = v[c][both], v[f][both]
+                if x.min() < x.max() and y.min() < y.max():
+                    rows.append((name, h, n, correlation(mean_ranks(x), mean_ranks(y)) if method == "spearman" else correlation(x, y)))
+        given = {k: pa.array([key[i].as_py()] * len(rows), key[i].type) for i, k in enumerate(keys)}
+        return pa.table(given | {"factor": pa.array([r[0] for r in rows], pa.string()), "horizon": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64()), "ic": pa.array([r[3] for r in rows], pa.float64())})
+
+    return df.select(*keys, *columns).groupBy(*keys).applyInArrow(one, schema)
+
+
 def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 

@@ -38,17 +38,20 @@ def long_short(df: DataFrame, x: str = "value", quantile: float = 0.2, by: str |
     return rows.select("date", "pos", "ticker", "w")
 
 
-def buffered_targets(df: DataFrame, x: str = "value", every: int = 5, entry: float = 0.20, exit_: float = 0.30, cap: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, date, pos, ticker, w, action: enter within the entry share, stay within the exit share, equal weights a side.
+def buffered_targets(df: DataFrame, x: str = "value", every: int = 5, entry: float = 0.20, exit_: float = 0.30, cap: float | None = None, by: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """by, date, pos, ticker, w, action, also: enter within the entry share, stay within the exit share, equal weights a side.
 
     On the rebalance rows that vary (each ``every``-th row; others hold), a name is long if its last entry is
     later than the last time it was outside the exit zone. Between them weights are carried on. Each group of ``by`` is a portfolio.
+    Only the scheduled rows are ranked and counted; the others join them where weights are carried on. ``also`` are columns of df.
     """
     if not 0 < entry <= exit_ <= 0.5 or every < 1:
         raise ValueError("0 < entry <= exit <= 0.5, and every is positive")
     day = Window.partitionBy(*by, "date")
-    rows = df.withColumns({"_n": F.count(x).over(day), "_lo": F.row_number().over(day.orderBy(F.col(x).asc_nulls_last(), "ticker")), "_varies": F.coalesce(F.min(x).over(day) < F.max(x).over(day), F.lit(False))})
-    rows = rows.withColumn("action", F.when((F.col("pos") - 1) % every != 0, "hold_schedule").when(~F.col("_varies"), "hold_invalid").otherwise("rebalance"))
+    df = df.select(*by, "date", "pos", "ticker", x, *(c for c in also if c != x))
+    due = (F.col("pos") - 1) % every == 0
+    rows = df.filter(due).withColumns({"_n": F.count(x).over(day), "_lo": F.row_number().over(day.orderBy(F.col(x).asc_nulls_last(), "ticker")), "_varies": F.coalesce(F.min(x).over(day) < F.max(x).over(day), F.lit(False))})
+    rows = rows.withColumn("action", F.when(~F.col("_varies"), "hold_invalid").otherwise("rebalance"))
     rows = rows.withColumn("_enter", F.greatest(F.lit(1), F.floor(F.col("_n") * entry)))
     rows = rows.withColumns({"_stay": F.greatest("_enter", F.floor(F.col("_n") * exit_)), "_hi": F.col("_n") + 1 - F.col("_lo"), "_k": F.when(F.col("action") == "rebalance", F.col("pos"))})
     known = F.col(x).isNotNull()
@@ -66,21 +69,38 @@ def buffered_targets(df: DataFrame, x: str = "value", every: int = 5, entry: flo
     if cap is not None:
         weight = F.when(F.abs(weight) > cap + 1e-12, F.raise_error(F.lit("the cap on a name's weight is infeasible"))).otherwise(weight)
     rows = rows.withColumn("_w", F.when(F.col("_side") == 0, 0.0).when(F.col("_side").isNotNull(), weight))
-    return rows.select(*by, "date", "pos", "ticker", F.coalesce(F.last("_w", ignorenulls=True).over(past), F.lit(0.0)).alias("w"), "action")
+    out = (*by, "date", "pos", "ticker", "_w", "action", *also)
+    held = df.filter(~due).withColumns({"_w": F.lit(None).cast("double"), "action": F.lit("hold_schedule")})
+    rows = rows.select(*out).unionByName(held.select(*out))
+    return rows.select(*by, "date", "pos", "ticker", F.coalesce(F.last("_w", ignorenulls=True).over(past), F.lit(0.0)).alias("w"), "action", *also)
 
 
 def executed(weights: DataFrame, returns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, date, pos, ticker, w (the target of the row before), dw (its change), ret, on the returns' rows."""
     rows = returns.select(*by, "date", "pos", "ticker", F.coalesce("returns", F.lit(0.0)).alias("ret")).join(weights.select(*by, "date", "ticker", "w"), [*by, "date", "ticker"], "left")
+    return _moved(rows, by)
+
+
+def _moved(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     rows = rows.withColumn("w", F.coalesce(F.lag(F.coalesce("w", F.lit(0.0))).over(rows_of(by)), F.lit(0.0)))
     return rows.withColumn("dw", F.col("w") - F.coalesce(F.lag("w").over(rows_of(by)), F.lit(0.0)))
 
 
+def executed_targets(targets: DataFrame, by: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """As ``executed``, of targets that carry their rows' returns: nothing is joined or shuffled."""
+    return _moved(targets.select(*by, "date", "pos", "ticker", F.coalesce("returns", F.lit(0.0)).alias("ret"), "w", *also), by)
+
+
 def simulate(moves: DataFrame, bps: tuple[float, ...] = (10.0,), by: tuple[str, ...] = ()) -> DataFrame:
     """by, date, pos, cost_bps, gross, turnover, net for each cost."""
     if min(bps) < 0:
         raise ValueError("costs aren't negative")
     daily = moves.groupBy(*by, "date", "pos").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"), F.sum(F.abs("dw")).alias("turnover"))
+    return costed(daily, bps)
+
+
+def costed(daily: DataFrame, bps: tuple[float, ...]) -> DataFrame:
+    """daily (gross, turnover) for each cost, with net."""
     rows = daily.withColumn("cost_bps", F.explode(F.array(*map(F.lit, bps))))
     return rows.withColumn("net", F.col("gross") - F.col("turnover") * F.col("cost_bps") / 10_000)
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factorloom.operators.crosssection import mean_rank
-from factorloom.operators.evaluation import pearson
+from factorloom.operators.evaluation import Wide, column, correlation, mean_ranks, pearson
 from factorloom.sources.shared import keep
 
 
@@ -105,16 +107,40 @@ def fold_evidence(factors: DataFrame, ics: DataFrame, train: DataFrame, rules: R
     }).drop("_counts", "_means")
 
 
-def daily_correlation(factors: DataFrame, min_names: int) -> DataFrame:
-    """date, left, right, c: Spearman's on each date over the names that have both, ranked among these; left < right."""
-    x = factors.filter("value is not null")
-    a = x.select("date", "ticker", F.col("factor").alias("left"), F.col("value").alias("u"))
-    b = x.select("date", "ticker", F.col("factor").alias("right"), F.col("value").alias("v"))
-    key = ("date", "left", "right")
-    pairs = a.join(b, ["date", "ticker"]).filter("left < right")
-    pairs = pairs.withColumns({"x": mean_rank(F.col("u"), key), "y": mean_rank(F.col("v"), key)})
-    daily = pairs.groupBy(*key).agg(F.count("*").alias("names"), pearson("x", "y").alias("c"))
-    return daily.filter((F.col("names") >= min_names) & F.col("c").isNotNull()).drop("names")
+def daily_correlation(factors: DataFrame, min_names: int, wide: Wide | None = None) -> DataFrame:
+    """date, left, right, c: Spearman's on each date over the names that have both, ranked among these; left < right.
+
+    A date's rows are shuffled once, with a column a factor (``wide``, or made of the long factors), and a task ranks the names of one date.
+    """
+    if wide is None:
+        wide = Wide.of(factors.select("date", "ticker").distinct(), factors)
+    names = sorted(wide.names)
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        v = {n: column(t, wide_names[n]) for n in names}
+        has = {n: ~np.isnan(a) for n, a in v.items()}
+        rows, whole = [], {}
+        for i, left in enumerate(names):
+            for right in names[i + 1:]:
+                both = has[left] & has[right]
+                n = int(both.sum())
+                if n < max(min_names, 1):
+                    continue
+                ranks = []
+                for x in (left, right):
+                    if n == has[x].sum():  # ranked among all it has: once for all such pairs
+                        if x not in whole:
+                            whole[x] = mean_ranks(v[x][both])
+                        ranks.append(whole[x])
+                    else:
+                        ranks.append(mean_ranks(v[x][both]))
+                c = correlation(*ranks)
+                if c is not None:
+                    rows.append((left, right, c))
+        return pa.table({"date": pa.array([key[0].as_py()] * len(rows), key[0].type), "left": pa.array([r[0] for r in rows], pa.string()), "right": pa.array([r[1] for r in rows], pa.string()), "c": pa.array([r[2] for r in rows], pa.float64())})
+
+    wide_names, kind = wide.names, dict(wide.df.dtypes)["date"]
+    return wide.df.select("date", *wide_names.values()).groupBy("date").applyInArrow(one, f"date {kind}, left string, right string, c double")
 
 
 def _pairs(nodes: DataFrame) -> DataFrame:
@@ -182,8 +208,8 @@ def rank_changes(factors: DataFrame, calendar: DataFrame, train: DataFrame, ever
     starts = train.groupBy("fold").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last")).withColumn("offset", F.col("_first") % every)
     offsets = F.broadcast(starts.select("offset").distinct())  # at most ``every`` rows
     n = F.count("value").over(Window.partitionBy("date", "factor"))
-    rows = factors.filter("value is not null").withColumns({"n": n, "p": mean_rank(F.col("value"), ("date", "factor")) / n})
-    rows = rows.join(calendar.select("date", "pos").distinct(), "date").withColumn("offset", F.col("pos") % every).join(offsets, "offset")
+    due = calendar.select("date", "pos").distinct().withColumn("offset", F.col("pos") % every).join(offsets, "offset")
+    rows = factors.filter("value is not null").join(F.broadcast(due), "date").withColumns({"n": n, "p": mean_rank(F.col("value"), ("date", "factor")) / n})  # only dates that some fold schedules are ranked
     before = Window.partitionBy("factor", "ticker", "offset").orderBy("pos")
     rows = rows.withColumns({"_p": F.lag("p").over(before), "_n": F.lag("n").over(before), "_k": F.lag("pos").over(before)}).filter(F.col("_k") == F.col("pos") - every)
     change = F.col("p") - F.col("_p")
@@ -237,7 +263,7 @@ class Selection:
     selected: DataFrame
 
 
-def correlation_aware(factors: DataFrame, ics: DataFrame, train: DataFrame, pools: DataFrame, rules: Rules = Rules(), evidence: DataFrame | None = None) -> Selection:
+def correlation_aware(factors: DataFrame, ics: DataFrame, train: DataFrame, pools: DataFrame, rules: Rules = Rules(), evidence: DataFrame | None = None, wide: Wide | None = None) -> Selection:
     """Of each pool and fold: eligible factors, one a cluster of correlated ones, the best by cost- and redundancy-adjusted quality, with capped weights.
 
     A fold with fewer than ``min_factors`` of these is invalid and has no weights.
@@ -246,7 +272,11 @@ def correlation_aware(factors: DataFrame, ics: DataFrame, train: DataFrame, pool
     evidence = keep(fold_evidence(factors, ics, train, rules)) if evidence is None else evidence
     nodes = keep(evidence.filter("eligible").join(pools, "factor").select(*key, "factor", "direction", "base_quality", "missingness"))
     used = factors.join(nodes.select("factor").distinct(), "factor", "left_semi")
-    value = keep(fold_correlation(daily_correlation(used, rules.min_names), train, nodes, rules.pair_dates))
+    if wide is not None:
+        eligible = {r["factor"] for r in nodes.select("factor").distinct().collect()}  # a row a factor
+        wide = Wide(wide.df, {n: c for n, c in wide.names.items() if n in eligible})
+        used = wide.long()
+    value = keep(fold_correlation(daily_correlation(used, rules.min_names, wide), train, nodes, rules.pair_dates))
     groups = clusters(nodes, value, rules.hard)
     best = Window.partitionBy(*key, "cluster").orderBy(_level("base_quality").desc(), _level("missingness"), "factor")
     placed = nodes.join(groups, [*key, "factor"]).withColumn("representative", F.row_number().over(best) == 1)

@@ -8,15 +8,15 @@ from pyspark.sql.window import Window
 
 from factorloom.operators import redundancy
 from factorloom.operators.crosssection import mean_rank
-from factorloom.operators.evaluation import pearson
+from factorloom.operators.evaluation import Wide, pearson
 
 
-def value_correlation(factors: DataFrame, min_names: int = 30, min_dates: int = 60) -> DataFrame:
+def value_correlation(factors: DataFrame | None, min_names: int = 30, min_dates: int = 60, wide: Wide | None = None) -> DataFrame:
     """left, right, value, n, verified: the median over dates of the pair's Spearman correlation.
 
     A date counts if ``min_names`` names have both; ranks are taken among these names. One row per pair, left < right.
     """
-    daily = redundancy.daily_correlation(factors, min_names)
+    daily = redundancy.daily_correlation(factors, min_names, wide)
     out = daily.groupBy("left", "right").agg(F.percentile("c", F.lit(0.5)).alias("value"), F.count("*").alias("n"))
     return out.withColumn("verified", F.col("n") >= min_dates)
 

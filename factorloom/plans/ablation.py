@@ -72,29 +72,35 @@ class Arms:
     trades: Trades
 
 
-def run_arms(panel: DataFrame, base: DataFrame, new: DataFrame, industry: DataFrame, spec: Ablation) -> Arms:
-    """All arms at once; ``base`` and ``new`` are long factors of the same panel, with different names."""
+def run_arms(panel: DataFrame, base: DataFrame, new: DataFrame, industry: DataFrame, spec: Ablation, wide: ev.Wide | None = None) -> Arms:
+    """All arms at once; ``base`` and ``new`` are long factors of the same panel, with different names.
+
+    ``wide`` are both as columns of the panel's rows; it is what all steps start from, so it should be kept. It is made and kept if it isn't given.
+    """
     twice = base.select("factor").distinct().join(new.select("factor").distinct(), "factor").orderBy("factor").limit(5).collect()
     if twice:
         raise ValueError(f"names in both pools: {[r['factor'] for r in twice]}")
     walk = spec.walk
-    factors = keep(base.select("date", "ticker", "factor", "value").unionByName(new.select("date", "ticker", "factor", "value")))
+    if wide is None:
+        made = ev.Wide.of(panel, base.select("date", "ticker", "factor", "value").unionByName(new.select("date", "ticker", "factor", "value")))
+        wide = ev.Wide(keep(made.df), made.names)
+    factors = wide.long()
     folds = keep(sel.purged_folds(panel, walk.min_train, walk.test_size, walk.step, walk.horizon, embargo=walk.embargo))
     if folds.isEmpty():
         raise ValueError("not enough dates for a fold")
     train = folds.filter("role = 'train'").select("fold", "date", "pos")
-    ics = keep(ev.ic(factors, ev.forward_returns(panel, (walk.horizon,)), min_names=walk.min_names))
+    ics = keep(wide.ic((walk.horizon,), min_names=walk.min_names))
     evidence = keep(rd.fold_evidence(factors, ics, train, spec.rules))
     known = base.select("factor").distinct()
     of = lambda arm, names: names.select(F.lit(arm).alias("pool"), "factor")
     pools = keep(of("B", known).unionByName(of("C", factors.select("factor").distinct())))
-    aware = rd.correlation_aware(factors, ics, train, pools, spec.rules, evidence)
+    aware = rd.correlation_aware(factors, ics, train, pools, spec.rules, evidence, wide)
     stable = keep(rd.stable_selection(evidence, of("A", known), walk.weight_cap))
     weights = keep(stable.unionByName(aware.selected))
     plain = stable.groupBy("pool", "fold").agg(F.lit(True).alias("valid"), F.count("*").alias("selected_count"), F.array_join(F.sort_array(F.collect_list("factor")), "|").alias("selected"))
     mine = folds.select(F.lit("A").alias("pool"), "fold").distinct().join(plain, ["pool", "fold"], "left").select("pool", "fold", F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("selected_count", F.lit(0).cast("long")).alias("selected_count"), F.coalesce("selected", F.lit("")).alias("selected"))
     every = mine.unionByName(aware.folds).withColumn("action", F.when(F.col("valid"), "score").otherwise("invalid_fold_hold"))
-    return Arms(folds, sel.label_overlaps(folds, walk.horizon), evidence, aware, weights, keep(every.withColumnRenamed("pool", "arm")), trade(panel, factors, industry, folds, weights, ARMS, walk))
+    return Arms(folds, sel.label_overlaps(folds, walk.horizon), evidence, aware, weights, keep(every.withColumnRenamed("pool", "arm")), trade(panel, factors, industry, folds, weights, ARMS, walk, wide))
 
 
 def returns_of(x: str = "net") -> list[Column]:
@@ -104,11 +110,8 @@ def returns_of(x: str = "net") -> list[Column]:
 
 def report(arms: Arms, panel: DataFrame, industry: DataFrame, spec: Ablation) -> dict[str, DataFrame]:
     """The tables by name (those of TABLES, and fold_diagnostics)."""
-    t, by = arms.trades, ("pool", "path")
-    named = t.scores.select("date", "ticker", F.concat_ws("/", *by).alias("factor"), "value")
-    ics = ev.ic(named, ev.forward_returns(panel, (spec.walk.horizon,)), min_names=spec.walk.min_names)
-    part = F.split("factor", "/")
-    ics = keep(ics.select(part[0].alias("arm"), part[1].alias("path"), "date", "ic"))
+    t = arms.trades
+    ics = keep(t.ics.select(F.col("pool").alias("arm"), F.col("factor").alias("path"), "date", "ic"))
     test = arms.folds.filter("role = 'test'").select("fold", "date")
     daily = t.daily.withColumnRenamed("pool", "arm")
     judged = daily.filter(F.col("cost_bps") == spec.cost_bps)
@@ -127,7 +130,7 @@ def report(arms: Arms, panel: DataFrame, industry: DataFrame, spec: Ablation) ->
     whole = ics.groupBy("arm", "path").agg(F.avg("ic").alias("ic_mean"))
     positive = by_fold.groupBy("arm", "path").agg(F.count_if(F.col("ic_mean") > 0).alias("positive_ic_folds"))
     metrics = stress.filter(F.col("cost_bps") == spec.cost_bps).drop("cost_bps").join(positive, ["arm", "path"], "left").join(whole, ["arm", "path"], "left")
-    weights = t.moves.join(industry, "ticker").groupBy(F.col("pool").alias("arm"), "path", "date", "industry").agg(F.sum("w").alias("exposure"))
+    weights = t.exposures.withColumnRenamed("pool", "arm")
     largest = weights.withColumn("max_abs_industry", F.max(F.abs("exposure")).over(pf.Window.partitionBy("arm", "path", "date")))
     pool = lambda df: df.withColumnRenamed("pool", "arm")
     base = arms.evidence.join(arms.selection.diagnostics.filter("pool = 'B'").select("fold", "factor"), ["fold", "factor"]).select(F.lit("A").alias("arm"), "fold", "factor", "coverage", "missingness", "full_ic", "recent_ic", "direction", "robust_ic", "agreeing_blocks", "block_observation_counts", "recent_agrees", F.col("stable").alias("eligible"))

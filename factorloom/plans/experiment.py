@@ -105,46 +105,72 @@ PATHS = ("raw", "soft", "strict")
 
 @dataclass
 class Trades:
-    """Out-of-sample tables of each pool and path; pos counts the test rows from 1. scores have a row for every name on every test row."""
+    """Out-of-sample tables of each pool and path; pos counts the test rows from 1. scores have a row for every name on every test row.
+
+    ics (pool, date, factor: the path, horizon, n, ic) are the scores' own, exposures (pool, path, date, industry, exposure) net weights of the known industries.
+    """
 
     scores: DataFrame
     targets: DataFrame
     moves: DataFrame
     daily: DataFrame
+    ics: DataFrame
+    exposures: DataFrame
 
 
-def trade(panel: DataFrame, factors: DataFrame, industry: DataFrame, folds: DataFrame, weights: DataFrame, pools: tuple[str, ...], spec: WalkForward) -> Trades:
+def _composite(wide: ev.Wide, days: DataFrame, weights: DataFrame, pools: tuple[str, ...]) -> DataFrame:
+    """The rows of the days for each pool, with value: the weighted mean of the date's standardised factors by the frozen weights of its fold.
+
+    Means and deviations of a date and weights of a fold are small tables that are broadcast: no row is shuffled.
+    """
+    c = list(wide.names.values())
+    some = F.broadcast(days.select("date"))
+    stats = wide.df.join(some, "date").groupBy("date").agg(F.count("*").alias("_n"), *(f(x).alias(n + x) for x in c for n, f in (("_m", F.avg), ("_s", F.stddev_pop))))
+    of = lambda n, v: F.max(F.when(F.col("factor") == n, v))
+    frozen = weights.groupBy("pool", "fold").agg(F.count("*").alias("_k"), *(x for n, a in wide.names.items() for x in (of(n, F.col("direction") * F.col("weight")).alias("_d" + a), of(n, F.col("weight")).alias("_w" + a))))
+    rows = wide.df.drop("pos").join(F.broadcast(days.join(stats, "date")), "date").withColumn("pool", F.explode(F.array(*map(F.lit, pools)))).join(F.broadcast(frozen), ["pool", "fold"], "left")
+    part = {x: F.try_divide(F.col(x) - F.col("_m" + x), F.col("_s" + x)) * F.col("_d" + x) for x in c}
+    none = F.lit(0.0)
+    top, size = sum((F.coalesce(p, none) for p in part.values()), none), sum((F.when(p.isNotNull(), F.col("_w" + x)).otherwise(none) for x, p in part.items()), none)
+    return rows.withColumn("value", F.try_divide(top, size))
+
+
+def trade(panel: DataFrame, factors: DataFrame, industry: DataFrame, folds: DataFrame, weights: DataFrame, pools: tuple[str, ...], spec: WalkForward, wide: ev.Wide | None = None) -> Trades:
     """Scores of the folds' frozen weights (pool, fold, factor, direction, weight) on their test rows, three paths of them, and their portfolios.
 
     All pools, folds and paths are one job. A fold without weights has no scores, so its portfolios hold what they have.
+    ``wide`` are the factors as columns of the panel's rows, made of the long ones if it isn't given. Paths are columns until they trade,
+    and what their trades sum to by date and industry is kept, not the trades.
     """
+    wide = ev.Wide.of(panel, factors) if wide is None else wide
     by = ("pool", "path")
     test = folds.filter("role = 'test'").select("fold", "date")
     days = keep(test.withColumn("pos", F.row_number().over(Window.orderBy("date"))))  # a row a date
-    w = Window.partitionBy("date", "factor")
-    z = factors.withColumn("z", F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_pop("value").over(w))).filter("z is not null")
-    scored = z.join(days, "date").join(weights, ["fold", "factor"]).groupBy("pool", "date", "ticker").agg(F.try_divide(F.sum(F.col("z") * F.col("direction") * F.col("weight")), F.sum("weight")).alias("value"))
-    grid = panel.select("date", "ticker", "returns").join(days, "date").join(industry, "ticker", "left").withColumn("pool", F.explode(F.array(*map(F.lit, pools))))
-    rows = keep(grid.join(scored, ["pool", "date", "ticker"], "left"))
-    variants = xs.industry_variants(rows, strength=spec.soft_strength, min_names=spec.min_names, by=("pool",))
-    long_ = variants.unpivot(["pool", "date", "ticker"], list(PATHS), "path", "value").join(rows.drop("value", "industry"), ["pool", "date", "ticker"])
-    long_ = keep(long_)
-    targets = pf.buffered_targets(long_, every=spec.every, entry=spec.entry, exit_=spec.exit_, cap=spec.name_cap, by=by)
-    moves = keep(pf.executed(targets, long_, by))
-    return Trades(long_, targets, moves, keep(pf.simulate(moves, spec.cost_bps, by)))
-
-
-def walk_forward(panel: DataFrame, factors: DataFrame, industry: DataFrame, spec: WalkForward) -> Result:
+    ahead = ev.Wide(wide.df.select("date", "pos", "ticker", "returns", *wide.names.values(), ev.forward(spec.horizon).alias("fwd")), wide.names)
+    rows = _composite(ahead, days, weights, pools).join(industry, "ticker", "left").select("pool", "date", "pos", "ticker", "returns", "industry", "fwd", "value")
+    paths = keep(xs.industry_variants(rows.repartition("pool", "date"), strength=spec.soft_strength, min_names=spec.min_names, by=("pool",), also=("pos", "returns", "industry", "fwd")))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.col(p).alias("value")) for p in PATHS)))
+    long_ = paths.select("pool", "date", "pos", "ticker", "returns", "industry", each.alias("_p")).select("pool", "_p.path", "date", "pos", "ticker", "returns", "industry", "_p.value")
+    targets = pf.buffered_targets(long_, every=spec.every, entry=spec.entry, exit_=spec.exit_, cap=spec.name_cap, by=by, also=("returns", "industry"))
+    moves = pf.executed_targets(targets, by, ("industry",))
+    sums = keep(moves.groupBy(*by, "date", "pos", "industry").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"), F.sum(F.abs("dw")).alias("turnover"), F.sum("w").alias("exposure")))
+    daily = keep(pf.costed(sums.groupBy(*by, "date", "pos").agg(F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover")), spec.cost_bps))
+    ics = ev.ic_by_date(paths, ("pool", "date"), {p: p for p in PATHS}, {spec.horizon: "fwd"}, "spearman", spec.min_names)
+    return Trades(long_.drop("industry"), targets.drop("returns", "industry"), moves.drop("industry"), daily, ics, sums.filter("industry is not null").select(*by, "date", "industry", "exposure"))
+
+
+def walk_forward(panel: DataFrame, factors: DataFrame, industry: DataFrame, spec: WalkForward, wide: ev.Wide | None = None) -> Result:
     """Out-of-sample scores and portfolios: each fold selects and weighs factors by its training dates only.
 
     ICs don't depend on the fold: they are made once. All folds select in one job over them, and trade in one more.
     """
     folds = keep(sel.purged_folds(panel, spec.min_train, spec.test_size, spec.step, spec.horizon, embargo=spec.embargo))
-    ics = keep(ev.ic(factors, ev.forward_returns(panel, (spec.horizon,)), min_names=spec.min_names))
+    wide = ev.Wide.of(panel, factors) if wide is None else wide
+    ics = keep(wide.ic((spec.horizon,), min_names=spec.min_names))
     pools = factors.select(F.lit("all").alias("pool"), "factor").distinct()
     evidence = keep(rd.fold_evidence(factors, ics, folds.filter("role = 'train'"), spec.rules()))
     weights = keep(rd.stable_selection(evidence, pools, spec.weight_cap))
-    t = trade(panel, factors, industry, folds, weights, ("all",), spec)
+    t = trade(panel, factors, industry, folds, weights, ("all",), spec, wide)
     overlaps = sel.label_overlaps(folds, spec.horizon)
     picked = evidence.select("fold", "factor", "direction", "full_ic", "recent_ic", "robust_ic", "agreeing_blocks", F.col("stable").alias("eligible"))
     tables = {"folds": folds, "overlaps": overlaps, "selection": picked, "weights": weights.drop("pool"), "scores": t.scores.select("date", "ticker", "path", "value"), "daily": t.daily.drop("pool"), "performance": pf.performance(t.daily, by=("path", "cost_bps"))}

@@ -64,7 +64,7 @@ def report(result: Result, panel: DataFrame, industry: DataFrame, spec: WalkForw
     t = result.trades
     scores = t.scores.select("date", "ticker", F.col("path").alias("factor"), "value")
     fwd = ev.forward_returns(panel, (spec.horizon,))
-    ics = keep(ev.ic(scores, fwd, min_names=spec.min_names))
+    ics = keep(t.ics.drop("pool"))
     judged = t.daily.filter(F.col("cost_bps") == cost_bps)
 
     def over(days: DataFrame, name: str) -> DataFrame:
@@ -73,7 +73,7 @@ def report(result: Result, panel: DataFrame, industry: DataFrame, spec: WalkForw
         return net.join(mean, [name, "path"], "left")
 
     test = result.tables["folds"].filter("role = 'test'").select("date", "fold")
-    exposure = keep(exposures(t.moves, industry))
+    exposure = keep(t.exposures.drop("pool").withColumn("max_abs_industry", F.max(F.abs("exposure")).over(Window.partitionBy("path", "date"))))
     card = keep(scorecard(judged, ics, exposure))
     stress = pf.performance(t.daily, by=("path", "cost_bps")).drop("n")
     used = t.daily.groupBy("path", "cost_bps").agg(F.avg("turnover").alias("average_turnover"), F.sum(F.col("turnover") * F.col("cost_bps") / 10_000).alias("total_cost"))
