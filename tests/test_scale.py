@@ -64,3 +64,26 @@ def test_trades_of_targets_that_carry_returns(spark):
     assert "Join" not in plan(got)
     near(got.collect(), want.collect(), 2)
     assert got.filter("w <> 0").count() > 0
+
+
+def test_technical_factors_roll_over_arrays(spark):
+    from factorloom.functions import technical
+
+    rng = random.Random(5)
+    px = lambda: None if rng.random() < 0.05 else rng.uniform(1, 9)
+    rows = [(t, d, px(), px(), px(), px(), float(rng.randint(0, 9))) for t in (1, 2) for d in range(300)]
+    bars = spark.createDataFrame(rows, "ticker long, d int, open double, high double, low double, close double, volume double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d"))).drop("d")
+    got = technical.technical(bars)
+    assert "Window" not in plan(got) and plan(got).count("Exchange") == 1
+    b, g = bars.toPandas().sort_values(["ticker", "date"]), got.toPandas().sort_values(["ticker", "date"])
+    high, volume = b.groupby("ticker")["high"].shift(1), b["volume"].where(b["volume"] > 0)
+    assert g["price_volume_corr"].notna().sum() > 100
+    for t in (1, 2):
+        import numpy as np
+
+        mine, x, y = g[g["ticker"] == t], np.log(high[b["ticker"] == t].astype(float)), np.log1p(volume[b["ticker"] == t])
+        x, y = x.where(y.notna()), y.where(x.notna())
+        want = x.rolling(237, min_periods=118).corr(y).to_numpy()
+        assert np.allclose(mine["price_volume_corr"].to_numpy(float), want, atol=1e-9, equal_nan=True)
+        close = b.loc[b["ticker"] == t, "close"].astype(float)
+        assert np.allclose(mine["median_reversion"].to_numpy(float), (close.rolling(40, min_periods=20).median() / close).to_numpy(), atol=1e-9, equal_nan=True)
