@@ -17,8 +17,13 @@ def past() -> WindowSpec:
     return rows_of().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def future() -> WindowSpec:
-    return rows_of().rowsBetween(0, Window.unboundedFollowing)
+def whole() -> WindowSpec:
+    return rows_of().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def back() -> WindowSpec:
+    """This row and all after it, from the last one: a frame that begins at each row would be read anew for each."""
+    return Window.partitionBy("ticker").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def gaps(bars: DataFrame, days: int = 7) -> DataFrame:
@@ -112,14 +117,15 @@ def fill(bars: DataFrame, columns: tuple[str, ...] = (*PRICES, "volume"), method
     if method == "drop":
         return bars.dropna(subset=list(columns))
     if method == "forward_fill":
-        return bars.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past()), F.first(c, ignorenulls=True).over(future())) for c in columns})
+        # the next known value is only needed before the first known one, which it then is
+        return bars.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past()), F.first(c, ignorenulls=True).over(whole())) for c in columns})
     if method != "interpolate":
         raise ValueError("method is forward_fill, interpolate or drop")
     rows = bars.withColumn("_i", F.row_number().over(rows_of()))
     out = {}
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.struct("_i", F.col(c).alias("v")))
-        a, b = F.last(at, ignorenulls=True).over(past()), F.first(at, ignorenulls=True).over(future())
+        a, b = F.last(at, ignorenulls=True).over(past()), F.last(at, ignorenulls=True).over(back())
         out[c] = F.when(a.isNotNull() & b.isNotNull() & (b["_i"] > a["_i"]), a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["_i"]) / (b["_i"] - a["_i"])).otherwise(F.coalesce(a["v"], F.col(c)))
     return rows.withColumns(out).drop("_i")
 

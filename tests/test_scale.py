@@ -87,3 +87,15 @@ def test_technical_factors_roll_over_arrays(spark):
         assert np.allclose(mine["price_volume_corr"].to_numpy(float), want, atol=1e-9, equal_nan=True)
         close = b.loc[b["ticker"] == t, "close"].astype(float)
         assert np.allclose(mine["median_reversion"].to_numpy(float), (close.rolling(40, min_periods=20).median() / close).to_numpy(), atol=1e-9, equal_nan=True)
+
+
+def test_fills_read_no_frame_anew(spark):
+    from factorloom.operators import quality
+
+    rows = [(1, d, v) for d, v in enumerate((None, None, 3.0, None, None, 6.0, None))] + [(2, 0, None), (2, 1, None)]
+    bars = spark.createDataFrame(rows, "ticker long, d int, close double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d"))).drop("d")
+    for method, want in (("forward_fill", [3.0, 3.0, 3.0, 3.0, 3.0, 6.0, 6.0]), ("interpolate", [None, None, 3.0, 4.0, 5.0, 6.0, 6.0])):
+        got = quality.fill(bars, ("close",), method)
+        assert "currentrow$(), unboundedfollowing$()" not in plan(got).lower()
+        values = [r["close"] for r in got.orderBy("ticker", "date").collect()]
+        assert values == [*want, None, None]
