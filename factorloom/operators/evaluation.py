@@ -69,6 +69,12 @@ class Wide:
             return self.df.select("date", "ticker", F.lit("").alias("factor"), F.lit(None).cast("double").alias("value")).limit(0)
         return self.df.select("date", "ticker", *(F.col(c).alias(n) for n, c in self.names.items())).unpivot(["date", "ticker"], list(self.names), "factor", "value")
 
+    def groups(self, horizon: int, q: int = 5, min_names: int = 30) -> DataFrame:
+        """As ``quantile_groups`` of the long factors with the panel's forward returns, but nothing is joined."""
+        ahead = self.df.select("date", "ticker", forward(horizon).alias("_fwd"), *(F.col(c).alias(n) for n, c in self.names.items())).filter("_fwd is not null")
+        pairs = ahead.unpivot(["date", "ticker", "_fwd"], list(self.names), "factor", "value").filter("value is not null")
+        return _groups(pairs.select("date", "ticker", "factor", F.lit(horizon).alias("horizon"), "value", F.col("_fwd").alias("fwd")), q, min_names)
+
     def ic(self, horizons: tuple[int, ...] = (1,), method: str = "spearman", min_names: int = 30) -> DataFrame:
         """As ``ic`` of the long factors with the panel's forward returns, but nothing is joined: a date's rows are shuffled once."""
         ahead = self.df.select("date", *self.names.values(), *(forward(h).alias(f"_fwd{h}") for h in horizons))
@@ -203,7 +209,10 @@ def ic_t_test(ics: DataFrame, level: float = 0.05) -> DataFrame:
 
 def quantile_groups(factors: DataFrame, fwd: DataFrame, q: int = 5, min_names: int = 30) -> DataFrame:
     """date, factor, horizon, bucket, mean_return, names: equal-count groups by value, ties by ticker."""
-    pairs = factors.filter("value is not null").join(fwd.filter("fwd is not null"), ["date", "ticker"])
+    return _groups(factors.filter("value is not null").join(fwd.filter("fwd is not null"), ["date", "ticker"]), q, min_names)
+
+
+def _groups(pairs: DataFrame, q: int, min_names: int) -> DataFrame:
     w = Window.partitionBy("date", "factor", "horizon")
     pairs = pairs.withColumns({"n": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("value", "ticker")), "varies": F.min("value").over(w) < F.max("value").over(w)})
     pairs = pairs.filter((F.col("n") >= max(min_names, q)) & F.col("varies"))
@@ -275,7 +284,7 @@ def factor_scorecard(ics: DataFrame, pearson_ics: DataFrame, strat: DataFrame, t
 def rank_turnover(factors: DataFrame, calendar: DataFrame, every: int = 5, min_names: int = 30) -> DataFrame:
     """For each factor the mean absolute change of rank shares from one rebalance row (each ``every``-th) to the next."""
     days = calendar.select("date", "pos").distinct().filter((F.col("pos") - 1) % every == 0).withColumn("k", ((F.col("pos") - 1) / every).cast("int"))
-    rows = factors.join(days, "date")
+    rows = factors.join(F.broadcast(days), "date")  # a row a date
     rows = rows.withColumn("p", mean_rank(F.col("value"), ("date", "factor")) / F.count("value").over(Window.partitionBy("date", "factor")))
     before = Window.partitionBy("factor", "ticker").orderBy("k")
     rows = rows.withColumns({"q": F.lag("p").over(before), "j": F.lag("k").over(before)}).filter("p is not null and q is not null and j = k - 1")

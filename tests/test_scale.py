@@ -99,3 +99,11 @@ def test_fills_read_no_frame_anew(spark):
         assert "currentrow$(), unboundedfollowing$()" not in plan(got).lower()
         values = [r["close"] for r in got.orderBy("ticker", "date").collect()]
         assert values == [*want, None, None]
+
+
+def test_wide_groups_are_those_of_long_factors(spark):
+    p = panel(spark)
+    wide = ev.Wide(p, {n: n for n in "abc"})
+    got, keys = wide.groups(2, 4, 20), ("date", "factor", "horizon", "bucket", "names", "mean_return")
+    assert "Join" not in plan(got)
+    near(got.select(*keys).collect(), ev.quantile_groups(wide.long(), ev.forward_returns(p, (2,)), 4, 20).select(*keys).collect(), 5)
