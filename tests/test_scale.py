@@ -107,3 +107,43 @@ def test_wide_groups_are_those_of_long_factors(spark):
     got, keys = wide.groups(2, 4, 20), ("date", "factor", "horizon", "bucket", "names", "mean_return")
     assert "Join" not in plan(got)
     near(got.select(*keys).collect(), ev.quantile_groups(wide.long(), ev.forward_returns(p, (2,)), 4, 20).select(*keys).collect(), 5)
+
+
+def test_short_windows_are_no_frames(spark):
+    import numpy as np
+
+    from factorloom.operators.timeseries import Frame
+
+    rng = random.Random(7)
+    rows = [(t, d + 1, 0.1 if 20 <= d < 40 else None if rng.random() < 0.04 else rng.uniform(1, 2) + 1e6 * t, None if rng.random() < 0.04 else float(rng.randint(1, 3))) for t in (0, 1) for d in range(120)]
+    f = Frame(spark.createDataFrame(rows, "ticker long, pos int, a double, b double"))
+    c, s = f.correlation(F.col("a"), F.col("b"), 6), f.stddev(F.col("a"), 5)
+    got = f.df.select("ticker", "pos", "a", "b", c.alias("c"), s.alias("s"))
+    assert "covar_pop" not in plan(got) and "stddev" not in plan(got)
+    for _, g in got.toPandas().sort_values("pos").groupby("ticker"):
+        a, b, c, s = (g[n].to_numpy(float) for n in "abcs")
+        assert (s[24:40] == 0).all() and np.isnan(c[25:40]).all()
+        for i in range(len(a)):
+            x, y = a[max(0, i - 5):i + 1], b[max(0, i - 5):i + 1]
+            whole = len(x) == 6 and not np.isnan(x + y).any() and x.min() < x.max() and y.min() < y.max()
+            assert np.isnan(c[i]) if not whole else abs(c[i] - np.corrcoef(x, y)[0, 1]) < 1e-7
+            x = a[max(0, i - 4):i + 1]
+            assert np.isnan(s[i]) if len(x) < 5 or np.isnan(x).any() else abs(s[i] - np.std(x, ddof=1)) < 1e-7
+
+
+def test_dense_panel_joins_nothing(spark):
+    from factorloom.sources import market
+
+    rows = [(1, 3, 1.0), (1, 5, 2.0), (2, 2, 3.0), (2, 6, 4.0), (3, None, 5.0), (None, 2, 6.0), (4, None, 7.0), (4, 2, 8.0)]
+    bars = spark.createDataFrame(rows, "ticker long, d int, close double").select("ticker", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")).alias("date"), "close")
+    want = {(t, k): next((c for u, e, c in rows if u == t and e == d and t is not None), None) for t in (1, 2, 3, 4, None) for k, d in enumerate((2, 3, 5, 6), 1)}
+    for got in (market.densify(bars), market.densify(bars, bars)):
+        assert "Join" not in plan(got)
+        found = [((r["ticker"], r["pos"]), r["close"], r["date"].day - 1) for r in got.collect()]
+        assert len(found) == 20 and {k: c for k, c, _ in found} == want and {(k[1], d) for k, _, d in found} == {(1, 2), (2, 3), (3, 5), (4, 6)}
+
+
+def test_bars_are_shuffled_by_ticker_once(spark, sf):
+    from factorloom.sources import market
+
+    assert plan(market.panel(spark, sf)).count("Exchange hashpartitioning") == 1
