@@ -7,7 +7,7 @@ and everything else about ICs is an aggregation of it.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,10 @@ class Wide:
 
     df: DataFrame
     names: dict[str, str]
+    ahead: dict[int, str] = field(default_factory=dict)
+
+    def forward(self, h: int) -> Column:
+        return F.col(self.ahead[h]) if h in self.ahead else forward(h)
 
     @classmethod
     def of(cls, panel: DataFrame, factors: DataFrame) -> Wide:
@@ -71,13 +75,13 @@ class Wide:
 
     def groups(self, horizon: int, q: int = 5, min_names: int = 30) -> DataFrame:
         """As ``quantile_groups`` of the long factors with the panel's forward returns, but nothing is joined."""
-        ahead = self.df.select("date", "ticker", forward(horizon).alias("_fwd"), *(F.col(c).alias(n) for n, c in self.names.items())).filter("_fwd is not null")
+        ahead = self.df.select("date", "ticker", self.forward(horizon).alias("_fwd"), *(F.col(c).alias(n) for n, c in self.names.items())).filter("_fwd is not null")
         pairs = ahead.unpivot(["date", "ticker", "_fwd"], list(self.names), "factor", "value").filter("value is not null")
         return _groups(pairs.select("date", "ticker", "factor", F.lit(horizon).alias("horizon"), "value", F.col("_fwd").alias("fwd")), q, min_names)
 
     def ic(self, horizons: tuple[int, ...] = (1,), method: str = "spearman", min_names: int = 30) -> DataFrame:
         """As ``ic`` of the long factors with the panel's forward returns, but nothing is joined: a date's rows are shuffled once."""
-        ahead = self.df.select("date", *self.names.values(), *(forward(h).alias(f"_fwd{h}") for h in horizons))
+        ahead = self.df.select("date", *self.names.values(), *(self.forward(h).alias(f"_fwd{h}") for h in horizons))
         return ic_by_date(ahead, ("date",), self.names, {h: f"_fwd{h}" for h in horizons}, method, min_names)
 
 

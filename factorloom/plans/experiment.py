@@ -146,8 +146,10 @@ def trade(panel: DataFrame, factors: DataFrame, industry: DataFrame, folds: Data
     by = ("pool", "path")
     test = folds.filter("role = 'test'").select("fold", "date")
     days = keep(test.withColumn("pos", F.row_number().over(Window.orderBy("date"))))  # a row a date
-    ahead = ev.Wide(wide.df.select("date", "pos", "ticker", "returns", *wide.names.values(), (ev.forward(spec.horizon) if "close" in wide.df.columns else F.lit(None).cast("double")).alias("fwd")), wide.names)
-    rows = _composite(ahead, days, weights, pools).join(industry, "ticker", "left").select("pool", "date", "pos", "ticker", "returns", "industry", "fwd", "value")
+    mine = ["industry"] if "industry" in wide.df.columns else []  # of each row already, so that rows need no join
+    ahead = ev.Wide(wide.df.select("date", "pos", "ticker", "returns", *wide.names.values(), (wide.forward(spec.horizon) if spec.horizon in wide.ahead or "close" in wide.df.columns else F.lit(None).cast("double")).alias("fwd"), *mine), wide.names)
+    rows = _composite(ahead, days, weights, pools)
+    rows = (rows if mine else rows.join(industry, "ticker", "left")).select("pool", "date", "pos", "ticker", "returns", "industry", "fwd", "value")
     paths = keep(xs.industry_variants(rows.repartition("pool", "date"), strength=spec.soft_strength, min_names=spec.min_names, by=("pool",), also=("pos", "returns", "industry", "fwd")))
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.col(p).alias("value")) for p in PATHS)))
     long_ = paths.select("pool", "date", "pos", "ticker", "returns", "industry", each.alias("_p")).select("pool", "_p.path", "date", "pos", "ticker", "returns", "industry", "_p.value")

@@ -147,3 +147,40 @@ def test_bars_are_shuffled_by_ticker_once(spark, sf):
     from factorloom.sources import market
 
     assert plan(market.panel(spark, sf)).count("Exchange hashpartitioning") == 1
+
+
+def test_forward_returns_of_the_rows(spark):
+    p = panel(spark)
+    ready = ev.Wide(p.withColumn("_ahead", ev.forward(2)).localCheckpoint(), {n: n for n in "abc"}, {2: "_ahead"})
+    got = ready.ic((2,), "spearman", 20)
+    assert "Window" not in plan(got) and plan(got).count("Exchange") == 1
+    near(got.select("date", "factor", "horizon", "n", "ic").collect(), ev.Wide(p, ready.names).ic((2,), "spearman", 20).select("date", "factor", "horizon", "n", "ic").collect(), 4)
+
+
+def test_variants_of_rows_that_have_all(spark, monkeypatch):
+    from factorloom.plans import oos
+
+    p, spec = panel(spark, 60).withColumn("value", F.col("a")), oos.Experiment(2, 10, max_weight=0.2)
+    industry = p.select("ticker", (F.col("ticker") % 3).cast("string").alias("industry")).distinct().filter("ticker > 3")
+    want = oos.variants(p, p, industry, spec)
+    kept = []
+    monkeypatch.setattr(oos, "keep", lambda df: kept.append(plan(df)) or df.localCheckpoint())
+    got = oos.variants(p.join(industry, "ticker", "left").withColumn("fwd", ev.forward(2)), None, None, spec)
+    assert "FullOuter" not in kept[0] and kept[0].count("Exchange hashpartitioning(date") == 1
+    for name in want.tables:
+        assert got.tables[name].orderBy("variant").collect() == want.tables[name].orderBy("variant").collect()
+    assert got.gates.collect() == want.gates.collect()
+
+
+def test_winsorize_joins_nothing(spark):
+    assert "Join" not in plan(xs.winsorize(panel(spark).withColumnRenamed("a", "value")))
+
+
+def test_clusters_make_the_panel_once(spark, sf, monkeypatch):
+    from factorloom import queries
+    from factorloom.sources import market
+
+    made, real = [], market.panel
+    monkeypatch.setattr(market, "panel", lambda *a: made.append(a) or real(*a))
+    queries.QUERIES["corr_clusters"](spark, sf)
+    assert len(made) == 1
