@@ -17,9 +17,9 @@ def winsorize(df: DataFrame, x: str = "value", lo: float = 0.01, hi: float = 0.9
     """x clipped to the date's (interpolated) quantiles."""
     if not 0 <= lo < hi <= 1:
         raise ValueError("quantiles are in order and within [0, 1]")
-    q = df.groupBy("date").agg(F.percentile(x, F.array(F.lit(lo), F.lit(hi))).alias("_q"))
+    q = F.percentile(x, F.array(F.lit(lo), F.lit(hi))).over(day())
     clipped = F.when(F.col(x).isNotNull(), F.greatest(F.least(F.col(x), F.col("_q")[1]), F.col("_q")[0]))
-    return df.join(q, "date").withColumn(x, clipped).drop("_q")
+    return df.withColumn("_q", q).withColumn(x, clipped).drop("_q")
 
 
 def standardize(df: DataFrame, x: str = "value") -> DataFrame:
@@ -34,8 +34,8 @@ def _z(x: Column, ok: Column | None = None, by: tuple[str, ...] = ()) -> Column:
     return F.when(good if ok is None else good & ok, F.try_divide(x - F.avg(x).over(w), F.stddev_pop(x).over(w)))
 
 
-def neutralize(df: DataFrame, x: str = "value", industry: str = "industry", size: str | None = None, min_names: int = 10) -> DataFrame:
-    """x's residual on industry dummies (and log size), standardised: date, ticker, value.
+def neutralize(df: DataFrame, x: str = "value", industry: str = "industry", size: str | None = None, min_names: int = 10, also: tuple[str, ...] = ()) -> DataFrame:
+    """x's residual on industry dummies (and log size), standardised: date, ticker, also (columns of df), value.
 
     The residual is the deviation from the industry's mean on the date; with size, what the slope of the
     deviations of log size explains is taken off, if those deviations vary.
@@ -55,7 +55,7 @@ def neutralize(df: DataFrame, x: str = "value", industry: str = "industry", size
         slope = F.try_divide(F.sum(F.col("_t") * F.col("_r")).over(day()), F.sum(F.col("_t") * F.col("_t")).over(day()))
         rows = rows.withColumn("_r", F.col("_r") - F.coalesce(slope * F.col("_t"), F.lit(0.0)))
     enough = F.count("_r").over(day()) >= min_names
-    return rows.select("date", "ticker", _z(F.col("_r"), enough).alias("value"))
+    return rows.select("date", "ticker", *also, _z(F.col("_r"), enough).alias("value"))
 
 
 def neutralize_diagnostics(neutral: DataFrame) -> DataFrame:

@@ -51,7 +51,10 @@ def unpivot(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Wide:
-    """Factors as columns of a panel's rows: ``names`` gives each factor's column. ``df`` has date, pos, ticker, close and returns too."""
+    """Factors as columns of a panel's rows: ``names`` gives each factor's column. ``df`` has date, pos, ticker, close and returns too.
+
+    ``ahead`` gives the columns of forward returns that df has, by horizon; others are made of close, which shuffles rows by ticker.
+    """
 
     df: DataFrame
     names: dict[str, str]

@@ -17,8 +17,8 @@ def rows_of(by: tuple[str, ...] = ()) -> WindowSpec:
 YEAR = 252
 
 
-def long_short(df: DataFrame, x: str = "value", quantile: float = 0.2, by: str | None = None) -> DataFrame:
-    """date, pos, ticker, w: equal weights of 1 on the top and -1 on the bottom, ties by ticker; 0 for the rest.
+def long_short(df: DataFrame, x: str = "value", quantile: float = 0.2, by: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """date, pos, ticker, also (columns of df), w: equal weights of 1 on the top and -1 on the bottom, ties by ticker; 0 for the rest.
 
     With ``by`` (an industry) this is done within each group, and each side scaled to 1 over the date.
     """
@@ -35,7 +35,7 @@ def long_short(df: DataFrame, x: str = "value", quantile: float = 0.2, by: str |
         day = Window.partitionBy("date")
         total = F.when(F.col("w") > 0, F.sum(F.greatest("w", F.lit(0.0))).over(day)).when(F.col("w") < 0, F.sum(F.greatest(-F.col("w"), F.lit(0.0))).over(day))
         rows = rows.withColumn("w", F.coalesce(F.try_divide("w", total), F.lit(0.0)))
-    return rows.select("date", "pos", "ticker", "w")
+    return rows.select("date", "pos", "ticker", *also, "w")
 
 
 def buffered_targets(df: DataFrame, x: str = "value", every: int = 5, entry: float = 0.20, exit_: float = 0.30, cap: float | None = None, by: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:

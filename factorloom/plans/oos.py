@@ -118,9 +118,11 @@ class Experiment:
             raise ValueError("sizes are positive and costs aren't negative")
 
 
-def max_group_mean(values: DataFrame, industry: DataFrame) -> DataFrame:
-    """date, max_abs_mean: the largest absolute mean value of an industry; dates without a classified value are left out."""
-    rows = values.filter("value is not null").join(industry.filter("industry is not null"), "ticker").groupBy("date", "industry").agg(F.avg("value").alias("m"))
+def max_group_mean(values: DataFrame, industry: DataFrame | None = None) -> DataFrame:
+    """date, max_abs_mean: the largest absolute mean value of an industry (a column of values, if it isn't given); dates without a classified value are left out."""
+    rows = values.filter("value is not null")
+    rows = rows.filter("industry is not null") if industry is None else rows.join(industry.filter("industry is not null"), "ticker")
+    rows = rows.groupBy("date", "industry").agg(F.avg("value").alias("m"))
     return rows.groupBy("date").agg(F.max(F.abs("m")).alias("max_abs_mean"))
 
 
@@ -133,48 +135,53 @@ def neutralization_quality(raw: DataFrame, neutral: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.avg(F.col("eligible").cast("double")), none).alias("raw_usable_date_ratio"), F.coalesce(F.avg(F.when(F.col("eligible"), F.coalesce("valid", F.lit(False)).cast("double"))), none).alias("neutralization_success_on_eligible_dates"))
 
 
-def capped_targets(rows: DataFrame, spec: Experiment, by: str | None = None) -> DataFrame:
-    """date, pos, ticker, w, feasible: long-short weights; a date where one is over the cap holds nothing and isn't feasible."""
-    w = pf.long_short(rows, quantile=spec.quantile, by=by)
+def capped_targets(rows: DataFrame, spec: Experiment, by: str | None = None, x: str = "value", also: tuple[str, ...] = ()) -> DataFrame:
+    """date, pos, ticker, also, w, feasible: long-short weights; a date where one is over the cap holds nothing and isn't feasible."""
+    w = pf.long_short(rows, x, spec.quantile, by, also)
     over = F.max(F.abs("w")).over(Window.partitionBy("date")) > spec.max_weight + 1e-12
     return w.withColumn("feasible", ~over).withColumn("w", F.when(F.col("feasible"), F.col("w")).otherwise(0.0))
 
 
-def variants(panel: DataFrame, factor: DataFrame, industry: DataFrame, spec: Experiment = Experiment(), folds: DataFrame | None = None) -> Report:
+def variants(panel: DataFrame, factor: DataFrame | None, industry: DataFrame | None, spec: Experiment = Experiment(), folds: DataFrame | None = None) -> Report:
     """A factor (date, ticker, value) as it is, winsorised and standardised, against its neutral form: factor_diagnostics, portfolio_metrics, quality and gates.
 
-    The raw variant trades all names at once, the neutral one within industries. ``industry`` is ticker, industry.
+    The raw variant trades all names at once, the neutral one within industries. ``industry`` is ticker, industry; a panel whose rows have value,
+    industry or fwd (of the horizon) already needs no factor, no industry and no close, and nothing is joined.
     Label overlap is counted over ``folds``; by default the folds that fit the dates with a value.
     """
-    cells = keep(panel.select("date", "pos", "ticker", "returns").join(industry, "ticker", "left").join(factor.select("date", "ticker", "value"), ["date", "ticker"], "left"))
-    raw = keep(xs.standardize(xs.winsorize(cells)))
-    neutral = keep(xs.neutralize(raw.select("date", "ticker", "value", "industry"), min_names=spec.min_names))
-    named = raw.select("date", "ticker", F.lit("raw").alias("factor"), "value").unionByName(neutral.select("date", "ticker", F.lit("neutralized").alias("factor"), "value"))
-    fwd = ev.forward_returns(panel, (spec.horizon,))
-    ics = ev.ic(named, fwd, min_names=spec.min_names)
-    spread = ev.quantile_returns(ev.quantile_groups(named, fwd, spec.groups, spec.min_names), spec.groups)
+    fwd = F.col("fwd") if "fwd" in panel.columns else ev.forward(spec.horizon)
+    cells = panel.select("date", "pos", "ticker", "returns", fwd.alias("fwd"), *(c for c, given in (("industry", industry), ("value", factor)) if given is None))
+    if industry is not None:
+        cells = cells.join(industry, "ticker", "left")
+    if factor is not None:
+        cells = cells.join(factor.select("date", "ticker", "value"), ["date", "ticker"], "left")
+    raw = xs.standardize(xs.winsorize(cells.withColumn("seen", F.col("value").isNotNull()))).withColumn("raw", F.col("value"))
+    both = keep(xs.neutralize(raw, min_names=spec.min_names, also=("pos", "returns", "industry", "fwd", "seen", "raw")).withColumnRenamed("value", "neutralized"))  # all of it by date: one shuffle
+    wide = ev.Wide(both, {"raw": "raw", "neutralized": "neutralized"}, {spec.horizon: "fwd"})
+    raw, neutral = (both.select("date", "ticker", "industry", F.col(n).alias("value")) for n in wide.names)
+    ics = keep(wide.ic((spec.horizon,), min_names=spec.min_names))
+    spread = ev.quantile_returns(wide.groups(spec.horizon, spec.groups, spec.min_names), spec.groups)
     names = panel.sparkSession.createDataFrame([("raw", "global"), ("neutralized", "industry_neutral")], "variant string, portfolio_mode string")
     seen = ics.groupBy(F.col("factor").alias("variant")).agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("ic_observations"))
-    wide = spread.groupBy(F.col("factor").alias("variant")).agg(F.avg("top_bottom").alias("top_bottom_mean"))
-    diagnostics = names.select("variant").join(seen, "variant", "left").join(wide, "variant", "left").fillna(0, ["ic_observations"])
-    ready = cells.select("date", "pos", "ticker", "returns", "industry")
-    parts = [capped_targets(ready.join(v.select("date", "ticker", "value"), ["date", "ticker"], "left"), spec, by).withColumn("variant", F.lit(n)) for n, v, by in (("raw", raw, None), ("neutralized", neutral, "industry"))]
-    targets = keep(parts[0].unionByName(parts[1]))
-    grid = ready.withColumn("variant", F.explode(F.array(F.lit("raw"), F.lit("neutralized"))))
-    daily = keep(pf.simulate(pf.executed(targets, grid, ("variant",)), (spec.cost_bps,), ("variant",)))
+    tops = spread.groupBy(F.col("factor").alias("variant")).agg(F.avg("top_bottom").alias("top_bottom_mean"))
+    diagnostics = names.select("variant").join(seen, "variant", "left").join(tops, "variant", "left").fillna(0, ["ic_observations"])
+    parts = [capped_targets(both, spec, by, n, ("returns",)).withColumn("variant", F.lit(n)) for n, by in (("raw", None), ("neutralized", "industry"))]
+    moves = pf.executed_targets(parts[0].unionByName(parts[1]), ("variant",), ("feasible",))
+    sums = keep(moves.groupBy("variant", "date", "pos").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"), F.sum(F.abs("dw")).alias("turnover"), F.bool_and("feasible").alias("feasible")))
+    daily = pf.costed(sums.drop("feasible"), (spec.cost_bps,))
     used = daily.groupBy("variant").agg(F.avg("turnover").alias("average_turnover"), F.sum(F.col("turnover") * F.col("cost_bps") / 10_000).alias("total_cost"))
-    bad = targets.filter(~F.col("feasible")).groupBy("variant").agg(F.countDistinct("date").alias("invalid_weight_dates"))
+    bad = sums.filter(~F.col("feasible")).groupBy("variant").agg(F.countDistinct("date").alias("invalid_weight_dates"))
     traded = pf.performance(daily, by=("variant",)).select("variant", "annualized_return", "annualized_volatility", "sharpe", "max_drawdown")
     metrics = names.join(traded, "variant").join(used, "variant").join(bad, "variant", "left").fillna(0, ["invalid_weight_dates"])
     if folds is None:
-        days = cells.filter("value is not null").select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))
+        days = both.filter("seen").select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))
         n = days.count()
         test = min(50, max(10, n // 10))
         folds = sel.purged_folds(days, min(300, max(30, n // 3)), test, test, spec.horizon)
     folds = keep(folds)
     overlaps = sel.label_overlaps(folds, spec.horizon).agg(F.coalesce(F.sum("overlaps"), F.lit(0)).cast("long").alias("label_overlap_count"), F.count("*").alias("fold_count"))
-    covered = cells.agg(F.coalesce(F.avg(F.col("industry").isNotNull().cast("double")), F.lit(0.0)).alias("classification_coverage"))
-    exposed = max_group_mean(neutral, industry).agg(F.max("max_abs_mean").alias("max_abs_industry_exposure"))
+    covered = both.agg(F.coalesce(F.avg(F.col("industry").isNotNull().cast("double")), F.lit(0.0)).alias("classification_coverage"))
+    exposed = max_group_mean(neutral).agg(F.max("max_abs_mean").alias("max_abs_industry_exposure"))
     q = {}
     for one in (covered, exposed, overlaps, neutralization_quality(raw, neutral)):  # a row each
         q |= one.first().asDict()
