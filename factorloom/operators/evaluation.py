@@ -17,6 +17,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from factorloom.operators.crosssection import mean_rank
 from factorloom.sources.market import finite
+from factorloom.sources.shared import deal
 
 
 def rows_of() -> WindowSpec:
@@ -54,11 +55,13 @@ class Wide:
     """Factors as columns of a panel's rows: ``names`` gives each factor's column. ``df`` has date, pos, ticker, close and returns too.
 
     ``ahead`` gives the columns of forward returns that df has, by horizon; others are made of close, which shuffles rows by ticker.
+    ``rows`` is about how many df has; with it, dates are dealt to the tasks that so many rows need.
     """
 
     df: DataFrame
     names: dict[str, str]
     ahead: dict[int, str] = field(default_factory=dict)
+    rows: int | None = None
 
     def forward(self, h: int) -> Column:
         return F.col(self.ahead[h]) if h in self.ahead else forward(h)
@@ -85,7 +88,7 @@ class Wide:
     def ic(self, horizons: tuple[int, ...] = (1,), method: str = "spearman", min_names: int = 30) -> DataFrame:
         """As ``ic`` of the long factors with the panel's forward returns, but nothing is joined: a date's rows are shuffled once."""
         ahead = self.df.select("date", *self.names.values(), *(self.forward(h).alias(f"_fwd{h}") for h in horizons))
-        return ic_by_date(ahead, ("date",), self.names, {h: f"_fwd{h}" for h in horizons}, method, min_names)
+        return ic_by_date(deal(ahead, self.rows, "date"), ("date",), self.names, {h: f"_fwd{h}" for h in horizons}, method, min_names)
 
 
 def mean_ranks(a: np.ndarray) -> np.ndarray:

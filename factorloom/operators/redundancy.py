@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from factorloom.operators.crosssection import mean_rank
 from factorloom.operators.evaluation import Wide, column, correlation, mean_ranks, pearson
-from factorloom.sources.shared import keep
+from factorloom.sources.shared import deal, keep
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def daily_correlation(factors: DataFrame, min_names: int, wide: Wide | None = No
         return pa.table({"date": pa.array([key[0].as_py()] * len(rows), key[0].type), "left": pa.array([r[0] for r in rows], pa.string()), "right": pa.array([r[1] for r in rows], pa.string()), "c": pa.array([r[2] for r in rows], pa.float64())})
 
     wide_names, kind = wide.names, dict(wide.df.dtypes)["date"]
-    return wide.df.select("date", *wide_names.values()).groupBy("date").applyInArrow(one, f"date {kind}, left string, right string, c double")
+    return deal(wide.df.select("date", *wide_names.values()), wide.rows, "date").groupBy("date").applyInArrow(one, f"date {kind}, left string, right string, c double")
 
 
 def _pairs(nodes: DataFrame) -> DataFrame:
@@ -198,10 +198,11 @@ def clusters(nodes: DataFrame, correlation: DataFrame, threshold: float = 0.75,
     return rows.drop("root")
 
 
-def rank_changes(factors: DataFrame, calendar: DataFrame, train: DataFrame, every: int, min_names: int) -> DataFrame:
+def rank_changes(factors: DataFrame, calendar: DataFrame, train: DataFrame, every: int, min_names: int, rows: int | None = None) -> DataFrame:
     """fold, factor, up, down: the mean change of rank shares from one scheduled row (each ``every``-th of the fold) to the next, of the factor and of its negative.
 
     Folds that begin at rows with one remainder share their schedule, so changes are made for each remainder, not each fold.
+    ``rows`` is about how many are ranked.
     """
     if every < 1:
         raise ValueError("the interval is positive")
@@ -209,11 +210,11 @@ def rank_changes(factors: DataFrame, calendar: DataFrame, train: DataFrame, ever
     offsets = F.broadcast(starts.select("offset").distinct())  # at most ``every`` rows
     n = F.count("value").over(Window.partitionBy("date", "factor"))
     due = calendar.select("date", "pos").distinct().withColumn("offset", F.col("pos") % every).join(offsets, "offset")
-    rows = factors.filter("value is not null").join(F.broadcast(due), "date").withColumns({"n": n, "p": mean_rank(F.col("value"), ("date", "factor")) / n})  # only dates that some fold schedules are ranked
+    ranked = deal(factors.filter("value is not null").join(F.broadcast(due), "date"), rows, "date", "factor").withColumns({"n": n, "p": mean_rank(F.col("value"), ("date", "factor")) / n})  # only dates that some fold schedules are ranked
     before = Window.partitionBy("factor", "ticker", "offset").orderBy("pos")
-    rows = rows.withColumns({"_p": F.lag("p").over(before), "_n": F.lag("n").over(before), "_k": F.lag("pos").over(before)}).filter(F.col("_k") == F.col("pos") - every)
+    moved = deal(ranked, rows, "factor", "ticker", "offset").withColumns({"_p": F.lag("p").over(before), "_n": F.lag("n").over(before), "_k": F.lag("pos").over(before)}).filter(F.col("_k") == F.col("pos") - every)
     change = F.col("p") - F.col("_p")
-    daily = rows.groupBy("factor", "offset", "pos").agg(F.count("*").alias("names"), F.avg(F.abs(change)).alias("up"), F.avg(F.abs(1 / F.col("n") - 1 / F.col("_n") - change)).alias("down")).filter(F.col("names") >= min_names)
+    daily = moved.groupBy("factor", "offset", "pos").agg(F.count("*").alias("names"), F.avg(F.abs(change)).alias("up"), F.avg(F.abs(1 / F.col("n") - 1 / F.col("_n") - change)).alias("down")).filter(F.col("names") >= min_names)
     mine = starts.join(daily, "offset").filter((F.col("pos") - every >= F.col("_first")) & (F.col("pos") <= F.col("_last")))
     return mine.groupBy("fold", "factor").agg(F.avg("up").alias("up"), F.avg("down").alias("down"))
 
@@ -274,13 +275,14 @@ def correlation_aware(factors: DataFrame, ics: DataFrame, train: DataFrame, pool
     used = factors.join(nodes.select("factor").distinct(), "factor", "left_semi")
     if wide is not None:
         eligible = {r["factor"] for r in nodes.select("factor").distinct().collect()}  # a row a factor
-        wide = Wide(wide.df, {n: c for n, c in wide.names.items() if n in eligible})
+        wide = Wide(wide.df, {n: c for n, c in wide.names.items() if n in eligible}, rows=wide.rows)
         used = wide.long()
     value = keep(fold_correlation(daily_correlation(used, rules.min_names, wide), train, nodes, rules.pair_dates))
     groups = clusters(nodes, value, rules.hard)
     best = Window.partitionBy(*key, "cluster").orderBy(_level("base_quality").desc(), _level("missingness"), "factor")
     placed = nodes.join(groups, [*key, "factor"]).withColumn("representative", F.row_number().over(best) == 1)
-    turnover = rank_changes(used, train.select("date", "pos"), train, rules.every, rules.min_names)
+    due = None if wide is None or wide.rows is None else wide.rows * len(wide.names) // rules.every  # of one schedule, as folds from one start share
+    turnover = rank_changes(used, train.select("date", "pos"), train, rules.every, rules.min_names, due)
     reps = placed.filter("representative").join(turnover, ["fold", "factor"], "left")
     reps = reps.withColumn("rank_turnover", F.when(F.col("direction") > 0, F.col("up")).otherwise(F.col("down"))).drop("up", "down")
     reps = keep(reps.withColumn("cost_adjusted_quality", F.coalesce(F.col("base_quality") / (1 + F.col("rank_turnover")), F.lit(0.0))))

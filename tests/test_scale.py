@@ -184,3 +184,36 @@ def test_clusters_make_the_panel_once(spark, sf, monkeypatch):
     monkeypatch.setattr(market, "panel", lambda *a: made.append(a) or real(*a))
     queries.QUERIES["corr_clusters"](spark, sf)
     assert len(made) == 1
+
+
+def test_more_rows_make_more_tasks(spark, sf, monkeypatch):
+    import re
+
+    from factorloom import queries
+    from factorloom.sources import market, shared
+
+    dealt = lambda df: re.findall(r"Exchange hashpartitioning\((\w+)#.*?, (\d+)\)", plan(df))
+    few, usual = queries._wide(spark, sf, queries.CANDIDATES), spark.conf.get("spark.sql.shuffle.partitions")
+    assert [n for _, n in dealt(few.df)] == [usual] * 3
+    aware = queries.QUERIES["select_corr_aware"](spark, sf).collect()
+    monkeypatch.setattr(shared, "ROWS", 800)
+    n = str(-(-market.line_count(spark, sf) // 800))
+    assert int(n) > int(usual)
+    wide = queries._wide(spark, sf, queries.CANDIDATES)
+    assert dealt(wide.df) == [("ticker", n), ("date", n), ("ticker", n)]
+    ready = ev.Wide(wide.df.localCheckpoint(), wide.names, rows=wide.rows)
+    assert dealt(rd.daily_correlation(None, 2, ready)) == [("date", n)]
+    near(rd.daily_correlation(None, 2, ready).collect(), rd.daily_correlation(None, 2, few).collect(), 3)
+    train = ready.df.select(F.lit(0).alias("fold"), "date", "pos").distinct()
+    shares = lambda rows: rd.rank_changes(ready.long(), ready.df, train, 5, 2, rows)
+    assert {("date", "7"), ("factor", "7")} <= set(dealt(shares(7 * 800))) and "7" not in dict(dealt(shares(None))).values()
+    near(shares(7 * 800).collect(), shares(None).collect(), 2)
+    assert sorted(map(str, queries.QUERIES["select_corr_aware"](spark, sf).collect())) == sorted(map(str, aware))
+
+
+def test_candidates_carry_their_returns(spark, sf):
+    from factorloom import queries
+
+    wide, ics, *_ = queries._candidates(spark, sf)
+    assert "Window" not in plan(wide.ic((5,), min_names=2))
+    near(wide.ic((5,), min_names=2).select("date", "factor", "n", "ic").collect(), ev.Wide(wide.df, wide.names).ic((5,), min_names=2).select("date", "factor", "n", "ic").collect(), 3)
