@@ -211,6 +211,17 @@ def test_more_rows_make_more_tasks(spark, sf, monkeypatch):
     assert sorted(map(str, queries.QUERIES["select_corr_aware"](spark, sf).collect())) == sorted(map(str, aware))
 
 
+def test_scanned_rows_are_sent_unsorted(spark, monkeypatch):
+    from factorloom.sources import shared
+
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of = lambda n: shared.tasks(spark, n * shared.ROWS, scanned=True)
+    assert [of(1), of(usual), of(usual + 1), of(200), of(201), of(800), of(804)] == [(), (), (usual + 1,), (200,), (200,), (200,), (201,)]
+    assert shared.tasks(spark, 201 * shared.ROWS) == (201,)
+    monkeypatch.setattr(shared, "UNSORTED", usual - 1)
+    assert of(1) == (usual - 1,)
+
+
 def test_candidates_carry_their_returns(spark, sf):
     from factorloom import queries
 
