@@ -17,7 +17,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from factorloom.operators.crosssection import mean_rank
 from factorloom.sources.market import finite
-from factorloom.sources.shared import deal
+from factorloom.sources.shared import deal, keep
 
 
 def rows_of() -> WindowSpec:
@@ -73,6 +73,9 @@ class Wide:
         cells = factors.groupBy("date", "ticker").agg(*(F.max(F.when(F.col("factor") == n, F.col("value"))).alias(c) for n, c in names.items())) if names else factors.select("date", "ticker").distinct()
         return cls(panel.join(cells, ["date", "ticker"], "left"), names)
 
+    def kept(self) -> Wide:
+        return Wide(keep(self.df), self.names, self.ahead, self.rows)
+
     def long(self) -> DataFrame:
         """date, ticker, factor, value."""
         if not self.names:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -38,6 +41,11 @@ def long_short(df: DataFrame, x: str = "value", quantile: float = 0.2, by: str |
     return rows.select("date", "pos", "ticker", *also, "w")
 
 
+def check_buffer(every: int, entry: float, exit_: float) -> None:
+    if not 0 < entry <= exit_ <= 0.5 or every < 1:
+        raise ValueError("0 < entry <= exit <= 0.5, and every is positive")
+
+
 def buffered_targets(df: DataFrame, x: str = "value", every: int = 5, entry: float = 0.20, exit_: float = 0.30, cap: float | None = None, by: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
     """by, date, pos, ticker, w, action, also: enter within the entry share, stay within the exit share, equal weights a side.
 
@@ -45,8 +53,7 @@ def buffered_targets(df: DataFrame, x: str = "value", every: int = 5, entry: flo
     later than the last time it was outside the exit zone. Between them weights are carried on. Each group of ``by`` is a portfolio.
     Only the scheduled rows are ranked and counted; the others join them where weights are carried on. ``also`` are columns of df.
     """
-    if not 0 < entry <= exit_ <= 0.5 or every < 1:
-        raise ValueError("0 < entry <= exit <= 0.5, and every is positive")
+    check_buffer(every, entry, exit_)
     day = Window.partitionBy(*by, "date")
     df = df.select(*by, "date", "pos", "ticker", x, *(c for c in also if c != x))
     due = (F.col("pos") - 1) % every == 0
@@ -75,6 +82,60 @@ def buffered_targets(df: DataFrame, x: str = "value", every: int = 5, entry: flo
     return rows.select(*by, "date", "pos", "ticker", F.coalesce(F.last("_w", ignorenulls=True).over(past), F.lit(0.0)).alias("w"), "action", *also)
 
 
+MARKS = ("long", "long_stay", "short", "short_stay")
+
+
+def marks(x: np.ndarray, ticker: pa.ChunkedArray, entry: float = 0.20, exit_: float = 0.30) -> dict[str, dict]:
+    """The names (x and ticker) at which the shares to enter and to stay begin, on both sides, of one date's values of which none is missing."""
+    n = len(x)
+    enter = max(1, math.floor(n * entry))
+    stay = max(enter, math.floor(n * exit_))
+    order = pc.sort_indices(pa.table({"x": x, "t": ticker}), sort_keys=[("x", "ascending"), ("t", "ascending")])
+    at = {m: order[k].as_py() for m, k in zip(MARKS, (n - enter, n - stay, enter - 1, stay - 1), strict=True)}
+    return {m: {"x": float(x[k]), "t": ticker[k].as_py()} for m, k in at.items()}
+
+
+def zone(x: Column, ticker: Column, m: Column) -> Column:
+    """Three times the place on the long side and that on the short one: 2 within the share to enter, 1 within that to stay, 0 outside. Null without marks."""
+    above = lambda k: (x > m[k]["x"]) | ((x == m[k]["x"]) & (ticker >= m[k]["t"]))
+    below = lambda k: (x < m[k]["x"]) | ((x == m[k]["x"]) & (ticker <= m[k]["t"]))
+    place = lambda within, side: F.when(within(side), 2).when(within(f"{side}_stay"), 1).otherwise(0)
+    return F.when(m.isNotNull(), F.when(x.isNull(), 0).otherwise(place(above, "long") * 3 + place(below, "short"))).cast("tinyint")
+
+
+def held(rows: DataFrame, n: int) -> DataFrame:
+    """rows (pos, ticker, zones: those of n portfolios on rebalance rows) for each portfolio i, with its zone and what is held: now, on the row before (last), on the one before that (before).
+
+    Holdings are three times the pos of the rebalance row and 0 if short, 1 if out, 2 if long; null before the first one. As in ``buffered_targets``, a name
+    is long from a row within the share to enter up to one outside that to stay.
+    """
+    past = rows_of().rowsBetween(Window.unboundedPreceding, 0)
+    latest = lambda c: F.last(c, ignorenulls=True).over(past)
+    of = lambda place: latest(F.when(place == 2, True).when(place == 0, False))
+    z = [F.col("zones")[i] for i in range(n)]
+    out = rows.withColumns({k: c for i in range(n) for k, c in ((f"_l{i}", of(F.floor(z[i] / 3))), (f"_s{i}", of(z[i] % 3)), (f"_k{i}", latest(F.when(z[i].isNotNull(), F.col("pos")))))})
+    now = F.array(*(F.col(f"_k{i}") * 3 + F.when(F.col(f"_l{i}"), 2).when(F.col(f"_s{i}"), 0).otherwise(1) for i in range(n)))
+    out = out.select(*rows.columns, now.alias("_now")).withColumns({"_last": F.lag("_now", 1).over(rows_of()), "_before": F.lag("_now", 2).over(rows_of())})
+    each = F.array(*(F.struct(F.lit(i).alias("i"), z[i].alias("zone"), *(F.col(f"_{c}")[i].alias(c) for c in ("now", "last", "before"))) for i in range(n)))
+    return out.select(*(c for c in rows.columns if c != "zones"), F.inline(each))
+
+
+def held_weights(kinds: DataFrame, cap: float | None = None) -> DataFrame:
+    """i, held, w: equal weights of each side, by how many names (n of the kinds of rows: i, pos, now) take it on the rebalance row."""
+    rows = kinds.filter(F.floor(F.col("now") / 3) == F.col("pos")).groupBy("i", F.col("now").alias("held")).agg(F.sum("n").alias("_n"))
+    w = (F.col("held") % 3 - 1) / F.col("_n")
+    if cap is not None:
+        w = F.when(F.abs(w) > cap + 1e-12, F.raise_error(F.lit("the cap on a name's weight is infeasible"))).otherwise(w)
+    return rows.select("i", "held", w.alias("w"))
+
+
+def weighed(df: DataFrame, weights: DataFrame, *of: str) -> DataFrame:
+    """df (i and holdings ``of``) with w_ and the holding's name: its weight, 0 where nothing was held yet. There are three weights a rebalance row at most."""
+    for c in of:
+        df = df.join(F.broadcast(weights.select("i", F.col("held").alias(c), F.col("w").alias(f"w_{c}"))), ["i", c], "left").withColumn(f"w_{c}", F.coalesce(f"w_{c}", F.lit(0.0)))
+    return df
+
+
 def executed(weights: DataFrame, returns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, date, pos, ticker, w (the target of the row before), dw (its change), ret, on the returns' rows."""
     rows = returns.select(*by, "date", "pos", "ticker", F.coalesce("returns", F.lit(0.0)).alias("ret")).join(weights.select(*by, "date", "ticker", "w"), [*by, "date", "ticker"], "left")

@@ -143,6 +143,13 @@ def daily_correlation(factors: DataFrame, min_names: int, wide: Wide | None = No
     return deal(wide.df.select("date", *wide_names.values()), wide.rows, "date").groupBy("date").applyInArrow(one, f"date {kind}, left string, right string, c double")
 
 
+def daily_evidence(wide: Wide, horizon: int, min_names: int) -> tuple[DataFrame, DataFrame]:
+    """ICs (date, factor, ic) and the pairs of ``daily_correlation``, kept: the forward return is one more column of these, so a date's rows are shuffled once for both."""
+    ahead = Wide(wide.df.withColumn("_ahead_", wide.forward(horizon)), wide.names | {"": "_ahead_"}, rows=wide.rows)  # no factor is named so, and it is first
+    found = keep(daily_correlation(None, min_names, ahead))
+    return found.filter("left = ''").select("date", F.col("right").alias("factor"), F.col("c").alias("ic")), found.filter("left <> ''")
+
+
 def _pairs(nodes: DataFrame) -> DataFrame:
     """pool, fold, left, right (left < right), sign (of the product of their directions) of the nodes of each pool and fold."""
     a = nodes.select("pool", "fold", F.col("factor").alias("left"), F.col("direction").alias("_a"))
@@ -264,10 +271,10 @@ class Selection:
     selected: DataFrame
 
 
-def correlation_aware(factors: DataFrame, ics: DataFrame, train: DataFrame, pools: DataFrame, rules: Rules = Rules(), evidence: DataFrame | None = None, wide: Wide | None = None) -> Selection:
+def correlation_aware(factors: DataFrame, ics: DataFrame, train: DataFrame, pools: DataFrame, rules: Rules = Rules(), evidence: DataFrame | None = None, wide: Wide | None = None, daily: DataFrame | None = None) -> Selection:
     """Of each pool and fold: eligible factors, one a cluster of correlated ones, the best by cost- and redundancy-adjusted quality, with capped weights.
 
-    A fold with fewer than ``min_factors`` of these is invalid and has no weights.
+    A fold with fewer than ``min_factors`` of these is invalid and has no weights. ``daily`` are correlations of a date that are made already.
     """
     key = ["pool", "fold"]
     evidence = keep(fold_evidence(factors, ics, train, rules)) if evidence is None else evidence
@@ -277,7 +284,8 @@ def correlation_aware(factors: DataFrame, ics: DataFrame, train: DataFrame, pool
         eligible = {r["factor"] for r in nodes.select("factor").distinct().collect()}  # a row a factor
         wide = Wide(wide.df, {n: c for n, c in wide.names.items() if n in eligible}, rows=wide.rows)
         used = wide.long()
-    value = keep(fold_correlation(daily_correlation(used, rules.min_names, wide), train, nodes, rules.pair_dates))
+    daily = daily_correlation(used, rules.min_names, wide) if daily is None else daily
+    value = keep(fold_correlation(daily, train, nodes, rules.pair_dates))
     groups = clusters(nodes, value, rules.hard)
     best = Window.partitionBy(*key, "cluster").orderBy(_level("base_quality").desc(), _level("missingness"), "factor")
     placed = nodes.join(groups, [*key, "factor"]).withColumn("representative", F.row_number().over(best) == 1)

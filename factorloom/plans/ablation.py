@@ -82,19 +82,18 @@ def run_arms(panel: DataFrame, base: DataFrame, new: DataFrame, industry: DataFr
         raise ValueError(f"names in both pools: {[r['factor'] for r in twice]}")
     walk = spec.walk
     if wide is None:
-        made = ev.Wide.of(panel, base.select("date", "ticker", "factor", "value").unionByName(new.select("date", "ticker", "factor", "value")))
-        wide = ev.Wide(keep(made.df), made.names)
+        wide = ev.Wide.of(panel, base.select("date", "ticker", "factor", "value").unionByName(new.select("date", "ticker", "factor", "value"))).kept()
     factors = wide.long()
     folds = keep(sel.purged_folds(panel, walk.min_train, walk.test_size, walk.step, walk.horizon, embargo=walk.embargo))
     if folds.isEmpty():
         raise ValueError("not enough dates for a fold")
     train = folds.filter("role = 'train'").select("fold", "date", "pos")
-    ics = keep(wide.ic((walk.horizon,), min_names=walk.min_names))
+    ics, daily = rd.daily_evidence(wide, walk.horizon, walk.min_names)
     evidence = keep(rd.fold_evidence(factors, ics, train, spec.rules))
     known = base.select("factor").distinct()
     of = lambda arm, names: names.select(F.lit(arm).alias("pool"), "factor")
     pools = keep(of("B", known).unionByName(of("C", factors.select("factor").distinct())))
-    aware = rd.correlation_aware(factors, ics, train, pools, spec.rules, evidence, wide)
+    aware = rd.correlation_aware(factors, ics, train, pools, spec.rules, evidence, wide, daily)
     stable = keep(rd.stable_selection(evidence, of("A", known), walk.weight_cap))
     weights = keep(stable.unionByName(aware.selected))
     plain = stable.groupBy("pool", "fold").agg(F.lit(True).alias("valid"), F.count("*").alias("selected_count"), F.array_join(F.sort_array(F.collect_list("factor")), "|").alias("selected"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,7 +17,7 @@ from factorloom.operators import redundancy as rd
 from factorloom.operators import selection as sel
 from factorloom.operators import statistics as st
 from factorloom.plans import formula
-from factorloom.sources.shared import keep
+from factorloom.sources.shared import deal, keep
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,7 @@ PATHS = ("raw", "soft", "strict")
 
 @dataclass
 class Trades:
-    """Out-of-sample tables of each pool and path; pos counts the test rows from 1. scores have a row for every name on every test row.
+    """Out-of-sample tables of each pool and path; pos counts the test rows from 1. scores, targets and moves have a row for every name on every test row; they are made only if they are read.
 
     ics (pool, date, factor: the path, horizon, n, ic) are the scores' own, exposures (pool, path, date, industry, exposure) net weights of the known industries.
     """
@@ -119,46 +121,98 @@ class Trades:
 
 
 def _composite(wide: ev.Wide, days: DataFrame, weights: DataFrame, pools: tuple[str, ...]) -> DataFrame:
-    """The rows of the days for each pool, with value: the weighted mean of the date's standardised factors by the frozen weights of its fold.
+    """The rows of the days with a column for each pool (``_y`` and its number): the weighted mean of the date's standardised factors by the frozen weights of its fold.
 
     Means and deviations of a date and weights of a fold are small tables that are broadcast: no row is shuffled.
     """
     c = list(wide.names.values())
     some = F.broadcast(days.select("date"))
     stats = wide.df.join(some, "date").groupBy("date").agg(F.count("*").alias("_n"), *(f(x).alias(n + x) for x in c for n, f in (("_m", F.avg), ("_s", F.stddev_pop))))
-    of = lambda n, v: F.max(F.when(F.col("factor") == n, v))
-    frozen = weights.groupBy("pool", "fold").agg(F.count("*").alias("_k"), *(x for n, a in wide.names.items() for x in (of(n, F.col("direction") * F.col("weight")).alias("_d" + a), of(n, F.col("weight")).alias("_w" + a))))
-    rows = wide.df.drop("pos").join(F.broadcast(days.join(stats, "date")), "date").withColumn("pool", F.explode(F.array(*map(F.lit, pools)))).join(F.broadcast(frozen), ["pool", "fold"], "left")
-    part = {x: F.try_divide(F.col(x) - F.col("_m" + x), F.col("_s" + x)) * F.col("_d" + x) for x in c}
+    of = lambda p, n, v: F.max(F.when((F.col("pool") == p) & (F.col("factor") == n), v))
+    each = [(i, p, n, x) for i, p in enumerate(pools) for n, x in wide.names.items()]
+    frozen = weights.groupBy("fold").agg(F.count("*").alias("_k"), *(of(p, n, F.col("direction") * F.col("weight")).alias(f"_d{i}{x}") for i, p, n, x in each), *(of(p, n, F.col("weight")).alias(f"_w{i}{x}") for i, p, n, x in each))
+    known = keep(days.join(stats, "date").join(frozen, "fold", "left"))  # a row a date
+    rows = wide.df.drop("pos").join(F.broadcast(known), "date").withColumns({"_z" + x: F.try_divide(F.col(x) - F.col("_m" + x), F.col("_s" + x)) for x in c})
     none = F.lit(0.0)
-    top, size = sum((F.coalesce(p, none) for p in part.values()), none), sum((F.when(p.isNotNull(), F.col("_w" + x)).otherwise(none) for x, p in part.items()), none)
-    return rows.withColumn("value", F.try_divide(top, size))
+
+    def value(i: int) -> Column:
+        part = {x: F.col("_z" + x) * F.col(f"_d{i}{x}") for x in c}
+        top, size = sum((F.coalesce(p, none) for p in part.values()), none), sum((F.when(p.isNotNull(), F.col(f"_w{i}{x}")).otherwise(none) for x, p in part.items()), none)
+        return F.try_divide(top, size)
+
+    return rows.withColumns({f"_y{i}": value(i) for i in range(len(pools))})
+
+
+def _judged(rows: DataFrame, pools: tuple[str, ...], spec: WalkForward, size: int | None) -> DataFrame:
+    """date, due, i (numbers a pool's path), n and ic of its scores, and on due dates the marks of scores that vary (``pf.marks``). A task holds the names of one date.
+
+    A score is ``_y`` less the path's part of ``_m``; it isn't standardised, as that changes no rank.
+    """
+    types, parts = dict(rows.dtypes), (0.0, spec.soft_strength, 1.0)
+    name = f"struct<x: double, t: {types['ticker']}>"
+    schema = f"date {types['date']}, due boolean, i int, n long, ic double, marks struct<{', '.join(f'{m}: {name}' for m in pf.MARKS)}>"
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        fwd, out = ev.column(t, "fwd"), []
+        for i in range(len(pools)):
+            y, m = ev.column(t, f"_y{i}"), ev.column(t, f"_m{i}")
+            known = ~(np.isnan(y) | np.isnan(m))
+            y, m, f, tickers = y[known], m[known], fwd[known], t.column("ticker").filter(pa.array(known))
+            both = ~np.isnan(f)
+            n, ok = int(both.sum()), len(y) >= spec.min_names and (y - m).std() > xs.TINY
+            for k, part in enumerate(parts):
+                x = y - part * m
+                varies = ok and x.std() > xs.TINY
+                ic = ev.correlation(ev.mean_ranks(x[both]), ev.mean_ranks(f[both])) if varies and n >= spec.min_names else None
+                out.append((i * len(parts) + k, n, ic, pf.marks(x, tickers, spec.entry, spec.exit_) if varies and key[1].as_py() else None))
+        mark = pa.struct([("x", pa.float64()), ("t", t.schema.field("ticker").type)])
+        kinds = (pa.int32(), pa.int64(), pa.float64(), pa.struct([(m, mark) for m in pf.MARKS]))
+        return pa.table({"date": pa.array([key[0].as_py()] * len(out), key[0].type), "due": pa.array([key[1].as_py()] * len(out), pa.bool_())} | {c: pa.array([r[j] for r in out], kinds[j]) for j, c in enumerate(("i", "n", "ic", "marks"))})
+
+    sent = [c for i in range(len(pools)) for c in (f"_y{i}", f"_m{i}")]
+    return deal(rows.select("date", "due", "ticker", "fwd", *sent), size, "date").groupBy("date", "due").applyInArrow(one, schema)
 
 
 def trade(panel: DataFrame, factors: DataFrame, industry: DataFrame, folds: DataFrame, weights: DataFrame, pools: tuple[str, ...], spec: WalkForward, wide: ev.Wide | None = None) -> Trades:
     """Scores of the folds' frozen weights (pool, fold, factor, direction, weight) on their test rows, three paths of them, and their portfolios.
 
     All pools, folds and paths are one job. A fold without weights has no scores, so its portfolios hold what they have.
-    ``wide`` are the factors as columns of the panel's rows, made of the long ones if it isn't given. Paths are columns until they trade,
-    and what their trades sum to by date and industry is kept, not the trades.
+    ``wide`` are the factors as columns of the panel's rows, made of the long ones and kept if it isn't given. Pools and paths are columns too: the test rows
+    go by date once, which leaves ICs and the marks of the portfolios, and by ticker once, which leaves what rows that hold alike sum to.
     """
-    wide = ev.Wide.of(panel, factors) if wide is None else wide
+    pf.check_buffer(spec.every, spec.entry, spec.exit_)
+    wide = ev.Wide.of(panel, factors).kept() if wide is None else wide
     by = ("pool", "path")
     test = folds.filter("role = 'test'").select("fold", "date")
     days = keep(test.withColumn("pos", F.row_number().over(Window.orderBy("date"))))  # a row a date
     mine = ["industry"] if "industry" in wide.df.columns else []  # of each row already, so that rows need no join
     ahead = ev.Wide(wide.df.select("date", "pos", "ticker", "returns", *wide.names.values(), (wide.forward(spec.horizon) if spec.horizon in wide.ahead or "close" in wide.df.columns else F.lit(None).cast("double")).alias("fwd"), *mine), wide.names)
+    y, m = ([f"_{c}{i}" for i in range(len(pools))] for c in "ym")
     rows = _composite(ahead, days, weights, pools)
-    rows = (rows if mine else rows.join(industry, "ticker", "left")).select("pool", "date", "pos", "ticker", "returns", "industry", "fwd", "value")
-    paths = keep(xs.industry_variants(rows.repartition("pool", "date"), strength=spec.soft_strength, min_names=spec.min_names, by=("pool",), also=("pos", "returns", "industry", "fwd")))
-    each = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.col(p).alias("value")) for p in PATHS)))
-    long_ = paths.select("pool", "date", "pos", "ticker", "returns", "industry", each.alias("_p")).select("pool", "_p.path", "date", "pos", "ticker", "returns", "industry", "_p.value")
-    targets = pf.buffered_targets(long_, every=spec.every, entry=spec.entry, exit_=spec.exit_, cap=spec.name_cap, by=by, also=("returns", "industry"))
-    moves = pf.executed_targets(targets, by, ("industry",))
-    sums = keep(moves.groupBy(*by, "date", "pos", "industry").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"), F.sum(F.abs("dw")).alias("turnover"), F.sum("w").alias("exposure")))
+    rows = (rows if mine else rows.join(industry, "ticker", "left")).select("date", "pos", "ticker", "returns", "industry", "fwd", *y)
+    each = F.inline(F.array(*(F.struct(F.lit(p).alias("pool"), F.col(c).alias("value")) for p, c in zip(pools, y, strict=True))))
+    scores = xs.industry_variants(rows.select("*", each), strength=spec.soft_strength, min_names=spec.min_names, by=("pool",), also=("pos", "returns")).unpivot(["pool", "date", "pos", "ticker", "returns"], list(PATHS), "path", "value")
+    means = keep(rows.filter("industry is not null").groupBy("date", "industry").agg(*(F.avg(c).alias(d) for c, d in zip(y, m, strict=True))))  # a row a date and industry
+    rows = rows.join(F.broadcast(means), ["date", "industry"], "left").withColumn("due", (F.col("pos") - 1) % spec.every == 0)
+    judged = keep(_judged(rows, pools, spec, wide.rows))  # a row a date, pool and path
+    marks = judged.filter("due").groupBy("date").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "marks"))), lambda x: x["marks"]).alias("marks"))
+    values = F.array(*(F.col(c) - part * F.col(d) for c, d in zip(y, m, strict=True) for part in (0.0, spec.soft_strength, 1.0)))
+    zones = F.zip_with(values, "marks", lambda x, k: pf.zone(x, F.col("ticker"), k))
+    placed = rows.join(F.broadcast(marks), "date", "left").select("date", "pos", "ticker", "industry", "due", F.coalesce("returns", F.lit(0.0)).alias("ret"), zones.alias("zones"))
+    held = pf.held(deal(placed, wide.rows, "ticker"), len(pools) * len(PATHS))
+    kinds = keep(held.groupBy("i", "date", "pos", "industry", "now", "last", "before").agg(F.count("*").alias("n"), F.sum("ret").alias("ret")))  # a row for what is held alike
+    of = lambda texts, i: F.element_at(F.array(*map(F.lit, texts)), (i + 1).cast("int"))
+    group = (of(pools, F.floor(F.col("i") / len(PATHS))).alias("pool"), of(PATHS, F.col("i") % len(PATHS)).alias("path"))
+    w = pf.held_weights(kinds, spec.name_cap)
+    now, moved = pf.weighed(held, w, "now"), pf.weighed(held, w, "last", "before")
+    action = F.when(~F.col("due"), "hold_schedule").when(F.col("zone").isNull(), "hold_invalid").otherwise("rebalance")
+    targets = now.select(*group, "date", "pos", "ticker", F.col("w_now").alias("w"), action.alias("action"))
+    change = F.col("w_last") - F.col("w_before")
+    moves = moved.select(*group, "date", "pos", "ticker", "ret", F.col("w_last").alias("w"), change.alias("dw"))
+    sums = pf.weighed(kinds, w, "last", "before").groupBy(*group, "date", "pos", "industry").agg(F.sum(F.col("w_last") * F.col("ret")).alias("gross"), F.sum(F.abs(change) * F.col("n")).alias("turnover"), F.sum(F.col("w_last") * F.col("n")).alias("exposure"))
     daily = keep(pf.costed(sums.groupBy(*by, "date", "pos").agg(F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover")), spec.cost_bps))
-    ics = ev.ic_by_date(paths, ("pool", "date"), {p: p for p in PATHS}, {spec.horizon: "fwd"}, "spearman", spec.min_names)
-    return Trades(long_.drop("industry"), targets.drop("returns", "industry"), moves.drop("industry"), daily, ics, sums.filter("industry is not null").select(*by, "date", "industry", "exposure"))
+    ics = judged.filter("ic is not null").select(group[0], "date", group[1].alias("factor"), F.lit(spec.horizon).alias("horizon"), "n", "ic")
+    return Trades(scores, targets, moves, daily, ics, sums.filter("industry is not null").select(*by, "date", "industry", "exposure"))
 
 
 def walk_forward(panel: DataFrame, factors: DataFrame, industry: DataFrame, spec: WalkForward, wide: ev.Wide | None = None) -> Result:
@@ -167,7 +221,7 @@ def walk_forward(panel: DataFrame, factors: DataFrame, industry: DataFrame, spec
     ICs don't depend on the fold: they are made once. All folds select in one job over them, and trade in one more.
     """
     folds = keep(sel.purged_folds(panel, spec.min_train, spec.test_size, spec.step, spec.horizon, embargo=spec.embargo))
-    wide = ev.Wide.of(panel, factors) if wide is None else wide
+    wide = ev.Wide.of(panel, factors).kept() if wide is None else wide
     ics = keep(wide.ic((spec.horizon,), min_names=spec.min_names))
     pools = factors.select(F.lit("all").alias("pool"), "factor").distinct()
     evidence = keep(rd.fold_evidence(factors, ics, folds.filter("role = 'train'"), spec.rules()))

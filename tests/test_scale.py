@@ -228,3 +228,70 @@ def test_candidates_carry_their_returns(spark, sf):
     wide, ics, *_ = queries._candidates(spark, sf)
     assert "Window" not in plan(wide.ic((5,), min_names=2))
     near(wide.ic((5,), min_names=2).select("date", "factor", "n", "ic").collect(), ev.Wide(wide.df, wide.names).ic((5,), min_names=2).select("date", "factor", "n", "ic").collect(), 3)
+
+
+def test_trades_keep_no_names(spark, monkeypatch):
+    """Ties, missing values, names without an industry, rows that aren't there and a fold without weights: as the portfolios of the scores themselves."""
+    from factorloom.operators import selection
+    from factorloom.plans import experiment
+
+    p = panel(spark, 60).filter("not (ticker = 7 and pos % 4 = 0)").localCheckpoint()
+    industry = p.select("ticker", (F.col("ticker") % 3).cast("string").alias("industry")).distinct().filter("ticker > 3").localCheckpoint()
+    spec = experiment.WalkForward(horizon=2, min_train=9, test_size=12, step=12, min_names=20, every=3, cost_bps=(0.0, 10.0))
+    folds = selection.purged_folds(p, 9, 12, 12, 2)
+    weights = spark.createDataFrame([("x", f, n, d, w) for f in range(4) for n, d, w in (("a", 1, 0.7), ("b", -1, 0.3))] + [("y", 1, "c", -1, 1.0), ("y", 3, "a", 1, 1.0)], "pool string, fold int, factor string, direction int, weight double")
+    kept = []
+    monkeypatch.setattr(experiment, "keep", lambda df: kept.append((df.columns, plan(df))) or df.localCheckpoint())
+    wide = ev.Wide(p.withColumn("_ahead", ev.forward(2)).localCheckpoint(), {n: n for n in "abc"}, {2: "_ahead"})
+    t = experiment.trade(p, wide.long(), F.broadcast(industry), folds, weights, ("x", "y"), spec, wide)
+    assert not any("ticker" in c for c, _ in kept)
+    assert [k.count("Exchange hashpartitioning(ticker") for c, k in kept if "marks" in c or "now" in c] == [0, 1]
+    by, key = ("pool", "path"), ("pool", "path", "date", "ticker")
+    targets = pf.buffered_targets(t.scores, every=3, by=by, also=("returns",)).localCheckpoint()
+    near(t.targets.select(*key, "action", "w").collect(), targets.select(*key, "action", "w").collect(), 5)
+    assert {r["action"] for r in targets.select("action").distinct().collect()} == {"rebalance", "hold_invalid", "hold_schedule"}
+    moves = pf.executed_targets(targets, by)
+    near(t.moves.select(*key, "ret", "w", "dw").collect(), moves.select(*key, "ret", "w", "dw").collect(), 4)
+    daily = (*by, "date", "pos", "cost_bps", "gross", "turnover", "net")
+    near(t.daily.select(*daily).collect(), pf.simulate(moves, (0.0, 10.0), by).select(*daily).collect(), 5)
+    ics = ev.ic(t.scores.select("date", "ticker", F.concat_ws("/", *by).alias("factor"), "value"), ev.forward_returns(p, (2,)), min_names=20)
+    near(t.ics.select("date", F.concat_ws("/", "pool", "factor").alias("factor"), "horizon", "n", "ic").collect(), ics.select("date", "factor", "horizon", "n", "ic").collect(), 4)
+    held = moves.join(industry, "ticker").groupBy(*by, "date", "industry").agg(F.sum("w"))
+    near(t.exposures.select(*by, "date", "industry", "exposure").collect(), held.collect(), 4)
+
+
+def test_ics_and_correlations_take_one_shuffle(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(rd, "keep", lambda df: made.append(plan(df)) or df.localCheckpoint())
+    wide = ev.Wide(panel(spark).withColumn("_ahead", ev.forward(2)).localCheckpoint(), {n: n for n in "abc"}, {2: "_ahead"})
+    ics, pairs = rd.daily_evidence(wide, 2, 20)
+    assert [k.count("Exchange") for k in made] == [1]
+    near(ics.select("date", "factor", "ic").collect(), wide.ic((2,), "spearman", 20).select("date", "factor", "ic").collect(), 2)
+    near(pairs.collect(), rd.daily_correlation(None, 20, wide).collect(), 3)
+
+
+def test_ablation_keeps_the_rows_once(spark, sf, monkeypatch):
+    from factorloom import queries
+    from factorloom.sources import market
+
+    kept, given = [], []
+    monkeypatch.setattr(queries, "keep", lambda df: kept.append(plan(df)) or df.localCheckpoint())
+    monkeypatch.setattr(queries.ablation, "run_arms", lambda *a: given.append(a))
+    monkeypatch.setattr(queries.ablation, "report", lambda *a: {})
+    queries._ablation(spark, sf)
+    wide = given[0][-1]
+    assert len(kept) == 1 and kept[0].count("Exchange hashpartitioning(date") == 1
+    assert kept[0].count("Exchange hashpartitioning(ticker") == 3  # order lines, ranks, and suppliers
+    assert wide.rows == market.line_count(spark, sf) and "Window" not in plan(wide.df.select(wide.forward(5))) and "industry" in wide.df.columns
+
+
+def test_rows_are_ranked_before_they_grow(spark):
+    from factorloom.plans import formula
+
+    p, texts = panel(spark), {"s": "-stddev(close, 5)", "r": "correlation(rank(close), rank(returns), 3)", "d": "delta(close, 2)"}
+    got = formula.evaluate(p, texts)
+    assert got.columns == ["date", "pos", "ticker", "s", "r", "d"]
+    below = plan(got).split("Exchange hashpartitioning(date")[1]
+    assert "lag(" not in below and "rank(" not in below
+    for n, text in texts.items():
+        near(*(df.filter(f"{n} is not null").select("pos", "ticker", n).collect() for df in (got, formula.evaluate(p, {n: text}))), 2)
